@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -20,8 +21,14 @@ from pyspark.sql.types import (
 _FLOOR_SAFE = 1e15
 
 
+_IDENT = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
+
+
 def col_of(c: str | Column) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+    """A column from a name, a SQL expression string (``"price * tax"``) or a Column."""
+    if isinstance(c, str):
+        return F.col(c) if _IDENT.fullmatch(c) else F.expr(c)
+    return c
 
 
 def round_half_up(c: str | Column, digits: int) -> Column:

@@ -108,7 +108,7 @@ def retail_frames(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
     items = t["lineitem"].select(
         F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("item_id"),
         F.col("l_partkey").alias("product_id"), F.col("l_quantity").alias("quantity"),
-        (F.col("l_extendedprice") / F.col("l_quantity")).alias("list_price"), F.col("l_discount").alias("discount"))
+        F.try_divide(F.col("l_extendedprice"), F.col("l_quantity")).alias("list_price"), F.col("l_discount").alias("discount"))
     customers = cust.select(F.col("c_custkey").alias("customer_id"), F.col("c_name").alias("first_name"),
                             F.lit(None).cast("string").alias("last_name"))
     stores = t["nation"].select(F.col("n_nationkey").alias("store_id"), F.col("n_name").alias("store_name"))
