@@ -47,6 +47,21 @@ def round_half_up(c: str | Column, digits: int) -> Column:
     )
 
 
+def rate_units(c: str | Column, digits: int = 4) -> Column:
+    """``floor(x * 10^k + 0.5)`` as bigint: a rate rounded to k places, in units.
+
+    Sums of units are exact in any order, so an average of rounded rates (table
+    completeness) does not depend on how rows reach the aggregate.
+    """
+    return F.floor(col_of(c).cast("double") * float(10 ** digits) + 0.5).cast("bigint")
+
+
+def completeness(sum_units: str | Column, n_columns: int, digits: int = 4) -> Column:
+    """round(1 - mean(rounded null rates), k) from the summed rate units."""
+    scale = float(10 ** digits)
+    return round_half_up(F.lit(1.0) - (col_of(sum_units).cast("double") / scale) / F.lit(float(n_columns)), digits)
+
+
 def ratio(num: str | Column, den: str | Column) -> Column:
     """``num / den`` as double, null (not an error) when den is 0 or null."""
     return F.try_divide(col_of(num).cast("double"), col_of(den).cast("double"))

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablescope.functions.aggregates import FIELDS, chunked_agg, literal_rows, union_all
 from tablescope.functions.exprs import numeric_columns, round_half_up
 
 STRONG = 0.7
@@ -29,16 +30,25 @@ def _pair_coefficient(a: str, b: str):
 
 
 def correlation_long(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Upper-triangle pairs (i < j): column_1, column_2, i, j, r (raw, null->0)."""
+    """Upper-triangle pairs (i < j): column_1, column_2, i, j, r (raw, null->0).
+
+    Pairs are packed into codegen-sized single-row aggregates (9 pairs = 90
+    buffer fields each); consecutive pairs share their left column, so each
+    chunk's scan reads few columns.
+    """
     cols = columns or numeric_columns(df)
     if len(cols) < 2:
         raise ValueError("need at least 2 numeric columns for correlation")
     pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    wide = df.agg(*[_pair_coefficient(cols[i], cols[j]).alias(f"__r{i}_{j}") for i, j in pairs])
-    rows = [F.struct(F.lit(cols[i]).alias("column_1"), F.lit(cols[j]).alias("column_2"), F.lit(i).alias("i"),
-                     F.lit(j).alias("j"), F.coalesce(F.col(f"__r{i}_{j}"), F.lit(0.0)).alias("r"))
-            for i, j in pairs]
-    return wide.select(F.inline(F.array(*rows)))
+    groups = [[_pair_coefficient(cols[i], cols[j]).alias(f"__r{i}_{j}")] for i, j in pairs]
+    weight = FIELDS["covar"] + 2 * FIELDS["stddev"]
+    parts = []
+    for idx, wide in chunked_agg(df, groups, [weight] * len(pairs)):
+        rows = [F.struct(F.lit(cols[i]).alias("column_1"), F.lit(cols[j]).alias("column_2"), F.lit(i).alias("i"),
+                         F.lit(j).alias("j"), F.coalesce(F.col(f"__r{i}_{j}"), F.lit(0.0)).alias("r"))
+                for i, j in (pairs[k] for k in idx)]
+        parts.append(wide.select(literal_rows(rows)))
+    return union_all(parts)
 
 
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

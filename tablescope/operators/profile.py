@@ -1,27 +1,29 @@
-"""Q1, Q2, Q5, Q12: fused column profiles — one aggregate (one scan) per table.
-
-Every metric of every column is an aggregate expression inside a single
-``df.agg(...)``; the one wide result row is then turned into long form with
-``inline(array(struct...))``. Spark runs partial aggregation on each task and
-merges a single buffer per metric, so the cost is one scan regardless of the
-number of columns.
-
-Exact distinct counts make Spark plan an Expand (rows x distinct columns) under
-the same aggregate; ``distinct="approx"`` uses HyperLogLog++ instead and keeps
-the plan a plain two-stage aggregate — the choice for very wide/large tables.
+"""Q1, Q2, Q5, Q12: column profiles from single-row aggregates.
+
+Per-column metrics are aggregate expressions evaluated by single-row
+aggregates (partial aggregation on every task, one small buffer merged at the
+end — no shuffle of data). They are packed into codegen-sized chunks split by
+column (see ``functions.aggregates``), and distinct counts run as one separate
+aggregate: exact ``count(DISTINCT)`` (Spark plans an Expand, rows x columns,
+de-duplicated map-side) or ``approx_count_distinct`` (HyperLogLog++, a bounded
+sketch — the choice for very large or wide tables). The wide results are
+turned into long form with ``inline(array(struct...))`` and matched on the
+column ordinal, a frame bounded by the schema width.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from tablescope.functions.exprs import is_numeric_type, is_string_type, ratio, round_half_up
+from tablescope.functions.aggregates import FIELDS, chunked_agg, literal_rows, union_all
+from tablescope.functions.exprs import completeness, is_numeric_type, is_string_type, ratio, rate_units, round_half_up
 
 METRICS = ("nulls", "distinct", "text_range", "typed_range", "moments")
+_WEIGHTS = {"nulls": FIELDS["count_if"], "text_range": 2 * FIELDS["min"], "typed_range": 2 * FIELDS["min"],
+            "moments": FIELDS["avg"] + FIELDS["stddev"] + 2 * FIELDS["count"]}
 
 
 def _distinct_expr(c: Column, mode: str, rsd: float) -> Column:
@@ -32,78 +34,84 @@ def _distinct_expr(c: Column, mode: str, rsd: float) -> Column:
     raise ValueError("distinct must be 'exact' or 'approx'")
 
 
-def _moment_source(df: DataFrame, name: str) -> tuple[Column | None, Column | None]:
-    """(value-as-double, all-castable guard) for mean/stddev, or (None, None).
+def _moments(df: DataFrame, name: str, i: int) -> list[Column]:
+    """Mean and sample stddev as double, or nulls.
 
     Numeric types cast directly. Strings count only when *every* non-null value
-    casts (all-or-nothing); ``try_cast`` keeps a bad value from failing the job
-    under ANSI mode. Dates, timestamps, booleans and nested types get no moments.
+    casts (all-or-nothing, like a failed ``::numeric`` cast); ``try_cast`` keeps
+    a bad value from failing the job under ANSI mode. Dates, timestamps,
+    booleans and nested types get no moments.
     """
     dt = df.schema[name].dataType
     c = F.col(name)
     if is_numeric_type(dt):
-        return c.cast("double"), None
+        v = c.cast("double")
+        return [F.avg(v).alias(f"__m{i}"), F.stddev_samp(v).alias(f"__s{i}")]
     if is_string_type(dt):
         v = c.try_cast("double")
-        return v, F.count(c) == F.count(v)
-    return None, None
+        guard = F.count(c) == F.count(v)
+        return [F.when(guard, F.avg(v)).alias(f"__m{i}"), F.when(guard, F.stddev_samp(v)).alias(f"__s{i}")]
+    return [F.lit(None).cast("double").alias(f"__m{i}"), F.lit(None).cast("double").alias(f"__s{i}")]
+
+
+def distinct_counts(df: DataFrame, columns: list[str], distinct: str = "exact", rsd: float = 0.05) -> DataFrame:
+    """Long form (ordinal, distinct_count) from one aggregate over the columns."""
+    wide = df.agg(*[_distinct_expr(F.col(c), distinct, rsd).alias(f"__d{i}") for i, c in enumerate(columns)])
+    return wide.select(literal_rows([F.struct(F.lit(i + 1).alias("ordinal"),
+                                              F.col(f"__d{i}").cast("bigint").alias("distinct_count"))
+                                     for i in range(len(columns))]))
 
 
 def column_profile(df: DataFrame, columns: Iterable[str] | None = None,
                    metrics: Iterable[str] = METRICS, distinct: str = "exact", rsd: float = 0.05) -> DataFrame:
-    """Long-form profile: one row per column, all metrics from one aggregate.
+    """Long-form profile: one row per column.
 
     Output: ordinal, column_name, total_rows, null_count, distinct_count,
     min_value, max_value (text form, lexicographic), min_typed, max_typed (text of
-    the typed min/max), mean_value, std_dev.
+    the typed min/max), mean_value, std_dev. Metrics not requested are null.
     """
     cols = list(columns) if columns is not None else list(df.columns)
+    if not cols:
+        raise ValueError("no columns to profile")
     want = set(metrics)
-    aggs: list[Column] = [F.count(F.lit(1)).alias("__total")]
+    groups, weights = [], []
     for i, name in enumerate(cols):
         c = F.col(name)
+        g: list[Column] = []
         if "nulls" in want:
-            aggs.append(F.count_if(c.isNull()).alias(f"__n{i}"))
-        if "distinct" in want:
-            aggs.append(_distinct_expr(c, distinct, rsd).alias(f"__d{i}"))
+            g.append(F.count_if(c.isNull()).alias(f"__n{i}"))
         if "text_range" in want:
             t = c.cast("string")
-            aggs += [F.min(t).alias(f"__lo{i}"), F.max(t).alias(f"__hi{i}")]
+            g += [F.min(t).alias(f"__lo{i}"), F.max(t).alias(f"__hi{i}")]
         if "typed_range" in want:
-            aggs += [F.min(c).cast("string").alias(f"__tlo{i}"), F.max(c).cast("string").alias(f"__thi{i}")]
+            g += [F.min(c).cast("string").alias(f"__tlo{i}"), F.max(c).cast("string").alias(f"__thi{i}")]
         if "moments" in want:
-            v, guard = _moment_source(df, name)
-            if v is None:
-                aggs += [F.lit(None).cast("double").alias(f"__m{i}"), F.lit(None).cast("double").alias(f"__s{i}")]
-            else:
-                mean, sd = F.avg(v), F.stddev_samp(v)
-                if guard is not None:
-                    mean, sd = F.when(guard, mean), F.when(guard, sd)
-                aggs += [mean.alias(f"__m{i}"), sd.alias(f"__s{i}")]
-    wide = df.agg(*aggs)
-
-    def pick(prefix: str, i: int, cast: str) -> Column:
-        return F.col(f"{prefix}{i}").cast(cast) if f"{prefix}{i}" in wide.columns else F.lit(None).cast(cast)
-
-    rows = [
-        F.struct(
-            F.lit(i + 1).alias("ordinal"),
-            F.lit(name).alias("column_name"),
-            F.col("__total").alias("total_rows"),
-            pick("__n", i, "bigint").alias("null_count"),
-            pick("__d", i, "bigint").alias("distinct_count"),
-            pick("__lo", i, "string").alias("min_value"),
-            pick("__hi", i, "string").alias("max_value"),
-            pick("__tlo", i, "string").alias("min_typed"),
-            pick("__thi", i, "string").alias("max_typed"),
-            pick("__m", i, "double").alias("mean_value"),
-            pick("__s", i, "double").alias("std_dev"),
-        )
-        for i, name in enumerate(cols)
-    ]
-    if not rows:
-        raise ValueError("no columns to profile")
-    return wide.select(F.inline(F.array(*rows)))
+            g += _moments(df, name, i)
+        groups.append(g)
+        weights.append(sum(_WEIGHTS[m] for m in want if m in _WEIGHTS))
+
+    def pick(wide: DataFrame, prefix: str, i: int, cast: str) -> Column:
+        n = f"{prefix}{i}"
+        return F.col(n).cast(cast) if n in wide.columns else F.lit(None).cast(cast)
+
+    parts = []
+    for idx, wide in chunked_agg(df, groups, weights, common=[F.count(F.lit(1)).alias("__total")]):
+        rows = [F.struct(
+            F.lit(i + 1).alias("ordinal"), F.lit(cols[i]).alias("column_name"),
+            F.col("__total").alias("total_rows"), pick(wide, "__n", i, "bigint").alias("null_count"),
+            pick(wide, "__lo", i, "string").alias("min_value"), pick(wide, "__hi", i, "string").alias("max_value"),
+            pick(wide, "__tlo", i, "string").alias("min_typed"), pick(wide, "__thi", i, "string").alias("max_typed"),
+            pick(wide, "__m", i, "double").alias("mean_value"), pick(wide, "__s", i, "double").alias("std_dev"),
+        ) for i in (idx or range(len(cols)))]
+        parts.append(wide.select(literal_rows(rows)))
+    long = union_all(parts)
+    if "distinct" in want:
+        d = distinct_counts(df, cols, distinct, rsd)
+        long = long.join(F.broadcast(d), "ordinal", "left")  # one row per column on both sides
+    else:
+        long = long.withColumn("distinct_count", F.lit(None).cast("bigint"))
+    return long.select("ordinal", "column_name", "total_rows", "null_count", "distinct_count", "min_value",
+                       "max_value", "min_typed", "max_typed", "mean_value", "std_dev")
 
 
 def column_nulls(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
@@ -125,59 +133,50 @@ def column_stats(df: DataFrame, columns: Iterable[str] | None = None, distinct:
                     "min_typed", "max_typed", "mean_value", "std_dev")
 
 
-def _completeness_from_wide(df: DataFrame, cols: list[str]) -> tuple[DataFrame, list[Column]]:
-    aggs = [F.count(F.lit(1)).alias("__total")]
-    aggs += [F.avg(F.when(F.col(c).isNull(), 1.0).otherwise(0.0)).alias(f"__r{i}") for i, c in enumerate(cols)]
-    wide = df.agg(*aggs)
-    rates = [F.coalesce(round_half_up(F.col(f"__r{i}"), 4), F.lit(0.0)) for i in range(len(cols))]
-    return wide, rates
+def null_rates(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Long form (ordinal, column_name, total_rows, null_rate[4 dp, 0 when empty]) in
+    codegen-sized chunks."""
+    groups = [[F.avg(F.when(F.col(c).isNull(), 1.0).otherwise(0.0)).alias(f"__r{i}")] for i, c in enumerate(columns)]
+    parts = []
+    for idx, wide in chunked_agg(df, groups, [FIELDS["avg"]] * len(columns),
+                                 common=[F.count(F.lit(1)).alias("__total")]):
+        parts.append(wide.select(literal_rows([F.struct(
+            F.lit(i + 1).alias("ordinal"), F.lit(columns[i]).alias("column_name"),
+            F.col("__total").alias("total_rows"),
+            F.coalesce(round_half_up(F.col(f"__r{i}"), 4), F.lit(0.0)).alias("null_rate")) for i in idx])))
+    return union_all(parts)
 
 
 def table_completeness(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
     """Q5: per-column null rate (4 dp) and overall = round(1 - mean(rounded rates), 4).
 
-    One aggregate; an empty table has rates 0.0 and completeness 1.0.
+    The overall value is a mean over the long frame (one row per column). An
+    empty table has rates 0.0 and completeness 1.0.
     """
     cols = list(columns) if columns is not None else list(df.columns)
-    wide, rates = _completeness_from_wide(df, cols)
-    overall = round_half_up(F.lit(1.0) - sum(rates, F.lit(0.0)) / F.lit(float(len(cols))), 4) if cols else F.lit(1.0)
-    wide = wide.select("__total", *[r.alias(f"__q{i}") for i, r in enumerate(rates)], overall.alias("__overall"))
-    rows = [F.struct(F.lit(i + 1).alias("ordinal"), F.lit(c).alias("column_name"),
-                     F.col(f"__q{i}").alias("null_rate")) for i, c in enumerate(cols)]
-    return wide.select(F.col("__total").alias("total_rows"), F.col("__overall").alias("overall_completeness"),
-                       F.inline(F.array(*rows)))
+    rates = null_rates(df, cols)
+    # the window spans one row per column (bounded by the schema width)
+    overall = completeness(F.sum(rate_units("null_rate")).over(Window.partitionBy()), len(cols))
+    return rates.select("total_rows", overall.alias("overall_completeness"), "ordinal", "column_name", "null_rate")
 
 
 def quality_overview(tables: dict[str, DataFrame], distinct: str = "exact", schema_name: str = "main") -> DataFrame:
     """Q12: per table and column: null_rate (4 dp), distinct_count, completeness.
 
-    One fused aggregate per table (null counts + distincts), tables unioned. Empty
-    tables are skipped, as in the dashboard. ``distinct="approx"`` for large data.
+    Per table: null counts from codegen-sized chunks plus one distinct aggregate;
+    tables are unioned. Empty tables are skipped, as in the dashboard.
+    ``distinct="approx"`` (HyperLogLog++) for very large data.
     """
     parts = []
     for tname, df in tables.items():
         cols = list(df.columns)
-        aggs = [F.count(F.lit(1)).alias("__total")]
-        for i, c in enumerate(cols):
-            aggs += [F.count_if(F.col(c).isNull()).alias(f"__n{i}"),
-                     _distinct_expr(F.col(c), distinct, 0.05).alias(f"__d{i}")]
-        wide = df.agg(*aggs)
-        rates = [round_half_up(ratio(f"__n{i}", "__total"), 4) for i in range(len(cols))]
-        overall = round_half_up(F.lit(1.0) - sum(rates, F.lit(0.0)) / F.lit(float(len(cols))), 4)
-        rows = [F.struct(F.lit(i + 1).alias("ordinal"), F.lit(c).alias("column_name"), rates[i].alias("null_rate"),
-                         F.col(f"__d{i}").cast("bigint").alias("distinct_count")) for i, c in enumerate(cols)]
-        parts.append(
-            wide.where(F.col("__total") > 0).select(
-                F.lit(schema_name).alias("schema_name"), F.lit(tname).alias("table_name"),
-                F.col("__total").alias("row_count"), overall.alias("overall_completeness"),
-                F.inline(F.array(*rows)),
-            )
-        )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def text_column_types(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
+        p = column_profile(df, cols, metrics=("nulls", "distinct"), distinct=distinct)
+        p = p.select("ordinal", "column_name", "total_rows", "distinct_count",
+                     round_half_up(ratio("null_count", "total_rows"), 4).alias("null_rate"))
+        # one row per column: the window is bounded by the schema width
+        overall = completeness(F.sum(rate_units("null_rate")).over(Window.partitionBy()), len(cols))
+        parts.append(p.where(F.col("total_rows") > 0).select(
+            F.lit(schema_name).alias("schema_name"), F.lit(tname).alias("table_name"),
+            F.col("total_rows").alias("row_count"), overall.alias("overall_completeness"),
+            "ordinal", "column_name", "null_rate", "distinct_count"))
+    return union_all(parts)

@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablescope.functions.exprs import age_days, ratio, round_half_up
+from tablescope.functions.exprs import age_days, attach_scalars, completeness, rate_units, ratio, round_half_up
 from tablescope.operators.constraints import ForeignKey
 from tablescope.operators.keys import referential_integrity
+from tablescope.operators.profile import null_rates
 
 # Fixed values (ours): band and verdict thresholds.
 COMPLETENESS_GOOD = 95.0
@@ -24,42 +25,43 @@ FRESH_WARN_DAYS = 7.0
 
 def table_quality(df: DataFrame, table_name: str, pk: list[str] | None = None, ts_column: str | None = None,
                   as_of: str | None = None) -> DataFrame:
-    """Q13 for one table from one aggregate: row_count, overall_completeness,
-    columns_with_nulls, max_null_pct, pk uniqueness, freshness."""
+    """Q13 for one table: row_count, overall_completeness, columns_with_nulls,
+    max_null_pct, pk uniqueness, freshness.
+
+    Null rates come from codegen-sized single-row aggregates (column chunks); the
+    key's distinct count and the timestamp range are separate single-row
+    aggregates over only their columns, attached as scalar subqueries (no join).
+    """
     cols = list(df.columns)
-    aggs = [F.count(F.lit(1)).alias("row_count")]
-    aggs += [F.avg(F.when(F.col(c).isNull(), 1.0).otherwise(0.0)).alias(f"__r{i}") for i, c in enumerate(cols)]
-    if pk:
-        aggs.append(F.count_distinct(F.struct(*[F.col(c) for c in pk])).alias("__u"))
-    if ts_column:
-        aggs += [F.max(ts_column).alias("__latest"), F.min(ts_column).alias("__oldest")]
-    wide = df.agg(*aggs)
-    rates = [F.coalesce(round_half_up(F.col(f"__r{i}"), 4), F.lit(0.0)) for i in range(len(cols))]
-    overall = round_half_up(F.lit(1.0) - sum(rates, F.lit(0.0)) / F.lit(float(len(cols))), 4)
-    n_null_cols = sum([F.when(r > 0, 1).otherwise(0) for r in rates], F.lit(0))
-    max_rate = F.greatest(*rates) if len(rates) > 1 else rates[0]
-    out = [F.lit(table_name).alias("table_name"), "row_count", overall.alias("overall_completeness"),
-           n_null_cols.cast("bigint").alias("columns_with_nulls"),
-           round_half_up(max_rate * 100, 1).alias("max_null_pct"),
-           F.lit(",".join(pk) if pk else None).cast("string").alias("pk_columns")]
+    rates = null_rates(df, cols)
+    summary = rates.agg(
+        F.max("total_rows").alias("row_count"),
+        completeness(F.sum(rate_units("null_rate")), len(cols)).alias("overall_completeness"),
+        F.count_if(F.col("null_rate") > 0).alias("columns_with_nulls"),
+        round_half_up(F.max("null_rate") * 100, 1).alias("max_null_pct"))
+    out = summary.select("*", F.lit(",".join(pk) if pk else None).cast("string").alias("pk_columns"))
     if pk:
-        out += [F.col("__u").alias("unique_pk_rows"),
-                round_half_up(ratio("__u", "row_count"), 4).alias("pk_uniqueness_rate")]
+        u = df.agg(F.count_distinct(F.struct(*[F.col(c) for c in pk])).alias("unique_pk_rows"))
+        out = attach_scalars(out, u).withColumn("pk_uniqueness_rate",
+                                                round_half_up(ratio("unique_pk_rows", "row_count"), 4))
     else:
-        out += [F.lit(None).cast("bigint").alias("unique_pk_rows"),
-                F.lit(None).cast("double").alias("pk_uniqueness_rate")]
+        out = out.select("*", F.lit(None).cast("bigint").alias("unique_pk_rows"),
+                         F.lit(None).cast("double").alias("pk_uniqueness_rate"))
     if ts_column:
         dtype = df.schema[ts_column].dataType
-        out += [F.lit(ts_column).alias("freshness_column"),
-                F.col("__latest").cast("timestamp_ntz").alias("freshness_latest"),
-                F.col("__oldest").cast("timestamp_ntz").alias("freshness_oldest"),
-                age_days(F.col("__latest"), as_of, dtype).alias("freshness_age_days")]
+        rng = df.agg(F.max(ts_column).cast("timestamp_ntz").alias("freshness_latest"),
+                     F.min(ts_column).cast("timestamp_ntz").alias("freshness_oldest"))
+        out = attach_scalars(out.withColumn("freshness_column", F.lit(ts_column)), rng)
+        out = out.withColumn("freshness_age_days", age_days(F.col("freshness_latest"), as_of, dtype))
     else:
-        out += [F.lit(None).cast("string").alias("freshness_column"),
-                F.lit(None).cast("timestamp_ntz").alias("freshness_latest"),
-                F.lit(None).cast("timestamp_ntz").alias("freshness_oldest"),
-                F.lit(None).cast("double").alias("freshness_age_days")]
-    return wide.select(*out)
+        out = out.select("*", F.lit(None).cast("string").alias("freshness_column"),
+                         F.lit(None).cast("timestamp_ntz").alias("freshness_latest"),
+                         F.lit(None).cast("timestamp_ntz").alias("freshness_oldest"),
+                         F.lit(None).cast("double").alias("freshness_age_days"))
+    return out.select(F.lit(table_name).alias("table_name"), "row_count", "overall_completeness",
+                      F.col("columns_with_nulls").cast("bigint").alias("columns_with_nulls"), "max_null_pct",
+                      "pk_columns", "unique_pk_rows", "pk_uniqueness_rate", "freshness_column", "freshness_latest",
+                      "freshness_oldest", "freshness_age_days")
 
 
 def quality_report(tables: dict[str, DataFrame], pks: dict[str, list[str]], ts_columns: dict[str, str],

@@ -30,6 +30,12 @@ BENFORD = [("events", "value"), ("lineitem", "l_extendedprice")]
 CORR_COLS = LINEITEM_NUMERIC + ["l_const"]
 
 
+def completeness_sql(rates: list[str]) -> str:
+    """SQL twin of ``functions.exprs.completeness`` over 4-dp rates."""
+    units = " + ".join(f"floor(CAST({r} AS DOUBLE) * 10000 + 0.5)" for r in rates)
+    return R(f"1.0 - (CAST(({units}) AS DOUBLE) / 10000.0) / {float(len(rates))}", 4)
+
+
 def _doc_labels(spark, sf):
     t = tables(spark, sf, "documents", "labels")
     return B.documents_with_labels(t["documents"], t["labels"])
@@ -132,8 +138,7 @@ def q_freshness(spark, sf):
 def _sql_completeness() -> str:
     rates = ", ".join(f"coalesce({R(f'avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END)', 4)}, 0.0) AS r{i}"
                       for i, c in enumerate(DOC_LABEL_COLUMNS))
-    total = " + ".join(f"r{i}" for i in range(len(DOC_LABEL_COLUMNS)))
-    overall = R(f"1.0 - ({total}) / {float(len(DOC_LABEL_COLUMNS))}", 4)
+    overall = completeness_sql([f"r{i}" for i in range(len(DOC_LABEL_COLUMNS))])
     head = f"WITH w AS (SELECT count(*) AS total_rows, {rates} FROM {DOC_LABEL_SQL} d)\n"
     return head + union_all([
         f"SELECT total_rows, {overall} AS overall_completeness, {i + 1} AS ordinal, {q(c)} AS column_name, "
@@ -337,7 +342,7 @@ def _sql_quality_overview() -> str:
     for t in ALL_TABLES:
         cols = [c for c, _ in TABLE_COLUMNS[t]]
         rates = [R(f"(count(*) FILTER (WHERE {c} IS NULL)) / count(*)", 4) for c in cols]
-        overall = R(f"1.0 - ({' + '.join(rates)}) / {float(len(cols))}", 4)
+        overall = completeness_sql(rates)
         for i, c in enumerate(cols):
             parts.append(f"SELECT 'main' AS schema_name, {q(t)} AS table_name, count(*) AS row_count, "
                          f"{overall} AS overall_completeness, {i + 1} AS ordinal, {q(c)} AS column_name, "
@@ -387,7 +392,7 @@ def _sql_report_table(t: str) -> str:
     pk = _pk_map().get(t)
     ts = B.TS_COLUMNS.get(t)
     rates = [f"coalesce({R(f'avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END)', 4)}, 0.0)" for c in cols]
-    overall = R(f"1.0 - ({' + '.join(rates)}) / {float(len(cols))}", 4)
+    overall = completeness_sql(rates)
     nnull = " + ".join(f"(CASE WHEN {r} > 0 THEN 1 ELSE 0 END)" for r in rates)
     maxr = f"greatest({', '.join(rates)})" if len(rates) > 1 else rates[0]
     if pk:
