@@ -38,7 +38,7 @@ def distribution_stats(df: DataFrame, column: str, approx: bool = False, accurac
         F.kurtosis(x).alias("g2"),
     )
     n = F.col("n").cast("double")
-    shrink = (n - 1) / n
+    shrink = F.try_divide(n - 1, n)
     skew = F.coalesce(F.col("g1") * F.pow(shrink, 1.5), F.lit(0.0))
     kurt = F.coalesce((F.col("g2") + 3) * F.pow(shrink, 2) - 3, F.lit(0.0))
     a = a.select("*", skew.alias("skew"), kurt.alias("kurt"))

@@ -68,16 +68,22 @@ def daily_revenue(orders: DataFrame, items: DataFrame, roles: Roles) -> DataFram
 
 def _items_orders_reviews(orders: DataFrame, items: DataFrame, reviews: DataFrame, roles: Roles,
                           dedupe_reviews: bool) -> DataFrame:
-    o = orders.select(roles.expr("order_key").alias("__ok"), F.expr(roles.canceled).alias("__canceled"),
-                      roles.expr("purchase_ts").alias("__purchase"))
+    """items ⋈ orders ⟕ reviews on the order key, with role expressions evaluated on
+    the joined rows (so a flag may use item or order columns). Order columns whose
+    names also exist on items are dropped before the join."""
+    o = orders.select(roles.expr("order_key").alias("__ok"),
+                      *[F.col(c) for c in orders.columns if c not in items.columns])
+    i = items.withColumn("__ok", roles.expr("item_order_key"))
     r = reviews.select(roles.expr("review_order_key").alias("__ok"), roles.expr("review_score").alias("__score"))
     if dedupe_reviews:
         r = r.groupBy("__ok").agg(F.avg("__score").alias("__score"))
-    i = items.select(roles.expr("item_order_key").alias("__ok"), roles.expr("item_seller_key").alias("__seller"),
-                     roles.expr("item_product_key").alias("__product"), roles.expr("item_price").alias("__price"),
-                     roles.expr("item_quantity").alias("__qty"), roles.expr("item_delivered_ts").alias("__delivered"),
-                     F.expr(roles.returned).alias("__returned"))
-    return i.join(o, "__ok").join(r, "__ok", "left")
+    j = i.join(o, "__ok").join(r, "__ok", "left")
+    return j.select("__ok", "__score",
+                    roles.expr("item_seller_key").alias("__seller"), roles.expr("item_product_key").alias("__product"),
+                    roles.expr("item_price").alias("__price"), roles.expr("item_quantity").alias("__qty"),
+                    roles.expr("item_delivered_ts").alias("__delivered"),
+                    roles.expr("purchase_ts").alias("__purchase"),
+                    F.expr(roles.canceled).alias("__canceled"), F.expr(roles.returned).alias("__returned"))
 
 
 def seller_performance(orders: DataFrame, items: DataFrame, reviews: DataFrame, roles: Roles,
