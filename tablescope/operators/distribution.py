@@ -17,15 +17,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.functions.exprs import round_half_up
+from tablescope.functions.quantiles import percentile_scalars
 
 PROBS = (0.1, 0.25, 0.5, 0.75, 0.9)
 
 
-def distribution_stats(df: DataFrame, column: str, approx: bool = False, accuracy: int = 10000,
+def distribution_stats(df: DataFrame, column: str, method: str = "auto", accuracy: int = 10000,
                        table_name: str | None = None) -> DataFrame:
+    """Moments in one aggregate; percentiles (exact by default, see
+    ``functions.quantiles.percentile_scalars``) attached as scalars."""
     x = F.col(column).cast("double")
-    probs = F.array(*[F.lit(p) for p in PROBS])
-    pct = F.percentile_approx(x, probs, accuracy) if approx else F.percentile(x, probs)
+    pct = F.array(*percentile_scalars(df, column, PROBS, method, accuracy))
     a = df.where(F.col(column).isNotNull()).agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(x).alias("mean"),
@@ -33,10 +35,9 @@ def distribution_stats(df: DataFrame, column: str, approx: bool = False, accurac
         F.var_samp(x).alias("var"),
         F.min(x).alias("lo"),
         F.max(x).alias("hi"),
-        pct.alias("p"),
         F.skewness(x).alias("g1"),
         F.kurtosis(x).alias("g2"),
-    )
+    ).select("*", pct.alias("p"))
     n = F.col("n").cast("double")
     shrink = F.try_divide(n - 1, n)
     skew = F.coalesce(F.col("g1") * F.pow(shrink, 1.5), F.lit(0.0))

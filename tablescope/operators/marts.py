@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.functions.exprs import age_days, col_of, money, ratio, round_half_up
+from tablescope.functions.quantiles import percentile_scalars
 
 
 @dataclass(frozen=True)
@@ -135,7 +136,7 @@ SEGMENT_DESCRIPTIONS = {
 
 
 def customer_segments(orders: DataFrame, as_of: str, roles: Roles, vip_share: float = 0.10,
-                      approx: bool = False, accuracy: int = 10000) -> DataFrame:
+                      method: str = "auto", accuracy: int = 10000) -> DataFrame:
     """M4: VIP / Regular / New / At Risk / Churned / Other.
 
     Per customer (one shuffle on the customer key): orders, spend, last order.
@@ -143,16 +144,14 @@ def customer_segments(orders: DataFrame, as_of: str, roles: Roles, vip_share: fl
     ago), At Risk (> 180), VIP (spend >= the (1 - vip_share) percentile of customer
     spend and >= 3 orders), New (exactly one order, <= 90 days), Regular (>= 2
     orders), else Other. The VIP cut-off is one percentile aggregate entering as a
-    scalar (no global sort or single-partition window); ``approx=True`` uses a
-    bounded sketch for very many customers.
+    scalar (no global sort or single-partition window); it is exact by default
+    (``functions.quantiles.percentile_scalars``), ``method="approx"`` uses a sketch.
     """
     dtype = orders.schema[roles.purchase_ts].dataType
     per = orders.groupBy(roles.expr("customer_key").alias("customer_id")).agg(
         F.count(F.lit(1)).alias("n_orders"), F.sum(money(roles.expr("order_total"))).cast("double").alias("spend"),
         F.max(roles.expr("purchase_ts")).alias("last_order"))
-    q = 1.0 - vip_share
-    cut = per.agg(F.percentile_approx("spend", F.lit(q), accuracy) if approx else F.percentile("spend", F.lit(q)))
-    cutoff = cut.scalar()
+    cutoff = percentile_scalars(per, "spend", [round(1.0 - vip_share, 12)], method, accuracy)[0]
     days = age_days(F.col("last_order"), as_of, dtype)
     seg = (F.when(days > 365, "Churned").when(days > 180, "At Risk")
            .when((F.col("spend") >= cutoff) & (F.col("n_orders") >= 3), "VIP")

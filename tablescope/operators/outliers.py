@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.functions.exprs import ratio, round_half_up
+from tablescope.functions.quantiles import percentile_scalars
 
 ZERO_STDDEV_NOTE = "Standard deviation is zero - no variation in data"
 
@@ -56,17 +57,15 @@ def outliers_zscore_sample(df: DataFrame, column: str, threshold: float = 3.0, n
     return top.select("value", round_half_up("__z", 2).alias("zscore"))
 
 
-def outliers_iqr(df: DataFrame, column: str, multiplier: float = 1.5, approx: bool = False,
+def outliers_iqr(df: DataFrame, column: str, multiplier: float = 1.5, method: str = "auto",
                  accuracy: int = 10000, table_name: str | None = None) -> DataFrame:
     """q1, q3, iqr, fences q1 - m*iqr / q3 + m*iqr (strict), outlier count and percentage.
 
-    ``approx=False`` uses the exact ``percentile`` (= PERCENTILE_CONT), whose
-    buffer is a value->count map bounded by the column's distinct values;
-    ``approx=True`` uses ``percentile_approx`` (bounded sketch) for huge columns.
+    Quartiles are exact PERCENTILE_CONT by default (``method="auto"``, see
+    ``functions.quantiles.percentile_scalars``); ``method="approx"`` uses a sketch.
     """
     v = _values(df, column)
-    probs = F.array(F.lit(0.25), F.lit(0.75))
-    q = v.agg(F.percentile_approx("__x", probs, accuracy) if approx else F.percentile("__x", probs)).scalar()
+    q = percentile_scalars(df, column, [0.25, 0.75], method, accuracy)
     q1, q3 = F.coalesce(q[0], F.lit(0.0)), F.coalesce(q[1], F.lit(0.0))
     iqr = q3 - q1
     lower, upper = q1 - F.lit(multiplier) * iqr, q3 + F.lit(multiplier) * iqr

@@ -201,3 +201,20 @@ def test_null_count_invariant(spark):
     df = spark.createDataFrame([(1, None), (None, "x"), (3, "y")], "a INT, b STRING")
     for r in profile.column_profile(df).collect():
         assert r.null_count + df.where(F.col(r.column_name).isNotNull()).count() == r.total_rows
+
+
+@pytest.mark.parametrize("column", ["value", "ts_key"])
+def test_distributed_percentiles_match_builtin(spark, column):
+    from tablescope.functions.quantiles import exact_percentiles
+    ev = spark.read.parquet("/root/testdata/sf0.01/events.parquet").withColumn("ts_key", F.col("user_id") % 7)
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
+    mine = spark.range(1).select(*exact_percentiles(ev, column, probs, accuracy=1000)).first()
+    ref = ev.agg(F.percentile(F.col(column).cast("double"), F.array(*[F.lit(p) for p in probs]))).first()[0]
+    assert all(abs(a - b) <= 1e-9 * max(1.0, abs(b)) for a, b in zip(mine, ref))
+
+
+def test_iqr_methods_agree(spark):
+    df = spark.createDataFrame([(float(x),) for x in [1, 2, 3, 4, 5, 6, 7, 8, 100]], "x DOUBLE")
+    a = one(outliers.outliers_iqr(df, "x", method="map"))
+    b = one(outliers.outliers_iqr(df, "x", method="distributed"))
+    assert (a.q1, a.q3, a.outlier_count) == (b.q1, b.q3, b.outlier_count)
