@@ -48,10 +48,13 @@ def lineage_neighbors(edges: DataFrame, table: str) -> DataFrame:
     return up.unionByName(down).select(F.lit(table).alias("focus_table"), "direction", "table_name", "label")
 
 
-def lineage_isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """L4: tables that neither reference nor are referenced."""
-    ends = edges.select(F.col("source").alias("id")).unionByName(edges.select(F.col("target").alias("id")))
-    return nodes.join(ends, "id", "left_anti").select(F.col("id").alias("table_name"), "row_count")
+def lineage_isolated(nodes: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """L4: tables that neither reference nor are referenced (both degrees 0).
+
+    ``nodes`` is ``lineage_nodes`` output, which already carries the degrees; no
+    further join is needed. ``edges`` is accepted for symmetry and unused."""
+    return nodes.where((F.col("out_degree") == 0) & (F.col("in_degree") == 0)).select(
+        F.col("id").alias("table_name"), "row_count")
 
 
 def lineage_columns(columns: DataFrame) -> DataFrame:

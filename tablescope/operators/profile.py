@@ -17,6 +17,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
 from tablescope.functions.aggregates import FIELDS, chunked_agg, literal_rows, union_all
 from tablescope.functions.exprs import completeness, is_numeric_type, is_string_type, ratio, rate_units, round_half_up
@@ -26,12 +27,20 @@ _WEIGHTS = {"nulls": FIELDS["count_if"], "text_range": 2 * FIELDS["min"], "typed
             "moments": FIELDS["avg"] + FIELDS["stddev"] + 2 * FIELDS["count"]}
 
 
-def _distinct_expr(c: Column, mode: str, rsd: float) -> Column:
+def _distinct_expr(c: Column, mode: str, rsd: float, dtype=None) -> Column:
+    """``exact``: count(DISTINCT c). ``digest``: like exact, but long strings/binaries
+    are de-duplicated by their SHA-256 digest, so the shuffle carries 32 bytes per
+    distinct value instead of the whole text (exact up to a SHA-256 collision).
+    ``approx``: HyperLogLog++ with relative standard deviation ``rsd``."""
     if mode == "exact":
         return F.count_distinct(c)
+    if mode == "digest":
+        if isinstance(dtype, (StringType, BinaryType)):
+            return F.count_distinct(F.sha2(c, 256))
+        return F.count_distinct(c)
     if mode == "approx":
         return F.approx_count_distinct(c, rsd)
-    raise ValueError("distinct must be 'exact' or 'approx'")
+    raise ValueError("distinct must be 'exact', 'digest' or 'approx'")
 
 
 def _moments(df: DataFrame, name: str, i: int) -> list[Column]:
@@ -56,7 +65,8 @@ def _moments(df: DataFrame, name: str, i: int) -> list[Column]:
 
 def distinct_counts(df: DataFrame, columns: list[str], distinct: str = "exact", rsd: float = 0.05) -> DataFrame:
     """Long form (ordinal, distinct_count) from one aggregate over the columns."""
-    wide = df.agg(*[_distinct_expr(F.col(c), distinct, rsd).alias(f"__d{i}") for i, c in enumerate(columns)])
+    wide = df.agg(*[_distinct_expr(F.col(c), distinct, rsd, df.schema[c].dataType).alias(f"__d{i}")
+                    for i, c in enumerate(columns)])
     return wide.select(literal_rows([F.struct(F.lit(i + 1).alias("ordinal"),
                                               F.col(f"__d{i}").cast("bigint").alias("distinct_count"))
                                      for i in range(len(columns))]))
@@ -134,17 +144,12 @@ def column_stats(df: DataFrame, columns: Iterable[str] | None = None, distinct:
 
 
 def null_rates(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Long form (ordinal, column_name, total_rows, null_rate[4 dp, 0 when empty]) in
-    codegen-sized chunks."""
-    groups = [[F.avg(F.when(F.col(c).isNull(), 1.0).otherwise(0.0)).alias(f"__r{i}")] for i, c in enumerate(columns)]
-    parts = []
-    for idx, wide in chunked_agg(df, groups, [FIELDS["avg"]] * len(columns),
-                                 common=[F.count(F.lit(1)).alias("__total")]):
-        parts.append(wide.select(literal_rows([F.struct(
-            F.lit(i + 1).alias("ordinal"), F.lit(columns[i]).alias("column_name"),
-            F.col("__total").alias("total_rows"),
-            F.coalesce(round_half_up(F.col(f"__r{i}"), 4), F.lit(0.0)).alias("null_rate")) for i in idx])))
-    return union_all(parts)
+    """Long form (ordinal, column_name, total_rows, null_count, null_rate[4 dp, 0 when
+    empty]). Built from the same chunked aggregates as ``column_profile(metrics=("nulls",))``
+    so plans that need both share one computation (exchange reuse)."""
+    p = column_profile(df, columns, metrics=("nulls",))
+    return p.select("ordinal", "column_name", "total_rows", "null_count",
+                    F.coalesce(round_half_up(ratio("null_count", "total_rows"), 4), F.lit(0.0)).alias("null_rate"))
 
 
 def table_completeness(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
@@ -154,7 +159,7 @@ def table_completeness(df: DataFrame, columns: Iterable[str] | None = None) -> D
     empty table has rates 0.0 and completeness 1.0.
     """
     cols = list(columns) if columns is not None else list(df.columns)
-    rates = null_rates(df, cols)
+    rates = null_rates(df, cols).drop("null_count")
     # the window spans one row per column (bounded by the schema width)
     overall = completeness(F.sum(rate_units("null_rate")).over(Window.partitionBy()), len(cols))
     return rates.select("total_rows", overall.alias("overall_completeness"), "ordinal", "column_name", "null_rate")
@@ -170,9 +175,7 @@ def quality_overview(tables: dict[str, DataFrame], distinct: str = "exact", sche
     parts = []
     for tname, df in tables.items():
         cols = list(df.columns)
-        p = column_profile(df, cols, metrics=("nulls", "distinct"), distinct=distinct)
-        p = p.select("ordinal", "column_name", "total_rows", "distinct_count",
-                     round_half_up(ratio("null_count", "total_rows"), 4).alias("null_rate"))
+        p = null_rates(df, cols).join(F.broadcast(distinct_counts(df, cols, distinct)), "ordinal", "left")
         # one row per column: the window is bounded by the schema width
         overall = completeness(F.sum(rate_units("null_rate")).over(Window.partitionBy()), len(cols))
         parts.append(p.where(F.col("total_rows") > 0).select(

@@ -218,3 +218,14 @@ def test_iqr_methods_agree(spark):
     a = one(outliers.outliers_iqr(df, "x", method="map"))
     b = one(outliers.outliers_iqr(df, "x", method="distributed"))
     assert (a.q1, a.q3, a.outlier_count) == (b.q1, b.q3, b.outlier_count)
+
+
+def test_distinct_modes(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    exact = {r.column_name: r.distinct_count for r in profile.column_profile(docs, metrics=("distinct",)).collect()}
+    digest = {r.column_name: r.distinct_count
+              for r in profile.column_profile(docs, metrics=("distinct",), distinct="digest").collect()}
+    approx = {r.column_name: r.distinct_count
+              for r in profile.column_profile(docs, metrics=("distinct",), distinct="approx").collect()}
+    assert exact == digest
+    assert all(abs(approx[k] - v) <= 0.2 * v + 2 for k, v in exact.items())
