@@ -87,6 +87,14 @@ def tables_overview(tables: dict[str, DataFrame], schema_name: str = "main") ->
     return out
 
 
+def tables_by_schema(overview: DataFrame) -> DataFrame:
+    """Tables grouped by schema (names sorted), with table count and total rows.
+    One row per schema; each list is bounded by the catalog."""
+    return overview.groupBy("schema_name").agg(
+        F.array_sort(F.collect_list("table_name")).alias("tables"),
+        F.count(F.lit(1)).alias("table_count"), F.sum("row_count").alias("total_rows"))
+
+
 def table_size_top(overview: DataFrame, n: int = 8) -> DataFrame:
     """C11: top-n tables by rows with bar width = rows / max(rows) * 100 (1 dp).
 

@@ -181,13 +181,16 @@ _NEW_COLS_SQL = union_all([
 j AS (SELECT coalesce(o.table_name, n.table_name) AS table_name, coalesce(o.column_name, n.column_name) AS column_name,
         o.data_type AS old_type, n.data_type AS new_type
       FROM o FULL OUTER JOIN n ON o.table_name = n.table_name AND o.column_name = n.column_name)
-SELECT table_name, column_name,
+SELECT j.table_name, column_name,
   CASE WHEN old_type IS NULL THEN 'added' WHEN new_type IS NULL THEN 'removed'
-       WHEN old_type <> new_type THEN 'type_changed' END AS change, old_type, new_type
-FROM j WHERE old_type IS NULL OR new_type IS NULL OR old_type <> new_type""")
+       WHEN old_type <> new_type THEN 'type_changed' END AS change, old_type, new_type, counts.row_count
+FROM j LEFT JOIN ({COUNTS_SQL}) counts ON counts.table_name = j.table_name
+WHERE old_type IS NULL OR new_type IS NULL OR old_type <> new_type""")
 def q_schema_diff(spark, sf):
     t = tables(spark, sf)
-    return catalog.schema_diff(catalog.schema_columns(t), catalog.schema_columns(_migrated(t)))
+    new = _migrated(t)
+    diff = catalog.schema_diff(catalog.schema_columns(t), catalog.schema_columns(new))
+    return diff.join(catalog.row_counts(new), "table_name", "left")
 
 
 # --- L1-L6, J3 ------------------------------------------------------------------------
@@ -291,10 +294,11 @@ DOCS_COLS_SQL = (f"SELECT table_name, ordinal_position, column_name, data_type,
                  f"{DESC_SQL} AS description, {USE_SQL} AS business_use FROM keyed")
 
 
-@query("docs_columns", f"WITH {KEYED_SQL} {DOCS_COLS_SQL}")
+@query("docs_columns", f"""WITH {KEYED_SQL}, d AS ({DOCS_COLS_SQL})
+SELECT d.*, counts.row_count FROM d LEFT JOIN counts ON counts.table_name = d.table_name""")
 def q_docs_columns(spark, sf):
     t, cons, cols = _base(spark, sf)
-    return dictionary.document_columns(cols)
+    return _with_counts(dictionary.document_columns(cols), t)
 
 
 FACTS_SQL = """facts AS (SELECT k.table_name, count(*) AS column_count, count(*) FILTER (WHERE nullable) AS nullable_count,

@@ -229,3 +229,11 @@ def test_distinct_modes(spark):
               for r in profile.column_profile(docs, metrics=("distinct",), distinct="approx").collect()}
     assert exact == digest
     assert all(abs(approx[k] - v) <= 0.2 * v + 2 for k, v in exact.items())
+
+
+def test_catalog_listings(spark):
+    t = {"a": spark.createDataFrame([(1,)], "x INT"), "b": spark.createDataFrame([(1,), (2,)], "y INT")}
+    g = one(catalog.tables_by_schema(catalog.tables_overview(t)))
+    assert (g.schema_name, g.tables, g.table_count, g.total_rows) == ("main", ["a", "b"], 2, 3)
+    names = {r.schema_name for r in catalog.schemas_df(spark).collect()}
+    assert "default" in names and "information_schema" not in names
