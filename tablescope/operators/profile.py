@@ -4,8 +4,8 @@ Per-column metrics are aggregate expressions evaluated by single-row
 aggregates (partial aggregation on every task, one small buffer merged at the
 end — no shuffle of data). They are packed into codegen-sized chunks split by
 column (see ``functions.aggregates``), and distinct counts run as one separate
-aggregate: exact ``count(DISTINCT)`` (Spark plans an Expand, rows x columns,
-de-duplicated map-side) or ``approx_count_distinct`` (HyperLogLog++, a bounded
+aggregates: exact ``count(DISTINCT)`` per column (de-duplicated map-side, one
+column read per aggregate) or ``approx_count_distinct`` (HyperLogLog++, a bounded
 sketch — the choice for very large or wide tables). The wide results are
 turned into long form with ``inline(array(struct...))`` and matched on the
 column ordinal, a frame bounded by the schema width.
@@ -64,12 +64,24 @@ def _moments(df: DataFrame, name: str, i: int) -> list[Column]:
 
 
 def distinct_counts(df: DataFrame, columns: list[str], distinct: str = "exact", rsd: float = 0.05) -> DataFrame:
-    """Long form (ordinal, distinct_count) from one aggregate over the columns."""
-    wide = df.agg(*[_distinct_expr(F.col(c), distinct, rsd, df.schema[c].dataType).alias(f"__d{i}")
-                    for i, c in enumerate(columns)])
-    return wide.select(literal_rows([F.struct(F.lit(i + 1).alias("ordinal"),
-                                              F.col(f"__d{i}").cast("bigint").alias("distinct_count"))
-                                     for i in range(len(columns))]))
+    """Long form (ordinal, distinct_count).
+
+    Exact (and digest) counts run one single-distinct aggregate per column,
+    unioned: each reads only its column (one pass in total), de-duplicates
+    map-side and shuffles the distinct values by hash. A single aggregate with
+    several ``count(DISTINCT)`` would plan an Expand that copies every row once per
+    column, each copy as wide as the column list (k^2 work per row); per column it
+    is k. HyperLogLog (``approx``) keeps all columns in one aggregate.
+    """
+    if distinct == "approx":
+        wide = df.agg(*[_distinct_expr(F.col(c), distinct, rsd).alias(f"__d{i}") for i, c in enumerate(columns)])
+        return wide.select(literal_rows([F.struct(F.lit(i + 1).alias("ordinal"),
+                                                  F.col(f"__d{i}").cast("bigint").alias("distinct_count"))
+                                         for i in range(len(columns))]))
+    parts = [df.agg(_distinct_expr(F.col(c), distinct, rsd, df.schema[c].dataType).cast("bigint")
+                    .alias("distinct_count")).select(F.lit(i + 1).alias("ordinal"), "distinct_count")
+             for i, c in enumerate(columns)]
+    return union_all(parts)
 
 
 def column_profile(df: DataFrame, columns: Iterable[str] | None = None,
