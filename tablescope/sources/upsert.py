@@ -40,3 +40,25 @@ def upsert(base: DataFrame, updates: DataFrame, keys: list[str], mode: str = "re
                 out.append(F.when(F.col("b.__in_base"), F.col(f"b.{c}")).otherwise(F.col(f"u.{c}")).alias(c))
         return j.select(*out)
     raise ValueError(f"unknown upsert mode {mode!r}")
+
+
+def upsert_versioned(spark, base_path: str, updates: DataFrame, keys: list[str], target_root: str,
+                     version: str, mode: str = "replace", update_cols: list[str] | None = None,
+                     fmt: str = "parquet") -> str:
+    """Apply ``upsert`` to the table at ``base_path`` and write the result as a new
+    version ``<target_root>/version=<version>``; returns that path.
+
+    The input is never overwritten in place (Spark would read and delete the same
+    files), and a retried job rewrites the same version folder, so re-running after a
+    lost executor or driver gives the same table. ``target_root`` should be shared
+    storage (e.g. under the cluster's ``spark.checkpoint.dir``), never a
+    machine-local folder.
+    """
+    import os
+
+    out = os.path.join(target_root, f"version={version}")
+    if os.path.abspath(out) == os.path.abspath(base_path):
+        raise ValueError("the new version must not overwrite its input")
+    base = spark.read.format(fmt).load(base_path)
+    upsert(base, updates, keys, mode, update_cols).write.mode("overwrite").format(fmt).save(out)
+    return out
