@@ -121,3 +121,21 @@ def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     results as literals, so nothing is joined or broadcast per row.
     """
     return df.select("*", *[one_row.select(c).scalar().alias(c) for c in one_row.columns])
+
+
+def money_avg(c: str | Column) -> Column:
+    """Average of a money column as ``sum(DECIMAL) / count``: exact and independent of
+    the order rows are summed in (a double ``avg`` is not)."""
+    x = col_of(c)
+    return F.try_divide(F.sum(money(x)).cast("double"), F.count(x).cast("double"))
+
+
+def avg_days(start: str | Column, end: str | Column, dtype: DataType | None = None) -> Column:
+    """Average of ``end - start`` in days from the exact integer sum of microseconds."""
+    a, b = col_of(start), col_of(end)
+    if isinstance(dtype, TimestampType):
+        a, b = a.cast("timestamp"), b.cast("timestamp")
+    else:
+        a, b = a.cast("timestamp_ntz"), b.cast("timestamp_ntz")
+    micros = F.timestamp_diff("MICROSECOND", a, b)
+    return F.try_divide(F.sum(micros).cast("double"), F.count(micros).cast("double")) / F.lit(86_400_000_000.0)

@@ -11,7 +11,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablescope.functions.exprs import age_days, col_of, money, ratio, round_half_up
+from tablescope.functions.exprs import avg_days, col_of, money, money_avg, ratio, round_half_up
 
 
 def first_matching_column(df: DataFrame, patterns: Iterable[str]) -> str | None:
@@ -94,9 +94,9 @@ def kpi_derived(orders: DataFrame, items: DataFrame, order_key: str, item_order_
     o = orders.select(F.col(order_key).alias("__ok"), F.col(purchase_ts).alias("__ts"))
     j = o.join(per_order, "__ok")
     dtype = orders.schema[purchase_ts].dataType
-    days = age_days(F.col("__ts"), F.col("__delivered"), dtype)
     a = j.agg(F.count(F.lit(1)).alias("orders_with_items"), F.sum("__value").cast("double").alias("__v"),
-              F.sum("__items").alias("__i"), F.avg(days).alias("__d"), F.sum("__freight").cast("double").alias("__f"))
+              F.sum("__items").alias("__i"), avg_days("__ts", "__delivered", dtype).alias("__d"),
+              F.sum("__freight").cast("double").alias("__f"))
     return a.select("orders_with_items",
                     round_half_up(ratio("__v", "orders_with_items"), 2).alias("avg_order_value"),
                     round_half_up(ratio("__i", "orders_with_items"), 4).alias("items_per_order"),
@@ -135,7 +135,7 @@ def group_sum_topn(df: DataFrame, by: str, measure: str | Column, n: int = 10) -
 def group_avg(df: DataFrame, by: str, measure: str) -> DataFrame:
     """Per group: count and average of a measure (2 dp)."""
     return df.groupBy(by).agg(F.count(F.lit(1)).alias("row_count"),
-                              round_half_up(F.avg(F.col(measure).cast("double")), 2).alias(f"avg_{measure.lower()}"))
+                              round_half_up(money_avg(measure), 2).alias(f"avg_{measure.lower()}"))
 
 
 def monthly_trend(df: DataFrame, ts: str) -> DataFrame:

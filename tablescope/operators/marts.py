@@ -1,9 +1,10 @@
 """M1-M4: analytics marts.
 
 Money is summed as DECIMAL(18,4) (exact, independent of summation order) and
-reported as double rounded to 2 dp. Joins between orders, items and reviews are
-all on the order key, so the three inputs are hash-partitioned once on that key
-and joined without re-shuffling; AQE broadcasts a side that turns out small.
+reported as double rounded to 2 dp. Items are either reduced per order before
+they meet orders (M1) or joined once against order-level rows (M2/M3), so the
+single large join reads shuffle stages directly and AQE can split a hot order key
+or broadcast a side that turns out small.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablescope.functions.exprs import age_days, col_of, money, ratio, round_half_up
+from tablescope.functions.exprs import age_days, avg_days, col_of, money, money_avg, ratio, round_half_up
 from tablescope.functions.quantiles import percentile_scalars
 
 
@@ -69,16 +70,23 @@ def daily_revenue(orders: DataFrame, items: DataFrame, roles: Roles) -> DataFram
 
 def _items_orders_reviews(orders: DataFrame, items: DataFrame, reviews: DataFrame, roles: Roles,
                           dedupe_reviews: bool) -> DataFrame:
-    """items ⋈ orders ⟕ reviews on the order key, with role expressions evaluated on
-    the joined rows (so a flag may use item or order columns). Order columns whose
-    names also exist on items are dropped before the join."""
+    """items ⋈ (orders ⟕ reviews) on the order key, with role expressions evaluated on
+    the joined rows (so a flag may use item or order columns).
+
+    Reviews are attached to orders first (an order-sized join), so the one large join
+    reads both sides straight from their shuffles — the shape AQE's skew-join rule
+    can split when one order key holds a large share of the items. The fan-out is
+    the same as joining reviews after the items. Order columns whose names also
+    exist on items are dropped before the join.
+    """
     o = orders.select(roles.expr("order_key").alias("__ok"),
                       *[F.col(c) for c in orders.columns if c not in items.columns])
-    i = items.withColumn("__ok", roles.expr("item_order_key"))
     r = reviews.select(roles.expr("review_order_key").alias("__ok"), roles.expr("review_score").alias("__score"))
     if dedupe_reviews:
         r = r.groupBy("__ok").agg(F.avg("__score").alias("__score"))
-    j = i.join(o, "__ok").join(r, "__ok", "left")
+    order_info = o.join(r, "__ok", "left")
+    i = items.withColumn("__ok", roles.expr("item_order_key"))
+    j = i.join(order_info, "__ok")
     return j.select("__ok", "__score",
                     roles.expr("item_seller_key").alias("__seller"), roles.expr("item_product_key").alias("__product"),
                     roles.expr("item_price").alias("__price"), roles.expr("item_quantity").alias("__qty"),
@@ -94,12 +102,11 @@ def seller_performance(orders: DataFrame, items: DataFrame, reviews: DataFrame,
     rows (the literal join); ``dedupe_reviews=True`` averages reviews per order first."""
     j = _items_orders_reviews(orders, items, reviews, roles, dedupe_reviews)
     dtype = orders.schema[roles.purchase_ts].dataType if roles.purchase_ts in orders.columns else None
-    days = age_days(F.col("__purchase"), F.col("__delivered"), dtype)
     a = j.groupBy(F.col("__seller").alias("seller_id")).agg(
         F.count_distinct("__ok").alias("total_orders"),
         F.sum(money("__price")).cast("double").alias("__rev"),
         F.avg(F.col("__score").cast("double")).alias("__score"),
-        F.avg(days).alias("__days"),
+        avg_days("__purchase", "__delivered", dtype).alias("__days"),
         ratio(F.count_if("__canceled"), F.count(F.lit(1))).alias("__cancel"))
     return a.select("seller_id", "total_orders", round_half_up("__rev", 2).alias("total_revenue"),
                     round_half_up("__score", 4).alias("avg_review_score"),
@@ -115,7 +122,7 @@ def product_metrics(orders: DataFrame, items: DataFrame, reviews: DataFrame, rol
     a = j.groupBy(F.col("__product").alias("product_id")).agg(
         F.sum(F.col("__qty").cast("double")).alias("total_sold"),
         F.sum(money(F.col("__price") * F.col("__qty"))).cast("double").alias("__rev"),
-        F.avg(F.col("__price").cast("double")).alias("__avgp"),
+        money_avg("__price").alias("__avgp"),
         F.avg(F.col("__score").cast("double")).alias("__score"),
         ratio(F.count_if("__returned"), F.count(F.lit(1))).alias("__ret"))
     return a.select("product_id", round_half_up("total_sold", 4).alias("total_sold"),

@@ -25,6 +25,17 @@ def DSUM(e: str) -> str:
     return f"CAST(sum({DEC(e)}) AS DOUBLE)"
 
 
+def MAVG(e: str) -> str:
+    """SQL twin of ``money_avg``."""
+    return f"({DSUM(e)} / CAST(count({e}) AS DOUBLE))"
+
+
+def AVG_DAYS(a: str, b: str) -> str:
+    """SQL twin of ``avg_days``: exact micros sum / count / 86400e6."""
+    return (f"(CAST(sum(epoch_us({b}) - epoch_us({a})) AS DOUBLE) / "
+            f"CAST(count(epoch_us({b}) - epoch_us({a})) AS DOUBLE) / 86400000000.0)")
+
+
 def DAYS(a: str, b: str) -> str:
     return f"((epoch_us({b}) - epoch_us({a})) / 86400000000.0)"
 
@@ -82,7 +93,7 @@ def q_kpi_category_top5(spark, sf):
 j AS (SELECT * FROM orders o JOIN po ON o.o_orderkey = po.ok)
 SELECT count(*) AS orders_with_items, {R('CAST(sum(v) AS DOUBLE) / count(*)', 2)} AS avg_order_value,
   {R('CAST(sum(n) AS DOUBLE) / count(*)', 4)} AS items_per_order,
-  {R(f"avg({DAYS('o_orderdate', 'd')})", 4)} AS avg_delivery_days,
+  {R(AVG_DAYS('o_orderdate', 'd'), 4)} AS avg_delivery_days,
   {R('CAST(sum(f) AS DOUBLE)', 2)} AS total_freight FROM j""")
 def q_kpi_derived(spark, sf):
     t = tables(spark, sf, "orders", "lineitem")
@@ -116,7 +127,7 @@ def q_group_sum_topn(spark, sf):
 
 
 @query("group_avg", f"""SELECT o_orderpriority, count(*) AS row_count,
-  {R('avg(CAST(o_totalprice AS DOUBLE))', 2)} AS avg_o_totalprice FROM orders GROUP BY o_orderpriority""")
+  {R(MAVG('o_totalprice'), 2)} AS avg_o_totalprice FROM orders GROUP BY o_orderpriority""")
 def q_group_avg(spark, sf):
     return kpi.group_avg(tables(spark, sf, "orders")["orders"], "o_orderpriority", "o_totalprice")
 
@@ -153,7 +164,7 @@ def _m23_from() -> str:
 
 @query("mart_seller_performance", f"""SELECT l.l_suppkey AS seller_id, count(DISTINCT l.l_orderkey) AS total_orders,
   {R(DSUM('l.l_extendedprice'), 2)} AS total_revenue, {R('avg(CAST(r.score AS DOUBLE))', 4)} AS avg_review_score,
-  {R(f"avg({DAYS('o.o_orderdate', 'l.l_shipdate')})", 4)} AS avg_delivery_days,
+  {R(AVG_DAYS('o.o_orderdate', 'l.l_shipdate'), 4)} AS avg_delivery_days,
   {R("CAST(sum(CASE WHEN o.o_orderstatus = 'P' THEN 1 ELSE 0 END) AS DOUBLE) / count(*)", 4)} AS cancellation_rate
 {_m23_from()} GROUP BY l.l_suppkey""")
 def q_mart_seller_performance(spark, sf):
@@ -163,7 +174,7 @@ def q_mart_seller_performance(spark, sf):
 
 @query("mart_product_metrics", f"""SELECT l.l_partkey AS product_id, {R('sum(l.l_quantity)', 4)} AS total_sold,
   {R(DSUM('l.l_extendedprice * l.l_quantity'), 2)} AS total_revenue,
-  {R('avg(CAST(l.l_extendedprice AS DOUBLE))', 4)} AS avg_price,
+  {R(MAVG('l.l_extendedprice'), 4)} AS avg_price,
   {R('avg(CAST(r.score AS DOUBLE))', 4)} AS avg_review_score,
   {R("CAST(sum(CASE WHEN l.l_returnflag = 'R' THEN 1 ELSE 0 END) AS DOUBLE) / count(*)", 4)} AS return_rate
 {_m23_from()} GROUP BY l.l_partkey""")
