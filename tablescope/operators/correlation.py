@@ -33,13 +33,14 @@ def correlation_long(df: DataFrame, columns: list[str] | None = None) -> DataFra
     """Upper-triangle pairs (i < j): column_1, column_2, i, j, r (raw, null->0).
 
     Pairs are packed into codegen-sized single-row aggregates (9 pairs = 90
-    buffer fields each); consecutive pairs share their left column, so each
-    chunk's scan reads few columns.
+    buffer fields each). Pairs are ordered by 3x3 blocks of columns, so a chunk of 9
+    pairs reads at most 6 columns of the table.
     """
     cols = columns or numeric_columns(df)
     if len(cols) < 2:
         raise ValueError("need at least 2 numeric columns for correlation")
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
+    pairs = sorted(((i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))),
+                   key=lambda p: (p[0] // 3, p[1] // 3, p[0], p[1]))
     groups = [[_pair_coefficient(cols[i], cols[j]).alias(f"__r{i}_{j}")] for i, j in pairs]
     weight = FIELDS["covar"] + 2 * FIELDS["stddev"]
     parts = []

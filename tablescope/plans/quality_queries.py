@@ -27,7 +27,7 @@ PK_TABLES = [("orders", ["o_orderkey"]), ("customer", ["c_custkey"]), ("lineitem
              ("conversations", ["conv_id", "turn"])]
 FRESH = [("events", "ts", B.AS_OF_EVENTS), ("orders", "o_orderdate", B.AS_OF_ORDERS)]
 BENFORD = [("events", "value"), ("lineitem", "l_extendedprice")]
-CORR_COLS = LINEITEM_NUMERIC + ["l_const"]
+CORR_COLS = LINEITEM_NUMERIC + ["l_net", "l_const"]
 
 
 def completeness_sql(rates: list[str]) -> str:
@@ -283,7 +283,8 @@ def q_benford_summary(spark, sf):
 # --- Q10 / Q11 --------------------------------------------------------------------------
 
 def _lineitem_const(spark, sf):
-    return tables(spark, sf, "lineitem")["lineitem"].withColumn("l_const", F.lit(1.0))
+    li = tables(spark, sf, "lineitem")["lineitem"]
+    return li.withColumn("l_net", F.col("l_extendedprice") * (1 - F.col("l_discount"))).withColumn("l_const", F.lit(1.0))
 
 
 def _corr_wide_sql() -> str:
@@ -296,7 +297,7 @@ def _corr_wide_sql() -> str:
                 f"covar_samp(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) / nullif("
                 f"stddev_samp(CASE WHEN {both} THEN CAST({a} AS DOUBLE) END) * "
                 f"stddev_samp(CASE WHEN {both} THEN CAST({b} AS DOUBLE) END), 0) AS r_{i}_{j}")
-    return (f"w AS (SELECT {', '.join(exprs)} FROM (SELECT *, CAST(1.0 AS DOUBLE) AS l_const FROM lineitem))")
+    return (f"w AS (SELECT {', '.join(exprs)} FROM (SELECT *, l_extendedprice * (1 - l_discount) AS l_net, CAST(1.0 AS DOUBLE) AS l_const FROM lineitem))")
 
 
 def _sql_corr_matrix() -> str:
