@@ -87,6 +87,13 @@ def tables_overview(tables: dict[str, DataFrame], schema_name: str = "main") ->
     return out
 
 
+def overview_from_quality(quality_all: DataFrame) -> DataFrame:
+    """C7 derived from an unfiltered ``quality_overview(..., skip_empty=False)``: the
+    row count and column count per table without another pass over the data."""
+    return quality_all.groupBy("schema_name", "table_name").agg(
+        F.max("row_count").alias("row_count"), F.count(F.lit(1)).cast("int").alias("column_count"))
+
+
 def tables_by_schema(overview: DataFrame) -> DataFrame:
     """Tables grouped by schema (names sorted), with table count and total rows.
     One row per schema; each list is bounded by the catalog."""

@@ -177,11 +177,13 @@ def table_completeness(df: DataFrame, columns: Iterable[str] | None = None) -> D
     return rates.select("total_rows", overall.alias("overall_completeness"), "ordinal", "column_name", "null_rate")
 
 
-def quality_overview(tables: dict[str, DataFrame], distinct: str = "exact", schema_name: str = "main") -> DataFrame:
+def quality_overview(tables: dict[str, DataFrame], distinct: str = "exact", schema_name: str = "main",
+                     skip_empty: bool = True) -> DataFrame:
     """Q12: per table and column: null_rate (4 dp), distinct_count, completeness.
 
     Per table: null counts from codegen-sized chunks plus one distinct aggregate;
-    tables are unioned. Empty tables are skipped, as in the dashboard.
+    tables are unioned. Empty tables are skipped, as in the dashboard (unless
+    ``skip_empty=False``, which composite reports use to derive row counts too).
     ``distinct="approx"`` (HyperLogLog++) for very large data.
     """
     parts = []
@@ -190,7 +192,7 @@ def quality_overview(tables: dict[str, DataFrame], distinct: str = "exact", sche
         p = null_rates(df, cols).join(F.broadcast(distinct_counts(df, cols, distinct)), "ordinal", "left")
         # one row per column: the window is bounded by the schema width
         overall = completeness(F.sum(rate_units("null_rate")).over(Window.partitionBy()), len(cols))
-        parts.append(p.where(F.col("total_rows") > 0).select(
+        parts.append((p.where(F.col("total_rows") > 0) if skip_empty else p).select(
             F.lit(schema_name).alias("schema_name"), F.lit(tname).alias("table_name"),
             F.col("total_rows").alias("row_count"), overall.alias("overall_completeness"),
             "ordinal", "column_name", "null_rate", "distinct_count"))

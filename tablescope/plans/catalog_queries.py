@@ -364,10 +364,14 @@ dict AS (SELECT k.table_name, k.ordinal_position, k.column_name, k.data_type, k.
 
 
 def _dictionary(spark, sf):
+    """Shared inputs of the composite dictionary queries: one unfiltered quality
+    frame gives both the per-column quality and the per-table overview."""
     t, cons, cols = _base(spark, sf)
-    quality = profile.quality_overview(t)
+    quality_all = profile.quality_overview(t, skip_empty=False)
+    quality = quality_all.where(F.col("row_count") > 0)
     docs = dictionary.document_columns(cols)
-    return t, cons, cols, quality, docs, dictionary.data_dictionary(cols, quality, docs)
+    return t, cons, cols, quality, docs, dictionary.data_dictionary(cols, quality, docs), \
+        catalog.overview_from_quality(quality_all)
 
 
 @query("data_dictionary", f"WITH {KEYED_SQL}, {DICT_SQL} SELECT * FROM dict")
@@ -387,9 +391,9 @@ SELECT l.table_name, td.business_description AS summary, td.row_count,
   l.column_lines, CAST(greatest(l.n - 20, 0) AS INTEGER) AS more_columns
 FROM lines l JOIN td ON td.table_name = l.table_name LEFT JOIN tq ON tq.table_name = l.table_name""")
 def q_table_digest(spark, sf):
-    t, cons, cols, quality, docs, dic = _dictionary(spark, sf)
+    t, cons, cols, quality, docs, dic, overview = _dictionary(spark, sf)
     tq = quality.select("table_name", "overall_completeness").distinct()
-    return dictionary.table_digest(dic, dictionary.document_tables(cols, catalog.tables_overview(t)), tq)
+    return dictionary.table_digest(dic, dictionary.document_tables(cols, overview), tq)
 
 
 @query("stat_highlights", union_all([
@@ -404,9 +408,9 @@ def q_stat_highlights(spark, sf):
 # --- S4, S5 -----------------------------------------------------------------------------
 
 def _document_inputs(spark, sf):
-    t, cons, cols, quality, docs, _ = _dictionary(spark, sf)
+    t, cons, cols, quality, docs, _, overview = _dictionary(spark, sf)
     rep = _report(spark, sf)[2]
-    tdoc = dictionary.document_tables(cols, catalog.tables_overview(t))
+    tdoc = dictionary.document_tables(cols, overview)
     return cols, docs, quality, rep, tdoc, lineage.lineage_edges(cons)
 
 
