@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablescope.functions.exprs import age_days, avg_days, col_of, money, money_avg, ratio, round_half_up
+from tablescope.functions.exprs import age_days, avg_days, money, money_avg, ratio, round_half_up
 from tablescope.functions.quantiles import percentile_scalars
 
 

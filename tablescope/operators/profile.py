@@ -63,7 +63,22 @@ def _moments(df: DataFrame, name: str, i: int) -> list[Column]:
     return [F.lit(None).cast("double").alias(f"__m{i}"), F.lit(None).cast("double").alias(f"__s{i}")]
 
 
-def distinct_counts(df: DataFrame, columns: list[str], distinct: str = "exact", rsd: float = 0.05) -> DataFrame:
+# Below this plan-time size estimate a table's exact distincts run as one aggregate
+# (Expand): the k^2 row copies cost nothing there, while one aggregate per column
+# would pay k times the per-stage scheduling cost.
+SMALL_TABLE_BYTES = 1 << 20
+
+
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size estimate of a plan (file sizes for a scan); no job is run."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - estimates are optional
+        return None
+
+
+def distinct_counts(df: DataFrame, columns: list[str], distinct: str = "exact", rsd: float = 0.05,
+                    small_table_bytes: int | None = None) -> DataFrame:
     """Long form (ordinal, distinct_count).
 
     Exact (and digest) counts run one single-distinct aggregate per column,
@@ -71,10 +86,15 @@ def distinct_counts(df: DataFrame, columns: list[str], distinct: str = "exact",
     map-side and shuffles the distinct values by hash. A single aggregate with
     several ``count(DISTINCT)`` would plan an Expand that copies every row once per
     column, each copy as wide as the column list (k^2 work per row); per column it
-    is k. HyperLogLog (``approx``) keeps all columns in one aggregate.
+    is k. Tables whose size estimate is below ``small_table_bytes`` use that single
+    aggregate anyway (fewer stages). HyperLogLog (``approx``) keeps all columns in
+    one aggregate.
     """
-    if distinct == "approx":
-        wide = df.agg(*[_distinct_expr(F.col(c), distinct, rsd).alias(f"__d{i}") for i, c in enumerate(columns)])
+    limit = SMALL_TABLE_BYTES if small_table_bytes is None else small_table_bytes
+    size = estimated_bytes(df)
+    if distinct == "approx" or (size is not None and size < limit):
+        wide = df.agg(*[_distinct_expr(F.col(c), distinct, rsd, df.schema[c].dataType).alias(f"__d{i}")
+                        for i, c in enumerate(columns)])
         return wide.select(literal_rows([F.struct(F.lit(i + 1).alias("ordinal"),
                                                   F.col(f"__d{i}").cast("bigint").alias("distinct_count"))
                                          for i in range(len(columns))]))

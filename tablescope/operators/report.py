@@ -10,8 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.functions.exprs import age_days, attach_scalars, completeness, rate_units, ratio, round_half_up
-from tablescope.operators.constraints import ForeignKey
-from tablescope.operators.keys import referential_integrity
 from tablescope.operators.profile import null_rates
 
 # Fixed values (ours): band and verdict thresholds.
@@ -142,7 +140,3 @@ def dq_check_log(report: DataFrame, integrity: DataFrame | None) -> DataFrame:
         out = out.unionByName(ri)
     return out.select("table_name", "check_type", "check_result", "issues",
                       _details(F.col("table_name"), F.col("check_type"), F.col("issues")).alias("details"))
-
-
-def integrity_for(tables: dict[str, DataFrame], fks: list[ForeignKey]) -> DataFrame:
-    return referential_integrity(tables, fks)
