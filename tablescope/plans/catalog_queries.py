@@ -12,6 +12,7 @@ from tablescope.operators import catalog, dictionary, lineage, profile
 from tablescope.plans import bindings as B
 from tablescope.plans.base import R, TABLE_COLUMNS, q, query, tables, type_case, union_all
 from tablescope.plans.quality_queries import SQL_QUALITY_OVERVIEW, _fk_list, _report
+from tablescope.session import materialize
 from tablescope.sources import sinks
 from tablescope.sources.tables import ALL_TABLES, register_views
 
@@ -367,7 +368,9 @@ def _dictionary(spark, sf):
     """Shared inputs of the composite dictionary queries: one unfiltered quality
     frame gives both the per-column quality and the per-table overview."""
     t, cons, cols = _base(spark, sf)
-    quality_all = profile.quality_overview(t, skip_empty=False)
+    # one row per column of every table: small, and reused by every part of the
+    # export, so it is checkpointed to the shared folder once
+    quality_all = materialize(profile.quality_overview(t, skip_empty=False))
     quality = quality_all.where(F.col("row_count") > 0)
     docs = dictionary.document_columns(cols)
     return t, cons, cols, quality, docs, dictionary.data_dictionary(cols, quality, docs), \
@@ -409,7 +412,7 @@ def q_stat_highlights(spark, sf):
 
 def _document_inputs(spark, sf):
     t, cons, cols, quality, docs, _, overview = _dictionary(spark, sf)
-    rep = _report(spark, sf)[2]
+    rep = materialize(_report(spark, sf)[2])  # one row per table
     tdoc = dictionary.document_tables(cols, overview)
     return cols, docs, quality, rep, tdoc, lineage.lineage_edges(cons)
 

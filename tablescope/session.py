@@ -48,3 +48,19 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
         spark.sparkContext.setCheckpointDir(fallback)
         current = fallback
     return current
+
+
+def materialize(df):
+    """Write a (small, shared) intermediate result to the cluster's checkpoint folder
+    and continue from it, cutting the lineage.
+
+    Uses reliable ``checkpoint()`` into ``spark.checkpoint.dir`` (shared storage, so it
+    survives lost executors) — never ``localCheckpoint``. Meant for intermediates that
+    several outputs reuse, e.g. the per-column quality of a dictionary export.
+    """
+    spark = df.sparkSession
+    path = checkpoint_dir(spark)
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(path)
+    return df.checkpoint(eager=True)
