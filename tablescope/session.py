@@ -56,11 +56,15 @@ def materialize(df):
 
     Uses reliable ``checkpoint()`` into ``spark.checkpoint.dir`` (shared storage, so it
     survives lost executors) — never ``localCheckpoint``. Meant for intermediates that
-    several outputs reuse, e.g. the per-column quality of a dictionary export.
+    several outputs reuse, e.g. the per-column quality of a dictionary export. When
+    the session names no checkpoint folder, the frame is returned unchanged (it is
+    then recomputed from its lineage where it is reused); no local folder is invented.
     """
     spark = df.sparkSession
-    path = checkpoint_dir(spark)
     sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not path:
+        return df
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
     return df.checkpoint(eager=True)

@@ -40,3 +40,12 @@ def test_snapshot_round_trip_and_diff(spark):
     assert old.count() == cols.count()
     diff = catalog.schema_diff(old, cur).collect()
     assert [(d.table_name, d.column_name, d.change) for d in diff] == [("orders", "o_note", "added")]
+
+
+def test_materialize_cuts_lineage(spark):
+    from tablescope.session import materialize
+    df = spark.range(10).selectExpr("id", "id * 2 AS twice")
+    m = materialize(df)
+    assert m.count() == 10
+    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
+        assert "Range (" not in m._jdf.queryExecution().optimizedPlan().toString()  # lineage cut
