@@ -9,7 +9,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablescope.functions.exprs import age_days, attach_scalars, completeness, rate_units, ratio, round_half_up
+from tablescope.functions.exprs import (
+    age_days,
+    attach_scalars,
+    completeness,
+    is_string_type,
+    is_temporal_type,
+    rate_units,
+    ratio,
+    round_half_up,
+)
 from tablescope.operators.profile import null_rates
 
 # Fixed values (ours): band and verdict thresholds.
@@ -62,9 +71,29 @@ def table_quality(df: DataFrame, table_name: str, pk: list[str] | None = None, t
                       "freshness_oldest", "freshness_age_days")
 
 
-def quality_report(tables: dict[str, DataFrame], pks: dict[str, list[str]], ts_columns: dict[str, str],
+# Fixed values (ours): name fragments that mark a freshness column when none is given.
+TIMESTAMP_NAME_HINTS = ("timestamp", "date", "_at", "time", "ts")
+
+
+def pick_timestamp_column(df: DataFrame) -> str | None:
+    """First timestamp/date-typed column; else the first string column whose lower-cased
+    name contains a hint (timestamp, date, _at, time, ts) — read as ISO text, which sorts
+    chronologically and casts to a timestamp; else None."""
+    for f in df.schema.fields:
+        if is_temporal_type(f.dataType):
+            return f.name
+    for f in df.schema.fields:
+        if is_string_type(f.dataType) and any(h in f.name.lower() for h in TIMESTAMP_NAME_HINTS):
+            return f.name
+    return None
+
+
+def quality_report(tables: dict[str, DataFrame], pks: dict[str, list[str]], ts_columns: dict[str, str] | None,
                    as_of: str) -> DataFrame:
-    """Q13 for every table (one fused aggregate each), unioned."""
+    """Q13 for every table (one fused aggregate each), unioned. With ``ts_columns=None``
+    the freshness column of each table is picked from its schema."""
+    if ts_columns is None:
+        ts_columns = {t: c for t, df in tables.items() if (c := pick_timestamp_column(df))}
     parts = [table_quality(df, t, pks.get(t), ts_columns.get(t), as_of) for t, df in tables.items()]
     out = parts[0]
     for p in parts[1:]:

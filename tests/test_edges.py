@@ -250,3 +250,23 @@ def test_upsert_versioned_round_trip(spark, tmp_path):
     assert p1 == again
     assert sorted(tuple(r) for r in spark.read.parquet(p1).collect()) == [(1, "a"), (2, "B"), (3, "C")]
     assert spark.read.parquet(p0).count() == 2
+
+
+def test_pick_timestamp_column(spark):
+    from tablescope.operators.report import pick_timestamp_column, quality_report
+    ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    nation = spark.read.parquet("/root/testdata/sf0.001/nation.parquet")
+    assert pick_timestamp_column(ev) == "ts" and pick_timestamp_column(li) == "l_shipdate"
+    assert pick_timestamp_column(nation) is None
+    rep = {r.table_name: r for r in quality_report({"events": ev, "nation": nation}, {}, None,
+                                                   "2024-02-01 00:00:00").collect()}
+    assert rep["events"].freshness_column == "ts" and rep["nation"].freshness_column is None
+
+
+def test_string_timestamp_column_freshness(spark):
+    from tablescope.operators.report import pick_timestamp_column, table_quality
+    df = spark.createDataFrame([("a", "2024-01-30 00:00:00"), ("b", "2024-01-31 12:00:00")], "id STRING, created_at STRING")
+    assert pick_timestamp_column(df) == "created_at"
+    r = one(table_quality(df, "t", ["id"], "created_at", "2024-02-01 00:00:00"))
+    assert r.freshness_age_days == 0.5 and r.pk_uniqueness_rate == 1.0
