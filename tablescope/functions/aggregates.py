@@ -61,13 +61,6 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def hll_fields(rsd: float) -> int:
-    """Buffer words of HyperLogLog++ for a relative standard deviation."""
-    import math
-    p = math.ceil(2.0 * math.log2(1.106 / rsd))
-    return math.ceil((1 << p) / 10)
-
-
 def literal_rows(rows: Sequence[Column]) -> Column:
     """``inline(array(struct...))``: turn one wide row into several long rows."""
     return F.inline(F.array(*rows))

@@ -30,16 +30,17 @@ def MAVG(e: str) -> str:
     return f"({DSUM(e)} / CAST(count({e}) AS DOUBLE))"
 
 
+def DAYS(a: str, b: str) -> str:
+    """SQL twin of ``age_days``: (b - a) in days with microsecond precision."""
+    return f"((epoch_us({b}) - epoch_us({a})) / 86400000000.0)"
+
+
 def AVG_DAYS(a: str, b: str) -> str:
     """SQL twin of ``avg_days``: exact micros sum / count / 86400e6."""
     return (f"(CAST(sum(epoch_us({b}) - epoch_us({a})) AS DOUBLE) / "
             f"CAST(count(epoch_us({b}) - epoch_us({a})) AS DOUBLE) / 86400000000.0)")
 
 
-def DAYS(a: str, b: str) -> str:
-    return f"((epoch_us({b}) - epoch_us({a})) / 86400000000.0)"
-
-
 # --- K1-K15 ---------------------------------------------------------------------------
 
 @query("kpi_orders", "SELECT count(*) AS total_orders, count(DISTINCT o_custkey) AS unique_customers FROM orders")

@@ -10,7 +10,6 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 _WRITE_VERBS = re.compile(r"^\s*(DROP|TRUNCATE|ALTER|DELETE|INSERT|UPDATE|MERGE|CREATE|SET|USE|CACHE|REFRESH)\b",
                           re.IGNORECASE)
@@ -55,10 +54,3 @@ def safe_sql_result(spark: SparkSession, sql: str, limit: int = 100) -> dict:
     rows = rows[:limit]
     columns = list(rows[0].asDict().keys()) if rows else safe_sql(spark, sql, 0).columns
     return {"columns": columns, "rows": [r.asDict() for r in rows], "row_count": len(rows), "truncated": truncated}
-
-
-def with_row_cap_flag(df: DataFrame, limit: int) -> DataFrame:
-    """Tag a capped frame with ``truncated`` computed from ``limit + 1`` rows."""
-    capped = df.limit(limit + 1)
-    n = capped.agg(F.count(F.lit(1))).scalar()
-    return capped.limit(limit).withColumn("truncated", n > F.lit(limit))

@@ -270,3 +270,22 @@ def test_string_timestamp_column_freshness(spark):
     assert pick_timestamp_column(df) == "created_at"
     r = one(table_quality(df, "t", ["id"], "created_at", "2024-02-01 00:00:00"))
     assert r.freshness_age_days == 0.5 and r.pk_uniqueness_rate == 1.0
+
+
+def test_public_helpers(spark):
+    from tablescope.operators.kpi import first_matching_column
+    from tablescope.sources.payload import payload_field
+    from tablescope.sources.sql import safe_sql_result
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    assert first_matching_column(orders, ["price", "value", "amount"]) == "o_totalprice"
+    assert first_matching_column(orders, ["nothing"]) is None
+    orders.createOrReplaceTempView("orders_helpers")
+    r = safe_sql_result(spark, "SELECT o_orderstatus FROM orders_helpers", limit=2)
+    assert r["row_count"] == 2 and r["truncated"] is True and r["columns"] == ["o_orderstatus"]
+    r = safe_sql_result(spark, "SELECT DISTINCT o_orderstatus FROM orders_helpers", limit=10)
+    assert r["row_count"] == 3 and r["truncated"] is False
+    ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    assert ev.select(payload_field("props", "$.k").cast("int").alias("k")).where("k IS NULL").count() == 0
+    t, cons = _fk_frames(spark)
+    fk = catalog.foreign_keys_df(cons).orderBy("position").collect()
+    assert [(r.column_name, r.ref_column) for r in fk] == [("a", "a"), ("b", "b")]
