@@ -17,10 +17,19 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StringType
+from pyspark.sql.types import BinaryType, DecimalType, StringType
 
 from tablescope.functions.aggregates import FIELDS, chunked_agg, literal_rows, union_all
-from tablescope.functions.exprs import completeness, is_numeric_type, is_string_type, ratio, rate_units, round_half_up
+from tablescope.functions.exprs import (
+    completeness,
+    is_boolean_type,
+    is_numeric_type,
+    is_string_type,
+    is_temporal_type,
+    rate_units,
+    ratio,
+    round_half_up,
+)
 
 METRICS = ("nulls", "distinct", "text_range", "typed_range", "moments")
 _WEIGHTS = {"nulls": FIELDS["count_if"], "text_range": 2 * FIELDS["min"], "typed_range": 2 * FIELDS["min"],
@@ -104,6 +113,13 @@ def distinct_counts(df: DataFrame, columns: list[str], distinct: str = "exact",
     return union_all(parts)
 
 
+def _fixed_width(dt) -> bool:
+    """Types whose min/max buffer is fixed-width, so a hash aggregate stays in codegen."""
+    if isinstance(dt, DecimalType):
+        return dt.precision <= 18
+    return is_numeric_type(dt) or is_temporal_type(dt) or is_boolean_type(dt)
+
+
 def column_profile(df: DataFrame, columns: Iterable[str] | None = None,
                    metrics: Iterable[str] = METRICS, distinct: str = "exact", rsd: float = 0.05) -> DataFrame:
     """Long-form profile: one row per column.
@@ -111,42 +127,69 @@ def column_profile(df: DataFrame, columns: Iterable[str] | None = None,
     Output: ordinal, column_name, total_rows, null_count, distinct_count,
     min_value, max_value (text form, lexicographic), min_typed, max_typed (text of
     the typed min/max), mean_value, std_dev. Metrics not requested are null.
+
+    Aggregates with fixed-width buffers (null counts, moments, numeric/temporal
+    min/max) and those with string buffers (text min/max) are packed into separate
+    chunks: a string buffer makes Spark fall back to an interpreted sort-based
+    aggregate, which would otherwise drag the numeric metrics out of codegen too.
+    The parts are merged per column ordinal (a frame bounded by the column count).
     """
     cols = list(columns) if columns is not None else list(df.columns)
     if not cols:
         raise ValueError("no columns to profile")
     want = set(metrics)
-    groups, weights = [], []
+    fixed, fixed_w, strings, strings_w = [], [], [], []
     for i, name in enumerate(cols):
         c = F.col(name)
-        g: list[Column] = []
+        dt = df.schema[name].dataType
+        fg: list[Column] = []
+        sg: list[Column] = []
         if "nulls" in want:
-            g.append(F.count_if(c.isNull()).alias(f"__n{i}"))
+            fg.append(F.count_if(c.isNull()).alias(f"__n{i}"))
         if "text_range" in want:
             t = c.cast("string")
-            g += [F.min(t).alias(f"__lo{i}"), F.max(t).alias(f"__hi{i}")]
+            sg += [F.min(t).alias(f"__lo{i}"), F.max(t).alias(f"__hi{i}")]
         if "typed_range" in want:
-            g += [F.min(c).cast("string").alias(f"__tlo{i}"), F.max(c).cast("string").alias(f"__thi{i}")]
+            rng = [F.min(c).alias(f"__tlo{i}"), F.max(c).alias(f"__thi{i}")]
+            (fg if _fixed_width(dt) else sg).extend(rng)
         if "moments" in want:
-            g += _moments(df, name, i)
-        groups.append(g)
-        weights.append(sum(_WEIGHTS[m] for m in want if m in _WEIGHTS))
+            fg += _moments(df, name, i)
+        fixed.append(fg)
+        fixed_w.append(sum(_WEIGHTS[m] for m in ("nulls", "moments") if m in want)
+                       + (_WEIGHTS["typed_range"] if "typed_range" in want and _fixed_width(dt) else 0))
+        strings.append(sg)
+        strings_w.append(len(sg))
 
     def pick(wide: DataFrame, prefix: str, i: int, cast: str) -> Column:
         n = f"{prefix}{i}"
         return F.col(n).cast(cast) if n in wide.columns else F.lit(None).cast(cast)
 
-    parts = []
-    for idx, wide in chunked_agg(df, groups, weights, common=[F.count(F.lit(1)).alias("__total")]):
-        rows = [F.struct(
-            F.lit(i + 1).alias("ordinal"), F.lit(cols[i]).alias("column_name"),
-            F.col("__total").alias("total_rows"), pick(wide, "__n", i, "bigint").alias("null_count"),
-            pick(wide, "__lo", i, "string").alias("min_value"), pick(wide, "__hi", i, "string").alias("max_value"),
-            pick(wide, "__tlo", i, "string").alias("min_typed"), pick(wide, "__thi", i, "string").alias("max_typed"),
-            pick(wide, "__m", i, "double").alias("mean_value"), pick(wide, "__s", i, "double").alias("std_dev"),
-        ) for i in (idx or range(len(cols)))]
-        parts.append(wide.select(literal_rows(rows)))
+    def long_rows(groups, weights, with_total: bool) -> list[DataFrame]:
+        parts = []
+        common = [F.count(F.lit(1)).alias("__total")] if with_total else []
+        for idx, wide in chunked_agg(df, groups, weights, common=common):
+            if not with_total and not any(groups[i] for i in idx):
+                continue
+            rows = [F.struct(
+                F.lit(i + 1).alias("ordinal"), F.lit(cols[i]).alias("column_name"),
+                (F.col("__total") if with_total else F.lit(None).cast("bigint")).alias("total_rows"),
+                pick(wide, "__n", i, "bigint").alias("null_count"),
+                pick(wide, "__lo", i, "string").alias("min_value"), pick(wide, "__hi", i, "string").alias("max_value"),
+                pick(wide, "__tlo", i, "string").alias("min_typed"), pick(wide, "__thi", i, "string").alias("max_typed"),
+                pick(wide, "__m", i, "double").alias("mean_value"), pick(wide, "__s", i, "double").alias("std_dev"),
+            ) for i in (idx or range(len(cols)))]
+            parts.append(wide.select(literal_rows(rows)))
+        return parts
+
+    parts = long_rows(fixed, fixed_w, with_total=True)
+    string_parts = long_rows(strings, strings_w, with_total=False) if any(strings) else []
     long = union_all(parts)
+    if string_parts:
+        fields = ["total_rows", "null_count", "min_value", "max_value", "min_typed", "max_typed", "mean_value",
+                  "std_dev"]
+        # each field is non-null in exactly one part per column; max() picks it
+        long = union_all([long] + string_parts).groupBy("ordinal", "column_name").agg(
+            *[F.max(f).alias(f) for f in fields])
     if "distinct" in want:
         d = distinct_counts(df, cols, distinct, rsd)
         long = long.join(F.broadcast(d), "ordinal", "left")  # one row per column on both sides

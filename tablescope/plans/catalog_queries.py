@@ -405,7 +405,8 @@ def q_table_digest(spark, sf):
     for c in [c for c, ty in TABLE_COLUMNS['lineitem'] if ty in ('BIGINT', 'INTEGER', 'DOUBLE')]]))
 def q_stat_highlights(spark, sf):
     li = tables(spark, sf, "lineitem")["lineitem"]
-    return dictionary.stat_highlights(profile.column_stats(li))
+    # D8 needs the text range and moments only — no distinct counts
+    return dictionary.stat_highlights(profile.column_profile(li, metrics=("text_range", "moments")))
 
 
 # --- S4, S5 -----------------------------------------------------------------------------
