@@ -54,6 +54,18 @@ def chunked_agg(df: DataFrame, groups: Sequence[Sequence[Column]], weights: Sequ
     return out
 
 
+def chunked_agg_sql(df: DataFrame, groups: Sequence[Sequence[str]], weights: Sequence[int],
+                    common: Sequence[str] = (), budget: int = FIELD_BUDGET) -> list[tuple[list[int], DataFrame]]:
+    """``chunked_agg`` with aggregates given as SQL expression strings: one
+    ``selectExpr`` per chunk, so building the plan of a wide table costs one call per
+    chunk instead of several per column and metric."""
+    out = []
+    for idx in pack(weights, budget - len(common)):
+        exprs = [e for i in idx for e in groups[i]]
+        out.append((idx, df.selectExpr(*common, *exprs)))
+    return out
+
+
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:
@@ -64,3 +76,8 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
 def literal_rows(rows: Sequence[Column]) -> Column:
     """``inline(array(struct...))``: turn one wide row into several long rows."""
     return F.inline(F.array(*rows))
+
+
+def long_rows_sql(structs: Sequence[str]) -> str:
+    """SQL twin of ``literal_rows`` over ``named_struct(...)`` strings."""
+    return "inline(array(" + ", ".join(structs) + "))"

@@ -139,3 +139,13 @@ def avg_days(start: str | Column, end: str | Column, dtype: DataType | None = No
         a, b = a.cast("timestamp_ntz"), b.cast("timestamp_ntz")
     micros = F.timestamp_diff("MICROSECOND", a, b)
     return F.try_divide(F.sum(micros).cast("double"), F.count(micros).cast("double")) / F.lit(86_400_000_000.0)
+
+
+def sql_ident(name: str) -> str:
+    """A column name quoted for a SQL expression string."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def sql_str(value: str) -> str:
+    """A string literal for a SQL expression string."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"

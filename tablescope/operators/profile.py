@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DecimalType, StringType
 
-from tablescope.functions.aggregates import FIELDS, chunked_agg, literal_rows, union_all
+from tablescope.functions.aggregates import FIELDS, chunked_agg_sql, long_rows_sql, union_all
 from tablescope.functions.exprs import (
     completeness,
     is_boolean_type,
@@ -29,6 +29,8 @@ from tablescope.functions.exprs import (
     rate_units,
     ratio,
     round_half_up,
+    sql_ident,
+    sql_str,
 )
 
 METRICS = ("nulls", "distinct", "text_range", "typed_range", "moments")
@@ -36,42 +38,42 @@ _WEIGHTS = {"nulls": FIELDS["count_if"], "text_range": 2 * FIELDS["min"], "typed
             "moments": FIELDS["avg"] + FIELDS["stddev"] + 2 * FIELDS["count"]}
 
 
-def _distinct_expr(c: Column, mode: str, rsd: float, dtype=None) -> Column:
+def _moments(dt, name: str, i: int) -> list[str]:
+    """Mean and sample stddev as double, or nulls (SQL expression strings).
+
+    Numeric types cast directly. Strings count only when *every* non-null value
+    casts (all-or-nothing, like a failed ``::numeric`` cast); ``try_cast`` keeps
+    a bad value from failing the job under ANSI mode. Dates, timestamps,
+    booleans and nested types get no moments.
+    """
+    c = sql_ident(name)
+    if is_numeric_type(dt):
+        return [f"avg(CAST({c} AS DOUBLE)) AS __m{i}", f"stddev_samp(CAST({c} AS DOUBLE)) AS __s{i}"]
+    if is_string_type(dt):
+        v = f"try_cast({c} AS DOUBLE)"
+        guard = f"count({c}) = count({v})"
+        return [f"CASE WHEN {guard} THEN avg({v}) END AS __m{i}",
+                f"CASE WHEN {guard} THEN stddev_samp({v}) END AS __s{i}"]
+    return [f"CAST(NULL AS DOUBLE) AS __m{i}", f"CAST(NULL AS DOUBLE) AS __s{i}"]
+
+
+def _distinct_sql(name: str, mode: str, rsd: float, dtype) -> str:
     """``exact``: count(DISTINCT c). ``digest``: like exact, but long strings/binaries
     are de-duplicated by their SHA-256 digest, so the shuffle carries 32 bytes per
     distinct value instead of the whole text (exact up to a SHA-256 collision).
     ``approx``: HyperLogLog++ with relative standard deviation ``rsd``."""
+    c = sql_ident(name)
     if mode == "exact":
-        return F.count_distinct(c)
+        return f"count(DISTINCT {c})"
     if mode == "digest":
         if isinstance(dtype, (StringType, BinaryType)):
-            return F.count_distinct(F.sha2(c, 256))
-        return F.count_distinct(c)
+            return f"count(DISTINCT sha2({c}, 256))"
+        return f"count(DISTINCT {c})"
     if mode == "approx":
-        return F.approx_count_distinct(c, rsd)
+        return f"approx_count_distinct({c}, {float(rsd)})"
     raise ValueError("distinct must be 'exact', 'digest' or 'approx'")
 
 
-def _moments(df: DataFrame, name: str, i: int) -> list[Column]:
-    """Mean and sample stddev as double, or nulls.
-
-    Numeric types cast directly. Strings count only when *every* non-null value
-    casts (all-or-nothing, like a failed ``::numeric`` cast); ``try_cast`` keeps
-    a bad value from failing the job under ANSI mode. Dates, timestamps,
-    booleans and nested types get no moments.
-    """
-    dt = df.schema[name].dataType
-    c = F.col(name)
-    if is_numeric_type(dt):
-        v = c.cast("double")
-        return [F.avg(v).alias(f"__m{i}"), F.stddev_samp(v).alias(f"__s{i}")]
-    if is_string_type(dt):
-        v = c.try_cast("double")
-        guard = F.count(c) == F.count(v)
-        return [F.when(guard, F.avg(v)).alias(f"__m{i}"), F.when(guard, F.stddev_samp(v)).alias(f"__s{i}")]
-    return [F.lit(None).cast("double").alias(f"__m{i}"), F.lit(None).cast("double").alias(f"__s{i}")]
-
-
 # Below this plan-time size estimate a table's exact distincts run as one aggregate
 # (Expand): the k^2 row copies cost nothing there, while one aggregate per column
 # would pay k times the per-stage scheduling cost.
@@ -101,14 +103,15 @@ def distinct_counts(df: DataFrame, columns: list[str], distinct: str = "exact",
     """
     limit = SMALL_TABLE_BYTES if small_table_bytes is None else small_table_bytes
     size = estimated_bytes(df)
+    types = {f.name: f.dataType for f in df.schema.fields}
     if distinct == "approx" or (size is not None and size < limit):
-        wide = df.agg(*[_distinct_expr(F.col(c), distinct, rsd, df.schema[c].dataType).alias(f"__d{i}")
-                        for i, c in enumerate(columns)])
-        return wide.select(literal_rows([F.struct(F.lit(i + 1).alias("ordinal"),
-                                                  F.col(f"__d{i}").cast("bigint").alias("distinct_count"))
-                                         for i in range(len(columns))]))
-    parts = [df.agg(_distinct_expr(F.col(c), distinct, rsd, df.schema[c].dataType).cast("bigint")
-                    .alias("distinct_count")).select(F.lit(i + 1).alias("ordinal"), "distinct_count")
+        wide = df.selectExpr(*[f"{_distinct_sql(c, distinct, rsd, types[c])} AS __d{i}"
+                               for i, c in enumerate(columns)])
+        return wide.selectExpr(long_rows_sql(
+            [f"named_struct('ordinal', {i + 1}, 'distinct_count', CAST(__d{i} AS BIGINT))"
+             for i in range(len(columns))]))
+    parts = [df.selectExpr(f"CAST({_distinct_sql(c, distinct, rsd, types[c])} AS BIGINT) AS distinct_count")
+             .selectExpr(f"{i + 1} AS ordinal", "distinct_count")
              for i, c in enumerate(columns)]
     return union_all(parts)
 
@@ -138,47 +141,48 @@ def column_profile(df: DataFrame, columns: Iterable[str] | None = None,
     if not cols:
         raise ValueError("no columns to profile")
     want = set(metrics)
+    types = {f.name: f.dataType for f in df.schema.fields}
     fixed, fixed_w, strings, strings_w = [], [], [], []
     for i, name in enumerate(cols):
-        c = F.col(name)
-        dt = df.schema[name].dataType
-        fg: list[Column] = []
-        sg: list[Column] = []
+        c = sql_ident(name)
+        dt = types[name]
+        fg: list[str] = []
+        sg: list[str] = []
         if "nulls" in want:
-            fg.append(F.count_if(c.isNull()).alias(f"__n{i}"))
+            fg.append(f"count_if({c} IS NULL) AS __n{i}")
         if "text_range" in want:
-            t = c.cast("string")
-            sg += [F.min(t).alias(f"__lo{i}"), F.max(t).alias(f"__hi{i}")]
+            sg += [f"min(CAST({c} AS STRING)) AS __lo{i}", f"max(CAST({c} AS STRING)) AS __hi{i}"]
         if "typed_range" in want:
-            rng = [F.min(c).alias(f"__tlo{i}"), F.max(c).alias(f"__thi{i}")]
+            rng = [f"min({c}) AS __tlo{i}", f"max({c}) AS __thi{i}"]
             (fg if _fixed_width(dt) else sg).extend(rng)
         if "moments" in want:
-            fg += _moments(df, name, i)
+            fg += _moments(dt, name, i)
         fixed.append(fg)
         fixed_w.append(sum(_WEIGHTS[m] for m in ("nulls", "moments") if m in want)
                        + (_WEIGHTS["typed_range"] if "typed_range" in want and _fixed_width(dt) else 0))
         strings.append(sg)
         strings_w.append(len(sg))
 
-    def pick(wide: DataFrame, prefix: str, i: int, cast: str) -> Column:
+    def pick(names: set[str], prefix: str, i: int, cast: str) -> str:
         n = f"{prefix}{i}"
-        return F.col(n).cast(cast) if n in wide.columns else F.lit(None).cast(cast)
+        return f"CAST({n} AS {cast})" if n in names else f"CAST(NULL AS {cast})"
 
     def long_rows(groups, weights, with_total: bool) -> list[DataFrame]:
         parts = []
-        common = [F.count(F.lit(1)).alias("__total")] if with_total else []
-        for idx, wide in chunked_agg(df, groups, weights, common=common):
+        common = ["count(1) AS __total"] if with_total else []
+        for idx, wide in chunked_agg_sql(df, groups, weights, common=common):
             if not with_total and not any(groups[i] for i in idx):
                 continue
-            rows = [F.struct(
-                F.lit(i + 1).alias("ordinal"), F.lit(cols[i]).alias("column_name"),
-                (F.col("__total") if with_total else F.lit(None).cast("bigint")).alias("total_rows"),
-                pick(wide, "__n", i, "bigint").alias("null_count"),
-                pick(wide, "__lo", i, "string").alias("min_value"), pick(wide, "__hi", i, "string").alias("max_value"),
-                pick(wide, "__tlo", i, "string").alias("min_typed"), pick(wide, "__thi", i, "string").alias("max_typed"),
-                pick(wide, "__m", i, "double").alias("mean_value"), pick(wide, "__s", i, "double").alias("std_dev"),
-            ) for i in (idx or range(len(cols)))]
-            parts.append(wide.select(literal_rows(rows)))
+            names = {e.rsplit(" AS ", 1)[1] for i in idx for e in groups[i]}
+            total = "__total" if with_total else "CAST(NULL AS BIGINT)"
+            structs = [
+                f"named_struct('ordinal', {i + 1}, 'column_name', {sql_str(cols[i])}, 'total_rows', {total}, "
+                f"'null_count', {pick(names, '__n', i, 'BIGINT')}, "
+                f"'min_value', {pick(names, '__lo', i, 'STRING')}, 'max_value', {pick(names, '__hi', i, 'STRING')}, "
+                f"'min_typed', {pick(names, '__tlo', i, 'STRING')}, 'max_typed', {pick(names, '__thi', i, 'STRING')}, "
+                f"'mean_value', {pick(names, '__m', i, 'DOUBLE')}, 'std_dev', {pick(names, '__s', i, 'DOUBLE')})"
+                for i in (idx or range(len(cols)))]
+            parts.append(wide.selectExpr(long_rows_sql(structs)))
         return parts
 
     parts = long_rows(fixed, fixed_w, with_total=True)
