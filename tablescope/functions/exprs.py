@@ -40,11 +40,9 @@ def round_half_up(c: str | Column, digits: int) -> Column:
     """
     x = col_of(c).cast("double")
     scale = float(10 ** digits)
-    return (
-        F.when(x.isNull(), F.lit(None).cast("double"))
-        .when(F.abs(x) < F.lit(_FLOOR_SAFE / scale), F.floor(x * scale + 0.5) / scale)
-        .otherwise(F.round(x, digits))
-    )
+    # null propagates through both branches (abs(null) < lim is null -> otherwise)
+    return F.when(F.abs(x) < F.lit(_FLOOR_SAFE / scale), F.floor(x * scale + 0.5) / scale).otherwise(
+        F.round(x, digits))
 
 
 def rate_units(c: str | Column, digits: int = 4) -> Column:
