@@ -3,12 +3,15 @@
 Per-column metrics are aggregate expressions evaluated by single-row
 aggregates (partial aggregation on every task, one small buffer merged at the
 end — no shuffle of data). They are packed into codegen-sized chunks split by
-column (see ``functions.aggregates``), and distinct counts run as one separate
-aggregates: exact ``count(DISTINCT)`` per column (de-duplicated map-side, one
-column read per aggregate) or ``approx_count_distinct`` (HyperLogLog++, a bounded
-sketch — the choice for very large or wide tables). The wide results are
-turned into long form with ``inline(array(struct...))`` and matched on the
-column ordinal, a frame bounded by the schema width.
+column (see ``functions.aggregates``), with string-buffer aggregates (text
+min/max) in chunks of their own. Distinct counts run as separate aggregates:
+exact ``count(DISTINCT)`` per column (de-duplicated map-side, one column read per
+aggregate; one Expand aggregate for tables under 1 MB) or ``approx_count_distinct``
+(HyperLogLog++, a bounded sketch — the choice for very large or wide tables). The
+wide results become long form with ``inline(array(named_struct...))`` and are
+matched on the column ordinal, a frame bounded by the schema width. Aggregates and
+rows are written as SQL expression strings, so building the plan costs one driver
+call per chunk.
 """
 
 from __future__ import annotations
