@@ -147,3 +147,16 @@ def sql_ident(name: str) -> str:
 def sql_str(value: str) -> str:
     """A string literal for a SQL expression string."""
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_round_half_up(expr: str, digits: int) -> str:
+    """SQL-string twin of ``round_half_up`` (same expression, for ``selectExpr``)."""
+    x = f"CAST(({expr}) AS DOUBLE)"
+    scale = float(10 ** digits)
+    return (f"CASE WHEN abs({x}) < {_FLOOR_SAFE / scale!r}D THEN floor({x} * {scale!r}D + 0.5D) / {scale!r}D "
+            f"ELSE round({x}, {digits}) END")
+
+
+def sql_ratio(num: str, den: str) -> str:
+    """SQL-string twin of ``ratio``."""
+    return f"try_divide(CAST(({num}) AS DOUBLE), CAST(({den}) AS DOUBLE))"

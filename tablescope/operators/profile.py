@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DecimalType, StringType
 
@@ -33,6 +33,8 @@ from tablescope.functions.exprs import (
     ratio,
     round_half_up,
     sql_ident,
+    sql_ratio,
+    sql_round_half_up,
     sql_str,
 )
 
@@ -230,8 +232,8 @@ def null_rates(df: DataFrame, columns: list[str]) -> DataFrame:
     empty]). Built from the same chunked aggregates as ``column_profile(metrics=("nulls",))``
     so plans that need both share one computation (exchange reuse)."""
     p = column_profile(df, columns, metrics=("nulls",))
-    return p.select("ordinal", "column_name", "total_rows", "null_count",
-                    F.coalesce(round_half_up(ratio("null_count", "total_rows"), 4), F.lit(0.0)).alias("null_rate"))
+    rate = sql_round_half_up(sql_ratio("null_count", "total_rows"), 4)
+    return p.selectExpr("ordinal", "column_name", "total_rows", "null_count", f"coalesce({rate}, 0.0D) AS null_rate")
 
 
 def table_completeness(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:

@@ -10,14 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.functions.exprs import (
-    age_days,
     attach_scalars,
-    completeness,
     is_string_type,
     is_temporal_type,
-    rate_units,
-    ratio,
     round_half_up,
+    sql_ident,
+    sql_ratio,
+    sql_round_half_up,
+    sql_str,
 )
 from tablescope.operators.profile import null_rates
 
@@ -41,34 +41,37 @@ def table_quality(df: DataFrame, table_name: str, pk: list[str] | None = None, t
     """
     cols = list(df.columns)
     rates = null_rates(df, cols)
-    summary = rates.agg(
-        F.max("total_rows").alias("row_count"),
-        completeness(F.sum(rate_units("null_rate")), len(cols)).alias("overall_completeness"),
-        F.count_if(F.col("null_rate") > 0).alias("columns_with_nulls"),
-        round_half_up(F.max("null_rate") * 100, 1).alias("max_null_pct"))
-    out = summary.select("*", F.lit(",".join(pk) if pk else None).cast("string").alias("pk_columns"))
+    units = "sum(CAST(floor(null_rate * 10000.0D + 0.5D) AS BIGINT))"
+    overall = sql_round_half_up(f"1.0D - (CAST({units} AS DOUBLE) / 10000.0D) / {float(len(cols))!r}D", 4)
+    pk_text = sql_str(",".join(pk)) if pk else "CAST(NULL AS STRING)"
+    out = rates.selectExpr(
+        "max(total_rows) AS row_count", f"{overall} AS overall_completeness",
+        "count_if(null_rate > 0) AS columns_with_nulls",
+        f"{sql_round_half_up('max(null_rate) * 100', 1)} AS max_null_pct", f"{pk_text} AS pk_columns")
     if pk:
-        u = df.agg(F.count_distinct(F.struct(*[F.col(c) for c in pk])).alias("unique_pk_rows"))
-        out = attach_scalars(out, u).withColumn("pk_uniqueness_rate",
-                                                round_half_up(ratio("unique_pk_rows", "row_count"), 4))
+        key = ", ".join(sql_ident(c) for c in pk)
+        u = df.selectExpr(f"count(DISTINCT struct({key})) AS unique_pk_rows")
+        out = attach_scalars(out, u).selectExpr(
+            "*", f"{sql_round_half_up(sql_ratio('unique_pk_rows', 'row_count'), 4)} AS pk_uniqueness_rate")
     else:
-        out = out.select("*", F.lit(None).cast("bigint").alias("unique_pk_rows"),
-                         F.lit(None).cast("double").alias("pk_uniqueness_rate"))
+        out = out.selectExpr("*", "CAST(NULL AS BIGINT) AS unique_pk_rows", "CAST(NULL AS DOUBLE) AS pk_uniqueness_rate")
     if ts_column:
-        dtype = df.schema[ts_column].dataType
-        rng = df.agg(F.max(ts_column).cast("timestamp_ntz").alias("freshness_latest"),
-                     F.min(ts_column).cast("timestamp_ntz").alias("freshness_oldest"))
-        out = attach_scalars(out.withColumn("freshness_column", F.lit(ts_column)), rng)
-        out = out.withColumn("freshness_age_days", age_days(F.col("freshness_latest"), as_of, dtype))
+        c = sql_ident(ts_column)
+        rng = df.selectExpr(f"CAST(max({c}) AS TIMESTAMP_NTZ) AS freshness_latest",
+                            f"CAST(min({c}) AS TIMESTAMP_NTZ) AS freshness_oldest")
+        out = attach_scalars(out, rng).selectExpr(
+            "*", f"{sql_str(ts_column)} AS freshness_column",
+            f"CAST(timestampdiff(MICROSECOND, freshness_latest, CAST({sql_str(as_of)} AS TIMESTAMP_NTZ)) AS DOUBLE)"
+            " / 86400000000.0D AS freshness_age_days")
     else:
-        out = out.select("*", F.lit(None).cast("string").alias("freshness_column"),
-                         F.lit(None).cast("timestamp_ntz").alias("freshness_latest"),
-                         F.lit(None).cast("timestamp_ntz").alias("freshness_oldest"),
-                         F.lit(None).cast("double").alias("freshness_age_days"))
-    return out.select(F.lit(table_name).alias("table_name"), "row_count", "overall_completeness",
-                      F.col("columns_with_nulls").cast("bigint").alias("columns_with_nulls"), "max_null_pct",
-                      "pk_columns", "unique_pk_rows", "pk_uniqueness_rate", "freshness_column", "freshness_latest",
-                      "freshness_oldest", "freshness_age_days")
+        out = out.selectExpr("*", "CAST(NULL AS STRING) AS freshness_column",
+                             "CAST(NULL AS TIMESTAMP_NTZ) AS freshness_latest",
+                             "CAST(NULL AS TIMESTAMP_NTZ) AS freshness_oldest",
+                             "CAST(NULL AS DOUBLE) AS freshness_age_days")
+    return out.selectExpr(f"{sql_str(table_name)} AS table_name", "row_count", "overall_completeness",
+                          "CAST(columns_with_nulls AS BIGINT) AS columns_with_nulls", "max_null_pct", "pk_columns",
+                          "unique_pk_rows", "pk_uniqueness_rate", "freshness_column", "freshness_latest",
+                          "freshness_oldest", "freshness_age_days")
 
 
 # Fixed values (ours): name fragments that mark a freshness column when none is given.
