@@ -34,17 +34,23 @@ def orphan_counts(child: DataFrame, parent: DataFrame, columns: list[str], ref_c
     The child side is first reduced to (key, rows) with a partial aggregate, so a
     key that holds a third of the table becomes one row per task before any
     shuffle; the anti join then runs on distinct keys only (broadcast by AQE when
-    the parent key set is small, sort-merge otherwise).
+    the parent key set is small, sort-merge otherwise). A plan test checks that the
+    optimizer keeps this order.
     """
     keys = [F.col(c).alias(f"__k{i}") for i, c in enumerate(columns)]
     not_null = None
     for c in columns:
         cond = F.col(c).isNotNull()
         not_null = cond if not_null is None else not_null & cond
-    child_keys = (child.where(not_null).select(*keys).groupBy(*[f"__k{i}" for i in range(len(columns))])
-                  .agg(F.count(F.lit(1)).alias("__rows")))
-    parent_keys = parent.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(ref_columns)]).distinct()
-    orphans = child_keys.join(parent_keys, [f"__k{i}" for i in range(len(columns))], "left_anti")
+    # The anti join matches on ``min(key)`` per group — equal to the key, but an
+    # aggregate output rather than a grouping column, so Catalyst's
+    # PushDownLeftSemiAntiJoin cannot move the join below this aggregate: the per-key
+    # reduction happens first and a hot key reaches the join as one row per task.
+    n = len(columns)
+    child_keys = (child.where(not_null).select(*keys).groupBy(*[f"__k{i}" for i in range(n)])
+                  .agg(F.count(F.lit(1)).alias("__rows"), *[F.min(f"__k{i}").alias(f"__j{i}") for i in range(n)]))
+    parent_keys = parent.select(*[F.col(c).alias(f"__j{i}") for i, c in enumerate(ref_columns)]).distinct()
+    orphans = child_keys.join(parent_keys, [f"__j{i}" for i in range(n)], "left_anti")
     stats = child.agg(F.count(F.lit(1)).alias("child_rows"), F.count_if(~not_null).alias("null_fk_rows"))
     orph = orphans.agg(F.coalesce(F.sum("__rows"), F.lit(0)).cast("bigint").alias("orphan_rows"),
                        F.count(F.lit(1)).alias("orphan_keys"))

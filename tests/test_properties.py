@@ -81,3 +81,32 @@ def test_column_stats_match_brute_force(spark, xs):
         assert s.min_value == min(str(v) for v in vals) and s.min_typed == str(min(vals))
     else:
         assert s.mean_value is None and s.min_value is None
+
+
+def test_hot_key_holding_a_third_of_rows(spark):
+    """One key carries a third of the child rows: results stay exact, and the
+    anti-join input is pre-aggregated to one row per key."""
+    from tablescope.operators.constraints import ForeignKey
+    n = 3000
+    child = spark.range(n).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 7 ELSE id % 500 + 1000 END AS k")
+    parent = spark.range(0, 1400).selectExpr("id AS k")
+    fk = ForeignKey("child_k", "child", ("k",), "parent", ("k",))
+    r = keys.referential_integrity({"child": child, "parent": parent}, [fk]).first()
+    rows = [(i, 7 if i % 3 == 0 else i % 500 + 1000) for i in range(n)]
+    orphans = [k for _, k in rows if k >= 1400]
+    assert (r.child_rows, r.orphan_rows, r.orphan_keys) == (n, len(orphans), len(set(orphans)))
+    u = keys.pk_uniqueness(child, ["k"]).first()
+    assert u.unique_pk_rows == len({k for _, k in rows})
+    plan = keys.orphan_counts(child, parent, ["k"], ["k"])._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    j = next(i for i, line in enumerate(lines) if "Join LeftAnti" in line)
+    assert "Aggregate [__k0" in lines[j + 1]  # child keys are reduced before the anti join
+
+    orders = spark.range(300).selectExpr("id AS o_orderkey", "id % 10 AS o_custkey",
+                                         "CAST('2024-01-01 00:00:00' AS TIMESTAMP_NTZ) + make_interval(0, 0, 0, CAST(id % 3 AS INT)) AS o_orderdate")
+    items = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN 0 ELSE id % 300 END AS l_orderkey",
+                                         "CAST(id % 97 AS DOUBLE) AS l_extendedprice", "0.0D AS l_tax")
+    m = marts.daily_revenue(orders, items, B.ROLES)
+    assert m.agg(F.sum("total_items_sold")).first()[0] == 3000
+    hot_day = m.where(F.col("date") == F.lit("2024-01-01").cast("date")).first()
+    assert hot_day.total_items_sold == sum(1 for i in range(3000) if (0 if i % 3 == 0 else i % 300) % 3 == 0)
