@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tablescope.functions.exprs import age_days, avg_days, money, money_avg, ratio, round_half_up
 from tablescope.functions.quantiles import percentile_scalars
+from tablescope.session import materialize
 
 
 @dataclass(frozen=True)
@@ -158,6 +159,9 @@ def customer_segments(orders: DataFrame, as_of: str, roles: Roles, vip_share: fl
     per = orders.groupBy(roles.expr("customer_key").alias("customer_id")).agg(
         F.count(F.lit(1)).alias("n_orders"), F.sum(money(roles.expr("order_total"))).cast("double").alias("spend"),
         F.max(roles.expr("purchase_ts")).alias("last_order"))
+    # read three times (distinct-count check, cut-off percentile, segmentation): written
+    # once to the shared checkpoint folder instead of re-running the orders shuffle
+    per = materialize(per)
     cutoff = percentile_scalars(per, "spend", [round(1.0 - vip_share, 12)], method, accuracy)[0]
     days = age_days(F.col("last_order"), as_of, dtype)
     seg = (F.when(days > 365, "Churned").when(days > 180, "At Risk")
