@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablescope.functions.aggregates import FIELDS, chunked_agg, literal_rows, union_all
+from tablescope.functions.aggregates import FIELDS, chunked_agg, literal_rows, pack, union_all
 from tablescope.functions.exprs import numeric_columns, round_half_up
 
 STRONG = 0.7
@@ -29,20 +29,48 @@ def _pair_coefficient(a: str, b: str):
     return F.try_divide(F.covar_samp(x, y), sx * sy)
 
 
-def correlation_long(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+# Above this many chunks (9 pairs each) the one-pass exploded layout is used: chunks
+# re-read each column about k/3 times for k columns.
+MAX_CHUNKS = 8
+
+
+def _exploded(df: DataFrame, cols: list[str], pairs: list[tuple[int, int]]) -> DataFrame:
+    """One pass: each row becomes one (pair, x, y) row per pair, aggregated by pair
+    index (partial aggregation keeps one buffer per pair per task; codegen'd)."""
+    rows = F.array(*[F.struct(F.lit(k).alias("__p"), F.col(cols[i]).cast("double").alias("__x"),
+                              F.col(cols[j]).cast("double").alias("__y")) for k, (i, j) in enumerate(pairs)])
+    both = F.col("__x").isNotNull() & F.col("__y").isNotNull()
+    agg = df.select(F.inline(rows)).groupBy("__p").agg(F.try_divide(
+        F.covar_samp("__x", "__y"),
+        F.stddev_samp(F.when(both, F.col("__x"))) * F.stddev_samp(F.when(both, F.col("__y")))).alias("__r"))
+    meta = df.sparkSession.createDataFrame(
+        [(k, cols[i], cols[j], i, j) for k, (i, j) in enumerate(pairs)],
+        "__p INT, column_1 STRING, column_2 STRING, i INT, j INT")
+    # one row per pair on both sides (bounded by k^2/2)
+    return meta.join(F.broadcast(agg), "__p", "left").select(
+        "column_1", "column_2", "i", "j", F.coalesce(F.col("__r"), F.lit(0.0)).alias("r"))
+
+
+def correlation_long(df: DataFrame, columns: list[str] | None = None, layout: str = "auto") -> DataFrame:
     """Upper-triangle pairs (i < j): column_1, column_2, i, j, r (raw, null->0).
 
-    Pairs are packed into codegen-sized single-row aggregates (9 pairs = 90
-    buffer fields each). Pairs are ordered by 3x3 blocks of columns, so a chunk of 9
-    pairs reads at most 6 columns of the table.
+    ``layout="chunked"``: pairs are packed into codegen-sized single-row aggregates
+    (9 pairs = 90 buffer fields each), ordered by 3x3 blocks of columns so a chunk
+    reads at most 6 columns. ``layout="exploded"``: one pass, each row expanded into
+    its pairs and grouped by pair index. ``auto`` chooses chunked up to
+    ``MAX_CHUNKS`` chunks (about 13 columns), exploded beyond.
     """
     cols = columns or numeric_columns(df)
     if len(cols) < 2:
         raise ValueError("need at least 2 numeric columns for correlation")
     pairs = sorted(((i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))),
                    key=lambda p: (p[0] // 3, p[1] // 3, p[0], p[1]))
-    groups = [[_pair_coefficient(cols[i], cols[j]).alias(f"__r{i}_{j}")] for i, j in pairs]
     weight = FIELDS["covar"] + 2 * FIELDS["stddev"]
+    if layout == "auto":
+        layout = "chunked" if len(pack([weight] * len(pairs))) <= MAX_CHUNKS else "exploded"
+    if layout == "exploded":
+        return _exploded(df, cols, pairs)
+    groups = [[_pair_coefficient(cols[i], cols[j]).alias(f"__r{i}_{j}")] for i, j in pairs]
     parts = []
     for idx, wide in chunked_agg(df, groups, [weight] * len(pairs)):
         rows = [F.struct(F.lit(cols[i]).alias("column_1"), F.lit(cols[j]).alias("column_2"), F.lit(i).alias("i"),

@@ -289,3 +289,15 @@ def test_public_helpers(spark):
     t, cons = _fk_frames(spark)
     fk = catalog.foreign_keys_df(cons).orderBy("position").collect()
     assert [(r.column_name, r.ref_column) for r in fk] == [("a", "a"), ("b", "b")]
+
+
+def test_correlation_layouts_agree(spark):
+    li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").withColumn("l_const", F.lit(1.0))
+    cols = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
+            "l_tax", "l_const"]
+    a = {(r.column_1, r.column_2): r.r for r in correlation.correlation_long(li, cols, layout="chunked").collect()}
+    b = {(r.column_1, r.column_2): r.r for r in correlation.correlation_long(li, cols, layout="exploded").collect()}
+    assert a.keys() == b.keys() and len(a) == 36
+    assert all(abs(a[k] - b[k]) < 1e-9 for k in a)
+    wide = li.select(*[(F.col("l_extendedprice") * (i + 1) + F.col("l_tax") * i).alias(f"c{i}") for i in range(15)])
+    assert correlation.correlation_long(wide).count() == 105  # auto -> exploded layout
