@@ -7,6 +7,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType, VariantType
 
 ALL_TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -48,9 +49,20 @@ def register_views(tables: dict[str, DataFrame]) -> None:
 def sample_rows(df: DataFrame, n: int = 10, order_by: list[str] | None = None, cap: int | None = 20) -> DataFrame:
     """First ``min(n, cap)`` rows in a total order (a distributed top-k, not a collect).
 
-    Without ``order_by`` the whole row is the ordering key, so the sample is
-    deterministic. The limit is the feature here: a capped preview.
+    Without ``order_by`` every orderable column is the ordering key, so the sample
+    is deterministic. The limit is the feature here: a capped preview.
     """
     k = min(n, cap) if cap is not None else n
-    keys = order_by or df.columns
+    keys = order_by or [f.name for f in df.schema.fields if _orderable(f.dataType)]
     return df.orderBy(*[F.col(c).asc_nulls_last() for c in keys]).limit(k)
+
+
+def _orderable(dt) -> bool:
+    """Map (and variant) values cannot be sorted in Spark; everything else can."""
+    if isinstance(dt, (MapType, VariantType)):
+        return False
+    if isinstance(dt, ArrayType):
+        return _orderable(dt.elementType)
+    if isinstance(dt, StructType):
+        return all(_orderable(f.dataType) for f in dt.fields)
+    return True

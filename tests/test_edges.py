@@ -301,3 +301,11 @@ def test_correlation_layouts_agree(spark):
     assert all(abs(a[k] - b[k]) < 1e-9 for k in a)
     wide = li.select(*[(F.col("l_extendedprice") * (i + 1) + F.col("l_tax") * i).alias(f"c{i}") for i in range(15)])
     assert correlation.correlation_long(wide).count() == 105  # auto -> exploded layout
+
+
+def test_sample_rows_skips_unorderable_columns(spark):
+    from tablescope.sources.tables import sample_rows
+    df = spark.createDataFrame([(2, {"a": 1}), (1, {"b": 2}), (3, None)], "id INT, m MAP<STRING, INT>")
+    assert [r.id for r in sample_rows(df, 2).collect()] == [1, 2]
+    emb = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    assert sample_rows(emb, 50).count() == 20  # capped at 20
