@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import byte_bpe, quality_rules, simhash, suffix_dedup, window_dedup
 from .common import shared_dir, table
 
 
@@ -15,8 +15,24 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.bpe_report(table(spark, sf_dir, "documents"), *byte_bpe.public_vocabulary())
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_report(table(spark, sf_dir, "documents"))
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_report(table(spark, sf_dir, "documents"))
+
+
+def op10_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return window_dedup.window_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules,)}
+    return {f.__name__: f for f in (op1_quality_rules, op5_byte_bpe, op6_simhash, op9_suffix_dedup, op10_window_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
