@@ -19,14 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session. Where it is
     unset (tests, a laptop) a temporary folder is made and set on the context."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
-    if not found and sc._jsc.sc().getCheckpointDir().isDefined():
-        found = sc._jsc.sc().getCheckpointDir().get()
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
         import tempfile
 
         found = "file://" + tempfile.mkdtemp(prefix="llm-")
+    if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
     return found.rstrip("/")
 

@@ -19,7 +19,7 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import column
@@ -48,7 +48,7 @@ def bit_majority(hashes: np.ndarray, edge: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id and its 64-bit fingerprint ``fp`` as a signed long."""
+    """doc_id, a hash ``th`` of its text and its 64-bit fingerprint ``fp`` as a signed long."""
     digest = xxhash.xxh64_intdigest
 
     def run(batches):
@@ -74,9 +74,9 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
                 if edge[-1] > 1 << 20:
                     settle()
             settle()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(np.concatenate(done).view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(np.concatenate(done).view(np.int64))], ["doc_id", "th", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("th"), "text").mapInArrow(run, "doc_id long, th long, fp long")
 
 
 def forest(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -148,17 +148,36 @@ def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     return pairs.mapInArrow(compare, "a long, b long")
 
 
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
+def _classes(docs: DataFrame, shingle: int, radius: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Fingerprints of all rows; the component of each distinct fingerprint; and of each
+    component the smallest (doc id, text hash), which stands for it."""
+    marked = stored(fingerprints(docs, shingle), "fingerprints")
+    least = marked.groupBy("fp").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(MAX_ID)).alias("did"), "th")).alias("least"))
+    group = components(links(least.select("fp"), radius)).select(F.col("id").alias("fp"), F.col("component"))
+    named = stored(least.join(group, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "classes")
+    return marked, named, named.groupBy("component").agg(F.min("least").alias("first"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint ``fp`` and ``component_id``: the smallest doc_id linked to it by
     fingerprints at most ``radius`` bits apart, itself included."""
-    marked = stored(fingerprints(docs, shingle), "fingerprints")
-    least = marked.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(MAX_ID))).alias("least"))
-    group = components(links(least.select("fp"), radius)).select(F.col("id").alias("fp"), F.col("component"))
-    named = least.join(group, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    named = stored(named, "classes")
-    first = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = named.join(first, "component").select("fp", "component_id")
-    return marked.join(classes, "fp").select("doc_id", "fp", F.when(F.col("component_id") != MAX_ID, F.col("component_id")).alias("component_id"))
+    marked, named, first = _classes(docs, shingle, radius)
+    of_print = named.join(first, "component").select("fp", F.col("first.did").alias("component_id"))
+    return marked.join(of_print, "fp").select("doc_id", "fp", F.when(F.col("component_id") != MAX_ID, F.col("component_id")).alias("component_id"))
+
+
+def without_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest doc_id (of rows that
+    share it, the one with the smallest text hash; of equal rows any)."""
+    _, _, first = _classes(docs, shingle, radius)
+    keys = {"_did": F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX_ID)), "_th": text_hash()}
+    chosen = first.select(F.col("first.did").alias("_did"), F.col("first.th").alias("_th"))
+    row = F.struct(*[F.col(c) for c in docs.columns]).alias("_row")
+    return docs.select(*[v.alias(k) for k, v in keys.items()], row).join(chosen, ["_did", "_th"], "left_semi").dropDuplicates(["_did", "_th"]).select("_row.*")
 
 
 def simhash_report(docs: DataFrame) -> DataFrame:
