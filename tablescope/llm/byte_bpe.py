@@ -26,8 +26,11 @@ from pyspark.sql import types as T
 from .arrays import column, expand, pieces
 from .common import partitions, stored
 
-#: Bytes of text of a block; one longer text is a block of its own.
-BLOCK = 16 << 20
+#: Characters of text of a block; one longer text is a block of its own.
+BLOCK = 32 << 20
+#: Pre-tokens put together at once.
+SLICE = 1 << 20
+LEVEL = 6
 #: Beyond so many bytes a word is merged with a heap, which stays near-linear.
 SHORT = 48
 
@@ -88,24 +91,50 @@ def encode_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 def _packed(*arrays: np.ndarray, data: bytes = b"") -> bytes:
+    """Arrays and bytes, compressed; the arrays byte plane by byte plane, which packs well."""
     head = np.array([len(arrays), *(x for a in arrays for x in (len(a), a.itemsize))], "<i8").tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(a.tobytes() for a in arrays) + data)
+    planes = [np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() for a in arrays]
+    return zstandard.ZstdCompressor(level=LEVEL).compress(head + b"".join(planes) + data)
 
 
 def _unpacked(blob: bytes) -> tuple[list[np.ndarray], bytes]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     k = int(np.frombuffer(raw, "<i8", 1)[0])
-    shape = np.frombuffer(raw, "<i8", 2 * k, 8).reshape(-1, 2).tolist()
     at, out = 8 + 16 * k, []
-    for n, width in shape:
-        out.append(np.frombuffer(raw, f"<i{width}" if width > 2 else "<u2", n, at))
+    for n, width in np.frombuffer(raw, "<i8", 2 * k, 8).reshape(-1, 2).tolist():
+        planes = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n)
+        out.append(np.ascontiguousarray(planes.T).view(f"<i{width}").ravel() if n else np.zeros(0, f"<i{width}"))
         at += n * width
     return out, raw[at:]
 
 
+#: Numbers below FEW take one byte, others one byte and two more.
+FEW, MANY = 224, 224 + (32 << 16)
+
+
+def _short(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Small numbers in fewer bytes: (first bytes, the other two where there are any); beyond
+    MANY plain 4-byte numbers and an empty second array."""
+    if len(numbers) and numbers.max() >= MANY:
+        return numbers.astype("<i4"), np.zeros(0, "<i2")
+    more = numbers - FEW
+    return np.where(more < 0, numbers, FEW + (more >> 16)).astype("i1"), (more[more >= 0] & 0xFFFF).astype("<u2").view("<i2")
+
+
+def _long(first: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    if first.itemsize == 4:
+        return first.astype(np.int32)
+    out = first.view(np.uint8).astype(np.int32)
+    big = out >= FEW
+    out[big] = FEW + ((out[big] - FEW) << 16) + rest.view("<u2")
+    return out
+
+
 def _blocks(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
     """Rows (block, bucket, blob): bucket -1 holds a block's ids, offsets and word numbers in
-    place, the others the words of its list that belong to a bucket, with their numbers."""
+    place, the others the words of its list that belong to a bucket. The words of bucket b,
+    most frequent first, have the numbers b, b + buckets, b + 2 buckets, ..., so neither they
+    nor their ids need to carry a number, and frequent words have small ones."""
 
     def run(batches):
         import regex
@@ -124,21 +153,18 @@ def _blocks(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
             serial += 1
             words = held["words"]
             numbers = np.concatenate([*held["numbers"], np.zeros(0, np.int32)])
-            # frequent words get small numbers: they pack better
-            order = np.argsort(-np.bincount(numbers, minlength=len(words)), kind="stable")
-            place = np.empty(len(words), np.int32)
-            place[order] = np.arange(len(words), dtype=np.int32)
-            numbers = place[numbers]
-            numbers = numbers.astype(np.uint16) if len(words) <= 1 << 16 else numbers
             listed = [w.encode() for w in words]
             bucket = np.array([xxhash.xxh3_64_intdigest(w) % buckets for w in listed], np.int64)
-            rows = [(-1, _packed(np.array(held["ids"], np.int64), np.array(held["null"], np.int32), np.array(held["at"], np.int64), numbers))]
-            by = np.argsort(bucket, kind="stable")
-            edge = np.flatnonzero(np.diff(bucket[by], prepend=-1, append=-1)) if len(by) else np.zeros(0, np.int64)
+            by = np.lexsort((-np.bincount(numbers, minlength=len(words)), bucket))
+            edge = np.flatnonzero(np.diff(bucket[by], prepend=-1, append=-1)) if len(by) else np.zeros(1, np.int64)
+            place = np.empty(len(words), np.int64)
+            rows = []
             for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                some = sorted(by[a:b].tolist(), key=listed.__getitem__)
-                size = np.array([len(listed[i]) for i in some], np.int32)
-                rows.append((int(bucket[some[0]]), _packed(place[some], size, data=b"".join([listed[i] for i in some]))))
+                some = [listed[i] for i in by[a:b].tolist()]
+                own = int(bucket[by[a]])
+                place[by[a:b]] = own + buckets * np.arange(b - a)
+                rows.append((own, _packed(np.array([len(w) for w in some], "<i4"), data=b"".join(some))))
+            rows.append((-1, _packed(np.array(held["ids"], "<i8"), np.array(held["null"], "i1"), np.array(held["at"], "<i4"), *_short(place[numbers]))))
             begin()
             return pa.RecordBatch.from_arrays([pa.array([block] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["block", "bucket", "blob"])
 
@@ -167,46 +193,45 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, buckets: int
     """Per row of ``docs``: doc_id, n_tokens and ``ids``, little-endian unsigned 32-bit."""
     spark = docs.sparkSession
     table = spark.sparkContext.broadcast(ranks)
-    rows = stored(_blocks(docs, pattern, buckets or partitions(spark)), "bpe")
+    buckets = buckets or partitions(spark)
+    rows = stored(_blocks(docs, pattern, buckets), "bpe")
 
     def of_bucket(group: pa.Table) -> pa.Table:
         known: dict[bytes, list[int]] = {}
         out, ranks = [], table.value
         for blob in group.column("blob").to_pylist():
-            (number, size), data = _unpacked(blob)
-            ids, at = [], 0
+            (size,), data = _unpacked(blob)
+            count, ids, at = [], [], 0
             for n in size.tolist():
                 word = data[at : at + n]
                 at += n
                 got = known.get(word)
                 if got is None:
                     got = known[word] = encode_word(word, ranks)
-                ids.append(got)
-            out.append(_packed(number.astype(np.int32), np.array([len(x) for x in ids], np.int32), np.array([y for x in ids for y in x], np.int32)))
+                count.append(len(got))
+                ids += got
+            out.append(_packed(np.array(count, "<i4"), np.array(ids, "<i4")))
         return pa.table({"block": group.column("block"), "bucket": group.column("bucket"), "blob": pa.array(out, pa.binary())})
 
     found = rows.where("bucket >= 0").groupBy("bucket").applyInArrow(of_bucket, "block long, bucket int, blob binary")
 
     def of_block(group: pa.Table) -> pa.Table:
-        number, count, ids, place = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], None
-        for bucket, blob in zip(group.column("bucket").to_pylist(), group.column("blob").to_pylist()):
-            arrays, _ = _unpacked(blob)
-            if bucket < 0:
-                place = arrays
-            else:
-                for to, x in zip((number, count, ids), arrays):
-                    to.append(x)
-        doc, null, tokens, words = place
-        number, count, ids = map(np.concatenate, (number, count, ids))
-        first = np.empty(len(number), np.int64)
-        first[number] = np.cumsum(count) - count
-        per = np.empty(len(number), np.int64)
-        per[number] = count
-        words = words.astype(np.int64)
-        n = per[words]
-        flat = ids[expand(first[words], n)].astype("<u4")
-        edge = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(tokens)])]
-        blob = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(doc), [None, pa.py_buffer(4 * edge.astype(np.int64)), pa.py_buffer(flat)])
+        parts = {b: _unpacked(blob)[0] for b, blob in zip(group.column("bucket").to_pylist(), group.column("blob").to_pylist())}
+        doc, null, tokens, *short = parts.pop(-1)
+        slots = max((b + buckets * len(count) for b, (count, _) in parts.items()), default=0)
+        first, per, base = np.zeros(slots, np.int64), np.zeros(slots, np.int32), 0
+        for b, (count, ids) in parts.items():
+            at = slice(b, b + buckets * (len(count) - 1) + 1, buckets)
+            first[at], per[at] = base + np.cumsum(count) - count, count
+            base += len(ids)
+        ids = np.concatenate([*(i for _, i in parts.values()), np.zeros(0, "<i4")])
+        words, flat, length = _long(*short), [np.zeros(0, "<u4")], [np.zeros(0, np.int32)]
+        for a in range(0, len(words), SLICE):
+            w = words[a : a + SLICE]
+            length.append(per[w])
+            flat.append(ids[expand(first[w], per[w].astype(np.int64))].astype("<u4"))
+        edge = np.concatenate([[0], np.cumsum(np.concatenate(length), dtype=np.int64)])[np.concatenate([[0], np.cumsum(tokens, dtype=np.int64)])]
+        blob = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(doc), [None, pa.py_buffer(4 * edge), pa.py_buffer(np.concatenate(flat))])
         return pa.table({"doc_id": pa.array(doc, mask=null.astype(bool)), "n_tokens": pa.array(np.diff(edge)), "ids": blob.cast(pa.binary())})
 
     return rows.where("bucket < 0").unionByName(found).groupBy("block").applyInArrow(of_block, "doc_id long, n_tokens long, ids binary")
@@ -223,7 +248,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
         size, first, data = table.value
         for batch in batches:
             raw, at = column(batch.column("ids"))
-            for i, j in pieces(at, 2 << 20):
+            for i, j in pieces(at, 1 << 20):
                 ids = np.frombuffer(raw[at[i] : at[j]].tobytes(), "<u4").astype(np.int64)
                 n = size[ids]
                 edge = np.concatenate([[0], np.cumsum(n)])[(at[i : j + 1] - at[i]) // 4]
