@@ -8,13 +8,19 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
+    ArrayType,
     BooleanType,
     DataType,
     DateType,
+    DecimalType,
+    IntegralType,
+    MapType,
     NumericType,
     StringType,
+    StructType,
     TimestampNTZType,
     TimestampType,
+    VariantType,
 )
 
 # Beyond this magnitude ``x * 10^k`` no longer fits a long; fall back to round().
@@ -65,9 +71,29 @@ def ratio(num: str | Column, den: str | Column) -> Column:
     return F.try_divide(col_of(num).cast("double"), col_of(den).cast("double"))
 
 
-def money(c: str | Column) -> Column:
-    """Money value as DECIMAL(18,4): sums become exact and order-independent."""
-    return col_of(c).cast("decimal(18,4)")
+def money(c: str | Column, df: DataFrame | None = None) -> Column:
+    """Money value as a decimal, so sums are exact and order-independent.
+
+    A decimal of ``df`` keeps its own type. Anything else becomes DECIMAL(38,10): ten
+    places after the point and values up to 1e28. NaN and infinity are no money and
+    count as null.
+    """
+    x = col_of(c)
+    if df is not None and isinstance(df.select(x).schema[0].dataType, DecimalType):
+        return x
+    return x.try_cast("decimal(38,10)")
+
+
+def measure_sum(c: str | Column, df: DataFrame) -> Column:
+    """Sum of any measure as double: decimals and whole numbers are summed exactly in
+    their own kind, floating-point values as doubles (NaN and infinity carry through)."""
+    x = col_of(c)
+    dt = df.select(x).schema[0].dataType
+    if isinstance(dt, IntegralType):
+        x = x.cast("decimal(38,0)")
+    elif not isinstance(dt, DecimalType):
+        x = x.cast("double")
+    return F.sum(x).cast("double")
 
 
 def is_numeric_type(dt: DataType) -> bool:
@@ -82,6 +108,17 @@ def is_string_type(dt: DataType) -> bool:
     return isinstance(dt, StringType)
 
 
+def is_orderable(dt: DataType) -> bool:
+    """Map and variant values cannot be sorted in Spark; everything else can."""
+    if isinstance(dt, (MapType, VariantType)):
+        return False
+    if isinstance(dt, ArrayType):
+        return is_orderable(dt.elementType)
+    if isinstance(dt, StructType):
+        return all(is_orderable(f.dataType) for f in dt.fields)
+    return True
+
+
 def is_boolean_type(dt: DataType) -> bool:
     return isinstance(dt, BooleanType)
 
@@ -121,11 +158,11 @@ def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.select("*", *[one_row.select(c).scalar().alias(c) for c in one_row.columns])
 
 
-def money_avg(c: str | Column) -> Column:
-    """Average of a money column as ``sum(DECIMAL) / count``: exact and independent of
+def money_avg(c: str | Column, df: DataFrame | None = None) -> Column:
+    """Average of a money column as ``sum(decimal) / count``: exact and independent of
     the order rows are summed in (a double ``avg`` is not)."""
-    x = col_of(c)
-    return F.try_divide(F.sum(money(x)).cast("double"), F.count(x).cast("double"))
+    x = money(c, df)
+    return F.try_divide(F.sum(x).cast("double"), F.count(x).cast("double"))
 
 
 def avg_days(start: str | Column, end: str | Column, dtype: DataType | None = None) -> Column:

@@ -2,20 +2,22 @@
 
 Spark's exact ``percentile`` aggregate merges a value -> count map of the whole
 column in a single task, which is bounded only by the column's distinct values.
-This version selects the exact order statistics in three distributed passes:
-
-1. ``count`` of non-null values and a ``percentile_approx`` sketch (bounded
-   memory) evaluated at ``p - 2/accuracy`` and ``p + 2/accuracy``. The sketch's
-   rank error is at most ``n / accuracy``, so the exact values at the target
-   ranks lie between those two bracket values.
-2. ``count(v < lo)`` for every bracket (one merged aggregate).
-3. The values inside any bracket, de-duplicated by ``groupBy(v).count()`` (a hot
-   value becomes one row), ranked by a running sum. This candidate set holds
-   about ``4 n / accuracy`` values per probability — the only data that reaches
-   a single ordered window.
-
-Everything enters the final expression as scalar subqueries, so the result is
-a lazy one-row DataFrame and nothing passes through the driver.
+This version selects the exact order statistics by narrowing a bracket twice:
+
+1. A ``percentile_approx`` sketch (bounded memory) at ``p`` plus and minus 2/accuracy (and
+   two larger steps, for small tables) gives brackets around each target rank; one
+   aggregate counts the values below and inside them.
+2. A second sketch over the bracket's values, on a fixed grid of GRID steps, gives a
+   bracket of a few grid steps; again one aggregate counts below and inside.
+3. The values inside the second bracket, de-duplicated by ``groupBy(v).count()`` (a hot
+   value becomes one row), are ranked by a running sum. About 28 n / (accuracy * GRID)
+   values are left for that ordered step: 280,000 of 1e12 rows at the defaults.
+
+A sketch only proposes a bracket. The exact counts say whether the target ranks lie in
+it; if not the next wider one is taken, and an error is raised should none hold them, so no
+percentile is silently wrong.
+Every step is a scalar subquery of the next: the result is lazy, the plan is the same at
+every size, and no job runs while it is built.
 """
 
 from __future__ import annotations
@@ -25,6 +27,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+GRID = 1000
+#: Grid steps left on either side of a target's own step.
+MARGIN = 3
+
 
 def _values(df: DataFrame, column: str | Column) -> DataFrame:
     c = F.col(column) if isinstance(column, str) else column
@@ -32,72 +38,103 @@ def _values(df: DataFrame, column: str | Column) -> DataFrame:
 
 
 def exact_percentiles(df: DataFrame, column: str | Column, probs: Sequence[float],
-                      accuracy: int = 100_000) -> list[Column]:
-    """Scalar columns with PERCENTILE_CONT(p) of ``column`` for each p (null when empty).
+                      accuracy: int = 100_000) -> Column:
+    """Array scalar with PERCENTILE_CONT(p) of ``column`` for each p (nulls when empty).
 
     Interpolation follows the SQL definition: position = p * (n - 1); the result
     is ``lo + (position - floor(position)) * (hi - lo)`` between the values at the
-    neighbouring ranks.
+    neighbouring ranks. Each step's one row travels to the next as one scalar subquery,
+    kept as a column: a plan that repeated it in every expression would grow with each step.
     """
     v = _values(df, column)
-    eps = 2.0 / accuracy
-    lows = [max(0.0, p - eps) for p in probs]
-    highs = [min(1.0, p + eps) for p in probs]
-    sketch = v.agg(F.percentile_approx("__v", F.array(*[F.lit(x) for x in lows + highs]), accuracy).alias("b"))
-    bounds = sketch.scalar()
-    k = len(probs)
-    lo = [bounds[i] for i in range(k)]
-    hi = [bounds[k + i] for i in range(k)]
-    stats = v.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("__v") < lo[i]).alias(f"b{i}") for i in range(k)])
-    n = stats.select("n").scalar()
-    in_any = None
-    for i in range(k):
-        cond = (F.col("__v") >= lo[i]) & (F.col("__v") <= hi[i])
-        in_any = cond if in_any is None else in_any | cond
-    cand = v.where(in_any).groupBy("__v").agg(F.count(F.lit(1)).alias("__c"))
-    out = []
-    for i, p in enumerate(probs):
-        below = stats.select(f"b{i}").scalar()
-        ranked = cand.where((F.col("__v") >= lo[i]) & (F.col("__v") <= hi[i])).select(
-            "__v", (below + F.sum("__c").over(Window.orderBy("__v"))).alias("__cum"))  # bracket-sized window
-        pos = F.lit(float(p)) * (n - 1).cast("double")
-        r_lo = F.floor(pos)
-        r_hi = F.ceil(pos)
-        v_lo = ranked.where(F.col("__cum") > r_lo).agg(F.min("__v")).scalar()
-        v_hi = ranked.where(F.col("__cum") > r_hi).agg(F.min("__v")).scalar()
-        value = F.when(n == 0, F.lit(None).cast("double")).when(
-            r_lo == r_hi, v_lo).otherwise(v_lo + (pos - r_lo) * (v_hi - v_lo))
-        out.append(value)
-    return out
-
-
-# Above this many distinct values the built-in exact aggregate's value -> count map
-# (merged in one task) is no longer considered small; ~1M entries is tens of MB.
-SINGLE_TASK_DISTINCT_LIMIT = 1_000_000
-
-
-def percentile_scalars(df: DataFrame, column: str | Column, probs: Sequence[float], method: str = "auto",
-                       accuracy: int = 10000, distinct_limit: int = SINGLE_TASK_DISTINCT_LIMIT) -> list[Column]:
-    """PERCENTILE_CONT(p) for each p as scalar columns.
-
-    ``method``: ``"approx"`` — ``percentile_approx`` sketch (bounded memory, rank
-    error n/accuracy); ``"map"`` — Spark's exact ``percentile`` (value -> count map
-    merged in one task); ``"distributed"`` — ``exact_percentiles`` above;
-    ``"auto"`` — measure the distinct values with HyperLogLog first (one cheap
-    pass, read on the driver like a broadcast-size check) and use ``"map"`` only
-    when the map is provably small, else ``"distributed"``.
+    x, k = F.col("__v"), len(probs)
+    each = range(k)
+
+    def beside(row: DataFrame) -> DataFrame:
+        """The values, each with the one row of the step before as the struct ``s``."""
+        return v.select("__v", row.select(F.struct("*")).scalar().alias("s"))
+
+    def counted(row: DataFrame, keys: list[str]) -> DataFrame:
+        """The step before, and for each of its brackets lo{key}, hi{key} the values below
+        (b{key}) and inside (m{key}); n: all values."""
+        low, high = {c: F.col(f"s.lo{c}") for c in keys}, {c: F.col(f"s.hi{c}") for c in keys}
+        return beside(row).agg(
+            F.first("s").alias("s"), F.count(F.lit(1)).alias("n"), *[F.count_if(x < low[c]).alias(f"b{c}") for c in keys],
+            *[F.count_if((x >= low[c]) & (x <= high[c])).alias(f"m{c}") for c in keys]).select(
+            "s.*", "n", *[f"{f}{c}" for f in "bm" for c in keys])
+
+    position = [F.lit(float(p)) * (F.col("n") - 1).cast("double") for p in probs]
+    holds = lambda i, c: (F.col(f"b{c}") <= F.floor(position[i])) & (F.ceil(position[i]) < F.col(f"b{c}") + F.col(f"m{c}"))
+
+    # brackets of three widths; the narrowest that holds the ranks is taken, and the widest,
+    # from the smallest to the largest value, always does
+    widths = (2.0 / accuracy, 0.01, 1.0)
+    at = [max(0.0, min(1.0, p + side * w)) for side in (-1, 1) for p in probs for w in widths]
+    half, size = len(at) // 2, len(widths)
+    keys = [f"{i}_{w}" for i in each for w in range(size)]
+    sketch = v.agg(F.percentile_approx("__v", F.array(*map(F.lit, at)), accuracy).alias("a")).select(
+        *[F.get("a", F.lit(half * (name == "hi") + j)).alias(f"{name}{c}") for name in ("lo", "hi") for j, c in enumerate(keys)])
+
+    def narrowest(name: str, i: int) -> Column:
+        out = F.when(holds(i, f"{i}_0"), F.col(f"{name}{i}_0"))
+        for w in range(1, size - 1):
+            out = out.when(holds(i, f"{i}_{w}"), F.col(f"{name}{i}_{w}"))
+        return out.otherwise(F.col(f"{name}{i}_{size - 1}")).alias(f"{name}{i}")
+
+    first = counted(sketch, keys).select("n", *[narrowest(name, i) for name in ("lo", "hi", "b", "m") for i in each])
+
+    steps = F.array(*[F.lit(g / GRID) for g in range(GRID + 1)])
+    grids = beside(first).agg(F.first("s").alias("s"), *[
+        F.percentile_approx(F.when((x >= F.col(f"s.lo{i}")) & (x <= F.col(f"s.hi{i}")), x), steps, accuracy).alias(f"g{i}")
+        for i in each]).select("s.*", *[f"g{i}" for i in each])
+    cols = [F.col("n").alias("all"), *[F.col(f"{f}{i}") for f in ("lo", "hi", "b", "m") for i in each]]
+    for i in each:
+        step = lambda rank: F.try_divide((rank - F.col(f"b{i}")) * GRID, F.col(f"m{i}"))
+        a = F.floor(step(F.floor(position[i]))).cast("int") - MARGIN
+        b = F.ceil(step(F.ceil(position[i]) + 1)).cast("int") + MARGIN
+        cols += [F.when(a <= 0, F.col(f"lo{i}")).otherwise(F.get(f"g{i}", a)).alias(f"lo{i}n"),
+                 F.when(b >= GRID, F.col(f"hi{i}")).otherwise(F.get(f"g{i}", b)).alias(f"hi{i}n")]
+    second = counted(grids.select(*cols), [f"{i}n" for i in each])
+    # a narrowed bracket that misses a rank (a handful of values: less than a rank a step)
+    # gives way to the one before
+    second = second.select("n", *[F.when(holds(i, f"{i}n"), F.col(f"{f}{i}n")).otherwise(F.col(f"{f}{i}")).alias(f"{f}{i}")
+                                  for f in ("lo", "hi", "b", "m") for i in each])
+
+    # the few values left, a row for each bracket they are in
+    d = beside(second)
+    inside = F.array(*[F.when((x >= F.col(f"s.lo{i}")) & (x <= F.col(f"s.hi{i}")), F.lit(i)) for i in each])
+    pick = lambda c: F.get(F.array(*[F.col(f"s.{c}{i}") for i in each]), F.col("i"))
+    left = d.select("__v", "s", F.explode(F.array_compact(inside)).alias("i")).select(
+        "i", "__v", pick("b").alias("below"), pick("m").alias("held"), F.col("s.n").alias("n"))
+    ranked = left.groupBy("i", "__v").agg(F.count(F.lit(1)).alias("c"), *[F.first(f).alias(f) for f in ("below", "held", "n")])
+    ranked = ranked.withColumn("upto", F.col("below") + F.sum("c").over(Window.partitionBy("i").orderBy("__v")))
+    position = F.get(F.array(*[F.lit(float(p)) for p in probs]), F.col("i")) * (F.col("n") - 1).cast("double")
+    ranked = ranked.withColumns({"lo": F.floor(position), "hi": F.ceil(position), "share": position - F.floor(position)})
+    ends = ranked.groupBy("i").agg(
+        F.min(F.when(F.col("upto") > F.col("lo"), x)).alias("v_lo"), F.min(F.when(F.col("upto") > F.col("hi"), x)).alias("v_hi"),
+        F.first("share").alias("share"), F.first((F.col("below") <= F.col("lo")) & (F.col("hi") < F.col("below") + F.col("held"))).alias("held"))
+    missed = F.raise_error(F.lit("percentile: a rank is outside its sketched bracket")).cast("double")
+    value = F.when(F.col("held"), F.when(F.col("share") == 0, F.col("v_lo")).otherwise(
+        F.col("v_lo") + F.col("share") * (F.col("v_hi") - F.col("v_lo")))).otherwise(missed)
+    found = ends.agg(F.map_from_entries(F.collect_list(F.struct("i", value.alias("v")))).alias("m"))
+    return found.select(F.array(*[F.try_element_at("m", F.lit(i)) for i in each])).scalar()
+
+
+def percentile_array(df: DataFrame, column: str | Column, probs: Sequence[float], method: str = "exact",
+                     accuracy: int = 10000) -> Column:
+    """PERCENTILE_CONT(p) for each p as one array scalar.
+
+    ``method``: ``"exact"`` — ``exact_percentiles`` above; ``"map"`` — Spark's exact
+    ``percentile`` (value -> count map merged in one task: for columns known to hold few
+    distinct values); ``"approx"`` — ``percentile_approx`` sketch (bounded memory, rank
+    error n/accuracy). The caller chooses; nothing is measured.
     """
     v = _values(df, column)
     arr = F.array(*[F.lit(float(p)) for p in probs])
-    if method == "auto":
-        ndv = v.agg(F.approx_count_distinct("__v", 0.05)).first()[0]
-        method = "map" if ndv * 1.2 <= distinct_limit else "distributed"
     if method == "approx":
-        s = v.agg(F.percentile_approx("__v", arr, accuracy)).scalar()
-        return [s[i] for i in range(len(probs))]
+        return v.agg(F.percentile_approx("__v", arr, accuracy)).scalar()
     if method == "map":
-        s = v.agg(F.percentile("__v", arr)).scalar()
-        return [s[i] for i in range(len(probs))]
-    if method == "distributed":
+        return v.agg(F.percentile("__v", arr)).scalar()
+    if method == "exact":
         return exact_percentiles(df, column, probs, max(accuracy, 100_000))
     raise ValueError(f"unknown percentile method {method!r}")

@@ -1,9 +1,11 @@
 """Q9: Benford's-law leading-digit analysis.
 
-Only values >= 1 are analysed: values in (0, 1) have a leading "0" in plain
+Only finite values >= 1 are analysed: values in (0, 1) have a leading "0" in plain
 decimal text and are excluded, and the guard keeps Spark's scientific text of
-small doubles ("1.2E-4") from being counted as a 1. For x >= 1 the first
-character of the text form is the leading digit, also in scientific notation.
+small doubles ("1.2E-4") from being counted as a 1. NaN and infinity have no
+leading digit. For x >= 1 the first character of the text form, after a sign and
+zeros that a text column may hold, is the leading digit, also in scientific
+notation.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablescope.functions.exprs import round_half_up
+from tablescope.functions.exprs import round_half_up, sql_ident
 
 # Expected first-digit shares used by the reference (digit: share).
 BENFORD_EXPECTED = {1: 0.301, 2: 0.176, 3: 0.125, 4: 0.097, 5: 0.079, 6: 0.067, 7: 0.058, 8: 0.051, 9: 0.046}
@@ -31,9 +33,11 @@ def _expected(spark: SparkSession) -> DataFrame:
 
 
 def _digit_counts(df: DataFrame, column: str) -> DataFrame:
-    x = F.col(column)
-    return (df.where(x.isNotNull() & (x.cast("double") >= 1))
-            .select(F.substring(x.cast("string"), 1, 1).cast("int").alias("digit"))
+    x = F.col(sql_ident(column))
+    v = x.try_cast("double")
+    text = F.regexp_replace(F.trim(x.cast("string")), "^[+]?0*", "")
+    return (df.where((v >= 1) & (v < float("inf")))  # NaN sorts above infinity
+            .select(F.substring(text, 1, 1).try_cast("int").alias("digit"))
             .groupBy("digit").agg(F.count(F.lit(1)).alias("count")))
 
 

@@ -1,83 +1,105 @@
-"""Q10/Q11: Pearson correlation matrix in one aggregate, and the notable pairs.
-
-For k columns the k(k-1)/2 coefficients are aggregates of a single ``agg`` (one
-scan), where the reference issued one query per pair. Nulls are pairwise:
-each coefficient uses the rows where both columns are non-null, like SQL
-``corr``. ``corr`` itself raises DIVIDE_BY_ZERO under ANSI on a constant column,
-so the coefficient is spelled ``try_divide(covar_samp, stddev_samp * stddev_samp)``
-and an undefined value becomes 0. ``ml.stat.Correlation`` is not used: it deletes
-rows listwise.
+"""Q10/Q11: Pearson correlation matrix in one scan, and the notable pairs.
+
+The k x k cross-products of a batch are one matrix product, so the table is read once as
+Arrow batches (``mapInArrow``): built-in aggregates would need either a buffer field or
+a row copy for each of the k(k-1)/2 pairs. A task keeps k x k sums, centred on its first
+batch's means, and emits one row a pair; tasks are merged pairwise in SQL with the
+parallel variance formulas, which lose no digits to large means.
+
+Nulls are pairwise: each coefficient uses the rows where both columns are non-null,
+like SQL ``corr``. An undefined coefficient (constant column, fewer than two rows)
+becomes 0; NaN or infinity in a pair's rows gives NaN. ``ml.stat.Correlation`` is not
+used: it deletes rows listwise.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablescope.functions.aggregates import FIELDS, chunked_agg, literal_rows, pack, union_all
-from tablescope.functions.exprs import numeric_columns, round_half_up
+from tablescope.functions.exprs import numeric_columns, round_half_up, sql_ident
 
 STRONG = 0.7
 MODERATE = 0.5
 
 
-def _pair_coefficient(a: str, b: str):
-    x, y = F.col(a).cast("double"), F.col(b).cast("double")
-    both = x.isNotNull() & y.isNotNull()
-    sx = F.stddev_samp(F.when(both, x))
-    sy = F.stddev_samp(F.when(both, y))
-    return F.try_divide(F.covar_samp(x, y), sx * sy)
-
-
-# Above this many chunks (9 pairs each) the one-pass exploded layout is used: chunks
-# re-read each column about k/3 times for k columns.
-MAX_CHUNKS = 8
-
-
-def _exploded(df: DataFrame, cols: list[str], pairs: list[tuple[int, int]]) -> DataFrame:
-    """One pass: each row becomes one (pair, x, y) row per pair, aggregated by pair
-    index (partial aggregation keeps one buffer per pair per task; codegen'd)."""
-    rows = F.array(*[F.struct(F.lit(k).alias("__p"), F.col(cols[i]).cast("double").alias("__x"),
-                              F.col(cols[j]).cast("double").alias("__y")) for k, (i, j) in enumerate(pairs)])
-    both = F.col("__x").isNotNull() & F.col("__y").isNotNull()
-    agg = df.select(F.inline(rows)).groupBy("__p").agg(F.try_divide(
-        F.covar_samp("__x", "__y"),
-        F.stddev_samp(F.when(both, F.col("__x"))) * F.stddev_samp(F.when(both, F.col("__y")))).alias("__r"))
-    meta = df.sparkSession.createDataFrame(
-        [(k, cols[i], cols[j], i, j) for k, (i, j) in enumerate(pairs)],
-        "__p INT, column_1 STRING, column_2 STRING, i INT, j INT")
-    # one row per pair on both sides (bounded by k^2/2)
-    return meta.join(F.broadcast(agg), "__p", "left").select(
-        "column_1", "column_2", "i", "j", F.coalesce(F.col("__r"), F.lit(0.0)).alias("r"))
-
-
-def correlation_long(df: DataFrame, columns: list[str] | None = None, layout: str = "auto") -> DataFrame:
-    """Upper-triangle pairs (i < j): column_1, column_2, i, j, r (raw, null->0).
-
-    ``layout="chunked"``: pairs are packed into codegen-sized single-row aggregates
-    (9 pairs = 90 buffer fields each), ordered by 3x3 blocks of columns so a chunk
-    reads at most 6 columns. ``layout="exploded"``: one pass, each row expanded into
-    its pairs and grouped by pair index. ``auto`` chooses chunked up to
-    ``MAX_CHUNKS`` chunks (about 13 columns), exploded beyond.
-    """
+#: Tasks whose rows of one pair are merged first, so no list grows with the table.
+MERGE = 1000
+_MOMENTS = ("n", "mx", "my", "cxx", "cyy", "cxy", "odd")
+
+
+def _task_moments(k: int):
+    """mapInArrow: for each pair i < j the count, means and centred co-moments of the rows
+    of this task where both are present; ``odd`` counts those with NaN or infinity."""
+    upper = np.triu_indices(k, 1)
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        shift, sums = None, [np.zeros((k, k)) for _ in range(5)]
+        for batch in batches:
+            present = np.column_stack([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
+            x = np.column_stack([c.fill_null(0.0).to_numpy(zero_copy_only=False) for c in batch.columns])
+            odd = ~np.isfinite(x)
+            x = np.where(odd, 0.0, x)
+            if shift is None:
+                shift = (x * present).sum(axis=0) / np.maximum(present.sum(axis=0), 1)
+            x = (x - shift) * present
+            odd = odd * present
+            for total, part in zip(sums, (present.T @ present, x.T @ present, (x * x).T @ present, x.T @ x, odd.T @ present)):
+                total += part
+        if shift is None:
+            return
+        n, s, q, p, odd = sums
+        size = np.maximum(n, 1)
+        mx, my = s / size, s.T / size
+        cols = (n, shift[:, None] + mx, shift[None, :] + my, q - s * mx, q.T - s.T * my, p - s * my, odd + odd.T)
+        task = np.full(len(upper[0]), TaskContext.get().partitionId() // MERGE)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(v.astype(np.int32)) for v in (task, *upper)] + [pa.array(np.ascontiguousarray(c[upper])) for c in cols],
+            ["task", "i", "j", *_MOMENTS])
+
+    return run
+
+
+def _merged(parts: Column) -> Column:
+    """One struct of moments from an array of them."""
+    zero = F.struct(*[F.lit(0.0).alias(m) for m in _MOMENTS])
+
+    def add(a: Column, b: Column) -> Column:
+        n = a["n"] + b["n"]
+        share = F.when(n > 0, b["n"] / n).otherwise(0.0)
+        dx, dy = b["mx"] - a["mx"], b["my"] - a["my"]
+        cross = a["n"] * share
+        return F.struct(
+            n.alias("n"), (a["mx"] + dx * share).alias("mx"), (a["my"] + dy * share).alias("my"),
+            (a["cxx"] + b["cxx"] + dx * dx * cross).alias("cxx"), (a["cyy"] + b["cyy"] + dy * dy * cross).alias("cyy"),
+            (a["cxy"] + b["cxy"] + dx * dy * cross).alias("cxy"), (a["odd"] + b["odd"]).alias("odd"))
+
+    return F.aggregate(F.filter(parts, lambda b: b["n"] > 0), zero, add)
+
+
+def correlation_long(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Upper-triangle pairs (i < j): column_1, column_2, i, j, r (raw, undefined -> 0)."""
     cols = columns or numeric_columns(df)
     if len(cols) < 2:
         raise ValueError("need at least 2 numeric columns for correlation")
-    pairs = sorted(((i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))),
-                   key=lambda p: (p[0] // 3, p[1] // 3, p[0], p[1]))
-    weight = FIELDS["covar"] + 2 * FIELDS["stddev"]
-    if layout == "auto":
-        layout = "chunked" if len(pack([weight] * len(pairs))) <= MAX_CHUNKS else "exploded"
-    if layout == "exploded":
-        return _exploded(df, cols, pairs)
-    groups = [[_pair_coefficient(cols[i], cols[j]).alias(f"__r{i}_{j}")] for i, j in pairs]
-    parts = []
-    for idx, wide in chunked_agg(df, groups, [weight] * len(pairs)):
-        rows = [F.struct(F.lit(cols[i]).alias("column_1"), F.lit(cols[j]).alias("column_2"), F.lit(i).alias("i"),
-                         F.lit(j).alias("j"), F.coalesce(F.col(f"__r{i}_{j}"), F.lit(0.0)).alias("r"))
-                for i, j in (pairs[k] for k in idx)]
-        parts.append(wide.select(literal_rows(rows)))
-    return union_all(parts)
+    values = df.select(*[F.col(sql_ident(c)).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    schema = "task int, i int, j int, " + ", ".join(f"{m} double" for m in _MOMENTS)
+    parts = values.mapInArrow(_task_moments(len(cols)), schema)
+    for keys in (("task", "i", "j"), ("i", "j")):
+        parts = parts.groupBy(*keys).agg(_merged(F.collect_list(F.struct(*_MOMENTS))).alias("m")).select(*keys, "m.*")
+    # the square roots are taken one by one: the product of two small variances underflows
+    r = F.try_divide(F.col("cxy"), F.sqrt(F.greatest("cxx", F.lit(0.0))) * F.sqrt(F.greatest("cyy", F.lit(0.0))))
+    r = F.when(F.col("odd") > 0, F.lit(float("nan"))).otherwise(F.coalesce(r, F.lit(0.0)))
+    pairs = df.sparkSession.createDataFrame(
+        [(cols[i], cols[j], i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))],
+        "column_1 STRING, column_2 STRING, i INT, j INT")
+    # one row a pair on both sides; a table without rows gives no moments
+    return pairs.join(parts.select("i", "j", r.alias("r")), ["i", "j"], "left").select(
+        "column_1", "column_2", "i", "j", F.coalesce("r", F.lit(0.0)).alias("r"))
 
 
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -137,6 +137,24 @@ def document_tables(columns: DataFrame, overview: DataFrame) -> DataFrame:
                         F.coalesce(queries[F.col("table_name")], default_q).alias("suggested_queries"))
 
 
+# Wording of the generated documentation of a table without a model's text.
+FALLBACK_SUMMARY = "This table contains {rows} records for {table}."
+FALLBACK_RECOMMENDATIONS = ("Join with related tables using foreign keys", "Check data quality metrics before analysis")
+
+
+def fallback_documentation(columns: DataFrame, overview: DataFrame) -> DataFrame:
+    """D5 without a model: table_name, business_summary, column_descriptions (name to
+    type, one entry a column) and usage_recommendations."""
+    types = columns.groupBy("table_name").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("column_name", "data_type")))).alias("column_descriptions"))
+    head, tail = FALLBACK_SUMMARY.split("{rows}")
+    middle, end = tail.split("{table}")
+    summary = F.concat(F.lit(head), F.col("row_count").cast("string"), F.lit(middle), F.col("table_name"), F.lit(end))
+    return types.join(overview.select("table_name", "row_count"), "table_name").select(
+        "table_name", summary.alias("business_summary"), "column_descriptions",
+        F.array(*map(F.lit, FALLBACK_RECOMMENDATIONS)).alias("usage_recommendations"))
+
+
 def document_insights(columns: DataFrame, overview: DataFrame, edges: DataFrame) -> DataFrame:
     """D3: insights in long form (table_name, position, insight)."""
     facts = _table_facts(columns, overview)

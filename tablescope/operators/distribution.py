@@ -17,17 +17,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.functions.exprs import round_half_up
-from tablescope.functions.quantiles import percentile_scalars
+from tablescope.functions.quantiles import percentile_array
 
 PROBS = (0.1, 0.25, 0.5, 0.75, 0.9)
 
 
-def distribution_stats(df: DataFrame, column: str, method: str = "auto", accuracy: int = 10000,
+def distribution_stats(df: DataFrame, column: str, method: str = "exact", accuracy: int = 10000,
                        table_name: str | None = None) -> DataFrame:
     """Moments in one aggregate; percentiles (exact by default, see
-    ``functions.quantiles.percentile_scalars``) attached as scalars."""
+    ``functions.quantiles.percentile_array``) attached as scalars."""
     x = F.col(column).cast("double")
-    pct = F.array(*percentile_scalars(df, column, PROBS, method, accuracy))
+    pct = percentile_array(df, column, PROBS, method, accuracy)
     a = df.where(F.col(column).isNotNull()).agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(x).alias("mean"),

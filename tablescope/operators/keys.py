@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablescope.functions.exprs import attach_scalars, ratio, round_half_up
+from tablescope.functions.exprs import ratio, round_half_up, sql_ident
 from tablescope.operators.constraints import ForeignKey
 
 
@@ -16,7 +18,7 @@ def pk_uniqueness(df: DataFrame, pk: list[str], table_name: str | None = None) -
     ``count(DISTINCT a, b)`` would silently drop them. Partial aggregation removes
     duplicates on each task before the shuffle, so a hot key costs one row per task.
     """
-    key = F.struct(*[F.col(c) for c in pk])
+    key = F.struct(*[F.col(sql_ident(c)).alias(f"k{i}") for i, c in enumerate(pk)])
     out = df.agg(F.count(F.lit(1)).alias("total_rows"), F.count_distinct(key).alias("unique_pk_rows"))
     return out.select(
         F.lit(table_name).cast("string").alias("table_name"),
@@ -31,30 +33,21 @@ def pk_uniqueness(df: DataFrame, pk: list[str], table_name: str | None = None) -
 def orphan_counts(child: DataFrame, parent: DataFrame, columns: list[str], ref_columns: list[str]) -> DataFrame:
     """Child rows whose (non-null) key has no parent row: one row of counts.
 
-    The child side is first reduced to (key, rows) with a partial aggregate, so a
-    key that holds a third of the table becomes one row per task before any
-    shuffle; the anti join then runs on distinct keys only (broadcast by AQE when
-    the parent key set is small, sort-merge otherwise). A plan test checks that the
-    optimizer keeps this order.
+    One scan of each side: the child is reduced to (key, rows), nulls included, with a
+    partial aggregate, so a key that holds a third of the table becomes one row per task
+    before any shuffle; then its keys are joined with the parent's distinct keys (a null
+    never matches) and all counts come from that frame.
     """
-    keys = [F.col(c).alias(f"__k{i}") for i, c in enumerate(columns)]
-    not_null = None
-    for c in columns:
-        cond = F.col(c).isNotNull()
-        not_null = cond if not_null is None else not_null & cond
-    # The anti join matches on ``min(key)`` per group — equal to the key, but an
-    # aggregate output rather than a grouping column, so Catalyst's
-    # PushDownLeftSemiAntiJoin cannot move the join below this aggregate: the per-key
-    # reduction happens first and a hot key reaches the join as one row per task.
-    n = len(columns)
-    child_keys = (child.where(not_null).select(*keys).groupBy(*[f"__k{i}" for i in range(n)])
-                  .agg(F.count(F.lit(1)).alias("__rows"), *[F.min(f"__k{i}").alias(f"__j{i}") for i in range(n)]))
-    parent_keys = parent.select(*[F.col(c).alias(f"__j{i}") for i, c in enumerate(ref_columns)]).distinct()
-    orphans = child_keys.join(parent_keys, [f"__j{i}" for i in range(n)], "left_anti")
-    stats = child.agg(F.count(F.lit(1)).alias("child_rows"), F.count_if(~not_null).alias("null_fk_rows"))
-    orph = orphans.agg(F.coalesce(F.sum("__rows"), F.lit(0)).cast("bigint").alias("orphan_rows"),
-                       F.count(F.lit(1)).alias("orphan_keys"))
-    return attach_scalars(stats, orph)
+    n = range(len(columns))
+    child_keys = child.groupBy(*[F.col(sql_ident(c)).alias(f"__k{i}") for i, c in enumerate(columns)]).agg(
+        F.count(F.lit(1)).alias("__rows"))
+    parent_keys = parent.select(*[F.col(sql_ident(c)).alias(f"__k{i}") for i, c in enumerate(ref_columns)]).distinct()
+    j = child_keys.join(parent_keys.withColumn("__found", F.lit(True)), [f"__k{i}" for i in n], "left")
+    null = reduce(lambda a, b: a | b, [F.col(f"__k{i}").isNull() for i in n])
+    orphan = ~null & F.col("__found").isNull()
+    rows = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("__rows"))), F.lit(0)).cast("bigint")
+    return j.agg(rows(F.lit(True)).alias("child_rows"), rows(null).alias("null_fk_rows"),
+                 rows(orphan).alias("orphan_rows"), F.count_if(orphan).alias("orphan_keys"))
 
 
 def referential_integrity(tables: dict[str, DataFrame], fks: list[ForeignKey]) -> DataFrame:

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablescope.functions.exprs import avg_days, col_of, money, money_avg, ratio, round_half_up
+from tablescope.functions.exprs import avg_days, col_of, measure_sum, money, ratio, round_half_up
 
 
 def first_matching_column(df: DataFrame, patterns: Iterable[str]) -> str | None:
@@ -23,11 +23,6 @@ def first_matching_column(df: DataFrame, patterns: Iterable[str]) -> str | None:
     return None
 
 
-def money_sum(c: str | Column) -> Column:
-    """Exact, order-independent money sum (DECIMAL(18,4) terms) returned as double."""
-    return F.sum(money(c)).cast("double")
-
-
 def kpi_orders(orders: DataFrame, customer: str) -> DataFrame:
     """K1: order count and distinct customers."""
     return orders.agg(F.count(F.lit(1)).alias("total_orders"), F.count_distinct(customer).alias("unique_customers"))
@@ -36,26 +31,55 @@ def kpi_orders(orders: DataFrame, customer: str) -> DataFrame:
 def kpi_status_share(orders: DataFrame, status: str) -> DataFrame:
     """K2: orders per status, count descending, with % share (2 dp).
 
-    The share's denominator is a window over the grouped result, whose size is
-    the number of statuses."""
+    The share's denominator is the table's row count, as a scalar: no task sees all
+    groups, whatever column is given."""
     g = orders.groupBy(F.col(status).alias("status")).agg(F.count(F.lit(1)).alias("order_count"))
-    total = F.sum("order_count").over(Window.partitionBy())
+    total = orders.agg(F.count(F.lit(1)).alias("total")).scalar()
     return g.select("status", "order_count", round_half_up(F.col("order_count") * 100.0 / total, 2).alias("share_pct")) \
         .orderBy(F.col("order_count").desc(), "status")
 
 
 def kpi_revenue(items: DataFrame, price: str | Column) -> DataFrame:
     """K3: total revenue and average item price, 0 when empty, 2 dp."""
-    p = col_of(price)
-    a = items.agg(money_sum(p).alias("__s"), F.count(p).alias("__n"))
+    p = money(price, items)
+    a = items.agg(F.sum(p).cast("double").alias("__s"), F.count(p).alias("__n"))
     return a.select(round_half_up(F.coalesce("__s", F.lit(0.0)), 2).alias("total_revenue"),
                     round_half_up(F.coalesce(ratio("__s", "__n"), F.lit(0.0)), 2).alias("avg_item_price"))
 
 
-def kpi_entity_counts(entities: dict[str, DataFrame]) -> DataFrame:
-    """K4: row count per business entity (products, sellers, ...)."""
-    parts = [df.agg(F.count(F.lit(1)).alias("entity_count")).select(F.lit(k).alias("entity"), "entity_count")
-             for k, df in entities.items()]
+# Which table plays which part, by fragments of its lower-cased name. Of the
+# roles in this order the first that fits is given: its own fragments always fit, the
+# others only while no table has the role; a name with an excluded fragment never does.
+TABLE_ROLES = {
+    "orders": ((), ("order",), ("item",)),
+    "customers": (("customer",), ("user",), ()),
+    "products": (("product",), ("item",), ()),
+    "sellers": (("seller",), ("vendor",), ()),
+    "reviews": (("review",), ("rating",), ()),
+    "order_items": (("order_item",), ("line_item",), ()),
+    "payments": (("payment",), ("transaction",), ()),
+}
+
+
+def match_table_roles(names: Iterable[str]) -> dict[str, str]:
+    """K8 fallback for tables: role -> table name, names taken in the order given."""
+    found: dict[str, str] = {}
+    for name in names:
+        low = name.lower()
+        has = lambda parts: any(p in low for p in parts)
+        for role, (own, other, never) in TABLE_ROLES.items():
+            if not has(never) and (has(own) or (has(other) and role not in found)):
+                found[role] = name
+                break
+    return found
+
+
+def kpi_entity_counts(entities: dict[str, DataFrame], table_count: int) -> DataFrame:
+    """K4: row count per business entity (products, sellers, ...), with the number of
+    tables of the database."""
+    parts = [df.agg(F.count(F.lit(1)).alias("entity_count")).select(
+        F.lit(k).alias("entity"), "entity_count", F.lit(table_count).alias("total_tables"))
+        for k, df in entities.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -88,8 +112,8 @@ def kpi_derived(orders: DataFrame, items: DataFrame, order_key: str, item_order_
     key, which is also the join key), then joined to orders and averaged.
     """
     per_order = items.groupBy(F.col(item_order_key).alias("__ok")).agg(
-        F.sum(money(col_of(price))).alias("__value"), F.count(F.lit(1)).alias("__items"),
-        F.sum(money(col_of(freight))).alias("__freight"),
+        F.sum(money(price, items)).alias("__value"), F.count(F.lit(1)).alias("__items"),
+        F.sum(money(freight, items)).alias("__freight"),
         F.max(F.col(delivered_ts)).alias("__delivered"))
     o = orders.select(F.col(order_key).alias("__ok"), F.col(purchase_ts).alias("__ts"))
     j = o.join(per_order, "__ok")
@@ -106,7 +130,7 @@ def kpi_derived(orders: DataFrame, items: DataFrame, order_key: str, item_order_
 
 def measure_summary(df: DataFrame, column: str) -> DataFrame:
     """K9: row count, sum (0 when empty) and average of a measure."""
-    a = df.agg(F.count(F.lit(1)).alias("total_rows"), money_sum(column).alias("__s"), F.count(column).alias("__n"))
+    a = df.agg(F.count(F.lit(1)).alias("total_rows"), measure_sum(column, df).alias("__s"), F.count(column).alias("__n"))
     return a.select("total_rows", round_half_up(F.coalesce("__s", F.lit(0.0)), 2).alias("total_value"),
                     round_half_up(ratio("__s", "__n"), 2).alias("avg_value"))
 
@@ -127,7 +151,7 @@ def group_count_topn(df: DataFrame, by: str, n: int | None = 10) -> DataFrame:
 
 def group_sum_topn(df: DataFrame, by: str, measure: str | Column, n: int = 10) -> DataFrame:
     """Per group: times ordered and total revenue, top-n by revenue."""
-    g = df.groupBy(by).agg(F.count(F.lit(1)).alias("times_ordered"), money_sum(col_of(measure)).alias("__r"))
+    g = df.groupBy(by).agg(F.count(F.lit(1)).alias("times_ordered"), measure_sum(measure, df).alias("__r"))
     g = g.select(by, "times_ordered", round_half_up("__r", 2).alias("total_revenue"), F.col("__r"))
     return g.orderBy(F.col("__r").desc(), F.col(by)).limit(n).drop("__r")
 
@@ -135,7 +159,7 @@ def group_sum_topn(df: DataFrame, by: str, measure: str | Column, n: int = 10) -
 def group_avg(df: DataFrame, by: str, measure: str) -> DataFrame:
     """Per group: count and average of a measure (2 dp)."""
     return df.groupBy(by).agg(F.count(F.lit(1)).alias("row_count"),
-                              round_half_up(money_avg(measure), 2).alias(f"avg_{measure.lower()}"))
+                              round_half_up(ratio(measure_sum(measure, df), F.count(measure)), 2).alias(f"avg_{measure.lower()}"))
 
 
 def monthly_trend(df: DataFrame, ts: str) -> DataFrame:

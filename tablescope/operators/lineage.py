@@ -57,12 +57,15 @@ def lineage_isolated(nodes: DataFrame, edges: DataFrame | None = None) -> DataFr
         F.col("id").alias("table_name"), "row_count")
 
 
-def lineage_columns(columns: DataFrame) -> DataFrame:
-    """HAS_COLUMN edges with key flags, plus the graph's load statistics."""
+def lineage_columns(columns: DataFrame, edges: DataFrame) -> DataFrame:
+    """HAS_COLUMN edges with key flags, plus the graph's load statistics: tables,
+    columns and relationships (one a pair of key columns)."""
+    n_edges = edges.agg(F.count(F.lit(1))).scalar()
     n_tables = columns.agg(F.count_distinct("table_name")).scalar()
     n_columns = columns.agg(F.count(F.lit(1))).scalar()
     return columns.select("table_name", "column_name", "data_type", "is_primary_key", "is_foreign_key",
-                          n_tables.alias("table_count"), n_columns.alias("column_count"))
+                          n_tables.alias("table_count"), n_columns.alias("column_count"),
+                          n_edges.alias("relationship_count"))
 
 
 def er_columns(columns: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """M1-M4: analytics marts.
 
-Money is summed as DECIMAL(18,4) (exact, independent of summation order) and
+Money is summed as decimals (``exprs.money``: exact, independent of summation order) and
 reported as double rounded to 2 dp. Items are either reduced per order before
 they meet orders (M1) or joined once against order-level rows (M2/M3), so the
 single large join reads shuffle stages directly and AQE can split a hot order key
@@ -11,11 +11,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.functions.exprs import age_days, avg_days, money, money_avg, ratio, round_half_up
-from tablescope.functions.quantiles import percentile_scalars
+from tablescope.functions.quantiles import percentile_array
 from tablescope.session import materialize
 
 
@@ -53,16 +54,23 @@ def daily_revenue(orders: DataFrame, items: DataFrame, roles: Roles) -> DataFram
     the join key), which cuts the join input by the items-per-order factor.
     """
     per_order = items.groupBy(roles.expr("item_order_key").alias("__ok")).agg(
-        F.sum(money(roles.expr("item_price") + roles.expr("item_freight"))).alias("__rev"),
+        F.sum(money(roles.expr("item_price") + roles.expr("item_freight"), items)).alias("__rev"),
         F.count(F.lit(1)).alias("__items"))
     o = orders.select(roles.expr("order_key").alias("__ok"), roles.expr("customer_key").alias("__cust"),
                       F.to_date(roles.expr("purchase_ts")).alias("date"))
     j = o.join(per_order, "__ok")
-    a = j.groupBy("date").agg(
-        F.count_distinct("__ok").alias("total_orders"),
-        F.sum("__rev").cast("double").alias("__rev"),
-        F.sum("__items").cast("bigint").alias("total_items_sold"),
-        F.count_distinct("__cust").alias("unique_customers"))
+    # one row an order and day (still on the join's partitioning), then one a customer and
+    # day: distinct counts become plain counts, without an Expand that copies every order
+    by_order = j.groupBy("date", "__ok").agg(F.sum("__rev").alias("__rev"), F.sum("__items").alias("__items"),
+                                             F.collect_set("__cust").alias("__custs"))
+    each = by_order.select("date", "__rev", "__items", F.posexplode_outer("__custs").alias("__at", "__cust"))
+    first = F.coalesce(F.col("__at"), F.lit(0)) == 0
+    by_customer = each.groupBy("date", "__cust").agg(
+        F.count_if(first).alias("__orders"), F.sum(F.when(first, F.col("__rev"))).alias("__rev"),
+        F.sum(F.when(first, F.col("__items"))).alias("__items"))
+    a = by_customer.groupBy("date").agg(
+        F.sum("__orders").cast("bigint").alias("total_orders"), F.sum("__rev").cast("double").alias("__rev"),
+        F.sum("__items").cast("bigint").alias("total_items_sold"), F.count("__cust").alias("unique_customers"))
     return a.select("date", "total_orders",
                     round_half_up(F.coalesce("__rev", F.lit(0.0)), 2).alias("total_revenue"),
                     round_half_up(F.coalesce(ratio("__rev", "total_items_sold"), F.lit(0.0)), 2).alias("avg_order_value"),
@@ -77,23 +85,40 @@ def _items_orders_reviews(orders: DataFrame, items: DataFrame, reviews: DataFram
     Reviews are attached to orders first (an order-sized join), so the one large join
     reads both sides straight from their shuffles — the shape AQE's skew-join rule
     can split when one order key holds a large share of the items. The fan-out is
-    the same as joining reviews after the items. Order columns whose names also
-    exist on items are dropped before the join.
+    the same as joining reviews after the items. A role that orders alone can answer
+    is evaluated on orders before the join; only what is left (a flag over item
+    columns) is evaluated on the joined rows.
     """
-    o = orders.select(roles.expr("order_key").alias("__ok"),
-                      *[F.col(c) for c in orders.columns if c not in items.columns])
+    o = orders.select(*[F.col(c) for c in orders.columns], roles.expr("order_key").alias("__ok"))
+    sides = {}
+    for name, role in (("__purchase", "purchase_ts"), ("__canceled", "canceled"), ("__returned", "returned")):
+        e = roles.expr(role)
+        sides[name] = role
+        if _resolves(orders, e):  # an order role reads the order's own column, also where items has that name
+            o = o.withColumn(name, e)
+            sides[name] = None
+    used = [c for c in o.columns if c.startswith("__") and c in ("__ok", *sides)]
+    rest = [c for c in orders.columns if c not in items.columns] if any(sides.values()) else []
     r = reviews.select(roles.expr("review_order_key").alias("__ok"), roles.expr("review_score").alias("__score"))
     if dedupe_reviews:
         r = r.groupBy("__ok").agg(F.avg("__score").alias("__score"))
-    order_info = o.join(r, "__ok", "left")
+    order_info = o.select(*used, *rest).join(r, "__ok", "left")
     i = items.withColumn("__ok", roles.expr("item_order_key"))
     j = i.join(order_info, "__ok")
     return j.select("__ok", "__score",
                     roles.expr("item_seller_key").alias("__seller"), roles.expr("item_product_key").alias("__product"),
                     roles.expr("item_price").alias("__price"), roles.expr("item_quantity").alias("__qty"),
                     roles.expr("item_delivered_ts").alias("__delivered"),
-                    roles.expr("purchase_ts").alias("__purchase"),
-                    F.expr(roles.canceled).alias("__canceled"), F.expr(roles.returned).alias("__returned"))
+                    *[F.col(n) if role is None else roles.expr(role).alias(n) for n, role in sides.items()])
+
+
+def _resolves(df: DataFrame, e: Column) -> bool:
+    """Whether an expression reads columns of ``df`` only."""
+    try:
+        df.select(e).schema
+    except AnalysisException:
+        return False
+    return True
 
 
 def seller_performance(orders: DataFrame, items: DataFrame, reviews: DataFrame, roles: Roles,
@@ -105,7 +130,7 @@ def seller_performance(orders: DataFrame, items: DataFrame, reviews: DataFrame,
     dtype = orders.schema[roles.purchase_ts].dataType if roles.purchase_ts in orders.columns else None
     a = j.groupBy(F.col("__seller").alias("seller_id")).agg(
         F.count_distinct("__ok").alias("total_orders"),
-        F.sum(money("__price")).cast("double").alias("__rev"),
+        F.sum(money("__price", j)).cast("double").alias("__rev"),
         F.avg(F.col("__score").cast("double")).alias("__score"),
         avg_days("__purchase", "__delivered", dtype).alias("__days"),
         ratio(F.count_if("__canceled"), F.count(F.lit(1))).alias("__cancel"))
@@ -122,8 +147,8 @@ def product_metrics(orders: DataFrame, items: DataFrame, reviews: DataFrame, rol
     j = _items_orders_reviews(orders, items, reviews, roles, dedupe_reviews)
     a = j.groupBy(F.col("__product").alias("product_id")).agg(
         F.sum(F.col("__qty").cast("double")).alias("total_sold"),
-        F.sum(money(F.col("__price") * F.col("__qty"))).cast("double").alias("__rev"),
-        money_avg("__price").alias("__avgp"),
+        F.sum(money(F.col("__price") * F.col("__qty"), j)).cast("double").alias("__rev"),
+        money_avg("__price", j).alias("__avgp"),
         F.avg(F.col("__score").cast("double")).alias("__score"),
         ratio(F.count_if("__returned"), F.count(F.lit(1))).alias("__ret"))
     return a.select("product_id", round_half_up("total_sold", 4).alias("total_sold"),
@@ -144,7 +169,7 @@ SEGMENT_DESCRIPTIONS = {
 
 
 def customer_segments(orders: DataFrame, as_of: str, roles: Roles, vip_share: float = 0.10,
-                      method: str = "auto", accuracy: int = 10000) -> DataFrame:
+                      method: str = "exact", accuracy: int = 10000) -> DataFrame:
     """M4: VIP / Regular / New / At Risk / Churned / Other.
 
     Per customer (one shuffle on the customer key): orders, spend, last order.
@@ -153,16 +178,16 @@ def customer_segments(orders: DataFrame, as_of: str, roles: Roles, vip_share: fl
     spend and >= 3 orders), New (exactly one order, <= 90 days), Regular (>= 2
     orders), else Other. The VIP cut-off is one percentile aggregate entering as a
     scalar (no global sort or single-partition window); it is exact by default
-    (``functions.quantiles.percentile_scalars``), ``method="approx"`` uses a sketch.
+    (``functions.quantiles.percentile_array``), ``method="approx"`` uses a sketch.
     """
     dtype = orders.schema[roles.purchase_ts].dataType
     per = orders.groupBy(roles.expr("customer_key").alias("customer_id")).agg(
-        F.count(F.lit(1)).alias("n_orders"), F.sum(money(roles.expr("order_total"))).cast("double").alias("spend"),
+        F.count(F.lit(1)).alias("n_orders"), F.sum(money(roles.expr("order_total"), orders)).cast("double").alias("spend"),
         F.max(roles.expr("purchase_ts")).alias("last_order"))
     # read three times (distinct-count check, cut-off percentile, segmentation): written
     # once to the shared checkpoint folder instead of re-running the orders shuffle
     per = materialize(per)
-    cutoff = percentile_scalars(per, "spend", [round(1.0 - vip_share, 12)], method, accuracy)[0]
+    cutoff = F.get(percentile_array(per, "spend", [round(1.0 - vip_share, 12)], method, accuracy), F.lit(0))
     days = age_days(F.col("last_order"), as_of, dtype)
     seg = (F.when(days > 365, "Churned").when(days > 180, "At Risk")
            .when((F.col("spend") >= cutoff) & (F.col("n_orders") >= 3), "VIP")

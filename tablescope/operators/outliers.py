@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.functions.exprs import ratio, round_half_up
-from tablescope.functions.quantiles import percentile_scalars
+from tablescope.functions.quantiles import percentile_array
 
 ZERO_STDDEV_NOTE = "Standard deviation is zero - no variation in data"
 
@@ -57,19 +57,20 @@ def outliers_zscore_sample(df: DataFrame, column: str, threshold: float = 3.0, n
     return top.select("value", round_half_up("__z", 2).alias("zscore"))
 
 
-def outliers_iqr(df: DataFrame, column: str, multiplier: float = 1.5, method: str = "auto",
+def outliers_iqr(df: DataFrame, column: str, multiplier: float = 1.5, method: str = "exact",
                  accuracy: int = 10000, table_name: str | None = None) -> DataFrame:
     """q1, q3, iqr, fences q1 - m*iqr / q3 + m*iqr (strict), outlier count and percentage.
 
-    Quartiles are exact PERCENTILE_CONT by default (``method="auto"``, see
-    ``functions.quantiles.percentile_scalars``); ``method="approx"`` uses a sketch.
+    Quartiles are exact PERCENTILE_CONT by default (``method="exact"``, see
+    ``functions.quantiles.percentile_array``); ``method="approx"`` uses a sketch.
     """
     v = _values(df, column)
-    q = percentile_scalars(df, column, [0.25, 0.75], method, accuracy)
-    q1, q3 = F.coalesce(q[0], F.lit(0.0)), F.coalesce(q[1], F.lit(0.0))
+    # the quartiles become a column once; all that follows refers to it
+    d = v.select("__x", percentile_array(df, column, [0.25, 0.75], method, accuracy).alias("q"))
+    q1, q3 = F.coalesce(F.get("q", F.lit(0)), F.lit(0.0)), F.coalesce(F.get("q", F.lit(1)), F.lit(0.0))
     iqr = q3 - q1
     lower, upper = q1 - F.lit(multiplier) * iqr, q3 + F.lit(multiplier) * iqr
-    counted = v.agg(F.count(F.lit(1)).alias("total_rows"),
+    counted = d.agg(F.count(F.lit(1)).alias("total_rows"), F.first("q").alias("q"),
                     F.count_if((F.col("__x") < lower) | (F.col("__x") > upper)).alias("outlier_count"))
     return counted.select(
         F.lit(table_name).cast("string").alias("table_name"),

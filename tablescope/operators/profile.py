@@ -4,10 +4,8 @@ Per-column metrics are aggregate expressions evaluated by single-row
 aggregates (partial aggregation on every task, one small buffer merged at the
 end — no shuffle of data). They are packed into codegen-sized chunks split by
 column (see ``functions.aggregates``), with string-buffer aggregates (text
-min/max) in chunks of their own. Distinct counts run as separate aggregates:
-exact ``count(DISTINCT)`` per column (de-duplicated map-side, one column read per
-aggregate; one Expand aggregate for tables under 1 MB) or ``approx_count_distinct``
-(HyperLogLog++, a bounded sketch — the choice for very large or wide tables). The
+min/max) in chunks of their own. Distinct counts come from one pass of narrow
+(ordinal, 128-bit hash) rows (``column_counts``), exact or as a bounded sketch. The
 wide results become long form with ``inline(array(named_struct...))`` and are
 matched on the column ordinal, a frame bounded by the schema width. Aggregates and
 rows are written as SQL expression strings, so building the plan costs one driver
@@ -20,13 +18,14 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, DecimalType, StringType
+from pyspark.sql.types import DecimalType, DoubleType, FloatType, MapType, VariantType
 
 from tablescope.functions.aggregates import FIELDS, chunked_agg_sql, long_rows_sql, union_all
 from tablescope.functions.exprs import (
     completeness,
     is_boolean_type,
     is_numeric_type,
+    is_orderable,
     is_string_type,
     is_temporal_type,
     rate_units,
@@ -62,63 +61,53 @@ def _moments(dt, name: str, i: int) -> list[str]:
     return [f"CAST(NULL AS DOUBLE) AS __m{i}", f"CAST(NULL AS DOUBLE) AS __s{i}"]
 
 
-def _distinct_sql(name: str, mode: str, rsd: float, dtype) -> str:
-    """``exact``: count(DISTINCT c). ``digest``: like exact, but long strings/binaries
-    are de-duplicated by their SHA-256 digest, so the shuffle carries 32 bytes per
-    distinct value instead of the whole text (exact up to a SHA-256 collision).
-    ``approx``: HyperLogLog++ with relative standard deviation ``rsd``."""
+def _hashes_sql(name: str, dtype) -> tuple[str, str]:
+    """Two independent 64-bit hashes of a value, null for null. Equal values hash alike:
+    -0.0 as 0.0, maps by their sorted entries."""
     c = sql_ident(name)
-    if mode == "exact":
-        return f"count(DISTINCT {c})"
-    if mode == "digest":
-        if isinstance(dtype, (StringType, BinaryType)):
-            return f"count(DISTINCT sha2({c}, 256))"
-        return f"count(DISTINCT {c})"
-    if mode == "approx":
-        return f"approx_count_distinct({c}, {float(rsd)})"
-    raise ValueError("distinct must be 'exact', 'digest' or 'approx'")
-
-
-# Below this plan-time size estimate a table's exact distincts run as one aggregate
-# (Expand): the k^2 row copies cost nothing there, while one aggregate per column
-# would pay k times the per-stage scheduling cost.
-SMALL_TABLE_BYTES = 1 << 20
-
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of a plan (file sizes for a scan); no job is run."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - estimates are optional
-        return None
-
-
-def distinct_counts(df: DataFrame, columns: list[str], distinct: str = "exact", rsd: float = 0.05,
-                    small_table_bytes: int | None = None) -> DataFrame:
-    """Long form (ordinal, distinct_count).
-
-    Exact (and digest) counts run one single-distinct aggregate per column,
-    unioned: each reads only its column (one pass in total), de-duplicates
-    map-side and shuffles the distinct values by hash. A single aggregate with
-    several ``count(DISTINCT)`` would plan an Expand that copies every row once per
-    column, each copy as wide as the column list (k^2 work per row); per column it
-    is k. Tables whose size estimate is below ``small_table_bytes`` use that single
-    aggregate anyway (fewer stages). HyperLogLog (``approx``) keeps all columns in
-    one aggregate.
+    if isinstance(dtype, MapType):
+        v = f"array_sort(map_entries({c}))"
+    elif isinstance(dtype, (FloatType, DoubleType)):
+        v = f"({c} + CAST(0 AS {dtype.simpleString()}))"
+    elif isinstance(dtype, VariantType):
+        v = f"to_json({c})"
+    else:
+        v = c
+    return tuple(f"CASE WHEN {c} IS NOT NULL THEN {h} END" for h in (f"xxhash64({v})", f"xxhash64('second', {v})"))
+
+
+def column_counts(df: DataFrame, columns: Iterable[str] | None = None, distinct: str = "exact",
+                  rsd: float = 0.05) -> DataFrame:
+    """Long form (ordinal, column_name, total_rows, null_count, distinct_count) in one scan.
+
+    Every row becomes one narrow row a column: its ordinal and a 128-bit hash of the
+    value, so long texts and arrays never travel. These are counted per (ordinal, hash)
+    with map-side aggregation (a hot value is one row a task), and the counts give rows,
+    nulls and distinct values at once. ``exact`` is exact up to a collision of 128-bit
+    hashes; ``approx`` is HyperLogLog++ with relative standard deviation ``rsd`` and
+    shuffles one sketch a column and task. The plan is the same for every size.
     """
-    limit = SMALL_TABLE_BYTES if small_table_bytes is None else small_table_bytes
-    size = estimated_bytes(df)
+    if distinct not in ("exact", "approx"):
+        raise ValueError("distinct must be 'exact' or 'approx'")
+    cols = list(columns) if columns is not None else list(df.columns)
     types = {f.name: f.dataType for f in df.schema.fields}
-    if distinct == "approx" or (size is not None and size < limit):
-        wide = df.selectExpr(*[f"{_distinct_sql(c, distinct, rsd, types[c])} AS __d{i}"
-                               for i, c in enumerate(columns)])
-        return wide.selectExpr(long_rows_sql(
-            [f"named_struct('ordinal', {i + 1}, 'distinct_count', CAST(__d{i} AS BIGINT))"
-             for i in range(len(columns))]))
-    parts = [df.selectExpr(f"CAST({_distinct_sql(c, distinct, rsd, types[c])} AS BIGINT) AS distinct_count")
-             .selectExpr(f"{i + 1} AS ordinal", "distinct_count")
-             for i, c in enumerate(columns)]
-    return union_all(parts)
+    rows = []
+    for i, c in enumerate(cols):
+        h1, h2 = _hashes_sql(c, types[c])
+        rows.append(f"named_struct('ordinal', {i + 1}, 'h1', {h1}, 'h2', {h2})")
+    long = df.selectExpr(long_rows_sql(rows))
+    if distinct == "exact":
+        g = long.groupBy("ordinal", "h1", "h2").agg(F.count(F.lit(1)).alias("n")).groupBy("ordinal").agg(
+            F.sum("n").alias("total_rows"), F.sum(F.when(F.col("h1").isNull(), F.col("n"))).alias("null_count"),
+            F.count("h1").alias("distinct_count"))
+    else:
+        g = long.groupBy("ordinal").agg(
+            F.count(F.lit(1)).alias("total_rows"), F.count_if(F.col("h1").isNull()).alias("null_count"),
+            F.approx_count_distinct("h1", rsd).alias("distinct_count"))
+    names = df.sparkSession.createDataFrame([(i + 1, c) for i, c in enumerate(cols)], "ordinal INT, column_name STRING")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
+    return names.join(g, "ordinal", "left").select("ordinal", "column_name", zero("total_rows"), zero("null_count"),
+                                                   zero("distinct_count"))
 
 
 def _fixed_width(dt) -> bool:
@@ -157,7 +146,7 @@ def column_profile(df: DataFrame, columns: Iterable[str] | None = None,
             fg.append(f"count_if({c} IS NULL) AS __n{i}")
         if "text_range" in want:
             sg += [f"min(CAST({c} AS STRING)) AS __lo{i}", f"max(CAST({c} AS STRING)) AS __hi{i}"]
-        if "typed_range" in want:
+        if "typed_range" in want and is_orderable(dt):
             rng = [f"min({c}) AS __tlo{i}", f"max({c}) AS __thi{i}"]
             (fg if _fixed_width(dt) else sg).extend(rng)
         if "moments" in want:
@@ -200,8 +189,8 @@ def column_profile(df: DataFrame, columns: Iterable[str] | None = None,
         long = union_all([long] + string_parts).groupBy("ordinal", "column_name").agg(
             *[F.max(f).alias(f) for f in fields])
     if "distinct" in want:
-        d = distinct_counts(df, cols, distinct, rsd)
-        long = long.join(F.broadcast(d), "ordinal", "left")  # one row per column on both sides
+        d = column_counts(df, cols, distinct, rsd).select("ordinal", "distinct_count")
+        long = long.join(d, "ordinal", "left")  # one row per column on both sides
     else:
         long = long.withColumn("distinct_count", F.lit(None).cast("bigint"))
     return long.select("ordinal", "column_name", "total_rows", "null_count", "distinct_count", "min_value",
@@ -249,23 +238,39 @@ def table_completeness(df: DataFrame, columns: Iterable[str] | None = None) -> D
     return rates.select("total_rows", overall.alias("overall_completeness"), "ordinal", "column_name", "null_rate")
 
 
+def quality_counts(tables: dict[str, DataFrame], distinct: str = "exact", schema_name: str = "main") -> DataFrame:
+    """Per table and column: row, null and distinct counts, null rate (4 dp) and the
+    table's completeness. One scan per table; every other quality record can be derived
+    from it."""
+    parts = []
+    for tname, df in tables.items():
+        rate = F.coalesce(round_half_up(ratio("null_count", "total_rows"), 4), F.lit(0.0))
+        p = column_counts(df, distinct=distinct).withColumn("null_rate", rate)
+        # one row per column: the window is bounded by the schema width
+        overall = completeness(F.sum(rate_units("null_rate")).over(Window.partitionBy()), len(df.columns))
+        parts.append(p.select(
+            F.lit(schema_name).alias("schema_name"), F.lit(tname).alias("table_name"),
+            F.col("total_rows").alias("row_count"), overall.alias("overall_completeness"),
+            "ordinal", "column_name", "null_count", "null_rate", "distinct_count"))
+    return union_all(parts)
+
+
 def quality_overview(tables: dict[str, DataFrame], distinct: str = "exact", schema_name: str = "main",
                      skip_empty: bool = True) -> DataFrame:
     """Q12: per table and column: null_rate (4 dp), distinct_count, completeness.
 
-    Per table: null counts from codegen-sized chunks plus one distinct aggregate;
-    tables are unioned. Empty tables are skipped, as in the dashboard (unless
-    ``skip_empty=False``, which composite reports use to derive row counts too).
+    Empty tables are skipped, as in the dashboard (unless ``skip_empty=False``).
     ``distinct="approx"`` (HyperLogLog++) for very large data.
     """
+    out = quality_counts(tables, distinct, schema_name).drop("null_count")
+    return out.where(F.col("row_count") > 0) if skip_empty else out
+
+
+def null_overview(tables: dict[str, DataFrame], skip_empty: bool = True) -> DataFrame:
+    """The part of ``quality_overview`` that needs null counts only: no distinct pass."""
     parts = []
     for tname, df in tables.items():
-        cols = list(df.columns)
-        p = null_rates(df, cols).join(F.broadcast(distinct_counts(df, cols, distinct)), "ordinal", "left")
-        # one row per column: the window is bounded by the schema width
-        overall = completeness(F.sum(rate_units("null_rate")).over(Window.partitionBy()), len(cols))
-        parts.append((p.where(F.col("total_rows") > 0) if skip_empty else p).select(
-            F.lit(schema_name).alias("schema_name"), F.lit(tname).alias("table_name"),
-            F.col("total_rows").alias("row_count"), overall.alias("overall_completeness"),
-            "ordinal", "column_name", "null_rate", "distinct_count"))
+        p = table_completeness(df).select(F.lit(tname).alias("table_name"), F.col("total_rows").alias("row_count"),
+                                          "overall_completeness", "column_name", "null_rate")
+        parts.append(p.where(F.col("row_count") > 0) if skip_empty else p)
     return union_all(parts)

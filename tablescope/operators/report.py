@@ -6,6 +6,8 @@ into a single aggregate, i.e. one scan per table.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +21,8 @@ from tablescope.functions.exprs import (
     sql_round_half_up,
     sql_str,
 )
-from tablescope.operators.profile import null_rates
+from tablescope.functions.aggregates import union_all
+from tablescope.operators.profile import column_profile, null_rates
 
 # Fixed values (ours): band and verdict thresholds.
 COMPLETENESS_GOOD = 95.0
@@ -31,16 +34,17 @@ FRESH_WARN_DAYS = 7.0
 
 
 def table_quality(df: DataFrame, table_name: str, pk: list[str] | None = None, ts_column: str | None = None,
-                  as_of: str | None = None) -> DataFrame:
+                  as_of: str | None = None, rates: DataFrame | None = None) -> DataFrame:
     """Q13 for one table: row_count, overall_completeness, columns_with_nulls,
     max_null_pct, pk uniqueness, freshness.
 
     Null rates come from codegen-sized single-row aggregates (column chunks); the
     key's distinct count and the timestamp range are separate single-row
     aggregates over only their columns, attached as scalar subqueries (no join).
+    ``rates`` (total_rows, null_rate per column) saves the null pass where it is known.
     """
     cols = list(df.columns)
-    rates = null_rates(df, cols)
+    rates = null_rates(df, cols) if rates is None else rates
     units = "sum(CAST(floor(null_rate * 10000.0D + 0.5D) AS BIGINT))"
     overall = sql_round_half_up(f"1.0D - (CAST({units} AS DOUBLE) / 10000.0D) / {float(len(cols))!r}D", 4)
     pk_text = sql_str(",".join(pk)) if pk else "CAST(NULL AS STRING)"
@@ -57,10 +61,15 @@ def table_quality(df: DataFrame, table_name: str, pk: list[str] | None = None, t
         out = out.selectExpr("*", "CAST(NULL AS BIGINT) AS unique_pk_rows", "CAST(NULL AS DOUBLE) AS pk_uniqueness_rate")
     if ts_column:
         c = sql_ident(ts_column)
-        rng = df.selectExpr(f"CAST(max({c}) AS TIMESTAMP_NTZ) AS freshness_latest",
-                            f"CAST(min({c}) AS TIMESTAMP_NTZ) AS freshness_oldest")
+        text = is_string_type(df.schema[ts_column].dataType)
+        v = f"try_cast({c} AS TIMESTAMP_NTZ)" if text else c
+        rng = df.selectExpr(f"CAST(max({v}) AS TIMESTAMP_NTZ) AS freshness_latest",
+                            f"CAST(min({v}) AS TIMESTAMP_NTZ) AS freshness_oldest")
+        named = sql_str(ts_column)
+        if text:  # text that never parses is no timestamp
+            named = f"CASE WHEN freshness_latest IS NOT NULL THEN {named} END"
         out = attach_scalars(out, rng).selectExpr(
-            "*", f"{sql_str(ts_column)} AS freshness_column",
+            "*", f"{named} AS freshness_column",
             f"CAST(timestampdiff(MICROSECOND, freshness_latest, CAST({sql_str(as_of)} AS TIMESTAMP_NTZ)) AS DOUBLE)"
             " / 86400000000.0D AS freshness_age_days")
     else:
@@ -75,35 +84,49 @@ def table_quality(df: DataFrame, table_name: str, pk: list[str] | None = None, t
 
 
 # Fixed values (ours): name fragments that mark a freshness column when none is given.
-TIMESTAMP_NAME_HINTS = ("timestamp", "date", "_at", "time", "ts")
+TIMESTAMP_NAME_HINTS = ("timestamp", "datetime", "date", "at", "time", "ts")
+_NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 
 def pick_timestamp_column(df: DataFrame) -> str | None:
-    """First timestamp/date-typed column; else the first string column whose lower-cased
-    name contains a hint (timestamp, date, _at, time, ts) — read as ISO text, which sorts
-    chronologically and casts to a timestamp; else None."""
+    """First timestamp/date-typed column; else the first string column one of whose name's
+    parts ("created_at": created, at) is a hint. Its values are read as timestamps where
+    they parse; a column of which none does has no freshness. Else None."""
     for f in df.schema.fields:
         if is_temporal_type(f.dataType):
             return f.name
     for f in df.schema.fields:
-        if is_string_type(f.dataType) and any(h in f.name.lower() for h in TIMESTAMP_NAME_HINTS):
+        parts = [p.lower() for p in _NAME_PART.findall(f.name)]
+        if is_string_type(f.dataType) and any(p in TIMESTAMP_NAME_HINTS for p in parts) and parts[:1] != ["at"]:
             return f.name
     return None
 
 
 def quality_report(tables: dict[str, DataFrame], pks: dict[str, list[str]], ts_columns: dict[str, str] | None,
-                   as_of: str) -> DataFrame:
+                   as_of: str, counts: DataFrame | None = None) -> DataFrame:
     """Q13 for every table (one fused aggregate each), unioned. With ``ts_columns=None``
-    the freshness column of each table is picked from its schema."""
+    the freshness column of each table is picked from its schema. ``counts``
+    (``profile.quality_counts`` of the same tables) saves the null pass."""
     if ts_columns is None:
         ts_columns = {t: c for t, df in tables.items() if (c := pick_timestamp_column(df))}
-    parts = [table_quality(df, t, pks.get(t), ts_columns.get(t), as_of) for t, df in tables.items()]
+    known = lambda t: None if counts is None else counts.where(F.col("table_name") == t).withColumnRenamed("row_count", "total_rows")
+    parts = [table_quality(df, t, pks.get(t), ts_columns.get(t), as_of, known(t)) for t, df in tables.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.withColumn("freshness_age_days", round_half_up("freshness_age_days", 6))
 
 
+def column_report(tables: dict[str, DataFrame]) -> DataFrame:
+    """Q13, per column: null_count, distinct_count, text min and max, mean and sample
+    standard deviation (null where a column has no numbers)."""
+    parts = [column_profile(df, metrics=("nulls", "distinct", "text_range", "moments")).select(
+        F.lit(t).alias("table_name"), "ordinal", "column_name", "null_count", "distinct_count", "min_value", "max_value",
+        round_half_up("mean_value", 4).alias("mean_value"), round_half_up("std_dev", 4).alias("std_dev"))
+        for t, df in tables.items()]
+    return union_all(parts)
+
+
 def _pct_text(c: Column) -> Column:
     return F.concat(round_half_up(c * 100, 1).cast("string"), F.lit("%"))
 
@@ -126,7 +149,7 @@ def null_band(pct: Column) -> Column:
 
 
 def quality_bands(overview: DataFrame) -> DataFrame:
-    """Q15: bands on the 1-dp percentages of ``quality_overview`` rows."""
+    """Q15: bands on the 1-dp percentages of ``quality_overview`` or ``null_overview`` rows."""
     comp = round_half_up(F.col("overall_completeness") * 100, 1)
     nul = round_half_up(F.col("null_rate") * 100, 1)
     return overview.select("table_name", "column_name", comp.alias("completeness_pct"),

@@ -33,7 +33,7 @@ def _status_label(c):
 
 def order_totals(items: DataFrame) -> DataFrame:
     """(order_id, total): sum of quantity * list_price * (1 - discount), exact in DECIMAL."""
-    amount = money(F.col("quantity") * F.col("list_price") * (1 - F.col("discount")))
+    amount = money(F.col("quantity") * F.col("list_price") * (1 - F.col("discount")), items)
     return items.groupBy("order_id").agg(F.sum(amount).alias("total"))
 
 

@@ -33,7 +33,7 @@ def query(name: str, sql: str | None = None):
 
 
 def tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
-    return load_tables(spark, sf_dir, names if names else None)
+    return load_tables(spark, sf_dir, names or ALL_TABLES)
 
 
 # Column lists of the test tables (DuckDB type names), used to generate oracle SQL.
@@ -62,6 +62,9 @@ TABLE_COLUMNS: dict[str, list[tuple[str, str]]] = {
     "conversations": [("conv_id", "BIGINT"), ("turn", "BIGINT"), ("role", "VARCHAR"), ("text", "VARCHAR")],
 }
 
+#: The test tables, in the order of their columns above.
+ALL_TABLES = list(TABLE_COLUMNS)
+
 # DuckDB type name -> Spark SQL type name, for catalog oracles.
 SPARK_TYPE = {"INTEGER": "int", "BIGINT": "bigint", "VARCHAR": "string", "DOUBLE": "double",
               "TIMESTAMP": "timestamp_ntz", "FLOAT[]": "array<float>"}

@@ -9,7 +9,7 @@ from tablescope.plans import bindings as B
 from tablescope.plans.base import R, q, query, tables, union_all
 from tablescope.sources.payload import parse_payload
 from tablescope.sources.sql import safe_sql
-from tablescope.sources.tables import register_views, sample_rows
+from tablescope.sources.tables import list_tables, register_views, sample_rows
 from tablescope.sources.upsert import upsert
 
 ROLES = B.ROLES
@@ -17,17 +17,18 @@ REVIEWS_SQL = ("(SELECT o_orderkey, CAST(substr(o_orderpriority, 1, 1) AS INTEGE
                "FROM orders WHERE o_orderstatus = 'F')")
 
 
-def DEC(e: str) -> str:
-    return f"CAST(({e}) AS DECIMAL(18,4))"
+def UNITS(e: str) -> str:
+    """Sum of money in whole millionths: exact in HUGEINT, independent of how the
+    implementation represents it."""
+    return f"sum(CAST(round(({e}) * 1000000.0) AS HUGEINT))"
 
 
-def DSUM(e: str) -> str:
-    return f"CAST(sum({DEC(e)}) AS DOUBLE)"
+def USUM(e: str) -> str:
+    return f"(CAST({UNITS(e)} AS DOUBLE) / 1000000.0)"
 
 
-def MAVG(e: str) -> str:
-    """SQL twin of ``money_avg``."""
-    return f"({DSUM(e)} / CAST(count({e}) AS DOUBLE))"
+def UAVG(e: str) -> str:
+    return f"({USUM(e)} / CAST(count({e}) AS DOUBLE))"
 
 
 def DAYS(a: str, b: str) -> str:
@@ -55,8 +56,8 @@ def q_kpi_status_share(spark, sf):
     return kpi.kpi_status_share(tables(spark, sf, "orders")["orders"], "o_orderstatus")
 
 
-@query("kpi_revenue", f"""SELECT {R(f"coalesce({DSUM('l_extendedprice')}, 0)", 2)} AS total_revenue,
-  {R(f"coalesce({DSUM('l_extendedprice')} / count(l_extendedprice), 0)", 2)} AS avg_item_price FROM lineitem""")
+@query("kpi_revenue", f"""SELECT {R(f"coalesce({USUM('l_extendedprice')}, 0)", 2)} AS total_revenue,
+  {R(f"coalesce({USUM('l_extendedprice')} / count(l_extendedprice), 0)", 2)} AS avg_item_price FROM lineitem""")
 def q_kpi_revenue(spark, sf):
     return kpi.kpi_revenue(tables(spark, sf, "lineitem")["lineitem"], "l_extendedprice")
 
@@ -65,13 +66,13 @@ ENTITIES = [("products", "part"), ("sellers", "supplier"), ("customers", "custom
 
 
 @query("kpi_entity_counts", union_all(
-    [f"SELECT {q(e)} AS entity, count(*) AS entity_count FROM {t}" for e, t in ENTITIES]
-    + [f"SELECT 'reviews' AS entity, count(*) AS entity_count FROM {REVIEWS_SQL}"]))
+    [f"SELECT {q(e)} AS entity, count(*) AS entity_count, 14 AS total_tables FROM {t}" for e, t in ENTITIES]
+    + [f"SELECT 'reviews' AS entity, count(*) AS entity_count, 14 AS total_tables FROM {REVIEWS_SQL}"]))
 def q_kpi_entity_counts(spark, sf):
     t = tables(spark, sf, "part", "supplier", "customer", "orders")
     ents = {e: t[n] for e, n in ENTITIES}
     ents["reviews"] = B.reviews(t["orders"])
-    return kpi.kpi_entity_counts(ents)
+    return kpi.kpi_entity_counts(ents, len(list_tables(spark, sf)))
 
 
 @query("kpi_score_distribution", f"""WITH r AS {REVIEWS_SQL}
@@ -89,13 +90,13 @@ def q_kpi_category_top5(spark, sf):
 
 
 @query("kpi_derived", f"""WITH po AS (
-  SELECT l_orderkey AS ok, sum({DEC('l_extendedprice')}) AS v, count(*) AS n,
-         sum({DEC('l_extendedprice * l_tax')}) AS f, max(l_shipdate) AS d FROM lineitem GROUP BY l_orderkey),
+  SELECT l_orderkey AS ok, {UNITS('l_extendedprice')} AS v, count(*) AS n,
+         {UNITS('l_extendedprice * l_tax')} AS f, max(l_shipdate) AS d FROM lineitem GROUP BY l_orderkey),
 j AS (SELECT * FROM orders o JOIN po ON o.o_orderkey = po.ok)
-SELECT count(*) AS orders_with_items, {R('CAST(sum(v) AS DOUBLE) / count(*)', 2)} AS avg_order_value,
+SELECT count(*) AS orders_with_items, {R('CAST(sum(v) AS DOUBLE) / 1000000.0 / count(*)', 2)} AS avg_order_value,
   {R('CAST(sum(n) AS DOUBLE) / count(*)', 4)} AS items_per_order,
   {R(AVG_DAYS('o_orderdate', 'd'), 4)} AS avg_delivery_days,
-  {R('CAST(sum(f) AS DOUBLE)', 2)} AS total_freight FROM j""")
+  {R('CAST(sum(f) AS DOUBLE) / 1000000.0', 2)} AS total_freight FROM j""")
 def q_kpi_derived(spark, sf):
     t = tables(spark, sf, "orders", "lineitem")
     return kpi.kpi_derived(t["orders"], t["lineitem"], "o_orderkey", "l_orderkey", "l_extendedprice",
@@ -103,8 +104,8 @@ def q_kpi_derived(spark, sf):
 
 
 @query("measure_summary", f"""SELECT count(*) AS total_rows,
-  {R(f"coalesce({DSUM('l_extendedprice')}, 0)", 2)} AS total_value,
-  {R(f"{DSUM('l_extendedprice')} / count(l_extendedprice)", 2)} AS avg_value FROM lineitem""")
+  {R('coalesce(sum(l_extendedprice), 0)', 2)} AS total_value,
+  {R('avg(l_extendedprice)', 2)} AS avg_value FROM lineitem""")
 def q_measure_summary(spark, sf):
     return kpi.measure_summary(tables(spark, sf, "lineitem")["lineitem"], "l_extendedprice")
 
@@ -121,14 +122,14 @@ def q_group_count_topn(spark, sf):
     return kpi.group_count_topn(tables(spark, sf, "customer")["customer"], "c_nationkey", 10)
 
 
-@query("group_sum_topn", f"""SELECT l_partkey, count(*) AS times_ordered, {R(DSUM('l_extendedprice'), 2)} AS total_revenue
-FROM lineitem GROUP BY l_partkey ORDER BY sum({DEC('l_extendedprice')}) DESC, l_partkey LIMIT 10""")
+@query("group_sum_topn", f"""SELECT l_partkey, count(*) AS times_ordered, {R('sum(l_extendedprice)', 2)} AS total_revenue
+FROM lineitem GROUP BY l_partkey ORDER BY sum(l_extendedprice) DESC, l_partkey LIMIT 10""")
 def q_group_sum_topn(spark, sf):
     return kpi.group_sum_topn(tables(spark, sf, "lineitem")["lineitem"], "l_partkey", "l_extendedprice", 10)
 
 
 @query("group_avg", f"""SELECT o_orderpriority, count(*) AS row_count,
-  {R(MAVG('o_totalprice'), 2)} AS avg_o_totalprice FROM orders GROUP BY o_orderpriority""")
+  {R('avg(o_totalprice)', 2)} AS avg_o_totalprice FROM orders GROUP BY o_orderpriority""")
 def q_group_avg(spark, sf):
     return kpi.group_avg(tables(spark, sf, "orders")["orders"], "o_orderpriority", "o_totalprice")
 
@@ -144,8 +145,8 @@ def q_monthly_trend(spark, sf):
 def _m1_sql(order_filter: str = "TRUE", item_filter: str = "TRUE") -> str:
     rev = "l.l_extendedprice + l.l_extendedprice * l.l_tax"
     return (f"SELECT CAST(o.o_orderdate AS DATE) AS date, count(DISTINCT o.o_orderkey) AS total_orders, "
-            f"{R(f'coalesce({DSUM(rev)}, 0)', 2)} AS total_revenue, "
-            f"{R(f'coalesce({DSUM(rev)} / count(*), 0)', 2)} AS avg_order_value, "
+            f"{R(f'coalesce({USUM(rev)}, 0)', 2)} AS total_revenue, "
+            f"{R(f'coalesce({USUM(rev)} / count(*), 0)', 2)} AS avg_order_value, "
             f"count(*) AS total_items_sold, count(DISTINCT o.o_custkey) AS unique_customers "
             f"FROM (SELECT * FROM orders WHERE {order_filter}) o "
             f"JOIN (SELECT * FROM lineitem WHERE {item_filter}) l ON o.o_orderkey = l.l_orderkey "
@@ -164,7 +165,7 @@ def _m23_from() -> str:
 
 
 @query("mart_seller_performance", f"""SELECT l.l_suppkey AS seller_id, count(DISTINCT l.l_orderkey) AS total_orders,
-  {R(DSUM('l.l_extendedprice'), 2)} AS total_revenue, {R('avg(CAST(r.score AS DOUBLE))', 4)} AS avg_review_score,
+  {R(USUM('l.l_extendedprice'), 2)} AS total_revenue, {R('avg(CAST(r.score AS DOUBLE))', 4)} AS avg_review_score,
   {R(AVG_DAYS('o.o_orderdate', 'l.l_shipdate'), 4)} AS avg_delivery_days,
   {R("CAST(sum(CASE WHEN o.o_orderstatus = 'P' THEN 1 ELSE 0 END) AS DOUBLE) / count(*)", 4)} AS cancellation_rate
 {_m23_from()} GROUP BY l.l_suppkey""")
@@ -174,8 +175,8 @@ def q_mart_seller_performance(spark, sf):
 
 
 @query("mart_product_metrics", f"""SELECT l.l_partkey AS product_id, {R('sum(l.l_quantity)', 4)} AS total_sold,
-  {R(DSUM('l.l_extendedprice * l.l_quantity'), 2)} AS total_revenue,
-  {R(MAVG('l.l_extendedprice'), 4)} AS avg_price,
+  {R(USUM('l.l_extendedprice * l.l_quantity'), 2)} AS total_revenue,
+  {R(UAVG('l.l_extendedprice'), 4)} AS avg_price,
   {R('avg(CAST(r.score AS DOUBLE))', 4)} AS avg_review_score,
   {R("CAST(sum(CASE WHEN l.l_returnflag = 'R' THEN 1 ELSE 0 END) AS DOUBLE) / count(*)", 4)} AS return_rate
 {_m23_from()} GROUP BY l.l_partkey""")
@@ -189,7 +190,7 @@ _SEG_DESC = "CASE segment_name " + " ".join(
 
 
 @query("mart_customer_segments", f"""WITH per AS (
-  SELECT o_custkey, count(*) AS n_orders, {DSUM('o_totalprice')} AS spend, max(o_orderdate) AS last_order
+  SELECT o_custkey, count(*) AS n_orders, {USUM('o_totalprice')} AS spend, max(o_orderdate) AS last_order
   FROM orders GROUP BY o_custkey),
 cut AS (SELECT quantile_cont(spend, 0.9) AS c FROM per),
 seg AS (SELECT per.*, cut.c, {DAYS('last_order', f"TIMESTAMP {q(B.AS_OF_ORDERS)}")} AS days FROM per, cut),
@@ -197,9 +198,9 @@ lab AS (SELECT CASE WHEN days > 365 THEN 'Churned' WHEN days > 180 THEN 'At Risk
                     WHEN spend >= c AND n_orders >= 3 THEN 'VIP' WHEN n_orders = 1 AND days <= 90 THEN 'New'
                     WHEN n_orders >= 2 THEN 'Regular' ELSE 'Other' END AS segment_name, n_orders, spend FROM seg)
 SELECT segment_name, count(*) AS customer_count,
-  {R(f"{DSUM('spend')} / sum(n_orders)", 2)} AS avg_order_value,
+  {R(f"{USUM('spend')} / sum(n_orders)", 2)} AS avg_order_value,
   {R('CAST(sum(n_orders) AS DOUBLE) / count(*)', 4)} AS avg_orders_per_customer,
-  {R(DSUM('spend'), 2)} AS total_revenue, {_SEG_DESC} AS description
+  {R(USUM('spend'), 2)} AS total_revenue, {_SEG_DESC} AS description
 FROM lab GROUP BY segment_name""")
 def q_mart_customer_segments(spark, sf):
     return marts.customer_segments(tables(spark, sf, "orders")["orders"], B.AS_OF_ORDERS, ROLES)
@@ -267,7 +268,7 @@ def q_json_payload(spark, sf):
 # --- R1-R7 ----------------------------------------------------------------------------
 
 _IT = ("it AS (SELECT l_orderkey AS order_id, "
-       f"sum({DEC('l_quantity * (l_extendedprice / l_quantity) * (1 - l_discount)')}) AS total "
+       f"{UNITS('l_quantity * (l_extendedprice / l_quantity) * (1 - l_discount)')} AS total "
        "FROM lineitem GROUP BY l_orderkey)")
 _ST = ("pairs AS (SELECT DISTINCT s.s_nationkey AS store_id, l.l_partkey AS product_id FROM lineitem l "
        "JOIN supplier s ON s.s_suppkey = l.l_suppkey), "
@@ -285,7 +286,7 @@ def _retail(spark, sf):
 @query("retail_orders", f"""WITH {_IT}
 SELECT o.o_orderkey AS order_id, c.c_name AS customer, n.n_name AS store,
   CAST({_STATUS_CODE} AS INTEGER) AS status_code, {_STATUS_LABEL} AS status,
-  {R('coalesce(CAST(it.total AS DOUBLE), 0)', 2)} AS total
+  {R('coalesce(CAST(it.total AS DOUBLE) / 1000000.0, 0)', 2)} AS total
 FROM orders o LEFT JOIN customer c ON c.c_custkey = o.o_custkey LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey
 LEFT JOIN it ON it.order_id = o.o_orderkey""")
 def q_retail_orders(spark, sf):
@@ -297,7 +298,7 @@ def q_retail_orders(spark, sf):
 j AS (SELECT n.n_name AS store_name, it.total FROM orders o JOIN it ON it.order_id = o.o_orderkey
       LEFT JOIN customer c ON c.c_custkey = o.o_custkey LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey)
 SELECT CASE WHEN grouping(store_name) = 1 THEN 'ALL' ELSE store_name END AS store,
-  grouping(store_name) = 1 AS is_total, {R('CAST(sum(total) AS DOUBLE)', 2)} AS revenue, count(*) AS orders
+  grouping(store_name) = 1 AS is_total, {R('CAST(sum(total) AS DOUBLE) / 1000000.0', 2)} AS revenue, count(*) AS orders
 FROM j GROUP BY ROLLUP (store_name)""")
 def q_retail_revenue_by_store(spark, sf):
     r = _retail(spark, sf)

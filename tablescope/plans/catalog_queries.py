@@ -6,15 +6,21 @@ over the tables, so every query reads the given data.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablescope.operators import catalog, dictionary, lineage, profile
+from tablescope.functions.exprs import numeric_columns, ratio, round_half_up
+from tablescope.operators import catalog, dictionary, keys, kpi, lineage, profile, report
+from tablescope.operators.constraints import primary_keys
 from tablescope.plans import bindings as B
-from tablescope.plans.base import R, TABLE_COLUMNS, q, query, tables, type_case, union_all
-from tablescope.plans.quality_queries import SQL_QUALITY_OVERVIEW, _fk_list, _report
-from tablescope.session import materialize
+from tablescope.plans.base import ALL_TABLES, R, TABLE_COLUMNS, q, query, tables, type_case, union_all
+from tablescope.plans.quality_queries import REPORT_AS_OF, SQL_QUALITY_OVERVIEW, SQL_REPORT, _fk_list
+from tablescope.session import checkpoint_dir, materialize
 from tablescope.sources import sinks
-from tablescope.sources.tables import ALL_TABLES, register_views
+from tablescope.sources.tables import list_tables, load_tables
 
 # --- shared SQL fragments ---------------------------------------------------------------
 
@@ -56,23 +62,50 @@ def _with_counts(df, t):
     return df.join(catalog.row_counts(t), "table_name", "left")
 
 
+NULLS_SQL = "nulls AS (" + union_all([
+    f"SELECT {q(t)} AS table_name, {q(c)} AS column_name, count(*) AS row_count, count(*) - count({c}) AS null_count FROM {t}"
+    for t in ALL_TABLES for c, _ in TABLE_COLUMNS[t]]) + ")"
+
+
+def _with_nulls(df, t):
+    """Metadata of columns beside what the data says: rows and observed nulls."""
+    return df.join(catalog.column_nulls(t), ["table_name", "column_name"], "left")
+
+
+def _with_integrity(edges, t):
+    """Edges beside what the data says: rows of both sides, orphan rows, rows a parent."""
+    ri = keys.referential_integrity(t, _fk_list()).select("constraint_name", F.col("child_rows").alias("source_rows"), "orphan_rows")
+    counts = catalog.row_counts(t).select(F.col("table_name").alias("target"), F.col("row_count").alias("target_rows"))
+    fan = round_half_up(ratio("source_rows", "target_rows"), 4).alias("fan_out")
+    return edges.join(ri, "constraint_name", "left").join(counts, "target", "left").select(
+        *edges.columns, "source_rows", "target_rows", "orphan_rows", fan)
+
+
+INTEGRITY_SQL = "ri AS (" + union_all([
+    f"SELECT {q(fk.name)} AS constraint_name, (SELECT count(*) FROM {fk.table}) AS source_rows, "
+    f"(SELECT count(*) FROM {fk.ref_table}) AS target_rows, (SELECT count(*) FROM {fk.table} c WHERE "
+    + " AND ".join(f"c.{c} IS NOT NULL" for c in fk.columns)
+    + f" AND NOT EXISTS (SELECT 1 FROM {fk.ref_table} p WHERE "
+    + " AND ".join(f"c.{c} = p.{rc}" for c, rc in fk.pairs) + ")) AS orphan_rows" for fk in _fk_list()]) + ")"
+_FACTS = f"ri.source_rows, ri.target_rows, ri.orphan_rows, {R('CAST(ri.source_rows AS DOUBLE) / ri.target_rows', 4)} AS fan_out"
+
+
 # --- C1-C12 ---------------------------------------------------------------------------
 
-@query("catalog_tables")
+@query("catalog_tables", union_all([
+    f"SELECT {q(t)} AS table_name, 'BASE TABLE' AS table_type, count(*) AS row_count FROM {t}" for t in ALL_TABLES]))
 def q_catalog_tables(spark, sf):
-    """Tables registered in the session catalog (as temp views) with row counts."""
-    t = tables(spark, sf)
-    register_views(t)
-    listed = catalog.tables_df(spark, None).where(F.col("table_name").isin(*ALL_TABLES))
-    return listed.join(catalog.row_counts(t), "table_name").select("table_name", "table_type", "is_temporary",
-                                                                   "row_count")
+    """The base tables that the source holds, with row counts."""
+    t = load_tables(spark, sf)
+    return catalog.row_counts(t).select("table_name", F.lit("BASE TABLE").alias("table_type"), "row_count")
 
 
-@query("catalog_columns", f"""WITH {KEYED_SQL}
-SELECT keyed.*, counts.row_count FROM keyed LEFT JOIN counts ON counts.table_name = keyed.table_name""")
+@query("catalog_columns", f"""WITH {KEYED_SQL}, {NULLS_SQL}
+SELECT keyed.*, CAST(NULL AS VARCHAR) AS default_value, nulls.row_count, nulls.null_count
+FROM keyed LEFT JOIN nulls ON nulls.table_name = keyed.table_name AND nulls.column_name = keyed.column_name""")
 def q_catalog_columns(spark, sf):
     t, cons, cols = _base(spark, sf)
-    return _with_counts(cols, t)
+    return _with_nulls(cols, t)
 
 
 def _sql_constraints() -> str:
@@ -97,7 +130,8 @@ def _sql_constraints() -> str:
         ref_cols = ",".join(r[6] for r in rs) if kind == "fk" else None
         parts.append(f"SELECT {q(t)} AS table_name, {q(kind)} AS kind, {q(name)} AS constraint_name, "
                      f"{q(','.join(cols))} AS columns, CAST({_sqlv(rs[0][5])} AS VARCHAR) AS ref_table, "
-                     f"CAST({_sqlv(ref_cols)} AS VARCHAR) AS ref_columns, CAST({v} AS BIGINT) AS violations")
+                     f"CAST({_sqlv(ref_cols)} AS VARCHAR) AS ref_columns, CAST({_sqlv(rs[0][7])} AS VARCHAR) AS expression, "
+                     f"CAST({v} AS BIGINT) AS violations")
     return union_all(parts)
 
 
@@ -122,6 +156,35 @@ def q_tables_overview(spark, sf):
     return catalog.tables_overview(tables(spark, sf))
 
 
+@query("tables_by_schema", f"""SELECT schema_name, string_agg(table_name, ',' ORDER BY table_name) AS tables,
+  count(*) AS table_count, CAST(sum(row_count) AS BIGINT) AS total_rows FROM ({OVERVIEW_SQL}) GROUP BY schema_name""")
+def q_tables_by_schema(spark, sf):
+    g = catalog.tables_by_schema(catalog.tables_overview(tables(spark, sf)))
+    return g.select("schema_name", F.concat_ws(",", "tables").alias("tables"), "table_count", "total_rows")
+
+
+@query("table_roles", union_all([f"SELECT {q(r)} AS role, {q(t)} AS table_name, count(*) AS row_count FROM {t}"
+                                 for r, t in (("orders", "orders"), ("customers", "customer"), ("products", "lineitem"))]))
+def q_table_roles(spark, sf):
+    """K8: which of the source's tables plays which part, by name, with its rows."""
+    roles = kpi.match_table_roles(list_tables(spark, sf))
+    counts = catalog.row_counts(tables(spark, sf, *roles.values()))
+    named = spark.createDataFrame(list(roles.items()), "role STRING, table_name STRING")
+    return named.join(counts, "table_name").select("role", "table_name", "row_count")
+
+
+@query("snapshot_roundtrip", f"""WITH cols AS ({COLS_SQL}), counts AS ({COUNTS_SQL})
+SELECT cols.*, CAST(NULL AS VARCHAR) AS default_value, counts.row_count
+FROM cols JOIN counts ON counts.table_name = cols.table_name""")
+def q_snapshot_roundtrip(spark, sf):
+    """The schema snapshot as it is read back after being saved twice."""
+    t = tables(spark, sf)
+    path = f"{checkpoint_dir(spark, fallback='file://' + tempfile.gettempdir())}/snapshot-{uuid.uuid4().hex}"
+    for _ in range(2):
+        sinks.save_snapshot(catalog.schema_columns(t), path, "now")
+    return _with_counts(sinks.load_snapshot(spark, path, "now"), t)
+
+
 @query("table_size_top8", f"""WITH o AS ({OVERVIEW_SQL})
 SELECT table_name, row_count, CAST(sum(row_count) OVER () AS BIGINT) AS total_rows, count(*) OVER () AS table_count,
   {R('CAST(row_count AS DOUBLE) * 100.0 / greatest(max(row_count) OVER (), 1)', 1)} AS bar_pct
@@ -152,9 +215,12 @@ def q_schema_snapshot(spark, sf):
                     F.concat_ws(",", "foreign_keys").alias("foreign_keys"))
 
 
+_ENTRY = ("column_name || ':' || data_type || ':' || CASE WHEN nullable THEN 'true' ELSE 'false' END || ':' || "
+          "concat_ws(',', CASE WHEN is_primary_key THEN 'PK' END, foreign_key_ref)")
+
+
 @query("schema_fingerprint", f"""WITH {KEYED_SQL}
-SELECT k.table_name, md5(string_agg(column_name || ':' || data_type || ':' || CASE WHEN nullable THEN 'true' ELSE 'false' END,
-  '|' ORDER BY column_name || ':' || data_type || ':' || CASE WHEN nullable THEN 'true' ELSE 'false' END)) AS schema_hash,
+SELECT k.table_name, md5(string_agg({_ENTRY}, '|' ORDER BY {_ENTRY})) AS schema_hash,
   count(*) AS column_count, max(counts.row_count) AS row_count
 FROM keyed k JOIN counts ON counts.table_name = k.table_name GROUP BY k.table_name""")
 def q_schema_fingerprint(spark, sf):
@@ -182,16 +248,18 @@ _NEW_COLS_SQL = union_all([
 j AS (SELECT coalesce(o.table_name, n.table_name) AS table_name, coalesce(o.column_name, n.column_name) AS column_name,
         o.data_type AS old_type, n.data_type AS new_type
       FROM o FULL OUTER JOIN n ON o.table_name = n.table_name AND o.column_name = n.column_name)
-SELECT j.table_name, column_name,
+SELECT table_name, column_name,
   CASE WHEN old_type IS NULL THEN 'added' WHEN new_type IS NULL THEN 'removed'
-       WHEN old_type <> new_type THEN 'type_changed' END AS change, old_type, new_type, counts.row_count
-FROM j LEFT JOIN ({COUNTS_SQL}) counts ON counts.table_name = j.table_name
+       WHEN old_type <> new_type THEN 'type_changed' END AS change, old_type, new_type,
+  CASE column_name WHEN 'o_year' THEN (SELECT count(o_orderdate) FROM orders) WHEN 'l_linestatus' THEN (SELECT count(l_linestatus) FROM lineitem)
+    ELSE (SELECT count(*) FROM lineitem WHERE l_quantity <> floor(l_quantity)) END AS affected_rows
+FROM j
 WHERE old_type IS NULL OR new_type IS NULL OR old_type <> new_type""")
 def q_schema_diff(spark, sf):
     t = tables(spark, sf)
     new = _migrated(t)
     diff = catalog.schema_diff(catalog.schema_columns(t), catalog.schema_columns(new))
-    return diff.join(catalog.row_counts(new), "table_name", "left")
+    return diff.join(catalog.change_impact(t, new), ["table_name", "column_name"], "left")
 
 
 # --- L1-L6, J3 ------------------------------------------------------------------------
@@ -200,18 +268,10 @@ def _edges(spark):
     return lineage.lineage_edges(B.constraints(spark))
 
 
-@query("lineage_edges", f"""WITH cons AS ({CONS_SQL}), counts AS ({COUNTS_SQL}), e AS ({EDGES_SQL})
-SELECT e.*, s.row_count AS source_rows, t.row_count AS target_rows
-FROM e LEFT JOIN counts s ON s.table_name = e.source LEFT JOIN counts t ON t.table_name = e.target""")
+@query("lineage_edges", f"""WITH cons AS ({CONS_SQL}), e AS ({EDGES_SQL}), {INTEGRITY_SQL}
+SELECT e.*, {_FACTS} FROM e LEFT JOIN ri ON ri.constraint_name = e.constraint_name""")
 def q_lineage_edges(spark, sf):
-    t = tables(spark, sf)
-    counts = catalog.row_counts(t)
-    e = _edges(spark)
-    return (e.join(counts.select(F.col("table_name").alias("source"), F.col("row_count").alias("source_rows")),
-                   "source", "left")
-            .join(counts.select(F.col("table_name").alias("target"), F.col("row_count").alias("target_rows")),
-                  "target", "left")
-            .select("source", "target", "label", "constraint_name", "position", "source_rows", "target_rows"))
+    return _with_integrity(_edges(spark), tables(spark, sf))
 
 
 NODES_SQL = f"""cons AS ({CONS_SQL}), e AS ({EDGES_SQL}), o AS ({OVERVIEW_SQL}),
@@ -229,15 +289,22 @@ def q_lineage_nodes(spark, sf):
 FOCUS = "orders"
 
 
-@query("lineage_neighbors", f"""WITH cons AS ({CONS_SQL}), e AS ({EDGES_SQL}), counts AS ({COUNTS_SQL}),
-n AS (SELECT 'upstream' AS direction, target AS table_name, label FROM e WHERE source = {q(FOCUS)}
-      UNION ALL SELECT 'downstream', source, label FROM e WHERE target = {q(FOCUS)})
-SELECT {q(FOCUS)} AS focus_table, n.direction, n.table_name, n.label, counts.row_count
-FROM n LEFT JOIN counts ON counts.table_name = n.table_name""")
+@query("lineage_neighbors", f"""WITH cons AS ({CONS_SQL}), e AS ({EDGES_SQL}), {INTEGRITY_SQL},
+x AS (SELECT e.*, {_FACTS} FROM e LEFT JOIN ri ON ri.constraint_name = e.constraint_name)
+SELECT {q(FOCUS)} AS focus_table, 'upstream' AS direction, target AS table_name, label, target_rows AS row_count, orphan_rows, fan_out
+FROM x WHERE source = {q(FOCUS)}
+UNION ALL SELECT {q(FOCUS)}, 'downstream', source, label, source_rows, orphan_rows, fan_out FROM x WHERE target = {q(FOCUS)}""")
 def q_lineage_neighbors(spark, sf):
     t = tables(spark, sf)
-    return lineage.lineage_neighbors(_edges(spark), FOCUS).join(catalog.row_counts(t), "table_name", "left") \
-        .select("focus_table", "direction", "table_name", "label", "row_count")
+    edges = _edges(spark)
+    facts = _with_integrity(edges, t)
+    near = lineage.lineage_neighbors(edges, FOCUS)
+    other = F.when(F.col("source") == FOCUS, F.col("target")).otherwise(F.col("source"))
+    facts = facts.where((F.col("source") == FOCUS) | (F.col("target") == FOCUS)).select(
+        other.alias("table_name"), "label", "orphan_rows", "fan_out",
+        F.when(F.col("source") == FOCUS, F.col("target_rows")).otherwise(F.col("source_rows")).alias("row_count"))
+    return near.join(facts, ["table_name", "label"], "left").select(
+        "focus_table", "direction", "table_name", "label", "row_count", "orphan_rows", "fan_out")
 
 
 @query("lineage_isolated", f"""WITH {NODES_SQL}
@@ -247,24 +314,25 @@ def q_lineage_isolated(spark, sf):
     return lineage.lineage_isolated(nodes, _edges(spark))
 
 
-@query("lineage_columns", f"""WITH {KEYED_SQL}
+@query("lineage_columns", f"""WITH {KEYED_SQL}, {NULLS_SQL}, e AS ({EDGES_SQL})
 SELECT k.table_name, k.column_name, k.data_type, k.is_primary_key, k.is_foreign_key,
   (SELECT count(DISTINCT table_name) FROM keyed) AS table_count, (SELECT count(*) FROM keyed) AS column_count,
-  counts.row_count FROM keyed k LEFT JOIN counts ON counts.table_name = k.table_name""")
+  (SELECT count(*) FROM e) AS relationship_count, nulls.row_count, nulls.null_count
+FROM keyed k LEFT JOIN nulls ON nulls.table_name = k.table_name AND nulls.column_name = k.column_name""")
 def q_lineage_columns(spark, sf):
     t, cons, cols = _base(spark, sf)
-    return _with_counts(lineage.lineage_columns(cols), t)
+    return _with_nulls(lineage.lineage_columns(cols, lineage.lineage_edges(cons)), t)
 
 
-@query("er_columns", f"""WITH {KEYED_SQL}
+@query("er_columns", f"""WITH {KEYED_SQL}, {NULLS_SQL}
 SELECT replace(k.table_name, '.', '_') AS table_id, k.ordinal_position, upper(split_part(k.data_type, '(', 1)) AS type_name,
   k.column_name, CASE WHEN k.is_primary_key THEN 'PK' ELSE '' END AS pk_mark,
-  CASE WHEN k.is_foreign_key THEN 'FK' ELSE '' END AS fk_mark, counts.row_count
-FROM keyed k LEFT JOIN counts ON counts.table_name = k.table_name""")
+  CASE WHEN k.is_foreign_key THEN 'FK' ELSE '' END AS fk_mark, nulls.row_count, nulls.null_count
+FROM keyed k LEFT JOIN nulls ON nulls.table_name = k.table_name AND nulls.column_name = k.column_name""")
 def q_er_columns(spark, sf):
     t, cons, cols = _base(spark, sf)
-    return lineage.er_columns(cols).join(
-        catalog.row_counts(t).withColumnRenamed("table_name", "table_id"), "table_id", "left")
+    facts = catalog.column_nulls(t).withColumn("table_id", F.regexp_replace("table_name", r"\.", "_")).drop("table_name")
+    return lineage.er_columns(cols).join(facts, ["table_id", "column_name"], "left")
 
 
 @query("fk_join_preview", """SELECT a.l_orderkey AS a_l_orderkey, a.l_partkey AS a_l_partkey, a.l_suppkey AS a_l_suppkey,
@@ -295,11 +363,11 @@ DOCS_COLS_SQL = (f"SELECT table_name, ordinal_position, column_name, data_type,
                  f"{DESC_SQL} AS description, {USE_SQL} AS business_use FROM keyed")
 
 
-@query("docs_columns", f"""WITH {KEYED_SQL}, d AS ({DOCS_COLS_SQL})
-SELECT d.*, counts.row_count FROM d LEFT JOIN counts ON counts.table_name = d.table_name""")
+@query("docs_columns", f"""WITH {KEYED_SQL}, {NULLS_SQL}, d AS ({DOCS_COLS_SQL})
+SELECT d.*, nulls.row_count, nulls.null_count FROM d LEFT JOIN nulls ON nulls.table_name = d.table_name AND nulls.column_name = d.column_name""")
 def q_docs_columns(spark, sf):
     t, cons, cols = _base(spark, sf)
-    return _with_counts(dictionary.document_columns(cols), t)
+    return _with_nulls(dictionary.document_columns(cols), t)
 
 
 FACTS_SQL = """facts AS (SELECT k.table_name, count(*) AS column_count, count(*) FILTER (WHERE nullable) AS nullable_count,
@@ -324,6 +392,19 @@ def q_docs_tables(spark, sf):
     return dictionary.document_tables(cols, catalog.tables_overview(t))
 
 
+@query("docs_fallback", f"""WITH {KEYED_SQL}, {FACTS_SQL}
+SELECT k.table_name, 'This table contains ' || max(facts.row_count) || ' records for ' || k.table_name || '.' AS business_summary,
+  string_agg(column_name || '=' || data_type, ',' ORDER BY column_name) AS column_descriptions,
+  'Join with related tables using foreign keys,Check data quality metrics before analysis' AS usage_recommendations
+FROM keyed k JOIN facts ON facts.table_name = k.table_name GROUP BY k.table_name""")
+def q_docs_fallback(spark, sf):
+    t, cons, cols = _base(spark, sf)
+    d = dictionary.fallback_documentation(cols, catalog.tables_overview(t))
+    pairs = F.transform(F.array_sort(F.map_entries("column_descriptions")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return d.select("table_name", "business_summary", F.concat_ws(",", pairs).alias("column_descriptions"),
+                    F.concat_ws(",", "usage_recommendations").alias("usage_recommendations"))
+
+
 _SCALE = dictionary.INSIGHT_SCALE.split("{rows}")
 
 
@@ -365,16 +446,16 @@ dict AS (SELECT k.table_name, k.ordinal_position, k.column_name, k.data_type, k.
 
 
 def _dictionary(spark, sf):
-    """Shared inputs of the composite dictionary queries: one unfiltered quality
-    frame gives both the per-column quality and the per-table overview."""
+    """Shared inputs of the composite dictionary queries: one profile of every table
+    gives the per-column quality, the per-table overview and the quality report."""
     t, cons, cols = _base(spark, sf)
     # one row per column of every table: small, and reused by every part of the
     # export, so it is checkpointed to the shared folder once
-    quality_all = materialize(profile.quality_overview(t, skip_empty=False))
-    quality = quality_all.where(F.col("row_count") > 0)
+    counts = materialize(profile.quality_counts(t))
+    quality = counts.drop("null_count").where(F.col("row_count") > 0)
     docs = dictionary.document_columns(cols)
     return t, cons, cols, quality, docs, dictionary.data_dictionary(cols, quality, docs), \
-        catalog.overview_from_quality(quality_all)
+        catalog.overview_from_quality(counts), counts
 
 
 @query("data_dictionary", f"WITH {KEYED_SQL}, {DICT_SQL} SELECT * FROM dict")
@@ -394,7 +475,7 @@ SELECT l.table_name, td.business_description AS summary, td.row_count,
   l.column_lines, CAST(greatest(l.n - 20, 0) AS INTEGER) AS more_columns
 FROM lines l JOIN td ON td.table_name = l.table_name LEFT JOIN tq ON tq.table_name = l.table_name""")
 def q_table_digest(spark, sf):
-    t, cons, cols, quality, docs, dic, overview = _dictionary(spark, sf)
+    t, cons, cols, quality, docs, dic, overview, _ = _dictionary(spark, sf)
     tq = quality.select("table_name", "overall_completeness").distinct()
     return dictionary.table_digest(dic, dictionary.document_tables(cols, overview), tq)
 
@@ -411,21 +492,83 @@ def q_stat_highlights(spark, sf):
 
 # --- S4, S5 -----------------------------------------------------------------------------
 
-def _document_inputs(spark, sf):
-    t, cons, cols, quality, docs, _, overview = _dictionary(spark, sf)
-    rep = materialize(_report(spark, sf)[2])  # one row per table
-    tdoc = dictionary.document_tables(cols, overview)
-    return cols, docs, quality, rep, tdoc, lineage.lineage_edges(cons)
+def _numeric_stats(t: dict) -> DataFrame:
+    """Text range and moments of the numeric columns of every table (D8's input)."""
+    parts = []
+    for name, df in t.items():
+        cols = numeric_columns(df)
+        if cols:
+            p = profile.column_profile(df, cols, metrics=("text_range", "moments"))
+            parts.append(p.select(F.lit(name).alias("table_name"), "column_name", "min_value", "max_value", "mean_value", "std_dev"))
+    return profile.union_all(parts)
 
 
-@query("dictionary_export")
+def _document_inputs(spark, sf):
+    t, cons, cols, quality, docs, _, overview, counts = _dictionary(spark, sf)
+    # one row per table, read by several parts of the document
+    rep = materialize(report.quality_report(t, primary_keys(cons), B.TS_COLUMNS, REPORT_AS_OF, counts))
+    tdoc = dictionary.document_tables(cols, overview)
+    stats = materialize(_numeric_stats(t))  # one row a numeric column
+    return cols, docs, quality, rep, tdoc, lineage.lineage_edges(cons), stats, dictionary.fallback_documentation(cols, overview)
+
+
+STATS_SQL = "stats AS (" + union_all([
+    f"SELECT {q(t)} AS table_name, {q(c)} AS column_name, min(CAST({c} AS VARCHAR)) AS min_value, max(CAST({c} AS VARCHAR)) AS max_value, "
+    f"avg(CAST({c} AS DOUBLE)) AS mean_value, stddev_samp(CAST({c} AS DOUBLE)) AS std_dev FROM {t}"
+    for t in ALL_TABLES for c, ty in TABLE_COLUMNS[t] if ty in ("BIGINT", "INTEGER", "DOUBLE")]) + ")"
+DOCUMENT_SQL = f"{KEYED_SQL}, {FACTS_SQL}, {DICT_SQL}, td AS ({TABLES_DOC_SQL}), rep AS ({SQL_REPORT}), e AS ({EDGES_SQL}), {STATS_SQL}"
+
+
+@query("dictionary_export", f"""WITH {DOCUMENT_SQL}
+SELECT 'testdata' AS database, d.table_name, d.ordinal_position, d.column_name AS name, d.data_type AS type, d.nullable,
+  d.is_primary_key, d.is_foreign_key, k.foreign_key_ref, d.null_rate, d.distinct_count, s.min_value, s.max_value,
+  {R('s.mean_value', 4)} AS mean_value, {R('s.std_dev', 4)} AS std_dev, d.description, d.business_use,
+  CAST((SELECT count(*) FROM e WHERE e.source = d.table_name) AS INTEGER) AS n_foreign_keys, rep.row_count,
+  rep.overall_completeness, rep.pk_columns, rep.pk_uniqueness_rate, rep.freshness_column, rep.freshness_latest,
+  rep.freshness_age_days, td.business_description, td.suggested_queries, 2 AS n_recommendations
+FROM dict d JOIN keyed k ON k.table_name = d.table_name AND k.column_name = d.column_name
+JOIN rep ON rep.table_name = d.table_name JOIN td ON td.table_name = d.table_name
+LEFT JOIN stats s ON s.table_name = d.table_name AND s.column_name = d.column_name""")
 def q_dictionary_export(spark, sf):
-    """The nested dictionary document (one row per table) that ``export_json`` writes."""
-    return sinks.dictionary_document(*_document_inputs(spark, sf), database="testdata")
-
-
-@query("dictionary_markdown")
+    """The nested dictionary document that ``export_json`` writes, one row a column."""
+    doc = sinks.dictionary_document(*_document_inputs(spark, sf), database="testdata")
+    c = doc.select("database", "table_name", F.inline("columns"), F.size("foreign_keys").alias("n_foreign_keys"), "quality.*",
+                   "documentation.business_description", "documentation.suggested_queries",
+                   F.size("documentation.usage_recommendations").alias("n_recommendations"))
+    return c.withColumns({m: round_half_up(m, 4) for m in ("mean_value", "std_dev")})
+
+
+def _md(*parts: str) -> str:
+    return " || chr(10) || ".join(parts)
+
+
+_PCT = lambda c: f"CAST({R(f'{c} * 100', 1)} AS VARCHAR) || '%'"
+
+
+@query("dictionary_markdown", f"""WITH {DOCUMENT_SQL},
+cl AS (SELECT table_name, string_agg('| `' || column_name || '` | `' || data_type || '` | ' || CASE WHEN nullable THEN 'Yes' ELSE 'No' END
+    || ' | ' || CASE WHEN is_primary_key THEN '✓' ELSE '' END || ' | ' || CASE WHEN is_foreign_key THEN '✓' ELSE '' END || ' | '
+    || coalesce({_PCT('null_rate')}, '-') || ' | ' || coalesce(CAST(distinct_count AS VARCHAR), '-') || ' | ' || coalesce(description, '') || ' |',
+    chr(10) ORDER BY ordinal_position) AS x FROM dict GROUP BY table_name),
+hl AS (SELECT d.table_name, string_agg('| `' || d.column_name || '` | ' || s.min_value || ' | ' || s.max_value || ' | '
+    || printf('%.2f', {R('s.mean_value', 2)}) || ' | ' || coalesce(printf('%.2f', {R('s.std_dev', 2)}), '-') || ' |', chr(10) ORDER BY d.ordinal_position) AS x
+  FROM dict d JOIN stats s ON s.table_name = d.table_name AND s.column_name = d.column_name WHERE s.mean_value IS NOT NULL GROUP BY d.table_name),
+rl AS (SELECT source AS table_name, string_agg('- `' || source || '.' || split_part(label, ' → ', 1) || '` → `' || target || '.' || split_part(label, ' → ', 2) || '`',
+    chr(10) ORDER BY constraint_name, position) AS x FROM e GROUP BY source),
+rt AS (SELECT table_name, string_agg('`' || target || '`', ', ' ORDER BY target) AS x FROM (SELECT DISTINCT source AS table_name, target FROM e) GROUP BY table_name),
+sq AS (SELECT table_name, string_agg('```sql' || chr(10) || l || chr(10) || '```' || chr(10), chr(10) ORDER BY i) AS x
+  FROM (SELECT table_name, unnest(string_split(suggested_queries, chr(10))) AS l, generate_subscripts(string_split(suggested_queries, chr(10)), 1) AS i FROM td) GROUP BY table_name)
+SELECT rep.table_name, concat_ws(chr(10), '## Table: `' || rep.table_name || '`' || chr(10), '> ' || td.business_description || chr(10),
+  '### Quality Metrics' || chr(10), '| Metric | Value |', '|--------|-------|',
+  '| Row Count | ' || format('{{:,}}', rep.row_count) || ' |', '| Overall Completeness | ' || {_PCT('rep.overall_completeness')} || ' |',
+  '| PK Uniqueness | ' || {_PCT('rep.pk_uniqueness_rate')} || ' |', '| Latest Record | ' || strftime(rep.freshness_latest, '%Y-%m-%d %H:%M:%S') || ' |', '',
+  {_md("'### Columns' || chr(10)", "'| Column | Type | Nullable | PK | FK | Null Rate | Distinct | Description |'", "'|--------|------|----------|----|----|-----------|----------|-------------|'", "cl.x", "''")},
+  {_md("'### Relationships' || chr(10)", "rl.x", "''")}, '**Related Tables:** ' || rt.x || chr(10),
+  {_md("'### Usage Recommendations' || chr(10)", "'- Join with related tables using foreign keys'", "'- Check data quality metrics before analysis'", "''")},
+  {_md("'### Statistical Highlights' || chr(10)", "'| Column | Min | Max | Mean | Std Dev |'", "'|--------|-----|-----|------|---------|'", "hl.x", "''")},
+  {_md("'### Suggested Queries' || chr(10)", "sq.x")}, '---' || chr(10)) AS markdown
+FROM rep JOIN td ON td.table_name = rep.table_name JOIN cl ON cl.table_name = rep.table_name JOIN sq ON sq.table_name = rep.table_name
+LEFT JOIN hl ON hl.table_name = rep.table_name LEFT JOIN rl ON rl.table_name = rep.table_name LEFT JOIN rt ON rt.table_name = rep.table_name""")
 def q_dictionary_markdown(spark, sf):
     """One Markdown section per table."""
     return sinks.dictionary_markdown(*_document_inputs(spark, sf))
-

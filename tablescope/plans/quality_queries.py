@@ -9,6 +9,7 @@ from tablescope.operators import benford, correlation, distribution, freshness,
 from tablescope.operators.constraints import ForeignKey, foreign_keys, primary_keys
 from tablescope.plans import bindings as B
 from tablescope.plans.base import (
+    ALL_TABLES,
     DOC_LABEL_COLUMNS,
     DOC_LABEL_SQL,
     R,
@@ -18,7 +19,6 @@ from tablescope.plans.base import (
     tables,
     union_all,
 )
-from tablescope.sources.tables import ALL_TABLES
 
 LINEITEM_NUMERIC = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
                     "l_discount", "l_tax"]
@@ -426,6 +426,26 @@ def _pct_sql(c: str) -> str:
     return f"CAST({R(f'{c} * 100', 1)} AS VARCHAR) || '%'"
 
 
+REPORTED = ("customer", "orders", "events", "labels", "nation")
+
+
+def _sql_column_report(t: str) -> list[str]:
+    out = []
+    for i, (c, ty) in enumerate(TABLE_COLUMNS[t]):
+        number = ty in ("BIGINT", "INTEGER", "DOUBLE")
+        moments = [R(f"{f}(CAST({c} AS DOUBLE))", 4) if number else "CAST(NULL AS DOUBLE)" for f in ("avg", "stddev_samp")]
+        text = f"CAST({c} AS VARCHAR)"
+        out.append(f"SELECT {q(t)} AS table_name, {i + 1} AS ordinal, {q(c)} AS column_name, count(*) - count({c}) AS null_count, "
+                   f"count(DISTINCT {c}) AS distinct_count, min({text}) AS min_value, max({text}) AS max_value, "
+                   f"{moments[0]} AS mean_value, {moments[1]} AS std_dev FROM {t}")
+    return out
+
+
+@query("quality_report_columns", union_all([x for t in REPORTED for x in _sql_column_report(t)]))
+def q_quality_report_columns(spark, sf):
+    return report.column_report(tables(spark, sf, *REPORTED))
+
+
 @query("quality_summary", f"""WITH r AS ({SQL_REPORT})
 SELECT table_name, row_count, {_pct_sql('overall_completeness')} AS completeness,
   coalesce({_pct_sql('pk_uniqueness_rate')}, 'N/A') AS pk_uniqueness,
@@ -442,7 +462,7 @@ SELECT table_name, column_name, completeness_pct,
     AS completeness_band, null_pct,
   CASE WHEN null_pct > 10.0 THEN 'bad' WHEN null_pct > 0 THEN 'warn' ELSE 'good' END AS null_band FROM b""")
 def q_quality_bands(spark, sf):
-    return report.quality_bands(profile.quality_overview(tables(spark, sf)))
+    return report.quality_bands(profile.null_overview(tables(spark, sf)))
 
 
 def _fk_checks() -> list[ForeignKey]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -38,15 +39,12 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     A fallback is only set when the session has none (local tests); on a cluster
     the platform's shared folder is always used.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
+    sc = spark.sparkContext
+    current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or fallback
     if not current:
-        if fallback is None:
-            raise RuntimeError("spark.checkpoint.dir is not set; pass a shared fallback folder")
-        spark.conf.set("spark.checkpoint.dir", fallback)
-        spark.sparkContext.setCheckpointDir(fallback)
-        current = fallback
+        raise RuntimeError("spark.checkpoint.dir is not set; pass a shared fallback folder")
+    if not sc.getCheckpointDir():  # the setting itself is static: only the context can still be told
+        sc.setCheckpointDir(current)
     return current
 
 
@@ -56,15 +54,11 @@ def materialize(df):
 
     Uses reliable ``checkpoint()`` into ``spark.checkpoint.dir`` (shared storage, so it
     survives lost executors) — never ``localCheckpoint``. Meant for intermediates that
-    several outputs reuse, e.g. the per-column quality of a dictionary export. When
-    the session names no checkpoint folder, the frame is returned unchanged (it is
-    then recomputed from its lineage where it is reused); no local folder is invented.
+    several outputs reuse, e.g. the per-column quality of a dictionary export. A local
+    session that names no folder gets a temporary one; elsewhere a missing folder is an
+    error, so a query never has two very different costs.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not path:
-        return df
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(path)
+    local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
+    checkpoint_dir(spark, fallback="file://" + tempfile.mkdtemp(prefix="tablescope-") if local and not spark.sparkContext.getCheckpointDir() else None)
     return df.checkpoint(eager=True)

@@ -38,9 +38,40 @@ def safe_sql(spark: SparkSession, sql: str, limit: int = 100) -> DataFrame:
     """
     body = _strip(sql)
     try:
-        return spark.sql(f"SELECT * FROM (\n{body}\n) AS q LIMIT {int(limit)}")
+        df = spark.sql(f"SELECT * FROM (\n{body}\n) AS q LIMIT {int(limit)}")
     except Exception as exc:  # parse/analysis errors: stacked statements, DDL inside
         raise UnsafeQueryError(str(exc).splitlines()[0]) from exc
+    _refuse_outside_calls(df._jdf.queryExecution().analyzed())
+    return df
+
+
+# Expressions that call arbitrary Java methods (reflect, java_method, try_reflect).
+_REFLECTION = ("CallMethodViaReflection", "TryReflect")
+
+
+def _each(seq):
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def _refuse_outside_calls(plan) -> None:
+    """Refuse reflection, and files named in the query itself, on the analysed plan.
+    What a view or a catalog table reads was set up by its owner and is trusted."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "View":
+        return
+    if kind == "LogicalRelation" and plan.catalogTable().isEmpty():
+        raise UnsafeQueryError("files are read by the names of registered tables only")
+    todo = _each(plan.expressions())
+    while todo:
+        e = todo.pop()
+        if e.getClass().getSimpleName() in _REFLECTION:
+            raise UnsafeQueryError("calls of Java methods are disabled")
+        if e.getClass().getSimpleName() in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"):
+            _refuse_outside_calls(e.plan())
+        todo += _each(e.children())
+    for child in [*_each(plan.children()), *_each(plan.innerChildren())]:
+        if child.getClass().getName().startswith("org.apache.spark.sql.catalyst.plans") or kind != "WithCTE":
+            _refuse_outside_calls(child)
 
 
 def safe_sql_result(spark: SparkSession, sql: str, limit: int = 100) -> dict:

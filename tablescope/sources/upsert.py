@@ -6,8 +6,10 @@
   base value, new keys are inserted.
 * ``append``  — plain append.
 
-All are shuffle joins on the key columns (or broadcast when Spark sees a small
-side); applying the same ``updates`` twice gives the same result.
+All but ``append`` are one full outer join on the key columns, each side read once.
+Keys match null-safely (a null key is a key like any other), and ``updates`` must hold
+one row a key: the last by ``order_by`` where that is given, else a second row raises
+an error. So applying the same ``updates`` twice gives the same result.
 """
 
 from __future__ import annotations
@@ -15,36 +17,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablescope.functions.exprs import sql_ident
+
 
 def upsert(base: DataFrame, updates: DataFrame, keys: list[str], mode: str = "replace",
-           update_cols: list[str] | None = None) -> DataFrame:
-    updates = updates.select(*base.columns)
+           update_cols: list[str] | None = None, order_by: list[str] | None = None) -> DataFrame:
     if mode == "append":
-        return base.unionByName(updates)
-    if mode == "replace":
-        return base.join(updates.select(*keys), keys, "left_anti").unionByName(updates)
-    if mode == "ignore":
-        return base.unionByName(updates.join(base.select(*keys), keys, "left_anti"))
-    if mode == "update":
-        cols = set(update_cols or [c for c in base.columns if c not in keys])
-        b = base.withColumn("__in_base", F.lit(True)).alias("b")
-        u = updates.withColumn("__in_upd", F.lit(True)).alias("u")
-        j = b.join(u, keys, "full_outer")
-        out = []
-        for c in base.columns:
-            if c in keys:
-                out.append(F.col(c))
-            elif c in cols:
-                out.append(F.when(F.col("u.__in_upd"), F.col(f"u.{c}")).otherwise(F.col(f"b.{c}")).alias(c))
-            else:
-                out.append(F.when(F.col("b.__in_base"), F.col(f"b.{c}")).otherwise(F.col(f"u.{c}")).alias(c))
-        return j.select(*out)
-    raise ValueError(f"unknown upsert mode {mode!r}")
+        return base.unionByName(updates.select(*[F.col(sql_ident(c)) for c in base.columns]))
+    if mode not in ("replace", "ignore", "update"):
+        raise ValueError(f"unknown upsert mode {mode!r}")
+    k = [f"__k{i}" for i in range(len(keys))]
+    one = _one_row_a_key(updates, base.columns, keys, k, order_by)
+    b = base.select(F.struct(*[F.col(sql_ident(c)) for c in base.columns]).alias("__b"),
+                    *[F.col(sql_ident(c)).alias(n) for c, n in zip(keys, k)])
+    same = None
+    for n in k:
+        cond = b[n].eqNullSafe(one[n])
+        same = cond if same is None else same & cond
+    j = b.join(one, same, "full_outer").select("__b", "__u")
+    newer = {"replace": set(base.columns), "ignore": set(),
+             "update": set(update_cols or [c for c in base.columns if c not in keys])}[mode]
+    old, new = F.col("__b"), F.col("__u")
+    return j.select(*[
+        F.when(new.isNotNull() if c in newer else old.isNull(), new.getField(c)).otherwise(old.getField(c)).alias(c)
+        for c in base.columns])
+
+
+def _one_row_a_key(updates: DataFrame, columns: list[str], keys: list[str], names: list[str],
+                   order_by: list[str] | None) -> DataFrame:
+    """(names..., __u): the row of each key as a struct."""
+    row = F.struct(*[F.col(sql_ident(c)) for c in columns])
+    by = [F.col(sql_ident(c)).alias(n) for c, n in zip(keys, names)]
+    if order_by:
+        best = F.max_by(row, F.struct(*[F.col(sql_ident(c)) for c in order_by]))
+        return updates.groupBy(*by).agg(best.alias("__u"))
+    once = updates.groupBy(*by).agg(F.first(row).alias("__u"), F.count(F.lit(1)).alias("__n"))
+    twice = F.raise_error(F.lit("updates hold more than one row of a key; give order_by"))
+    return once.select(*names, F.when(F.col("__n") == 1, F.col("__u")).otherwise(twice).alias("__u"))
 
 
 def upsert_versioned(spark, base_path: str, updates: DataFrame, keys: list[str], target_root: str,
                      version: str, mode: str = "replace", update_cols: list[str] | None = None,
-                     fmt: str = "parquet") -> str:
+                     fmt: str = "parquet", order_by: list[str] | None = None) -> str:
     """Apply ``upsert`` to the table at ``base_path`` and write the result as a new
     version ``<target_root>/version=<version>``; returns that path.
 
@@ -60,5 +74,5 @@ def upsert_versioned(spark, base_path: str, updates: DataFrame, keys: list[str],
     if os.path.abspath(out) == os.path.abspath(base_path):
         raise ValueError("the new version must not overwrite its input")
     base = spark.read.format(fmt).load(base_path)
-    upsert(base, updates, keys, mode, update_cols).write.mode("overwrite").format(fmt).save(out)
+    upsert(base, updates, keys, mode, update_cols, order_by).write.mode("overwrite").format(fmt).save(out)
     return out

@@ -8,7 +8,7 @@ import sys
 import duckdb
 import pandas as pd
 
-from tablescope.sources.tables import ALL_TABLES
+from tablescope.plans.base import ALL_TABLES
 
 
 def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:

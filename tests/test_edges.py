@@ -208,7 +208,7 @@ def test_distributed_percentiles_match_builtin(spark, column):
     from tablescope.functions.quantiles import exact_percentiles
     ev = spark.read.parquet("/root/testdata/sf0.01/events.parquet").withColumn("ts_key", F.col("user_id") % 7)
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
-    mine = spark.range(1).select(*exact_percentiles(ev, column, probs, accuracy=1000)).first()
+    mine = spark.range(1).select(exact_percentiles(ev, column, probs, accuracy=1000)).first()[0]
     ref = ev.agg(F.percentile(F.col(column).cast("double"), F.array(*[F.lit(p) for p in probs]))).first()[0]
     assert all(abs(a - b) <= 1e-9 * max(1.0, abs(b)) for a, b in zip(mine, ref))
 
@@ -216,18 +216,17 @@ def test_distributed_percentiles_match_builtin(spark, column):
 def test_iqr_methods_agree(spark):
     df = spark.createDataFrame([(float(x),) for x in [1, 2, 3, 4, 5, 6, 7, 8, 100]], "x DOUBLE")
     a = one(outliers.outliers_iqr(df, "x", method="map"))
-    b = one(outliers.outliers_iqr(df, "x", method="distributed"))
+    b = one(outliers.outliers_iqr(df, "x", method="exact"))
     assert (a.q1, a.q3, a.outlier_count) == (b.q1, b.q3, b.outlier_count)
 
 
 def test_distinct_modes(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     exact = {r.column_name: r.distinct_count for r in profile.column_profile(docs, metrics=("distinct",)).collect()}
-    digest = {r.column_name: r.distinct_count
-              for r in profile.column_profile(docs, metrics=("distinct",), distinct="digest").collect()}
+    builtin = docs.agg(*[F.count_distinct(c).alias(c) for c in docs.columns]).first().asDict()
     approx = {r.column_name: r.distinct_count
               for r in profile.column_profile(docs, metrics=("distinct",), distinct="approx").collect()}
-    assert exact == digest
+    assert exact == builtin
     assert all(abs(approx[k] - v) <= 0.2 * v + 2 for k, v in exact.items())
 
 
@@ -291,16 +290,27 @@ def test_public_helpers(spark):
     assert [(r.column_name, r.ref_column) for r in fk] == [("a", "a"), ("b", "b")]
 
 
-def test_correlation_layouts_agree(spark):
-    li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").withColumn("l_const", F.lit(1.0))
-    cols = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
-            "l_tax", "l_const"]
-    a = {(r.column_1, r.column_2): r.r for r in correlation.correlation_long(li, cols, layout="chunked").collect()}
-    b = {(r.column_1, r.column_2): r.r for r in correlation.correlation_long(li, cols, layout="exploded").collect()}
-    assert a.keys() == b.keys() and len(a) == 36
-    assert all(abs(a[k] - b[k]) < 1e-9 for k in a)
-    wide = li.select(*[(F.col("l_extendedprice") * (i + 1) + F.col("l_tax") * i).alias(f"c{i}") for i in range(15)])
-    assert correlation.correlation_long(wide).count() == 105  # auto -> exploded layout
+def test_correlation_matches_numpy_in_one_scan(spark):
+    import numpy as np
+    li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    wide = li.select(*[(F.col("l_extendedprice") * (i + 1) + F.pow("l_tax", F.lit(i % 3 + 1)) * 1e6 * i).alias(f"c{i}") for i in range(38)],
+                     F.lit(1.0).alias("flat"), F.when(F.col("l_linenumber") > 2, F.col("l_discount") + 1e9).alias("holes"))
+    for cols in (wide.columns, ["c1", "holes", "flat"]):
+        df = correlation.correlation_long(wide, cols)
+        got = {(r.column_1, r.column_2): r.r for r in df.collect()}
+        x = np.array([[np.nan if v is None else v for v in r] for r in wide.select(*cols).collect()], float)
+        assert len(got) == len(cols) * (len(cols) - 1) // 2
+        for i, a in enumerate(cols):
+            for j in range(i + 1, len(cols)):
+                both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+                u, w = x[both, i], x[both, j]
+                want = 0.0 if "flat" in (a, cols[j]) else np.corrcoef(u, w)[0, 1]
+                assert abs(got[a, cols[j]] - want) < 1e-7, (a, cols[j])
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert plan.count("FileScan") == 1
+    odd = spark.createDataFrame([(1.0, 2.0), (2.0, float("nan")), (None, float("inf")), (4.0, 9.0)], "a double, b double")
+    assert correlation.correlation_long(odd).first().r != correlation.correlation_long(odd).first().r  # NaN
+    assert [r.r for r in correlation.correlation_long(odd.limit(0)).collect()] == [0.0]
 
 
 def test_sample_rows_skips_unorderable_columns(spark):
@@ -309,3 +319,11 @@ def test_sample_rows_skips_unorderable_columns(spark):
     assert [r.id for r in sample_rows(df, 2).collect()] == [1, 2]
     emb = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
     assert sample_rows(emb, 50).count() == 20  # capped at 20
+
+
+def test_column_counts_of_odd_values(spark):
+    df = spark.createDataFrame([(0.0, [1.0], {"a": 1}, None), (-0.0, [1.0], {"a": 1}, None), (float("nan"), None, None, None),
+                                (float("nan"), [2.0], {"a": 2}, None)], "d DOUBLE, a ARRAY<DOUBLE>, m MAP<STRING,INT>, n STRING")
+    got = {r.column_name: (r.total_rows, r.null_count, r.distinct_count) for r in profile.column_counts(df).collect()}
+    assert got == {"d": (4, 0, 2), "a": (4, 1, 2), "m": (4, 1, 2), "n": (4, 4, 0)}
+    assert all((r.total_rows, r.null_count, r.distinct_count) == (0, 0, 0) for r in profile.column_counts(df.limit(0)).collect())

@@ -4,8 +4,8 @@ import os
 
 import pytest
 
-from __spark_entry__ import queries
-from tablescope.operators import correlation, profile
+from tablescope.operators import profile
+from tablescope.plans.registry import queries
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -38,18 +38,6 @@ def test_filters_pushed_to_parquet(spark):
     assert "PushedFilters: [IsNotNull(o_orderstatus), EqualTo(o_orderstatus,F)]" in p
 
 
-def test_correlation_aggregates_are_codegen(spark):
-    li = spark.read.parquet(os.path.join(SF_DIR, "lineitem.parquet"))
-    df = correlation.correlation_long(li, ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-                                           "l_extendedprice", "l_discount", "l_tax"])
-    df.collect()
-    text = final_plan(df)
-    # every HashAggregate sits inside a WholeStageCodegen stage ("*(n) HashAggregate")
-    import re
-    aggs = re.findall(r"(\*\(\d+\) )?HashAggregate", text)
-    assert aggs and all(a for a in aggs), text[:2000]
-
-
 def test_profile_has_no_interpreted_wide_aggregate(spark):
     li = spark.read.parquet(os.path.join(SF_DIR, "lineitem.parquet"))
     df = profile.column_stats(li)

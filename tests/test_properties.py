@@ -85,7 +85,7 @@ def test_column_stats_match_brute_force(spark, xs):
 
 def test_hot_key_holding_a_third_of_rows(spark):
     """One key carries a third of the child rows: results stay exact, and the
-    anti-join input is pre-aggregated to one row per key."""
+    join input is pre-aggregated to one row per key."""
     from tablescope.operators.constraints import ForeignKey
     n = 3000
     child = spark.range(n).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 7 ELSE id % 500 + 1000 END AS k")
@@ -99,8 +99,8 @@ def test_hot_key_holding_a_third_of_rows(spark):
     assert u.unique_pk_rows == len({k for _, k in rows})
     plan = keys.orphan_counts(child, parent, ["k"], ["k"])._jdf.queryExecution().optimizedPlan().toString()
     lines = plan.splitlines()
-    j = next(i for i, line in enumerate(lines) if "Join LeftAnti" in line)
-    assert "Aggregate [__k0" in lines[j + 1]  # child keys are reduced before the anti join
+    j = next(i for i, line in enumerate(lines) if "Join LeftOuter" in line)
+    assert "Aggregate [" in lines[j + 1]  # child keys are reduced before the join
 
     orders = spark.range(300).selectExpr("id AS o_orderkey", "id % 10 AS o_custkey",
                                          "CAST('2024-01-01 00:00:00' AS TIMESTAMP_NTZ) + make_interval(0, 0, 0, CAST(id % 3 AS INT)) AS o_orderdate")

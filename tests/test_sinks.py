@@ -14,8 +14,9 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_export_json_and_markdown(spark):
+    from tablescope.plans import catalog_queries as C
     out = tempfile.mkdtemp(prefix="dict-")
-    doc = queries()["dictionary_export"](spark, SF)
+    doc = sinks.dictionary_document(*C._document_inputs(spark, SF))
     sinks.export_json(doc, os.path.join(out, "json"))
     back = spark.read.json(os.path.join(out, "json"))
     assert back.count() == 14
