@@ -18,15 +18,21 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .arrays import U64, Spans, column, equal_spans, expand, eights, pieces
 from .common import MAX_ID
 
 #: Bytes of text hashed at once, of packed strings held before they are sent, of strings in a bucket.
-PIECE, HELD, BUCKET = 2 << 20, 32 << 20, 6 << 20
+PIECE, HELD, BUCKET = 1 << 20, 32 << 20, 6 << 20
+#: Level of zstd for all that is shuffled.
+LEVEL = 3
 #: One owner in so many is looked at for heavy minimisers; there are at most HEAVY_KEYS of them.
 SAMPLE_EVERY, HEAVY_KEYS = 50, 1_000_000
-FIELDS = (("did", "<i8"), ("rk", "<i8"), ("route", "<u8"), ("place", "<i8"), ("windows", "<i8"), ("size", "<i8"), ("weight", "<i8"))
+#: What travels with a run's string. Half of a route is enough to tell minimisers of a bucket
+#: apart: two that look alike only share work.
+FIELDS = (("did", "<i8"), ("rk", "<i4"), ("route", "<u4"), ("place", "<i4"), ("windows", "<i2"), ("size", "<i4"), ("weight", "<i1"))
 
 
 @dataclass
@@ -77,7 +83,7 @@ class Cut:
 
 def owners(docs: DataFrame) -> DataFrame:
     """``docs`` with the owner columns _did and _rk."""
-    return docs.withColumn("_did", F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX_ID))).withColumn("_rk", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    return docs.withColumn("_did", F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX_ID))).withColumn("_rk", F.hash(F.coalesce(F.col("text"), F.lit(""))))
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], cut: Cut, heavy: np.ndarray) -> Iterator[tuple[Runs, Spans]]:
@@ -116,7 +122,7 @@ def is_heavy(route: np.ndarray, heavy: np.ndarray) -> np.ndarray:
 
 def pack(fields: dict[str, np.ndarray], data: bytes) -> bytes:
     head = np.array([len(fields["did"])], "<i8").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(fields[k].astype(t).tobytes() for k, t in FIELDS) + data)
+    return zstandard.ZstdCompressor(level=LEVEL).compress(head + b"".join(fields[k].astype(t).tobytes() for k, t in FIELDS) + data)
 
 
 def unpack(blobs) -> tuple[dict[str, np.ndarray], np.ndarray]:
@@ -126,9 +132,9 @@ def unpack(blobs) -> tuple[dict[str, np.ndarray], np.ndarray]:
         n, at = int(np.frombuffer(raw, "<i8", 1)[0]), 8
         for k, t in FIELDS:
             parts[k].append(np.frombuffer(raw, t, n, at))
-            at += 8 * n
+            at += n * np.dtype(t).itemsize
         texts.append(np.frombuffer(raw, np.uint8, len(raw) - at, at))
-    return {k: np.concatenate(v) for k, v in parts.items()}, np.concatenate(texts)
+    return {k: np.concatenate(v).astype(np.int64) for k, v in parts.items()}, np.concatenate(texts)
 
 
 def sent(cut: Cut, heavy: np.ndarray, buckets: int, ordered: bool):
@@ -148,7 +154,7 @@ def sent(cut: Cut, heavy: np.ndarray, buckets: int, ordered: bool):
             length = np.where(done, 0, r.end - r.start)
             bucket = (r.route % U64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            fields = {"did": r.did, "rk": r.rk, "route": r.route, "place": r.place, "windows": r.windows, "size": length, "weight": weight}
+            fields = {"did": r.did, "rk": r.rk, "route": r.route >> U64(32), "place": r.place, "windows": r.windows, "size": length, "weight": weight}
             fields = {k: v[order] for k, v in fields.items()}
             data, start, end = r.buf.tobytes(), r.start[order], r.start[order] + length[order]
             edge = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0, [True]]))
@@ -165,12 +171,10 @@ def sent(cut: Cut, heavy: np.ndarray, buckets: int, ordered: bool):
     return run
 
 
-def marks(docs: DataFrame, cut: Cut, judge, ordered: bool) -> DataFrame:
-    """(_did, _rk, marks: array of place and number of marked windows), one row an owner that
-    has any. ``judge(fields, text, start)`` gets a bucket's undecided runs and returns the
-    index of each marked stretch's run, its offset in windows and its length."""
-    own = owners(docs).select("_did", "_rk", "text")
-    total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+def marks(own: DataFrame, total: int, cut: Cut, judge, ordered: bool) -> DataFrame:
+    """(_did, _rk, place, n): stretches of n marked windows of an owner. ``judge(fields,
+    text, start)`` gets a bucket's undecided runs and returns the index of each marked
+    stretch's run, its offset in windows and its length."""
     heavy = heavy_minimisers(own, cut, total)
     buckets = max(1, 4 * total // BUCKET)  # strings overlap: they hold 3 to 4 times the text
 
@@ -181,15 +185,71 @@ def marks(docs: DataFrame, cut: Cut, judge, ordered: bool) -> DataFrame:
         i, offset, n = judge({k: v[live] for k, v in f.items()}, text, start[live])
         i, done = np.flatnonzero(live)[i], np.flatnonzero(~live)
         which, place, n = np.concatenate([i, done]), np.concatenate([f["place"][i] + offset, f["place"][done]]), np.concatenate([n, f["windows"][done]])
-        return pa.table({"_did": f["did"][which], "_rk": f["rk"][which], "place": place, "n": n.astype(np.int64)})
+        return pa.table({"_did": f["did"][which], "_rk": f["rk"][which].astype(np.int32), "place": place, "n": n.astype(np.int64)})
+
+    return own.mapInArrow(sent(cut, heavy, buckets, ordered), "bucket int, blob binary").groupBy("bucket").applyInArrow(in_bucket, "_did long, _rk int, place long, n long")
 
-    found = own.mapInArrow(sent(cut, heavy, buckets, ordered), "bucket int, blob binary").groupBy("bucket").applyInArrow(in_bucket, "_did long, _rk long, place long, n long")
-    return found.groupBy("_did", "_rk").agg(F.collect_list(F.struct("place", "n")).alias("marks"))
 
+def _packed_rows(buckets: int):
+    """mapInArrow: whole rows, compressed, by the bucket of their owner."""
 
-def applied(docs: DataFrame, found: DataFrame, remove, schema: str) -> DataFrame:
-    """Each row of ``docs`` with its owner's marks, through ``remove`` (mapInArrow)."""
-    return owners(docs).select("doc_id", "text", "_did", "_rk").join(found, ["_did", "_rk"], "left").select("doc_id", "text", "marks").mapInArrow(remove, schema)
+    def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held)
+        bucket = rows.column("bucket").to_numpy()
+        order = np.argsort(bucket, kind="stable")
+        edge = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1)).tolist()
+        rows, blobs = rows.drop_columns("bucket"), []
+        for a, b in zip(edge[:-1], edge[1:]):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", LEVEL))) as out:
+                out.write_table(rows.take(order[a:b]).combine_chunks())
+            blobs.append(sink.getvalue().to_pybytes())
+        return pa.RecordBatch.from_arrays([pa.array(bucket[order[edge[:-1]]], pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.nbytes
+            if size > HELD:
+                yield flush(held)
+                held, size = [], 0
+        if held:
+            yield flush(held)
+
+    return run
+
+
+def without_marked(docs: DataFrame, cut: Cut, judge, ordered: bool, remove, schema: str) -> DataFrame:
+    """Each row of ``docs`` with its owner's marks, through ``remove(rows, marks)``, where
+    ``marks`` has for each row None or the arrays of places and numbers. It returns the
+    other columns of the row as ``row`` and adds those of ``schema``. Rows and marks meet by
+    a hash of the owner, rows packed on the way."""
+    row = F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("row")
+    own = owners(docs.select(row, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("doc_id"))).select("row", "text", "_did", "_rk")
+    total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    found = marks(own.select("_did", "_rk", "text"), total, cut, judge, ordered)
+    buckets = max(1, total // BUCKET)
+    bucket = F.pmod(F.xxhash64("_did", "_rk"), F.lit(buckets)).cast("int").alias("bucket")
+    rows = own.select("*", bucket).mapInArrow(_packed_rows(buckets), "bucket int, blob binary")
+
+    def joined(left: pa.Table, right: pa.Table) -> pa.Table:
+        did, rk, place, n = (right.column(c).to_numpy() for c in ("_did", "_rk", "place", "n"))
+        order = np.lexsort((place, rk, did))
+        did, rk, place, n = did[order], rk[order], place[order], n[order]
+        edge = np.flatnonzero(np.concatenate([[True], (np.diff(did) != 0) | (np.diff(rk) != 0), [True]])) if len(did) else np.zeros(1, np.int64)
+        of = {(int(did[a]), int(rk[a])): (place[a:b], n[a:b]) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())}
+        out = []
+        for blob in left.column("blob").to_pylist():
+            for batch in pa.ipc.open_stream(blob):
+                keys = zip(batch.column("_did").to_pylist(), batch.column("_rk").to_pylist())
+                out.append(remove(batch, [of.get(k) for k in keys]))
+        return pa.Table.from_batches(out) if out else whole_arrow.empty_table()
+
+    whole = T.StructType([own.schema["row"], *T.StructType.fromDDL(schema).fields])
+    whole_arrow = to_arrow_schema(whole)
+    return rows.groupBy("bucket").cogroup(found.select("*", bucket).groupBy("bucket")).applyInArrow(joined, whole)
 
 
 def distinct_strings(f: dict[str, np.ndarray], text: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -1,6 +1,6 @@
 """Substring dedup by super-k-mers: windows of 13 words that an earlier document also has.
 
-Consecutive windows that share a minimiser (the smallest hash of a 5-word gram in them)
+Consecutive windows that share a minimiser (the smallest hash of a 3-word gram in them)
 travel as one packed string to the minimiser's bucket. There windows are sorted, equal ones
 (byte for byte) meet, and each whose smallest document id is not its own is marked. A text
 loses every word that a marked window covers; windows are judged on the input.
@@ -20,9 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import Spans, anchors, column, eights, equal_spans, expand, stretches
-from .shards import Cut, Runs, applied, is_heavy, marks
+from .shards import Cut, Runs, is_heavy, without_marked
 
-WINDOW, GRAM = 13, 5
+WINDOW, GRAM = 13, 3
 #: Words of one part of a text that is longer than a piece.
 PART = 200_000
 
@@ -102,41 +102,39 @@ def _judge(f, text, start):
 
 
 CUT = Cut(_runs, _split)
-SCHEMA = "doc_id long, n_words long, n_removed long, kept_text string, removed array<struct<start:long,end:long>>"
-
-
-def _removed(batches):
-    for batch in batches:
-        data, at = column(batch.column("text"))
-        raw, found = data[at[0] : at[-1]].tobytes(), batch.column("marks").to_pylist()
-        at = (at - at[0]).tolist()
-        n_words, n_removed, kept, spans = [], [], [], []
-        for i, m in enumerate(found):
-            words = raw[at[i] : at[i + 1]].split()
-            n_words.append(len(words))
-            out = []
-            if m:
-                gone = np.zeros(len(words), bool)
-                for x in m:
-                    gone[x["place"] : x["place"] + x["n"] + WINDOW - 1] = True
-                s, e = stretches(gone, np.zeros(len(gone), bool))
-                out = [{"start": a, "end": b} for a, b in zip(s.tolist(), e.tolist())]
-                words = [w for w, g in zip(words, gone.tolist()) if not g]
-            n_removed.append(n_words[-1] - len(words))
-            kept.append(b" ".join(words))
-            spans.append(out)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").cast(pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-            ["doc_id", "n_words", "n_removed", "kept_text", "removed"],
-        )
+SCHEMA = "n_words long, n_removed long, kept_text string, removed array<struct<start:long,end:long>>"
+
+
+def _removed(batch: pa.RecordBatch, marks) -> pa.RecordBatch:
+    data, at = column(batch.column("text"))
+    raw = data[at[0] : at[-1]].tobytes()
+    at = (at - at[0]).tolist()
+    n_words, n_removed, kept, spans = [], [], [], []
+    for i, m in enumerate(marks):
+        words = raw[at[i] : at[i + 1]].split()
+        n_words.append(len(words))
+        out = []
+        if m:
+            gone = np.zeros(len(words), bool)
+            gone[expand(m[0], m[1] + WINDOW - 1)] = True
+            s, e = stretches(gone, np.zeros(len(gone), bool))
+            out = [{"start": a, "end": b} for a, b in zip(s.tolist(), e.tolist())]
+            words = [w for w, g in zip(words, gone.tolist()) if not g]
+        n_removed.append(n_words[-1] - len(words))
+        kept.append(b" ".join(words))
+        spans.append(out)
+    return pa.RecordBatch.from_arrays(
+        [batch.column("row"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
+        ["row", "n_words", "n_removed", "kept_text", "removed"],
+    )
 
 
 def remove_repeated_windows(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_words, n_removed, the kept words joined by spaces and
-    the removed word ranges."""
-    return applied(docs, marks(docs, CUT, _judge, ordered=True), _removed, SCHEMA)
+    """Per row of ``docs``: its other columns as ``row``, n_words, n_removed, the kept words
+    joined by spaces and the removed word ranges."""
+    return without_marked(docs, CUT, _judge, True, _removed, SCHEMA)
 
 
 def window_report(docs: DataFrame) -> DataFrame:
     done = remove_repeated_windows(docs)
-    return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
+    return done.select("row.doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
