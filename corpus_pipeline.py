@@ -1,21 +1,58 @@
-"""The corpus pipeline: documents through the training-data operators, stage by stage."""
+"""The corpus pipeline: documents through the training-data operators, stage by stage.
+
+Every stage gets what the one before it kept and returns the columns of documents, but the
+last, which returns one row of token digests a document.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablescope.llm import byte_bpe, decontaminate, quality_rules, simhash, suffix_dedup
 from tablescope.llm.common import shared_dir, stored, table
-from tablescope.llm.quality_rules import quality_rules
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the quality rules reject."""
     shared_dir(spark)
-    return quality_rules(docs).where(F.col("failed_rule").isNull()).select(*docs.columns)
+    judged = quality_rules.quality_rules(docs.select(F.struct("*").alias("_row"), "text"))
+    return judged.where(F.col("failed_rule").isNull()).select("_row.*")
+
+
+def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near-duplicates."""
+    return simhash.without_near_duplicates(docs)
+
+
+def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut the bytes of 400-byte strings that stand twice or more; ``n_chars`` follows the
+    text. A document that loses all of its text stays, empty."""
+    left = suffix_dedup.as_text(suffix_dedup.remove_repeated_bytes(docs))
+    kind = docs.schema["n_chars"].dataType if "n_chars" in docs.columns else None
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast(kind) if kind else None}
+    return left.select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that hold a passage of a test item."""
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("_key"), F.struct("*").alias("_row"))
+    found = decontaminate.contaminated(keyed.select(F.col("_key").alias("doc_id"), F.col("_row.text").alias("text")), table(spark, sf_dir, "benchmark"))
+    return keyed.join(found.select(F.col("doc_id").alias("_key")).distinct(), "_key", "left_anti").select("_row.*")
+
+
+def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encode what is left and decode it again: digests of the ids and the bytes."""
+    return byte_bpe.bpe_report(docs, *byte_bpe.public_vocabulary())
 
 
-STAGES = [("quality_rules", rules_stage)]
+STAGES = [
+    ("quality_rules", rules_stage),
+    ("simhash_near_dedup", simhash_stage),
+    ("suffix_array_dedup", suffix_stage),
+    ("benchmark_decontamination", decontamination_stage),
+    ("byte_level_bpe", bpe_stage),
+]
 
 #: Near-duplicates, suffix arrays, alignments and merges are not SQL: tested by brute force.
 ORACLE_SQL = None

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, quality_rules, simhash, suffix_dedup, window_dedup
+from . import byte_bpe, decontaminate, html_text, license_scan, quality_classifier, quality_rules, simhash, suffix_dedup, warc, window_dedup
 from .common import shared_dir, table
 
 
@@ -15,6 +16,19 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "license", "coverage", "n_matched", "start", "end", F.size("spans").cast("long").alias("n_spans"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.bpe_report(table(spark, sf_dir, "documents"), *byte_bpe.public_vocabulary())
 
@@ -23,6 +37,14 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_report(table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_report(table(spark, sf_dir, "pages"))
+
+
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_report(table(spark, sf_dir, "documents"))
 
@@ -31,8 +53,14 @@ def op10_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_dedup.window_report(table(spark, sf_dir, "documents"))
 
 
+ALL = (
+    op1_quality_rules, op2_license_scan, op3_decontamination, op4_quality_classifier, op5_byte_bpe,
+    op6_simhash, op7_warc, op8_html_text, op9_suffix_dedup, op10_window_dedup,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op5_byte_bpe, op6_simhash, op9_suffix_dedup, op10_window_dedup)}
+    return {f.__name__: f for f in ALL}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -75,3 +75,92 @@ def repeated_windows(rows, n=13):
                 gone[i : i + n] = [True] * n
         out.append((d, len(w), sum(gone), sha(b" ".join(x for x, g in zip(w, gone) if not g))))
     return out
+
+
+def base_rules(text: str | None) -> dict:
+    """Base measures and verdict of the quality rules, and the verdict of all rules."""
+    import re
+
+    t = text or ""
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", t) if x]
+    shingles = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    count: dict[tuple, int] = defaultdict(int)
+    for s in shingles:
+        count[s] += 1
+    inside = {i + k for i, s in enumerate(shingles) if count[s] > 1 for k in range(3)}
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    m = {"n_words": len(w), "word_chars": sum(map(len, w)), "n_symbols": sum(c in "#*$%&|<>" for c in t), "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": len(inside)}
+    m["base_failed"] = len(w) < 50 or 100 * len(inside) > 50 * len(w)
+    upper = sum(__import__("unicodedata").category(c) == "Lu" for c in t)
+    more = (
+        100 * m["n_symbols"] > 15 * len(w)
+        or (100 * upper > 30 * m["word_chars"] and 100 * t.count("!") > 10 * len(w))
+        or 100 * m["n_dup_lines"] > 50 * len(lines)
+        or not 2 * len(w) <= m["word_chars"] <= 25 * len(w)
+    )
+    m["kept"] = not (m["base_failed"] or more)
+    return m
+
+
+def plain_words(text: str | None) -> list[str]:
+    import re
+
+    return re.findall(r"[0-9a-z\x80-\U0010ffff]+", (text or "").lower())
+
+
+def smith_waterman(a, b) -> int:
+    best, before = 0, [0] * (len(b) + 1)
+    for x in a:
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(max(0, before[j] + (2 if x == y else -1), before[j + 1] - 1, row[j] - 1))
+        best, before = max(best, max(row)), row
+    return best
+
+
+def leaks(rows, items, least=0.5):
+    """(doc_id, item_id) -> score, over whole documents, where two 3-word grams are shared."""
+    out: dict = {}
+    split = [(i, plain_words(t)) for i, t in items]
+    for d, t in rows:
+        w = plain_words(t)
+        grams = {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
+        for i, q in split:
+            if len(q) >= 8 and len(grams & {tuple(q[k : k + 3]) for k in range(len(q) - 2)}) >= 2:
+                s = smith_waterman(q, w) / (2 * len(q))
+                if s >= least:
+                    out[d, i] = max(s, out.get((d, i), 0))
+    return out
+
+
+def warc(rows):
+    """rows: (page_id, html)."""
+    import base64
+
+    data = [(p, (h or "").encode()) for p, h in rows]
+    big = 1 << 63
+    least: dict[bytes, int] = {}
+    for p, b in data:
+        least[b] = min(least.get(b, big), big if p is None else p)
+    out = []
+    for p, b in data:
+        own = least[b] >= (big if p is None else p)
+        out.append((p, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "response" if own else "revisit", None if own else least[b]))
+    return out
+
+
+def tokens(rows):
+    """doc_id, number of ids and the two digests, by the tiktoken library."""
+    import struct
+
+    import tiktoken
+
+    from tablescope.llm.byte_bpe import load_ranks, public_vocabulary
+
+    path, pattern = public_vocabulary()
+    own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
+    out = []
+    for d, t in rows:
+        ids = own.encode_ordinary(t or "")
+        out.append((d, len(ids), sha(struct.pack(f"<{len(ids)}I", *ids)), sha((t or "").encode())))
+    return out
