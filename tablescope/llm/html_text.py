@@ -67,6 +67,7 @@ class _Page:
     stack: list[_Open] = field(default_factory=list)
     heading: int = 0
     label: bool = False
+    spoiled: bool = False  # the open block itself is named as boilerplate
 
 
 def _kind(tag: str, attributes: str, inside: list[_Open]) -> int:
@@ -91,7 +92,7 @@ def _flush(page: _Page) -> None:
         kinds = [o.kind for o in page.stack if o.kind]
         words = shown.count(" ") + 1
         letters = len("".join(text.split()))
-        page.blocks.append(Block(shown, words, min(1.0, page.linked / letters), 1 in kinds, 2 in kinds, page.heading > 0, page.label))
+        page.blocks.append(Block(shown, words, min(1.0, page.linked / letters), 1 in kinds or page.spoiled, 2 in kinds, page.heading > 0, page.label))
     page.parts, page.linked = [], 0
 
 
@@ -155,6 +156,7 @@ def blocks(html: str) -> list[Block]:
                 if tag in HEADINGS:
                     page.heading = 0 if closing else 1
                 page.label = not closing and " data-main" in attributes
+                page.spoiled = not closing and attributes != "" and tag not in CONTAINER and _kind(tag, attributes, page.stack) == 1
             if tag in CONTAINER:
                 if closing:
                     for i in range(len(page.stack) - 1, -1, -1):

@@ -190,6 +190,7 @@ PAGES = [
     ("<body><header><h1>Site name</h1><ul><li><a>A</a><li><a>B</a></ul></header><main><p>" + "word " * 40 + "</p><aside><p>" + "side " * 30 + "</p></aside><div class='comments'><p>" + "reader " * 30 + "</p></div></main><script>var a='<p>x</p>'</script>", ("word " * 40).strip()),
     ("<div id=cookie-banner>We use cookies to do many things for you here.</div><div class=sidebar><p>" + "x " * 50 + "</p></div><div><p>" + "real " * 60 + "</p><p>" + "more " * 50 + "</p></div><form><p>Sign up to get our letters and a lot more</p></form>", ("real " * 60).strip() + "\n\n" + ("more " * 50).strip()),
     ("<article><p>a < b and 5 > 4 <!-- <p>hidden</p> --> end of it</p><style>p{}</style><p>unclosed <b>bold", "a < b and 5 > 4 end of it\n\nunclosed bold"),
+    ("<article><p class='ad'>buy it</p><p hidden>unseen</p><p class='lead'>kept words</p><h3 id=comments>Comments</h3></article>", "kept words"),
     ("", ""), (None, ""), ("<!-- never closed <p>x</p>", ""), ("<script>never closed", ""),
 ]
 
