@@ -28,7 +28,7 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut the bytes of 400-byte strings that stand twice or more; ``n_chars`` follows the
     text. A document that loses all of its text stays, empty."""
-    left = suffix_dedup.as_text(suffix_dedup.remove_repeated_bytes(docs))
+    left = suffix_dedup.unrepeated_text(docs)
     kind = docs.schema["n_chars"].dataType if "n_chars" in docs.columns else None
     new = {"text": F.col("text"), "n_chars": F.length("text").cast(kind) if kind else None}
     return left.select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrays import column, expand, pieces
+from .arrays import column, expand, pieces, tidy, tidy_group
 from .common import partitions, stored
 
 #: Characters of text of a block; one longer text is a block of its own.
@@ -186,7 +186,7 @@ def _blocks(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
         if held["ids"]:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "block long, bucket int, blob binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "block long, bucket int, blob binary")
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, buckets: int | None = None) -> DataFrame:
@@ -213,7 +213,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, buckets: int
             out.append(_packed(np.array(count, "<i4"), np.array(ids, "<i4")))
         return pa.table({"block": group.column("block"), "bucket": group.column("bucket"), "blob": pa.array(out, pa.binary())})
 
-    found = rows.where("bucket >= 0").groupBy("bucket").applyInArrow(of_bucket, "block long, bucket int, blob binary")
+    found = rows.where("bucket >= 0").groupBy("bucket").applyInArrow(tidy_group(of_bucket), "block long, bucket int, blob binary")
 
     def of_block(group: pa.Table) -> pa.Table:
         parts = {b: _unpacked(blob)[0] for b, blob in zip(group.column("bucket").to_pylist(), group.column("blob").to_pylist())}
@@ -234,7 +234,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, buckets: int
         blob = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(doc), [None, pa.py_buffer(4 * edge), pa.py_buffer(np.concatenate(flat))])
         return pa.table({"doc_id": pa.array(doc, mask=null.astype(bool)), "n_tokens": pa.array(np.diff(edge)), "ids": blob.cast(pa.binary())})
 
-    return rows.where("bucket < 0").unionByName(found).groupBy("block").applyInArrow(of_block, "doc_id long, n_tokens long, ids binary")
+    return rows.where("bucket < 0").unionByName(found).groupBy("block").applyInArrow(tidy_group(of_block), "doc_id long, n_tokens long, ids binary")
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
@@ -256,7 +256,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*part.columns, out.cast(pa.binary())], [*part.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))
+    return encoded.mapInArrow(tidy(run), T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))
 
 
 def bpe_report(docs: DataFrame, path: str, pattern: str) -> DataFrame:

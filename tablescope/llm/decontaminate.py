@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import U64, Spans, column, mix, pieces, stretches
+from .arrays import U64, Spans, column, mix, pieces, stretches, tidy
 from .common import stored
 
 GRAM, MIN_WORDS, MIN_SEEDS, RARE = 3, 8, 2, 16
@@ -29,7 +29,7 @@ MIN_SCORE = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Bits of the seeds' bitmap: 2 MB whatever the number of items. A full bitmap costs time only.
 BITS = 24
-PIECE = 2 << 20
+PIECE = 1 << 20
 
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -76,7 +76,7 @@ def seeds(items: DataFrame) -> DataFrame:
             none = np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *o])) for o in out], ["item", "gram", "n_words"])
 
-    return items.select("item", "item_text").mapInArrow(run, "item long, gram long, n_words long")
+    return items.select("item", "item_text").mapInArrow(tidy(run), "item long, gram long, n_words long")
 
 
 def bitmap(found: DataFrame) -> np.ndarray:
@@ -133,7 +133,7 @@ def passages(docs: DataFrame, bits: np.ndarray, pad: int) -> DataFrame:
                     ["passage", "doc_id", "start", "passage_text", "grams"],
                 )
 
-    return docs.select("doc_id", F.lower("text").alias("low")).mapInArrow(run, "passage long, doc_id long, start long, passage_text string, grams array<long>")
+    return docs.select("doc_id", F.lower("text").alias("low")).mapInArrow(tidy(run), "passage long, doc_id long, start long, passage_text string, grams array<long>")
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int, int, int, int]:
@@ -205,4 +205,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     pairs = hits.join(rare, "gram").groupBy("passage", "item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_SEEDS)
     ready = pairs.join(found.drop("grams"), "passage").join(items, "item").select("doc_id", F.col("item_id").cast("long").alias("item_id"), "start", "passage_text", "item_text")
     best = F.max_by(F.struct("score", "n_matched", "start", "end", "item_start", "item_end"), F.struct("score", -F.col("start"))).alias("b")
-    return ready.mapInArrow(_score, out).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")
+    return ready.mapInArrow(tidy(_score), out).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")

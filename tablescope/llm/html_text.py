@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import tidy
+
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>?")
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -381,12 +383,16 @@ def trained() -> Tree:
     return grow(*labelled())
 
 
-def main_text(html: str | None, tree: Tree | None = None) -> str:
+def kept_text(html: str | None, tree: Tree) -> str:
     found = blocks(html or "")
     if not found:
         return ""
-    keep = (tree or trained()).predict(features(found))
-    return "\n\n".join(b.text for b, k in zip(found, keep) if k)
+    return "\n\n".join(b.text for b, k in zip(found, tree.predict(features(found))) if k)
+
+
+def main_text(html: str | None) -> str:
+    """Main text of one page."""
+    return kept_text(html, trained())
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
@@ -395,9 +401,9 @@ def extract_text(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = [main_text(h.as_py(), tree) for h in batch.column("html")]
+            texts = [kept_text(h.as_py(), tree) for h in batch.column("html")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"]
             )
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html").mapInArrow(tidy(run), "page_id long, url string, text string, n_chars long")

@@ -21,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import U64, column, expand, pieces
+from .arrays import U64, column, expand, pieces, tidy
 from .decontaminate import GRAM, gram_hashes, word_edges
 from .license_texts import TEMPLATES
 
 WINNOW = 3
 MIN_COVERAGE = 0.6
 MATCH, MISMATCH, GAP = 2, -1, -1
-PIECE = 2 << 20
+PIECE = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -128,11 +128,10 @@ def _matches(index: Index, words: list[bytes], template: np.ndarray, diagonal: n
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """(doc_id, license, coverage 0 to 1, n_matched, start, end, spans): one row a match, with
     places in words of the document."""
-    table = docs.sparkSession.sparkContext.broadcast(build_index(templates))
+    index = build_index(templates)
     kinds = {"doc_id": pa.int64(), "license": pa.string(), "coverage": pa.float64(), "n_matched": pa.int64(), "start": pa.int64(), "end": pa.int64(), "spans": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))}
 
     def run(batches):
-        index = table.value
         for batch in batches:
             data, at_all = column(batch.column("low"))
             ids = batch.column("doc_id").cast(pa.int64())
@@ -162,4 +161,4 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in kinds.items()], list(kinds))
 
     schema = "doc_id long, license string, coverage double, n_matched long, start long, end long, spans array<struct<start:long,end:long>>"
-    return docs.select("doc_id", F.lower("text").alias("low")).mapInArrow(run, schema)
+    return docs.select("doc_id", F.lower("text").alias("low")).mapInArrow(tidy(run), schema)

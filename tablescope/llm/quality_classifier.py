@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import Spans, column, pieces, stretches
+from .arrays import Spans, column, pieces, stretches, tidy
 from .common import stored
 
 #: Share of the pooled variances in a class covariance, and what is added to each variance.
-SHRINKAGE, RIDGE = 0.1, 1e-3
-PIECE = 2 << 20
+SHRINKAGE, RIDGE = 0.3, 1e-3
+PIECE = 1 << 20
 CLASSES = ("other", "space", "line", "upper", "lower", "digit", "symbol", "bang", "bar", "stop", "high")
 FEATURES = ("words", "word_length", "word_spread", "upper", "digit", "symbol", "bang", "bar", "stop", "high", "distinct", "echo", "line_words")
 
@@ -76,7 +76,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
                     [batch.column("doc_id").slice(i, j - i), pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))], ["doc_id", "x"]
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, x array<double>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, x array<double>")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -126,14 +126,12 @@ def fit(labelled: DataFrame, shrinkage: float = SHRINKAGE, ridge: float = RIDGE)
 
 def scored(stats: DataFrame, model: Discriminant) -> DataFrame:
     """(doc_id, score) of every row of ``stats``."""
-    table = stats.sparkSession.sparkContext.broadcast(model)
-
     def run(batches):
         for batch in batches:
             x = batch.column("x").flatten().to_numpy().reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(table.value.score(x))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(x))], ["doc_id", "score"])
 
-    return stats.mapInArrow(run, "doc_id long, score double")
+    return stats.mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .arrays import U64, Spans, column, equal_spans, expand, eights, pieces
+from .arrays import U64, Spans, column, equal_spans, expand, eights, pieces, tidy, tidy_group, tidy_groups
 from .common import MAX_ID
 
 #: Bytes of text hashed at once, of packed strings held before they are sent, of strings in a bucket.
@@ -110,7 +110,7 @@ def heavy_minimisers(own: DataFrame, cut: Cut, total: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(size)], ["route", "size"])
 
     some = own.where(F.pmod(F.hash("_did", "_rk"), F.lit(SAMPLE_EVERY)) == 0)
-    found = some.mapInArrow(weigh, "route long, size long").groupBy("route").agg(F.sum("size").alias("size")).where(F.col("size") > limit // SAMPLE_EVERY)
+    found = some.mapInArrow(tidy(weigh), "route long, size long").groupBy("route").agg(F.sum("size").alias("size")).where(F.col("size") > limit // SAMPLE_EVERY)
     return np.sort(np.array([r["route"] for r in found.collect()], np.int64).view(U64))
 
 
@@ -187,7 +187,7 @@ def marks(own: DataFrame, total: int, cut: Cut, judge, ordered: bool) -> DataFra
         which, place, n = np.concatenate([i, done]), np.concatenate([f["place"][i] + offset, f["place"][done]]), np.concatenate([n, f["windows"][done]])
         return pa.table({"_did": f["did"][which], "_rk": f["rk"][which].astype(np.int32), "place": place, "n": n.astype(np.int64)})
 
-    return own.mapInArrow(sent(cut, heavy, buckets, ordered), "bucket int, blob binary").groupBy("bucket").applyInArrow(in_bucket, "_did long, _rk int, place long, n long")
+    return own.mapInArrow(tidy(sent(cut, heavy, buckets, ordered)), "bucket int, blob binary").groupBy("bucket").applyInArrow(tidy_group(in_bucket), "_did long, _rk int, place long, n long")
 
 
 def _packed_rows(buckets: int):
@@ -232,7 +232,7 @@ def without_marked(docs: DataFrame, cut: Cut, judge, ordered: bool, remove, sche
     found = marks(own.select("_did", "_rk", "text"), total, cut, judge, ordered)
     buckets = max(1, total // BUCKET)
     bucket = F.pmod(F.xxhash64("_did", "_rk"), F.lit(buckets)).cast("int").alias("bucket")
-    rows = own.select("*", bucket).mapInArrow(_packed_rows(buckets), "bucket int, blob binary")
+    rows = own.select("*", bucket).mapInArrow(tidy(_packed_rows(buckets)), "bucket int, blob binary")
 
     def joined(left: pa.Table, right: pa.Table) -> pa.Table:
         did, rk, place, n = (right.column(c).to_numpy() for c in ("_did", "_rk", "place", "n"))
@@ -249,7 +249,7 @@ def without_marked(docs: DataFrame, cut: Cut, judge, ordered: bool, remove, sche
 
     whole = T.StructType([own.schema["row"], *T.StructType.fromDDL(schema).fields])
     whole_arrow = to_arrow_schema(whole)
-    return rows.groupBy("bucket").cogroup(found.select("*", bucket).groupBy("bucket")).applyInArrow(joined, whole)
+    return rows.groupBy("bucket").cogroup(found.select("*", bucket).groupBy("bucket")).applyInArrow(tidy_groups(joined), whole)
 
 
 def distinct_strings(f: dict[str, np.ndarray], text: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

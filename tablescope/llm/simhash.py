@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import column
+from .arrays import column, tidy
 from .common import MAX_ID, stored
 from .components import components
 
@@ -76,7 +76,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
             settle()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(np.concatenate(done).view(np.int64))], ["doc_id", "th", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("th"), "text").mapInArrow(run, "doc_id long, th long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("th"), "text").mapInArrow(tidy(run), "doc_id long, th long, fp long")
 
 
 def forest(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -145,7 +145,7 @@ def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
                 out[1].append(found[1])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o).view(np.int64)) for o in out], ["a", "b"])
 
-    return pairs.mapInArrow(compare, "a long, b long")
+    return pairs.mapInArrow(tidy(compare), "a long, b long")
 
 
 def text_hash() -> Column:

@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX_ID, shared_dir, stored
+from .arrays import tidy, tidy_group
+from .common import MAX_ID, partitions, shared_dir, stored
 
 #: An archive is closed beyond ROLL bytes; reads join ranges at most GAP bytes apart up to READ bytes.
 ROLL, GAP, READ = 64 << 20, 64 << 10, 8 << 20
@@ -116,7 +117,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
             if out is not None:
                 out.close()
 
-    return stored(decided(pages, min_bytes).mapInArrow(run, INDEX), "warc-index")
+    return stored(decided(pages, min_bytes).mapInArrow(tidy(run), INDEX), "warc-index")
 
 
 def ranges(offset: np.ndarray, length: np.ndarray, gap: int = GAP, most: int = READ) -> list[tuple[int, int]]:
@@ -162,7 +163,9 @@ def read_records(index: DataFrame, with_payload: bool = True) -> DataFrame:
                         values.append(got[name])
         return pa.table({k: pa.array(v, kinds[k]) for k, v in rows.items()})
 
-    return index.select("file", "offset", "length").groupBy("file").applyInArrow(of_file, schema)
+    # the rows are small but what they read is not: no merging of partitions by size
+    spread = index.select("file", "offset", "length").repartition(partitions(index.sparkSession), "file")
+    return spread.groupBy("file").applyInArrow(tidy_group(of_file), schema)
 
 
 def resolved(records: DataFrame) -> DataFrame:

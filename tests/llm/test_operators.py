@@ -155,7 +155,7 @@ def test_dedup_of_repeated_rows_and_null_ids(spark):
 def test_kept_bytes_as_text(spark):
     text = "日本" * 300
     docs = spark.createDataFrame([(1, "x" + text), (2, text + "yz"), (3, "z" * 10)], "doc_id long, text string")
-    left = {r["row"]["doc_id"]: r["text"] for r in suffix_dedup.as_text(suffix_dedup.remove_repeated_bytes(docs)).collect()}
+    left = {r["row"]["doc_id"]: r["text"] for r in suffix_dedup.unrepeated_text(docs).collect()}
     assert left == {1: "x", 2: "yz", 3: "z" * 10}
 
 
