@@ -22,12 +22,12 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .arrays import U64, Spans, column, equal_spans, expand, eights, pieces, tidy, tidy_group, tidy_groups
-from .common import MAX_ID
+from .common import MAX_ID, partitions
 
 #: Bytes of text hashed at once, of packed strings held before they are sent, of strings in a bucket.
 PIECE, HELD, BUCKET = 1 << 20, 32 << 20, 6 << 20
 #: Level of zstd for all that is shuffled.
-LEVEL = 3
+LEVEL = 6
 #: One owner in so many is looked at for heavy minimisers; there are at most HEAVY_KEYS of them.
 SAMPLE_EVERY, HEAVY_KEYS = 50, 1_000_000
 #: What travels with a run's string. Half of a route is enough to tell minimisers of a bucket
@@ -176,7 +176,7 @@ def marks(own: DataFrame, total: int, cut: Cut, judge, ordered: bool) -> DataFra
     text, start)`` gets a bucket's undecided runs and returns the index of each marked
     stretch's run, its offset in windows and its length."""
     heavy = heavy_minimisers(own, cut, total)
-    buckets = max(1, 4 * total // BUCKET)  # strings overlap: they hold 3 to 4 times the text
+    buckets = max(partitions(own.sparkSession), 4 * total // BUCKET)  # strings overlap: they hold 3 to 4 times the text
 
     def in_bucket(group: pa.Table) -> pa.Table:
         f, text = unpack(group.column("blob").to_pylist())
@@ -230,7 +230,7 @@ def without_marked(docs: DataFrame, cut: Cut, judge, ordered: bool, remove, sche
     own = owners(docs.select(row, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("doc_id"))).select("row", "text", "_did", "_rk")
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     found = marks(own.select("_did", "_rk", "text"), total, cut, judge, ordered)
-    buckets = max(1, total // BUCKET)
+    buckets = max(partitions(docs.sparkSession), total // BUCKET)
     bucket = F.pmod(F.xxhash64("_did", "_rk"), F.lit(buckets)).cast("int").alias("bucket")
     rows = own.select("*", bucket).mapInArrow(tidy(_packed_rows(buckets)), "bucket int, blob binary")
 
