@@ -1,13 +1,13 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman scores them.
+"""Benchmark decontamination: n-gram seeds find passages, Smith-Waterman scores them.
 
 Texts are lower-cased and read as words (runs of ASCII letters and digits and of all other
 characters beyond ASCII). The 3-word grams of the test items are the seeds. A bitmap of
 fixed size with the seeds' hashes lets the scan of the documents drop nearly all grams at
 once; what passes is clustered into passages, padded by the longest item, and joined with
-the seeds. A seed is rare unless it is found over RARE times as often as its item's median
-seed, so phrases of everyday language do not make candidates while an item that is copied
-everywhere keeps its seeds. A passage and an item that share MIN_SEEDS rare seeds are
-aligned whole, and reported if the alignment reaches MIN_SCORE of the item's full score.
+the seeds. Every seed counts, however often it is found. A passage and an item that share
+MIN_SEEDS seeds are aligned whole, unless too few words of the item stand in the passage for
+any alignment to reach MIN_SCORE, and reported if the alignment reaches MIN_SCORE of the
+item's full score.
 
 Defined results: null and empty texts hold no words; items under MIN_WORDS words are not
 looked for; repeated items count once, repeated documents each; of several alignments of a
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .arrays import U64, Spans, column, mix, pieces, stretches, tidy
 from .common import stored
 
-GRAM, MIN_WORDS, MIN_SEEDS, RARE = 3, 8, 2, 16
+GRAM, MIN_WORDS, MIN_SEEDS = 3, 8, 2
 MIN_SCORE = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Bits of the seeds' bitmap: 2 MB whatever the number of items. A full bitmap costs time only.
@@ -173,11 +173,16 @@ def _score(batches):
     for batch in batches:
         rows = []
         known: dict[str, list[bytes]] = {}
+        read: dict[str, list[bytes]] = {}
         for doc, item, begin, text, want in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "item_id", "start", "passage_text", "item_text"))):
             a = known.get(want) or known.setdefault(want, split_words(want))
             number: dict[bytes, int] = {}
             x = np.array([number.setdefault(w, len(number)) for w in a], np.int32)
-            y = np.array([number.get(w, -1) for w in split_words(text)], np.int32)
+            there = read.get(text) or read.setdefault(text, split_words(text))
+            y = np.array([number.get(w, -1) for w in there], np.int32)
+            common = np.minimum(np.bincount(x), np.bincount(y[y >= 0], minlength=len(number))).sum()
+            if common < MIN_SCORE * len(a):  # an alignment matches no more words than this
+                continue
             score, matched, s, e, s1, e1 = align(x, y)
             score /= MATCH * len(a)
             if score >= MIN_SCORE:
@@ -198,11 +203,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return spark.createDataFrame([], out)
     found = stored(passages(docs, bitmap(own), longest), "passages")
     hits = found.select("passage", F.explode("grams").alias("gram"))
-    times = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("times"))
-    ranked = own.join(times, "gram", "left").withColumn("times", F.coalesce("times", F.lit(0)))
-    usual = ranked.groupBy("item").agg(F.percentile("times", F.lit(0.5)).alias("usual"))
-    rare = ranked.join(usual, "item").where(F.col("times") <= RARE * F.greatest("usual", F.lit(1.0))).select("item", "gram")
-    pairs = hits.join(rare, "gram").groupBy("passage", "item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_SEEDS)
+    pairs = hits.join(own.select("item", "gram"), "gram").groupBy("passage", "item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_SEEDS)
     ready = pairs.join(found.drop("grams"), "passage").join(items, "item").select("doc_id", F.col("item_id").cast("long").alias("item_id"), "start", "passage_text", "item_text")
     best = F.max_by(F.struct("score", "n_matched", "start", "end", "item_start", "item_end"), F.struct("score", -F.col("start"))).alias("b")
     return ready.mapInArrow(tidy(_score), out).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")

@@ -186,6 +186,19 @@ def test_decontamination(leaky):
     assert exact["score"] == 1 and brute.plain_words(text[0])[exact["start"] : exact["end"]] == brute.plain_words(items[0][1])
 
 
+def test_decontamination_of_repeated_partial_copies(spark):
+    rng = random.Random(21)
+    items = [(k, prose(rng, n)) for k, n in enumerate((16, 38, 59, 20))]
+    data = []
+    for (_, t), times in zip(items, (16, 17, 300, 17)):
+        w = t.split()
+        part = " ".join(w[: len(w) // 2 + 1]) if len(w) == 20 else " ".join("changed" if k % 5 == 4 else x for k, x in enumerate(w))
+        data += [f"{prose(rng, 20)} {part} {prose(rng, 20)}" for _ in range(times)]
+    data = list(enumerate(data))
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.contaminated(spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(got) == 350 and got == pytest.approx(brute.leaks(data, items))
+
+
 def test_decontamination_of_nothing(spark, leaky):
     _, _, docs, benchmark = leaky
     assert decontaminate.contaminated(docs.limit(0), benchmark).collect() == []
