@@ -4,8 +4,10 @@ to the bucket of that minimiser, so equal windows of any two documents always me
 A run is (owner, place, number of windows, string). Equal strings of one task are collapsed
 before the shuffle. A minimiser that holds more than a bucket's share (found on a sample;
 that steers routing only) sends its windows on by a finer key instead, so no bucket grows
-with the number of copies of one passage. Owners are (doc id, hash of text): a null id
-counts as the largest, repeated rows share an owner and get one result each.
+with the number of copies of one passage. Owners are (doc id, 64-bit hash of text), where
+the hash is 0 for ids that stand in one row only, so it costs bytes only where the id does
+not decide. A null id counts as the largest, repeated rows share an owner and get one result
+each.
 """
 
 from __future__ import annotations
@@ -21,18 +23,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .arrays import U64, Spans, column, equal_spans, expand, eights, pieces, tidy, tidy_group, tidy_groups
+from .arrays import U64, Spans, column, equal_spans, expand, eights, mix, pieces, tidy, tidy_group, tidy_groups
 from .common import MAX_ID, partitions
 
 #: Bytes of text hashed at once, of packed strings held before they are sent, of strings in a bucket.
 PIECE, HELD, BUCKET = 1 << 20, 32 << 20, 6 << 20
+#: Bits of the bitmap of ids that stand in several rows: 2 MB. A full one costs bytes only.
+ID_BITS = 24
 #: Level of zstd for all that is shuffled.
 LEVEL = 6
 #: One owner in so many is looked at for heavy minimisers; there are at most HEAVY_KEYS of them.
 SAMPLE_EVERY, HEAVY_KEYS = 50, 1_000_000
 #: What travels with a run's string. Half of a route is enough to tell minimisers of a bucket
 #: apart: two that look alike only share work.
-FIELDS = (("did", "<i8"), ("rk", "<i4"), ("route", "<u4"), ("place", "<i4"), ("windows", "<i2"), ("size", "<i4"), ("weight", "<i1"))
+FIELDS = (("did", "<i8"), ("rk", "<i8"), ("route", "<u4"), ("place", "<i4"), ("windows", "<i2"), ("size", "<i4"), ("weight", "<i1"))
 
 
 @dataclass
@@ -82,14 +86,48 @@ class Cut:
 
 
 def owners(docs: DataFrame) -> DataFrame:
-    """``docs`` with the owner columns _did and _rk."""
-    return docs.withColumn("_did", F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX_ID))).withColumn("_rk", F.hash(F.coalesce(F.col("text"), F.lit(""))))
+    """``docs`` with the columns _did and _rk, which is kept for shared ids only."""
+    return docs.withColumn("_did", F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX_ID))).withColumn("_rk", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], cut: Cut, heavy: np.ndarray) -> Iterator[tuple[Runs, Spans]]:
+def _slot(did: np.ndarray) -> np.ndarray:
+    return mix(did.astype(np.int64).view(U64)) >> U64(64 - ID_BITS)
+
+
+def shared_ids(own: DataFrame) -> np.ndarray:
+    """A bitmap with the hashes of all ids that stand in two rows or more, built by the
+    executors in parts of 4 KB. Other ids may hit it too: they keep their hash as well."""
+
+    def slots(batches):
+        for batch in batches:
+            slot = np.unique(_slot(batch.column("_did").to_numpy())).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(slot >> 15), pa.array(slot & 32767)], ["part", "bit"])
+
+    twice = own.groupBy("_did").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("_did")
+    parts = twice.mapInArrow(tidy(slots), "part long, bit long").groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
+    out = np.zeros(1 << (ID_BITS - 3), np.uint8)
+    for r in parts:
+        out[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def owner_keys(batch: pa.RecordBatch, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Id and hash of each row's owner; the hash is 0 where the id stands in one row only."""
+    did, rk = (batch.column(c).to_numpy() for c in ("_did", "_rk"))
+    slot = _slot(did)
+    kept = (shared[(slot >> U64(3)).astype(np.int64)] >> (slot & U64(7)).astype(np.uint8)) & 1
+    return did, np.where(kept == 1, rk, 0)
+
+
+def owner_bucket(did: np.ndarray, rk: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket in which rows and marks of an owner meet."""
+    return (mix(mix(did.astype(np.int64).view(U64)) + rk.astype(np.int64).view(U64)) % U64(buckets)).astype(np.int32)
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], cut: Cut, heavy: np.ndarray, shared: np.ndarray) -> Iterator[tuple[Runs, Spans]]:
     for batch in batches:
         data, at = column(batch.column("text"))
-        did, rk = (batch.column(c).to_numpy() for c in ("_did", "_rk"))
+        did, rk = owner_keys(batch, shared)
         for i, j in pieces(at, PIECE):
             if at[j] - at[i] <= PIECE:
                 yield cut.runs(data[at[i] : at[j]], at[i : j + 1] - at[i], did[i:j], rk[i:j], np.zeros(j - i, np.int64), heavy)
@@ -104,7 +142,7 @@ def heavy_minimisers(own: DataFrame, cut: Cut, total: int) -> np.ndarray:
     limit = max(BUCKET // 2, total // HEAVY_KEYS)
 
     def weigh(batches):
-        for runs, _ in _pieces(batches, cut, np.zeros(0, U64)):
+        for runs, _ in _pieces(batches, cut, np.zeros(0, U64), np.zeros(1 << (ID_BITS - 3), np.uint8)):
             key, place = np.unique(runs.route, return_inverse=True)
             size = np.bincount(place, runs.end - runs.start, len(key)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(size)], ["route", "size"])
@@ -137,7 +175,7 @@ def unpack(blobs) -> tuple[dict[str, np.ndarray], np.ndarray]:
     return {k: np.concatenate(v).astype(np.int64) for k, v in parts.items()}, np.concatenate(texts)
 
 
-def sent(cut: Cut, heavy: np.ndarray, buckets: int, ordered: bool):
+def sent(cut: Cut, heavy: np.ndarray, shared, buckets: int, ordered: bool):
     """The map side: packed runs by bucket. A decided run is sent without its string."""
 
     def flush(held: dict) -> pa.RecordBatch:
@@ -147,7 +185,7 @@ def sent(cut: Cut, heavy: np.ndarray, buckets: int, ordered: bool):
 
     def run(batches):
         held, size = {}, 0
-        for r, spans in _pieces(batches, cut, heavy):
+        for r, spans in _pieces(batches, cut, heavy, shared.value):
             if not len(r.start):
                 continue
             weight, done = r.collapsed(spans, ordered)
@@ -171,8 +209,8 @@ def sent(cut: Cut, heavy: np.ndarray, buckets: int, ordered: bool):
     return run
 
 
-def marks(own: DataFrame, total: int, cut: Cut, judge, ordered: bool) -> DataFrame:
-    """(_did, _rk, place, n): stretches of n marked windows of an owner. ``judge(fields,
+def marks(own: DataFrame, total: int, cut: Cut, judge, ordered: bool, shared, meet: int) -> DataFrame:
+    """(_did, _rk, place, n, bucket of ``meet``): stretches of n marked windows of an owner. ``judge(fields,
     text, start)`` gets a bucket's undecided runs and returns the index of each marked
     stretch's run, its offset in windows and its length."""
     heavy = heavy_minimisers(own, cut, total)
@@ -185,12 +223,13 @@ def marks(own: DataFrame, total: int, cut: Cut, judge, ordered: bool) -> DataFra
         i, offset, n = judge({k: v[live] for k, v in f.items()}, text, start[live])
         i, done = np.flatnonzero(live)[i], np.flatnonzero(~live)
         which, place, n = np.concatenate([i, done]), np.concatenate([f["place"][i] + offset, f["place"][done]]), np.concatenate([n, f["windows"][done]])
-        return pa.table({"_did": f["did"][which], "_rk": f["rk"][which].astype(np.int32), "place": place, "n": n.astype(np.int64)})
+        did, rk = f["did"][which], f["rk"][which]
+        return pa.table({"_did": did, "_rk": rk, "place": place, "n": n.astype(np.int64), "bucket": owner_bucket(did, rk, meet)})
 
-    return own.mapInArrow(tidy(sent(cut, heavy, buckets, ordered)), "bucket int, blob binary").groupBy("bucket").applyInArrow(tidy_group(in_bucket), "_did long, _rk int, place long, n long")
+    return own.mapInArrow(tidy(sent(cut, heavy, shared, buckets, ordered)), "bucket int, blob binary").groupBy("bucket").applyInArrow(tidy_group(in_bucket), "_did long, _rk long, place long, n long, bucket int")
 
 
-def _packed_rows(buckets: int):
+def _packed_rows(buckets: int, shared):
     """mapInArrow: whole rows, compressed, by the bucket of their owner."""
 
     def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -210,6 +249,9 @@ def _packed_rows(buckets: int):
         held, size = [], 0
         for batch in batches:
             if batch.num_rows:
+                did, rk = owner_keys(batch, shared.value)
+                batch = batch.set_column(batch.schema.get_field_index("_rk"), "_rk", pa.array(rk, pa.int64()))
+                batch = batch.append_column("bucket", pa.array(owner_bucket(did, rk, buckets)))
                 held.append(batch)
                 size += batch.nbytes
             if size > HELD:
@@ -229,10 +271,10 @@ def without_marked(docs: DataFrame, cut: Cut, judge, ordered: bool, remove, sche
     row = F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("row")
     own = owners(docs.select(row, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("doc_id"))).select("row", "text", "_did", "_rk")
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    found = marks(own.select("_did", "_rk", "text"), total, cut, judge, ordered)
+    shared = docs.sparkSession.sparkContext.broadcast(shared_ids(own))
     buckets = max(partitions(docs.sparkSession), total // BUCKET)
-    bucket = F.pmod(F.xxhash64("_did", "_rk"), F.lit(buckets)).cast("int").alias("bucket")
-    rows = own.select("*", bucket).mapInArrow(tidy(_packed_rows(buckets)), "bucket int, blob binary")
+    found = marks(own.select("_did", "_rk", "text"), total, cut, judge, ordered, shared, buckets)
+    rows = own.mapInArrow(tidy(_packed_rows(buckets, shared)), "bucket int, blob binary")
 
     def joined(left: pa.Table, right: pa.Table) -> pa.Table:
         did, rk, place, n = (right.column(c).to_numpy() for c in ("_did", "_rk", "place", "n"))
@@ -249,7 +291,7 @@ def without_marked(docs: DataFrame, cut: Cut, judge, ordered: bool, remove, sche
 
     whole = T.StructType([own.schema["row"], *T.StructType.fromDDL(schema).fields])
     whole_arrow = to_arrow_schema(whole)
-    return rows.groupBy("bucket").cogroup(found.select("*", bucket).groupBy("bucket")).applyInArrow(tidy_groups(joined), whole)
+    return rows.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(tidy_groups(joined), whole)
 
 
 def distinct_strings(f: dict[str, np.ndarray], text: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -1,5 +1,6 @@
 """Every operator on Spark: edge cases, empty tables, extra columns, against plain Python."""
 
+import hashlib
 import random
 from collections import Counter
 
@@ -152,6 +153,16 @@ def test_dedup_of_repeated_rows_and_null_ids(spark):
     assert rows(suffix_dedup.suffix_report(docs)) == Counter(brute.repeated_bytes(data))
 
 
+def test_dedup_of_shared_ids_whose_texts_have_one_32_bit_hash(spark):
+    a, b = (" ".join(hashlib.md5(f"{i}.{k}".encode()).hexdigest() for k in range(30)) for i in (971, 114894))
+    assert len({r[0] for r in spark.createDataFrame([(a,), (b,)], "text string").select(F.hash("text")).collect()}) == 1
+    for shared in (None, 7):
+        data = [(shared, a), (shared, b), (1, a), (2, "short")]
+        docs = spark.createDataFrame(data, "doc_id long, text string")
+        assert rows(window_dedup.window_report(docs)) == Counter(brute.repeated_windows(data))
+        assert rows(suffix_dedup.suffix_report(docs)) == Counter(brute.repeated_bytes(data))
+
+
 def test_kept_bytes_as_text(spark):
     text = "日本" * 300
     docs = spark.createDataFrame([(1, "x" + text), (2, text + "yz"), (3, "z" * 10)], "doc_id long, text string")
