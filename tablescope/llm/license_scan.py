@@ -4,7 +4,8 @@ Each template's 3-word grams are winnowed (the smallest hash of every WINNOW nei
 an inverted index of hash to (template, place). Templates are a parameter, so the index is
 bounded by them and goes to every task; all grams of a document are looked up in it. Hits of
 a template on neighbouring diagonals make a candidate, which is aligned with the template
-inside a band around them. Matches report the covered share of the template and the matched
+inside a band around them; what lies left and right of a match is aligned again while it has
+hits enough, so copies that follow each other closely are all found. Matches report the covered share of the template and the matched
 word spans of the document.
 
 Defined results: null and empty texts have no matches; repeated rows are each scanned; a
@@ -14,6 +15,7 @@ more the one with more matched words is kept, then the better covered, then the
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from dataclasses import dataclass
 
 import numpy as np
@@ -75,6 +77,9 @@ def banded(template: np.ndarray, text: np.ndarray, diagonal: int, band: int) ->
         row = np.maximum.accumulate(row + slope) - slope
         h[i, :-1] = np.where(inside, row, 0)
     i, b = np.unravel_index(int(h.argmax()), h.shape)
+    if width > 8 * m + 64:  # many copies may tie: the one nearest the middle halves the rest
+        ties = np.flatnonzero(h[i] == h[i, b])
+        b = ties[len(ties) // 2]
     score, matched = int(h[i, b]), []
     while i > 0 and 0 <= b < width and h[i, b] > 0:
         at = int(j[b]) + i - 1
@@ -90,10 +95,10 @@ def banded(template: np.ndarray, text: np.ndarray, diagonal: int, band: int) ->
     return score, matched[::-1]
 
 
-def _matches(index: Index, words: list[bytes], template: np.ndarray, diagonal: np.ndarray) -> list[dict]:
-    """Matches of a document from its hits (template and diagonal of each)."""
+def _matches(index: Index, words: list[bytes], template: np.ndarray, place: np.ndarray, diagonal: np.ndarray) -> list[dict]:
+    """Matches of a document from its hits (template, place and diagonal of each)."""
     order = np.lexsort((diagonal, template))
-    template, diagonal = template[order], diagonal[order]
+    template, place, diagonal = template[order], place[order], diagonal[order]
     size = np.array([len(w) for w in index.words])
     band = 8 + size // 10
     cut = np.concatenate([[True], (np.diff(template) != 0) | (np.diff(diagonal) > band[template[1:]])])
@@ -101,27 +106,39 @@ def _matches(index: Index, words: list[bytes], template: np.ndarray, diagonal: n
     found = []
     for a, b in zip(edge[:-1], edge[1:]):
         t = int(template[a])
-        if b - a < min(2, index.prints[t] // 4 + 1):
-            continue
-        low, high, w = int(diagonal[a]), int(diagonal[b - 1]), int(band[t])
-        reach = (high - low) // 2 + w
-        x = max(0, low - w)
-        y = min(len(words), high + int(size[t]) + w)
+        w = int(band[t])
         number: dict[bytes, int] = {}
         want = np.array([number.setdefault(v, len(number)) for v in index.words[t]])
-        have = np.array([number.get(v, -1) for v in words[x:y]])
-        _, got = banded(want, have, (low + high) // 2 - x, reach)
-        coverage = len(got) / len(want)
-        if coverage >= MIN_COVERAGE:
+        first = max(0, int(diagonal[a]) - w)
+        have = np.array([number.get(v, -1) for v in words[first : int(diagonal[b - 1]) + int(size[t]) + w]])
+        todo = [(place[a:b], diagonal[a:b], 0, len(words))]
+        while todo:  # hits and the words between which they stand
+            at, diagonals, left, right = todo.pop()
+            if len(at) < min(2, index.prints[t] // 4 + 1):
+                continue
+            low, high = int(diagonals[0]), int(diagonals[-1])
+            reach = (high - low + 1) // 2 + w
+            x, y = max(left, low - w), min(right, high + int(size[t]) + w)
+            _, got = banded(want, have[max(0, x - first) : max(0, y - first)], (low + high) // 2 - x, reach)
+            coverage = len(got) / len(want)
+            if coverage < MIN_COVERAGE:
+                continue
             places = np.array(got) + x
             s = np.flatnonzero(np.diff(places, prepend=-2) != 1)
             ends = np.concatenate([places[s[1:] - 1], places[-1:]]) + 1
-            found.append({"license": index.names[t], "coverage": coverage, "n_matched": len(got), "start": int(places[0]), "end": int(places[-1]) + 1, "spans": [{"start": p, "end": q} for p, q in zip(places[s].tolist(), ends.tolist())]})
+            start, end = int(places[0]), int(places[-1]) + 1
+            found.append({"license": index.names[t], "coverage": coverage, "n_matched": len(got), "start": start, "end": end, "spans": [{"start": p, "end": q} for p, q in zip(places[s].tolist(), ends.tolist())]})
+            before, after = at + GRAM <= start, at >= end
+            todo += [(at[before], diagonals[before], left, start), (at[after], diagonals[after], end, right)]
     found.sort(key=lambda f: (-f["n_matched"], -f["coverage"], f["license"], f["start"]))
     kept: list[dict] = []
+    spans: list[tuple[int, int]] = []  # of the kept, by start
+    longest = max((f["end"] - f["start"] for f in found), default=0)
     for f in found:
-        if all(2 * (min(f["end"], k["end"]) - max(f["start"], k["start"])) < min(f["end"] - f["start"], k["end"] - k["start"]) for k in kept):
+        near = spans[bisect_left(spans, (f["start"] - longest,)) : bisect_left(spans, (f["end"],))]
+        if all(2 * (min(f["end"], e) - max(f["start"], s)) < min(f["end"] - f["start"], e - s) for s, e in near):
             kept.append(f)
+            insort(spans, (f["start"], f["end"]))
     return sorted(kept, key=lambda f: f["start"])
 
 
@@ -155,7 +172,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
                     x, y = int(word0[d]), int(word0[d + 1])
                     raw, s, e = buf[start[x] : end[y - 1]].tobytes(), (start[x:y] - start[x]).tolist(), (end[x:y] - start[x]).tolist()
                     words = [raw[k:m] for k, m in zip(s, e)]
-                    for f in _matches(index, words, index.template[entry[p:q]], place[p:q] - x - index.place[entry[p:q]]):
+                    for f in _matches(index, words, index.template[entry[p:q]], place[p:q] - x, place[p:q] - x - index.place[entry[p:q]]):
                         rows.append({"doc_id": ids[i + d].as_py(), **f})
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in kinds.items()], list(kinds))

@@ -242,6 +242,17 @@ def test_licenses(spark):
     assert sum(r["doc_id"] == 5 and r["license"] == "GPL-3.0-notice" for r in found) == 2
 
 
+def test_licenses_that_follow_each_other(spark):
+    t = license_scan.TEMPLATES
+    short = [n for n, x in t.items() if len(brute.plain_words(x)) <= 8]
+    assert "all-rights-reserved" in short
+    cases = [(name, times, gap) for name in short for times in (1, 2, 3, 1000) for gap in ("\n", " Photo A. ")]
+    docs = spark.createDataFrame([(k, gap.join([t[name]] * times)) for k, (name, times, gap) in enumerate(cases)], "doc_id long, text string")
+    found = Counter((r["doc_id"], r["license"]) for r in license_scan.scan(docs).where("coverage = 1").collect())
+    for k, (name, times, _) in enumerate(cases):
+        assert found[k, name] == times, cases[k]
+
+
 def test_classifier_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
     got = quality_classifier.quality_scores(docs, labels)
