@@ -39,18 +39,36 @@ def window_keys(w: Column) -> Column:
     return F.when(F.size(w) >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - 3), key))).otherwise(F.array().cast("array<bigint>"))
 
 
+def neighbours(windows: Column, alike: Callable[[Column, Column], Column]) -> Column:
+    """Places of the sorted ``windows`` that are alike with the one before or after."""
+    same = lambda k, j: F.coalesce(alike(k, j), F.lit(False))
+    return F.filter(F.sequence(F.lit(0), F.size(windows) - 1), lambda k: same(k, k - 1) | same(k, k + 1))
+
+
+def sorted_by_words(w: Column) -> Column:
+    """Starts of the windows found twice or more, from the windows sorted by their words."""
+    window = lambda i: F.struct(F.get(w, i).alias("a"), F.get(w, i + 1).alias("b"), F.get(w, i + 2).alias("c"), i.alias("start"))
+
+    def starts(windows: Column) -> Column:
+        at = lambda k, name: F.get(windows, k)[name]
+        alike = lambda k, j: (at(k, "a") == at(j, "a")) & (at(k, "b") == at(j, "b")) & (at(k, "c") == at(j, "c"))
+        return F.sort_array(F.transform(neighbours(windows, alike), lambda k: at(k, "start")))
+
+    return let(F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - 3), window)), starts)
+
+
 def repeated_starts(w: Column, keys: Column) -> Column:
     """Sorted starts of the windows found twice or more: neighbours among the keys with one
-    hash, whose words are then compared."""
+    hash, whose words are then compared. If neighbours with one hash differ in words, another
+    window may stand between two equal ones, and the text's windows are sorted by words."""
     start = lambda k: F.get(keys, k).bitwiseAND(F.lit(START_MASK)).cast("int")
     word = lambda k, d: F.get(w, start(k) + d)
+    near = lambda k, j: F.shiftright(F.get(keys, k), START_BITS) == F.shiftright(F.get(keys, j), START_BITS)
+    alike = lambda k, j: (word(k, 0) == word(j, 0)) & (word(k, 1) == word(j, 1)) & (word(k, 2) == word(j, 2))
 
-    def same(k: Column, j: Column) -> Column:
-        near = F.shiftright(F.get(keys, k), START_BITS) == F.shiftright(F.get(keys, j), START_BITS)
-        return F.coalesce(near & (word(k, 0) == word(j, 0)) & (word(k, 1) == word(j, 1)) & (word(k, 2) == word(j, 2)), F.lit(False))
-
-    hits = F.filter(F.sequence(F.lit(0), F.size(keys) - 1), lambda k: same(k, k - 1) | same(k, k + 1))
-    return F.when(F.size(keys) > 1, F.sort_array(F.transform(hits, start))).otherwise(F.array().cast("array<int>"))
+    clash = F.exists(F.sequence(F.lit(0), F.size(keys) - 2), lambda k: near(k, k + 1) & ~alike(k, k + 1))
+    hits = neighbours(keys, lambda k, j: near(k, j) & alike(k, j))
+    return F.when(F.size(keys) <= 1, F.array().cast("array<int>")).when(clash, sorted_by_words(w)).otherwise(F.sort_array(F.transform(hits, start)))
 
 
 def covered(p: Column) -> Column:

@@ -52,6 +52,13 @@ def test_quality_rules(docs, corpus):
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter(d for d, t in corpus if brute.base_rules(t)["kept"])
 
 
+def test_repeated_words_when_hashes_clash(docs, corpus, monkeypatch):
+    monkeypatch.setattr(quality_rules, "START_BITS", 58)  # 6 bits of hash are left
+    monkeypatch.setattr(quality_rules, "START_MASK", (1 << 58) - 1)
+    got = quality_rules.quality_report(docs).select("doc_id", "n_repeat_words", "kept")
+    assert rows(got) == Counter((d, brute.base_rules(t)["n_repeat_words"], brute.base_rules(t)["kept"]) for d, t in corpus)
+
+
 def test_rules_are_ordered_by_rejections_per_cost(docs):
     rules = [*quality_rules.BASE, *quality_rules.EXTRA]
     found = quality_rules.measure(docs, rules, fraction=1)
