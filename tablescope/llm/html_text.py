@@ -29,7 +29,7 @@ HIDDEN = re.compile(r"""(?:^|\s)hidden(?:[\s=]|$)|display\s*:\s*none|aria-hidden
 NAME = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 #: HTML's elements by what they mean for text.
-RAW = frozenset("script style noscript template textarea iframe noembed noframes title svg math object canvas audio video select head".split())
+RAW = frozenset("script style noscript template textarea iframe noembed noframes title desc metadata defs symbol annotation annotation-xml object canvas audio video select head".split())
 BLOCK = frozenset("p div h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th section article header footer nav aside main form fieldset legend blockquote pre figure figcaption hr address details summary body html dialog center menu search button label option".split())
 CONTAINER = frozenset("div section article header footer nav aside main form fieldset ul ol dl table blockquote figure details dialog body menu search td li span center address button label".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -42,6 +42,9 @@ BOILER_NAMES = frozenset(
     "share sharing social follow related recommended recommendations trending popular teaser widget newsletter subscribe subscription signup login search form masthead topbar complementary contentinfo disclaimer outbrain taboola toc skip paywall".split()
 )
 ARTICLE_NAMES = frozenset("article post entry story content main body text prose".split())
+#: In has-sidebar or comments-open the name tells what a page has, not what the container is.
+BEFORE_NAMES = frozenset("has with no without hide show enable enabled disable disabled".split())
+AFTER_NAMES = frozenset("open closed enabled disabled".split())
 
 
 @dataclass
@@ -59,6 +62,10 @@ class Block:
 class _Open:
     tag: str
     kind: int  # 1: boilerplate, 2: article, 0: neither
+    named: bool = False  # boilerplate by its name only
+    whole: bool = False  # an article or main element that is not named as boilerplate
+    main: bool = False  # a main element stands in it
+    plain: int = 0  # unlinked letters of article elements in it
 
 
 @dataclass
@@ -70,18 +77,34 @@ class _Page:
     heading: int = 0
     label: bool = False
     spoiled: bool = False  # the open block itself is named as boilerplate
+    plain: int = 0  # unlinked letters outside of boilerplate elements
+    named: list[tuple[int, list[_Open]]] = field(default_factory=list)  # blocks that names alone mark
+
+
+def _names(attributes: str) -> tuple[set[str], set[str]]:
+    """Names in class, id and role: all of them, and those that say what the element is."""
+    every, own = set(), set()
+    for m in ATTRIBUTE.finditer(attributes):
+        for token in (m[2] or m[3] or m[4] or "").split():
+            names = [n.lower() for n in NAME.findall(token)]
+            every.update(names)
+            if len(names) > 1 and (names[0] in BEFORE_NAMES or BEFORE_NAMES & set(names[1:-1])):
+                k = next(i for i, n in enumerate(names) if n in BEFORE_NAMES)
+                names = names[:k]
+            elif len(names) > 1 and names[-1] in AFTER_NAMES:
+                names = []
+            own.update(names)
+    return every, own
 
 
 def _kind(tag: str, attributes: str, inside: list[_Open]) -> int:
     article = any(o.kind == 2 for o in inside)
     if tag in BOILER_TAGS or tag == "header" and not article or HIDDEN.search(attributes):
         return 1
-    names = set()
-    for m in ATTRIBUTE.finditer(attributes):
-        names.update(n.lower() for n in NAME.findall(m[2] or m[3] or m[4] or ""))
     if tag in ("article", "main"):
         return 2
-    if names & BOILER_NAMES and tag != "body":
+    names, own = _names(attributes)
+    if own & BOILER_NAMES and tag != "body":
         return 1
     return 2 if names & ARTICLE_NAMES and tag in ("div", "section", "td") else 0
 
@@ -90,11 +113,21 @@ def _flush(page: _Page) -> None:
     text = "".join(page.parts)
     shown = " ".join(text.split())
     if shown:
-        # the innermost marked container decides; boilerplate outside an article spoils it too
+        # boilerplate around an article spoils it, unless it is so by name only and holds the
+        # page's main element or the bulk of its text in articles: then it is a layout wrapper
         kinds = [o.kind for o in page.stack if o.kind]
         words = shown.count(" ") + 1
         letters = len("".join(text.split()))
-        page.blocks.append(Block(shown, words, min(1.0, page.linked / letters), 1 in kinds or page.spoiled, 2 in kinds, page.heading > 0, page.label))
+        boiler = 1 in kinds or page.spoiled
+        if not page.spoiled and not any(o.kind == 1 and not o.named for o in page.stack):
+            plain = max(0, letters - page.linked)
+            page.plain += plain
+            whole = [i for i, o in enumerate(page.stack) if o.whole]
+            for o in page.stack[: whole[-1] if whole else 0]:
+                o.plain += plain
+            if boiler:
+                page.named.append((len(page.blocks), [o for o in page.stack if o.kind == 1]))
+        page.blocks.append(Block(shown, words, min(1.0, page.linked / letters), boiler, 2 in kinds, page.heading > 0, page.label))
     page.parts, page.linked = [], 0
 
 
@@ -173,8 +206,15 @@ def blocks(html: str) -> list[Block]:
                         kind = 1 if kind == 1 else 0
                     if kind and tag not in BLOCK:
                         _flush(page)
-                    page.stack.append(_Open(tag, kind))
+                    named = kind == 1 and tag not in BOILER_TAGS and tag != "header" and not HIDDEN.search(attributes)
+                    whole = tag in ("article", "main") and kind == 2 and not _names(attributes)[1] & BOILER_NAMES
+                    if whole and tag == "main":
+                        for o in page.stack:
+                            o.main = True
+                    page.stack.append(_Open(tag, kind, named, whole))
     _flush(page)
+    for i, marked in page.named:
+        page.blocks[i].boiler = not all(o.main or 2 * o.plain > page.plain for o in marked)
     return page.blocks
 
 

@@ -195,6 +195,33 @@ PAGES = [
 ]
 
 
+BODY = "".join(f"<p>{w * 40}</p>" for w in ("one ", "two ", "three "))
+WRAPPERS = [
+    '<div class="wrapper has-sidebar"><article>{}</article></div>',
+    '<div class="post comments-open">{}</div>',
+    '<div id="page" class="with-banner">{}</div>',
+    '<div class="main-content no-toc">{}</div>',
+    '<div class="sidebar-layout"><article>{}</article><aside><p>aside words here</p></aside></div>',
+    '<div class="menu-page"><div class="banner-top"><main>{}</main></div></div>',
+]
+
+
+@pytest.mark.parametrize("html", WRAPPERS)
+def test_html_wrappers_do_not_spoil_the_article(html):
+    assert html_text.main_text(html.format(BODY)) == "\n\n".join((w * 40).strip() for w in ("one ", "two ", "three "))
+
+
+def test_html_widgets_stay_boilerplate():
+    page = f"<article>{BODY}</article>"
+    for widget in ('<div class="related"><article><p>{}</p></article></div>', '<div class="comments"><article class="comment"><p>{}</p></article></div>', '<div class="has-icon sidebar"><p>{}</p></div>', '<aside><article><p>{}</p></article></aside>'):
+        assert html_text.main_text(page + widget.format("teaser " * 50)) == html_text.main_text(page)
+
+
+def test_html_text_of_formulas_and_drawings():
+    html = f"<article><p>{'word ' * 40}<math><mi>x</mi><annotation>tex</annotation></math> <svg><title>t</title><text>label</text></svg></p></article>"
+    assert html_text.main_text(html) == "word " * 40 + "x label"
+
+
 @pytest.mark.parametrize("html,text", PAGES)
 def test_main_text(html, text):
     assert html_text.main_text(html) == text
