@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, html_text, license_scan, quality_classifier, quality_rules, simhash, suffix_dedup, warc, window_dedup
+from . import byte_bpe, decontaminate, exact_dedup, hard_negatives, html_text, license_scan, periodic_runs, quality_classifier, quality_rules, simhash, suffix_dedup, warc, window_dedup
 from .common import shared_dir, table
 
 
@@ -53,9 +53,22 @@ def op10_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_dedup.window_report(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mining_report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.runs_report(table(spark, sf_dir, "documents"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_report(table(spark, sf_dir, "documents"))
+
+
 ALL = (
     op1_quality_rules, op2_license_scan, op3_decontamination, op4_quality_classifier, op5_byte_bpe,
     op6_simhash, op7_warc, op8_html_text, op9_suffix_dedup, op10_window_dedup,
+    op11_hard_negatives, op12_periodic_runs, op13_exact_dedup,
 )
 
 
@@ -64,4 +77,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.ORACLE}
+    return {"op1_quality_rules": quality_rules.ORACLE, "op11_hard_negatives": hard_negatives.ORACLE, "op13_exact_dedup": exact_dedup.ORACLE}

@@ -164,3 +164,81 @@ def tokens(rows):
         ids = own.encode_ordinary(t or "")
         out.append((d, len(ids), sha(struct.pack(f"<{len(ids)}I", *ids)), sha((t or "").encode())))
     return out
+
+
+def hard_negatives(rows):
+    """rows: (vec_id, vector, label). Counter of the rows of the fixed mining query."""
+    import math
+    from collections import Counter
+
+    big = 1 << 63
+    usable = []
+    for at, (i, v, label) in enumerate(rows):
+        if label is None or v is None or any(x is None or not math.isfinite(x) for x in v):
+            continue
+        usable.append((at, i, [math.floor(256 * x) for x in v], (label + 1) % 10 if i is not None and i % 7 == 0 else label))
+    rank = lambda r: (-r[0], big if r[1] is None else r[1], r[2])
+    out = Counter()
+    for at, i, v, label in usable:
+        if i is None or i % 100:
+            continue
+        scored = [(sum(x * y for x, y in zip(v, w)), j, b, other == label) for b, j, w, other in usable if b != at]
+        for ps, p, _, _ in sorted((r for r in scored if r[3]), key=rank)[:5]:
+            inside = sorted((r for r in scored if not r[3] and 80 * ps <= 100 * r[0] <= 100 * ps), key=rank)[:5]
+            for k, (ns, n, _, _) in enumerate(inside):
+                out[i, p, k + 1, n, ps, ns] += 1
+    return out
+
+
+def periodic_runs(words, least=12):
+    """(start, length, period) by start and period, by comparing words q apart for every q."""
+    n, out = len(words), []
+    for q in range(1, n // 2 + 1):
+        i = 0
+        while i + q < n:
+            j = i
+            while j + q < n and words[j] == words[j + q]:
+                j += 1
+            length = j - i + q
+            if j > i and length >= max(least, 2 * q):
+                part = words[i : i + length]
+                if not any(all(part[k] == part[k + r] for k in range(length - r)) for r in range(1, q)):
+                    out.append((i, length, q))
+            i = j + 1
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def runs(rows):
+    import zlib
+
+    out = []
+    for d, t in rows:
+        w = words(t)
+        h = zlib.crc32(str(d).encode())
+        if d is not None and w and h % 10 == 0:
+            g = h // 10
+            a = g % len(w)
+            p = 1 + (len(w) - a) // (3 + g % 8)
+            w = [w[i] if i < a else w[a + (i - a) % p] for i in range(len(w))]
+        found = periodic_runs(w)
+        gone = {i for s, m, q in found for i in range(s + q, s + m)}
+        best = min(found, key=lambda r: (-r[1], r[0], r[2]), default=None)
+        digest = sha("".join(f"{s},{m},{q}\n" for s, m, q in found).encode())
+        longest = (*best, 1000 * best[1] // best[2]) if best else (None,) * 4
+        out.append((d, len(found), *longest, digest, sha(b" ".join(x for i, x in enumerate(w) if i not in gone))))
+    return out
+
+
+def exact_copies(rows):
+    import re
+
+    big = 1 << 63
+    norm = [re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for _, t in rows]
+    groups = defaultdict(list)
+    for at, ((d, _), t) in enumerate(zip(rows, norm)):
+        groups[t].append((big if d is None else d, at))
+    out = []
+    for at, ((d, _), t) in enumerate(zip(rows, norm)):
+        least, _ = min(groups[t])
+        out.append((d, None if least == big else least, len(groups[t]), sha(t.encode())))
+    return out
