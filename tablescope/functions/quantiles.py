@@ -2,22 +2,25 @@
 
 Spark's exact ``percentile`` aggregate merges a value -> count map of the whole
 column in a single task, which is bounded only by the column's distinct values.
-This version selects the exact order statistics by narrowing a bracket twice:
-
-1. A ``percentile_approx`` sketch (bounded memory) at ``p`` plus and minus 2/accuracy (and
-   two larger steps, for small tables) gives brackets around each target rank; one
-   aggregate counts the values below and inside them.
-2. A second sketch over the bracket's values, on a fixed grid of GRID steps, gives a
-   bracket of a few grid steps; again one aggregate counts below and inside.
-3. The values inside the second bracket, de-duplicated by ``groupBy(v).count()`` (a hot
-   value becomes one row), are ranked by a running sum. About 28 n / (accuracy * GRID)
-   values are left for that ordered step: 280,000 of 1e12 rows at the defaults.
-
-A sketch only proposes a bracket. The exact counts say whether the target ranks lie in
-it; if not the next wider one is taken, and an error is raised should none hold them, so no
-percentile is silently wrong.
-Every step is a scalar subquery of the next: the result is lazy, the plan is the same at
-every size, and no job runs while it is built.
+This version selects the exact order statistics in two scans:
+
+1. A ``percentile_approx`` sketch (bounded memory) gives a bracket around each target rank.
+   The sketch's rank error is at most n / accuracy, brackets are four times as wide and, for
+   small tables, at least two rows wider, so each holds its ranks.
+2. One aggregate per (segment, step, value): the brackets' ends cut the number line into
+   segments, a segment inside a bracket into GRID steps. Values inside a bracket are counted
+   one by one, all others only by segment. From the counts of the steps (a frame bounded by
+   brackets x GRID) follows the step that each rank lies in, and a running sum over the values
+   of these steps alone gives the value. A hot value is one row a task; about
+   10 n / (accuracy * GRID) values are left for an ordered step.
+
+The counts are exact and tell whether a rank was inside its bracket; if it were not, an error
+would be raised, so no percentile is silently wrong. Every step enters the next as a scalar
+subquery: the result is lazy, the plan is the same at every size, and no job runs while it is
+built.
+
+NaN is a value and larger than any other, as everywhere in Spark; -0.0 is 0.0; infinities are
+ordinary values. Nulls are left out.
 """
 
 from __future__ import annotations
@@ -28,13 +31,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 GRID = 1000
-#: Grid steps left on either side of a target's own step.
-MARGIN = 3
 
 
 def _values(df: DataFrame, column: str | Column) -> DataFrame:
     c = F.col(column) if isinstance(column, str) else column
-    return df.where(c.isNotNull()).select(c.cast("double").alias("__v"))
+    return df.where(c.isNotNull()).select((c.cast("double") + F.lit(0.0)).alias("__v"))
+
+
+def _widths(accuracy: int) -> list[float]:
+    """Half-widths of brackets, as shares of all rows; the last takes in everything."""
+    out = [5.0 / accuracy]
+    while out[-1] < 1.0:
+        out.append(4.0 / accuracy + 4.0 ** len(out) / accuracy)
+    return [*out[:-1], 1.0]
+
+
+def interpolated(low: str, high: str, share: str) -> str:
+    """SQL for the value at ``share`` of the way; with infinities (and spans beyond a double)
+    as a weighted sum, which is what their limit is."""
+    return (f"CASE WHEN {share} = 0 OR {low} = {high} THEN {low} WHEN abs({high} - {low}) < double('Infinity') "
+            f"THEN {low} + {share} * ({high} - {low}) ELSE (1 - {share}) * {low} + {share} * {high} END")
 
 
 def exact_percentiles(df: DataFrame, column: str | Column, probs: Sequence[float],
@@ -43,81 +59,54 @@ def exact_percentiles(df: DataFrame, column: str | Column, probs: Sequence[float
 
     Interpolation follows the SQL definition: position = p * (n - 1); the result
     is ``lo + (position - floor(position)) * (hi - lo)`` between the values at the
-    neighbouring ranks. Each step's one row travels to the next as one scalar subquery,
-    kept as a column: a plan that repeated it in every expression would grow with each step.
+    neighbouring ranks. Expressions are SQL strings: a call to the driver's JVM each would
+    take longer than the jobs of a small table.
     """
     v = _values(df, column)
-    x, k = F.col("__v"), len(probs)
-    each = range(k)
-
-    def beside(row: DataFrame) -> DataFrame:
-        """The values, each with the one row of the step before as the struct ``s``."""
-        return v.select("__v", row.select(F.struct("*")).scalar().alias("s"))
-
-    def counted(row: DataFrame, keys: list[str]) -> DataFrame:
-        """The step before, and for each of its brackets lo{key}, hi{key} the values below
-        (b{key}) and inside (m{key}); n: all values."""
-        low, high = {c: F.col(f"s.lo{c}") for c in keys}, {c: F.col(f"s.hi{c}") for c in keys}
-        return beside(row).agg(
-            F.first("s").alias("s"), F.count(F.lit(1)).alias("n"), *[F.count_if(x < low[c]).alias(f"b{c}") for c in keys],
-            *[F.count_if((x >= low[c]) & (x <= high[c])).alias(f"m{c}") for c in keys]).select(
-            "s.*", "n", *[f"{f}{c}" for f in "bm" for c in keys])
-
-    position = [F.lit(float(p)) * (F.col("n") - 1).cast("double") for p in probs]
-    holds = lambda i, c: (F.col(f"b{c}") <= F.floor(position[i])) & (F.ceil(position[i]) < F.col(f"b{c}") + F.col(f"m{c}"))
-
-    # brackets of three widths; the narrowest that holds the ranks is taken, and the widest,
-    # from the smallest to the largest value, always does
-    widths = (2.0 / accuracy, 0.01, 1.0)
-    at = [max(0.0, min(1.0, p + side * w)) for side in (-1, 1) for p in probs for w in widths]
-    half, size = len(at) // 2, len(widths)
-    keys = [f"{i}_{w}" for i in each for w in range(size)]
-    sketch = v.agg(F.percentile_approx("__v", F.array(*map(F.lit, at)), accuracy).alias("a")).select(
-        *[F.get("a", F.lit(half * (name == "hi") + j)).alias(f"{name}{c}") for name in ("lo", "hi") for j, c in enumerate(keys)])
-
-    def narrowest(name: str, i: int) -> Column:
-        out = F.when(holds(i, f"{i}_0"), F.col(f"{name}{i}_0"))
-        for w in range(1, size - 1):
-            out = out.when(holds(i, f"{i}_{w}"), F.col(f"{name}{i}_{w}"))
-        return out.otherwise(F.col(f"{name}{i}_{size - 1}")).alias(f"{name}{i}")
-
-    first = counted(sketch, keys).select("n", *[narrowest(name, i) for name in ("lo", "hi", "b", "m") for i in each])
-
-    steps = F.array(*[F.lit(g / GRID) for g in range(GRID + 1)])
-    grids = beside(first).agg(F.first("s").alias("s"), *[
-        F.percentile_approx(F.when((x >= F.col(f"s.lo{i}")) & (x <= F.col(f"s.hi{i}")), x), steps, accuracy).alias(f"g{i}")
-        for i in each]).select("s.*", *[f"g{i}" for i in each])
-    cols = [F.col("n").alias("all"), *[F.col(f"{f}{i}") for f in ("lo", "hi", "b", "m") for i in each]]
-    for i in each:
-        step = lambda rank: F.try_divide((rank - F.col(f"b{i}")) * GRID, F.col(f"m{i}"))
-        a = F.floor(step(F.floor(position[i]))).cast("int") - MARGIN
-        b = F.ceil(step(F.ceil(position[i]) + 1)).cast("int") + MARGIN
-        cols += [F.when(a <= 0, F.col(f"lo{i}")).otherwise(F.get(f"g{i}", a)).alias(f"lo{i}n"),
-                 F.when(b >= GRID, F.col(f"hi{i}")).otherwise(F.get(f"g{i}", b)).alias(f"hi{i}n")]
-    second = counted(grids.select(*cols), [f"{i}n" for i in each])
-    # a narrowed bracket that misses a rank (a handful of values: less than a rank a step)
-    # gives way to the one before
-    second = second.select("n", *[F.when(holds(i, f"{i}n"), F.col(f"{f}{i}n")).otherwise(F.col(f"{f}{i}")).alias(f"{f}{i}")
-                                  for f in ("lo", "hi", "b", "m") for i in each])
-
-    # the few values left, a row for each bracket they are in
-    d = beside(second)
-    inside = F.array(*[F.when((x >= F.col(f"s.lo{i}")) & (x <= F.col(f"s.hi{i}")), F.lit(i)) for i in each])
-    pick = lambda c: F.get(F.array(*[F.col(f"s.{c}{i}") for i in each]), F.col("i"))
-    left = d.select("__v", "s", F.explode(F.array_compact(inside)).alias("i")).select(
-        "i", "__v", pick("b").alias("below"), pick("m").alias("held"), F.col("s.n").alias("n"))
-    ranked = left.groupBy("i", "__v").agg(F.count(F.lit(1)).alias("c"), *[F.first(f).alias(f) for f in ("below", "held", "n")])
-    ranked = ranked.withColumn("upto", F.col("below") + F.sum("c").over(Window.partitionBy("i").orderBy("__v")))
-    position = F.get(F.array(*[F.lit(float(p)) for p in probs]), F.col("i")) * (F.col("n") - 1).cast("double")
-    ranked = ranked.withColumns({"lo": F.floor(position), "hi": F.ceil(position), "share": position - F.floor(position)})
-    ends = ranked.groupBy("i").agg(
-        F.min(F.when(F.col("upto") > F.col("lo"), x)).alias("v_lo"), F.min(F.when(F.col("upto") > F.col("hi"), x)).alias("v_hi"),
-        F.first("share").alias("share"), F.first((F.col("below") <= F.col("lo")) & (F.col("hi") < F.col("below") + F.col("held"))).alias("held"))
-    missed = F.raise_error(F.lit("percentile: a rank is outside its sketched bracket")).cast("double")
-    value = F.when(F.col("held"), F.when(F.col("share") == 0, F.col("v_lo")).otherwise(
-        F.col("v_lo") + F.col("share") * (F.col("v_hi") - F.col("v_lo")))).otherwise(missed)
-    found = ends.agg(F.map_from_entries(F.collect_list(F.struct("i", value.alias("v")))).alias("m"))
-    return found.select(F.array(*[F.try_element_at("m", F.lit(i)) for i in each])).scalar()
+    k = len(probs)
+    both = [(side, i) for side in (0, 1) for i in range(k)]
+    name = [("lo", "hi")[side] + str(i) for side, i in both]
+
+    widths = _widths(accuracy)
+    at = [max(0.0, min(1.0, probs[i] + (-1, 1)[side] * w)) for side, i in both for w in widths]
+    grid = ", ".join(f"{p!r}D" for p in at)
+    sketch = v.selectExpr("count(1) AS n", f"percentile_approx(nanvl(__v, double('Infinity')), array({grid}), {accuracy}) AS a")
+    # the first width that is two rows wider than the sketch's error at least
+    width = "CASE " + " ".join(f"WHEN n * {w - 4.0 / accuracy!r}D >= 2 THEN {j}" for j, w in enumerate(widths[:-1])) + f" ELSE {len(widths) - 1} END"
+    brackets = sketch.selectExpr("n", "a", f"{width} AS w").selectExpr("n", *[f"get(a, {j * len(widths)} + w) AS {c}" for j, c in enumerate(name)])
+    brackets = brackets.selectExpr(f"struct(*, array_sort(array({', '.join(name)})) AS ends) AS s")
+
+    # every value's place: its segment, and within a bracket the step
+    d = v.select("__v", brackets.scalar().alias("s"))
+    inside = " OR ".join(["isnan(__v)", *(f"(__v >= s.lo{i} AND __v <= s.hi{i})" for i in range(k))])
+    above = " + ".join(f"CASE WHEN __v > get(s.ends, {j}) THEN 1 ELSE 0 END" for j in range(2 * k))
+    d = d.selectExpr("__v", "s.ends AS ends", f"{above} AS segment", f"({inside}) AS inside")
+    d = d.selectExpr("__v", "segment", "inside", "get(ends, segment - 1) AS low", "get(ends, segment) AS high")
+    step = (f"CASE WHEN __v = high THEN {GRID} WHEN inside AND high > low AND high - low < double('Infinity') "
+            f"THEN least(floor((__v - low) / (high - low) * {GRID}), {GRID - 1}) ELSE 0 END")
+    counts = d.selectExpr("segment", f"CAST({step} AS INT) AS step", "CASE WHEN inside THEN __v END AS v").groupBy("segment", "step", "v").agg(F.expr("count(1) AS c"))
+
+    # the step that each rank lies in: one row a step, so the windows are bounded
+    steps = counts.groupBy("segment", "step").agg(F.expr("sum(c) AS c")).selectExpr(
+        "segment", "step", "c", "sum(c) OVER () AS n",
+        "coalesce(sum(c) OVER (ORDER BY segment, step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before")
+    position = [f"{float(p)!r}D * (n - 1)" for p in probs]
+    rank = [f"{('floor', 'ceil')[side]}({position[i]})" for side, i in both]
+    target = steps.groupBy().agg(F.expr("max(n) AS n"), *[
+        F.expr(f"min(CASE WHEN before + c > {r} THEN struct(segment, step, {r} - before AS rank) END) AS {c}") for c, r in zip(name, rank)])
+    target = target.selectExpr("struct(*) AS t").scalar()
+
+    # the values of these steps alone, in order; a condition on the count as well stays above
+    # the aggregate: pushed below it, the places of all rows would be worked out once more
+    here = [f"(segment = t.{c}.segment AND step = t.{c}.step)" for c in name]
+    few = counts.select("*", target.alias("t")).where(f"CASE WHEN c > 0 THEN {' OR '.join(here)} END")
+    few = few.selectExpr("*", "sum(c) OVER (PARTITION BY segment, step ORDER BY v) AS upto")
+    ends = few.groupBy().agg(F.expr("first(t.n) AS n"), *[F.expr(f"min(CASE WHEN {h} AND upto > t.{c}.rank THEN v END) AS {c}") for c, h in zip(name, here)])
+    values = [
+        f"CASE WHEN n IS NULL THEN NULL WHEN lo{i} IS NOT NULL AND hi{i} IS NOT NULL THEN "
+        f"{interpolated(f'lo{i}', f'hi{i}', f'({position[i]} - floor({position[i]}))')} "
+        f"ELSE CAST(raise_error('percentile: a rank is outside its sketched bracket') AS DOUBLE) END" for i in range(k)]
+    return ends.selectExpr(f"array({', '.join(values)}) AS p").scalar()
 
 
 def percentile_array(df: DataFrame, column: str | Column, probs: Sequence[float], method: str = "exact",

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tablescope.functions.exprs import age_days, avg_days, money, money_avg, ratio, round_half_up
 from tablescope.functions.quantiles import percentile_array
+from tablescope.functions.ranks import with_ranks
 from tablescope.session import materialize
 
 
@@ -169,7 +170,7 @@ SEGMENT_DESCRIPTIONS = {
 
 
 def customer_segments(orders: DataFrame, as_of: str, roles: Roles, vip_share: float = 0.10,
-                      method: str = "exact", accuracy: int = 10000) -> DataFrame:
+                      method: str = "exact", accuracy: int = 10000, vip_by: str = "cutoff") -> DataFrame:
     """M4: VIP / Regular / New / At Risk / Churned / Other.
 
     Per customer (one shuffle on the customer key): orders, spend, last order.
@@ -179,18 +180,27 @@ def customer_segments(orders: DataFrame, as_of: str, roles: Roles, vip_share: fl
     orders), else Other. The VIP cut-off is one percentile aggregate entering as a
     scalar (no global sort or single-partition window); it is exact by default
     (``functions.quantiles.percentile_array``), ``method="approx"`` uses a sketch.
+    ``vip_by="percent_rank"`` takes the customers whose percent rank by spend, largest first,
+    is at most ``vip_share`` instead (``functions.ranks``): ties at the cut fall together, and
+    no interpolated value decides.
     """
+    if vip_by not in ("cutoff", "percent_rank"):
+        raise ValueError(f"unknown vip rule {vip_by!r}")
     dtype = orders.schema[roles.purchase_ts].dataType
     per = orders.groupBy(roles.expr("customer_key").alias("customer_id")).agg(
         F.count(F.lit(1)).alias("n_orders"), F.sum(money(roles.expr("order_total"), orders)).cast("double").alias("spend"),
         F.max(roles.expr("purchase_ts")).alias("last_order"))
-    # read three times (distinct-count check, cut-off percentile, segmentation): written
-    # once to the shared checkpoint folder instead of re-running the orders shuffle
+    # read by the cut-off or the ranks, and by the segmentation: written once to the shared
+    # checkpoint folder instead of re-running the orders shuffle
     per = materialize(per)
-    cutoff = F.get(percentile_array(per, "spend", [round(1.0 - vip_share, 12)], method, accuracy), F.lit(0))
+    if vip_by == "cutoff":
+        top = F.col("spend") >= F.get(percentile_array(per, "spend", [round(1.0 - vip_share, 12)], method, accuracy), F.lit(0))
+    else:
+        per = with_ranks(per, "spend", descending=True, rank="__rank", percent_rank="__share")
+        top = F.col("__share") <= vip_share
     days = age_days(F.col("last_order"), as_of, dtype)
     seg = (F.when(days > 365, "Churned").when(days > 180, "At Risk")
-           .when((F.col("spend") >= cutoff) & (F.col("n_orders") >= 3), "VIP")
+           .when(top & (F.col("n_orders") >= 3), "VIP")
            .when((F.col("n_orders") == 1) & (days <= 90), "New")
            .when(F.col("n_orders") >= 2, "Regular").otherwise("Other"))
     a = per.groupBy(seg.alias("segment_name")).agg(

@@ -189,23 +189,32 @@ _SEG_DESC = "CASE segment_name " + " ".join(
     f"WHEN {q(k)} THEN {q(v)}" for k, v in marts.SEGMENT_DESCRIPTIONS.items()) + " END"
 
 
-@query("mart_customer_segments", f"""WITH per AS (
+def _segments_sql(cut: str, vip: str) -> str:
+    return f"""WITH per AS (
   SELECT o_custkey, count(*) AS n_orders, {USUM('o_totalprice')} AS spend, max(o_orderdate) AS last_order
   FROM orders GROUP BY o_custkey),
-cut AS (SELECT quantile_cont(spend, 0.9) AS c FROM per),
-seg AS (SELECT per.*, cut.c, {DAYS('last_order', f"TIMESTAMP {q(B.AS_OF_ORDERS)}")} AS days FROM per, cut),
+cut AS ({cut}),
+seg AS (SELECT per.*, {vip} AS top, {DAYS('last_order', f"TIMESTAMP {q(B.AS_OF_ORDERS)}")} AS days FROM per, cut),
 lab AS (SELECT CASE WHEN days > 365 THEN 'Churned' WHEN days > 180 THEN 'At Risk'
-                    WHEN spend >= c AND n_orders >= 3 THEN 'VIP' WHEN n_orders = 1 AND days <= 90 THEN 'New'
+                    WHEN top AND n_orders >= 3 THEN 'VIP' WHEN n_orders = 1 AND days <= 90 THEN 'New'
                     WHEN n_orders >= 2 THEN 'Regular' ELSE 'Other' END AS segment_name, n_orders, spend FROM seg)
 SELECT segment_name, count(*) AS customer_count,
   {R(f"{USUM('spend')} / sum(n_orders)", 2)} AS avg_order_value,
   {R('CAST(sum(n_orders) AS DOUBLE) / count(*)', 4)} AS avg_orders_per_customer,
   {R(USUM('spend'), 2)} AS total_revenue, {_SEG_DESC} AS description
-FROM lab GROUP BY segment_name""")
+FROM lab GROUP BY segment_name"""
+
+
+@query("mart_customer_segments", _segments_sql("SELECT quantile_cont(spend, 0.9) AS c FROM per", "spend >= c"))
 def q_mart_customer_segments(spark, sf):
     return marts.customer_segments(tables(spark, sf, "orders")["orders"], B.AS_OF_ORDERS, ROLES)
 
 
+@query("mart_customer_segments_ranked", _segments_sql("SELECT 1", "percent_rank() OVER (ORDER BY spend DESC) <= 0.1"))
+def q_mart_customer_segments_ranked(spark, sf):
+    return marts.customer_segments(tables(spark, sf, "orders")["orders"], B.AS_OF_ORDERS, ROLES, vip_by="percent_rank")
+
+
 BASE_FILTER = "o_orderdate < TIMESTAMP '2000-01-01 00:00:00'"
 UPD_FILTER = "o_orderdate >= TIMESTAMP '1999-07-01 00:00:00'"
 UPD_ITEMS = "l_returnflag <> 'R'"

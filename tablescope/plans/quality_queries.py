@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tablescope.functions import ranks
 from tablescope.functions.exprs import round_half_up
 from tablescope.operators import benford, correlation, distribution, freshness, keys, outliers, profile, report
 from tablescope.operators.constraints import ForeignKey, foreign_keys, primary_keys
@@ -195,6 +196,15 @@ def q_outliers_iqr(spark, sf):
     return outliers.outliers_iqr(tables(spark, sf, "events")["events"], "value", 1.5, table_name="events")
 
 
+# every row's exact rank by its value (largest first) and percent rank
+@query("value_ranks", f"""SELECT event_id, value, CASE WHEN value IS NOT NULL THEN rank() OVER w END AS rank,
+  CASE WHEN value IS NOT NULL THEN {R('percent_rank() OVER w', 6)} END AS percent_rank
+FROM events WINDOW w AS (PARTITION BY value IS NULL ORDER BY value DESC)""")
+def q_value_ranks(spark, sf):
+    ev = tables(spark, sf, "events")["events"].select("event_id", "value")
+    return ranks.with_ranks(ev, "value", descending=True).withColumn("percent_rank", round_half_up("percent_rank", 6))
+
+
 # --- Q8 -------------------------------------------------------------------------------
 
 SQL_DISTRIBUTION = f"""WITH v AS (SELECT CAST(value AS DOUBLE) AS x FROM events WHERE value IS NOT NULL),
