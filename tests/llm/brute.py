@@ -59,6 +59,31 @@ def repeated_bytes(rows, n=400):
     return out
 
 
+def without_passages(rows, n, least_words):
+    """Texts without repeated spans (covered by n bytes that start twice) of enough whole words."""
+    import re
+
+    count: dict[bytes, int] = defaultdict(int)
+    data = [(d, (t or "").encode()) for d, t in rows]
+    for _, b in data:
+        for i in range(len(b) - n + 1):
+            count[b[i : i + n]] += 1
+    out = []
+    for d, b in data:
+        gone = bytearray(len(b))
+        for i in range(len(b) - n + 1):
+            if count[b[i : i + n]] > 1:
+                gone[i : i + n] = b"\1" * n
+        words_at = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)]
+        left = b""
+        for m in re.finditer(rb"\x00+|\x01+", bytes(gone)):
+            s, e = m.span()
+            if m[0][:1] == b"\x00" or sum(s <= x and y <= e for x, y in words_at) < least_words:
+                left += b[s:e]
+        out.append((d, left.decode("utf-8", "ignore")))
+    return out
+
+
 def repeated_windows(rows, n=13):
     least: dict[tuple, int] = {}
     split = [(d, words(t)) for d, t in rows]

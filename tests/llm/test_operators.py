@@ -170,6 +170,25 @@ def test_dedup_of_shared_ids_whose_texts_have_one_32_bit_hash(spark):
         assert rows(suffix_dedup.suffix_report(docs)) == Counter(brute.repeated_bytes(data))
 
 
+@pytest.mark.parametrize("window,least_words", [(200, 51), (60, 5), (20, 3)])
+def test_passages_of_so_many_words(docs, corpus, window, least_words):
+    got = Counter((r["row"]["doc_id"], r["text"]) for r in suffix_dedup.unrepeated_text(docs, window, least_words).collect())
+    assert got == Counter(brute.without_passages(corpus, window, least_words))
+
+
+def test_passages_under_a_window_of_the_report(spark):
+    """51 words of fewer than 400 bytes: op9 leaves them, the pipeline's stage cuts them."""
+    rng = random.Random(8)
+    passage = " ".join(prose(rng, 1)[:5] for _ in range(51))
+    short = " ".join(passage.split()[:40])
+    assert len(passage) < 400
+    data = [(1, f"{prose(rng, 60)}\n{passage}\n{prose(rng, 60)}"), (2, f"{passage} {prose(rng, 80)}"), (3, f"{prose(rng, 70)} {short}")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    assert {r["n_removed"] for r in suffix_dedup.suffix_report(docs).collect()} == {0}
+    left = {r["row"]["doc_id"]: r["text"] for r in suffix_dedup.unrepeated_text(docs, 200, 51).collect()}
+    assert passage not in left[1] and passage not in left[2] and left[3] == data[2][1]
+
+
 def test_kept_bytes_as_text(spark):
     text = "日本" * 300
     docs = spark.createDataFrame([(1, "x" + text), (2, text + "yz"), (3, "z" * 10)], "doc_id long, text string")

@@ -16,17 +16,7 @@ def plain(rows, items):
         if d in keep and d not in seen:
             seen.add(d)
             left.append((d, t))
-    count = Counter()
-    data = [(d, (t or "").encode()) for d, t in left]
-    for _, b in data:
-        count.update(b[i : i + 400] for i in range(len(b) - 399))
-    cut = []
-    for d, b in data:
-        gone = bytearray(len(b))
-        for i in range(len(b) - 399):
-            if count[b[i : i + 400]] > 1:
-                gone[i : i + 400] = b"\1" * 400
-        cut.append((d, bytes(x for x, g in zip(b, gone) if not g).decode("utf-8", "ignore")))
+    cut = brute.without_passages(left, corpus_pipeline.PASSAGE_WINDOW, corpus_pipeline.PASSAGE_WORDS)
     bad = {d for d, _ in brute.leaks(cut, items)}
     return brute.tokens([(d, t) for d, t in cut if d not in bad])
 

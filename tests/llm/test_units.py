@@ -143,9 +143,9 @@ def test_long_texts_are_cut_into_overlapping_parts(monkeypatch):
     words = text.split()
     assert [p for p, k in parts] == [b" ".join(words[k : k + 62]) for k in range(0, 888, 50)]
     monkeypatch.setattr(suffix_dedup, "PIECE", 1000)
-    starts = Counter(k + i for p, k in suffix_dedup._split(text) for i in range(len(p) - 399))
+    starts = Counter(k + i for p, k in suffix_dedup._cut(400).split(text) for i in range(len(p) - 399))
     assert set(starts) == set(range(len(text) - 399)) and set(starts.values()) == {1}
-    assert all(text[k : k + len(p)] == p for p, k in suffix_dedup._split(text))
+    assert all(text[k : k + len(p)] == p for p, k in suffix_dedup._cut(400).split(text))
 
 
 def test_statistics_of_texts():
