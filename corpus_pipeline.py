@@ -25,10 +25,16 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return simhash.without_near_duplicates(docs)
 
 
+#: Passages that the suffix-array stage cuts: so many words at least, found by windows of so
+#: many bytes. (op9's query has 400 bytes by its contract; the shorter half of all passages of
+#: over 50 words is below that.)
+PASSAGE_WORDS, PASSAGE_WINDOW = 51, 200
+
+
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut the bytes of 400-byte strings that stand twice or more; ``n_chars`` follows the
-    text. A document that loses all of its text stays, empty."""
-    left = suffix_dedup.unrepeated_text(docs)
+    """Cut passages of over 50 words that stand twice or more, all copies of them; ``n_chars``
+    follows the text. A document that loses all of its text stays, empty."""
+    left = suffix_dedup.unrepeated_text(docs, PASSAGE_WINDOW, PASSAGE_WORDS)
     kind = docs.schema["n_chars"].dataType if "n_chars" in docs.columns else None
     new = {"text": F.col("text"), "n_chars": F.length("text").cast(kind) if kind else None}
     return left.select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns])
