@@ -79,7 +79,8 @@ def daily_revenue(orders: DataFrame, items: DataFrame, roles: Roles) -> DataFram
 
 
 def _items_orders_reviews(orders: DataFrame, items: DataFrame, reviews: DataFrame, roles: Roles,
-                          dedupe_reviews: bool) -> DataFrame:
+                          dedupe_reviews: bool, of_order: dict[str, Column] | None = None,
+                          of_item: dict[str, Column] | None = None) -> DataFrame:
     """items ⋈ (orders ⟕ reviews) on the order key, with role expressions evaluated on
     the joined rows (so a flag may use item or order columns).
 
@@ -88,8 +89,10 @@ def _items_orders_reviews(orders: DataFrame, items: DataFrame, reviews: DataFram
     can split when one order key holds a large share of the items. The fan-out is
     the same as joining reviews after the items. A role that orders alone can answer
     is evaluated on orders before the join; only what is left (a flag over item
-    columns) is evaluated on the joined rows.
+    columns) is evaluated on the joined rows. ``of_order`` and ``of_item`` name further
+    expressions over orders and over the joined rows.
     """
+    of_order, of_item = of_order or {}, of_item or {}
     o = orders.select(*[F.col(c) for c in orders.columns], roles.expr("order_key").alias("__ok"))
     sides = {}
     for name, role in (("__purchase", "purchase_ts"), ("__canceled", "canceled"), ("__returned", "returned")):
@@ -98,7 +101,8 @@ def _items_orders_reviews(orders: DataFrame, items: DataFrame, reviews: DataFram
         if _resolves(orders, e):  # an order role reads the order's own column, also where items has that name
             o = o.withColumn(name, e)
             sides[name] = None
-    used = [c for c in o.columns if c.startswith("__") and c in ("__ok", *sides)]
+    o = o.withColumns(of_order)
+    used = [c for c in o.columns if c.startswith("__") and c in ("__ok", *sides, *of_order)]
     rest = [c for c in orders.columns if c not in items.columns] if any(sides.values()) else []
     r = reviews.select(roles.expr("review_order_key").alias("__ok"), roles.expr("review_score").alias("__score"))
     if dedupe_reviews:
@@ -110,7 +114,8 @@ def _items_orders_reviews(orders: DataFrame, items: DataFrame, reviews: DataFram
                     roles.expr("item_seller_key").alias("__seller"), roles.expr("item_product_key").alias("__product"),
                     roles.expr("item_price").alias("__price"), roles.expr("item_quantity").alias("__qty"),
                     roles.expr("item_delivered_ts").alias("__delivered"),
-                    *[F.col(n) if role is None else roles.expr(role).alias(n) for n, role in sides.items()])
+                    *[F.col(n) if role is None else roles.expr(role).alias(n) for n, role in sides.items()],
+                    *of_order, *[c.alias(n) for n, c in of_item.items()])
 
 
 def _resolves(df: DataFrame, e: Column) -> bool:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from tablescope.operators import kpi, marts, retail
+from tablescope.operators import incremental_marts, kpi, marts, retail
 from tablescope.plans import bindings as B
 from tablescope.plans.base import R, q, query, tables, union_all
+from tablescope.session import shared_dir
 from tablescope.sources.payload import parse_payload
 from tablescope.sources.sql import safe_sql
 from tablescope.sources.tables import list_tables, register_views, sample_rows
@@ -364,3 +367,33 @@ WHERE st.quantity < 5""")
 def q_retail_low_stock(spark, sf):
     r = _retail(spark, sf)
     return retail.retail_low_stock(r["stocks"], r["stores"], r["products"])
+
+
+# --- marts from stored states ------------------------------------------------------------
+
+def _from_states(spark, sf):
+    """States of the orders before a date, then a refresh of the days from a month before it
+    on: that month is worked out twice, all others once."""
+    t = tables(spark, sf, "orders", "lineitem")
+    reviews = B.reviews(t["orders"])
+    path = f"{shared_dir(spark)}/marts-{uuid.uuid4().hex}"
+    orders = t["orders"]
+    incremental_marts.refresh(path, orders.where("o_orderdate < TIMESTAMP_NTZ '2000-01-01 00:00:00'"), t["lineitem"], reviews, ROLES)
+    late = orders.where("o_orderdate >= TIMESTAMP_NTZ '1999-12-01 00:00:00'")
+    days = [str(r[0]) for r in late.select(F.to_date("o_orderdate")).distinct().collect()]
+    incremental_marts.refresh(path, orders, t["lineitem"], reviews, ROLES, days)
+    return incremental_marts.load_states(spark, path)
+
+
+@query("mart_monthly_revenue_states", _m1_sql().replace("CAST(o.o_orderdate AS DATE)", "CAST(date_trunc('month', o.o_orderdate) AS DATE)"))
+def q_mart_monthly_revenue_states(spark, sf):
+    return incremental_marts.revenue(_from_states(spark, sf), "trunc(day, 'MM')")
+
+
+@query("mart_seller_states", f"""SELECT l.l_suppkey AS seller_id, count(DISTINCT l.l_orderkey) AS total_orders,
+  {R(USUM('l.l_extendedprice'), 2)} AS total_revenue, {R('avg(CAST(r.score AS DOUBLE))', 4)} AS avg_review_score,
+  {R(AVG_DAYS('o.o_orderdate', 'l.l_shipdate'), 4)} AS avg_delivery_days,
+  {R("CAST(sum(CASE WHEN o.o_orderstatus = 'P' THEN 1 ELSE 0 END) AS DOUBLE) / count(*)", 4)} AS cancellation_rate
+{_m23_from()} GROUP BY l.l_suppkey""")
+def q_mart_seller_states(spark, sf):
+    return incremental_marts.sellers(_from_states(spark, sf))

@@ -6,19 +6,18 @@ over the tables, so every query reads the given data.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.functions.exprs import numeric_columns, ratio, round_half_up
-from tablescope.operators import catalog, dictionary, keys, kpi, lineage, profile, report
+from tablescope.operators import catalog, dictionary, fingerprint, incremental_profile, keys, kpi, lineage, profile, report
 from tablescope.operators.constraints import primary_keys
 from tablescope.plans import bindings as B
 from tablescope.plans.base import ALL_TABLES, R, TABLE_COLUMNS, q, query, tables, type_case, union_all
 from tablescope.plans.quality_queries import REPORT_AS_OF, SQL_QUALITY_OVERVIEW, SQL_REPORT, _fk_list
-from tablescope.session import checkpoint_dir, materialize
+from tablescope.session import materialize, shared_dir
 from tablescope.sources import sinks
 from tablescope.sources.tables import list_tables, load_tables
 
@@ -179,12 +178,63 @@ FROM cols JOIN counts ON counts.table_name = cols.table_name""")
 def q_snapshot_roundtrip(spark, sf):
     """The schema snapshot as it is read back after being saved twice."""
     t = tables(spark, sf)
-    path = f"{checkpoint_dir(spark, fallback='file://' + tempfile.gettempdir())}/snapshot-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/snapshot-{uuid.uuid4().hex}"
     for _ in range(2):
         sinks.save_snapshot(catalog.schema_columns(t), path, "now")
     return _with_counts(sinks.load_snapshot(spark, path, "now"), t)
 
 
+# orders as they were, and after a month was dropped, every 5,000th order became dearer and
+# the orders of another month were delivered twice
+MONTH = "date_format(o_orderdate, 'yyyy-MM')"
+CHANGES_SQL = """m AS (SELECT *, strftime(o_orderdate, '%Y-%m') AS part FROM orders),
+n AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice + CASE WHEN o_orderkey % 5000 = 7 THEN 1 ELSE 0 END AS o_totalprice,
+        o_orderdate, o_orderpriority, part FROM m WHERE part <> '1995-03'
+      UNION ALL SELECT * FROM m WHERE part = '1996-02')"""
+
+
+@query("content_diff", f"""WITH {CHANGES_SQL},
+d AS (SELECT part FROM (SELECT * FROM m EXCEPT ALL SELECT * FROM n) UNION SELECT part FROM (SELECT * FROM n EXCEPT ALL SELECT * FROM m)),
+a AS (SELECT part, count(*) AS c FROM m GROUP BY part), b AS (SELECT part, count(*) AS c FROM n GROUP BY part)
+SELECT 'orders' AS table_name, d.part, CASE WHEN a.c IS NULL THEN 'added' WHEN b.c IS NULL THEN 'removed' ELSE 'changed' END AS change,
+  a.c AS old_rows, b.c AS new_rows
+FROM d LEFT JOIN a ON a.part = d.part LEFT JOIN b ON b.part = d.part""")
+def q_content_diff(spark, sf):
+    """Months of orders whose content differs between two saved fingerprints."""
+    old = tables(spark, sf, "orders")["orders"]
+    dearer = F.col("o_totalprice") + F.when(F.col("o_orderkey") % 5000 == 7, 1).otherwise(0)
+    new = old.where(f"{MONTH} <> '1995-03'").withColumn("o_totalprice", dearer).unionByName(old.where(f"{MONTH} = '1996-02'"))
+    path = f"{shared_dir(spark)}/fingerprints-{uuid.uuid4().hex}"
+    for name, df in (("old", old), ("new", new)):
+        sinks.save_snapshot(fingerprint.table_fingerprints({"orders": df}, {"orders": MONTH}), path, name)
+    return fingerprint.content_diff(*(sinks.load_snapshot(spark, path, name) for name in ("old", "new")))
+
+
+def _sql_merged_profile() -> str:
+    parts = []
+    for i, (c, kind) in enumerate(TABLE_COLUMNS["orders"]):
+        number = f"CAST({c} AS DOUBLE)" if kind in ("BIGINT", "INTEGER", "DOUBLE") else "CAST(NULL AS DOUBLE)"
+        parts.append(f"SELECT {i + 1} AS ordinal, {q(c)} AS column_name, count(*) AS total_rows, count(*) - count({c}) AS null_count, "
+                     f"min(CAST({c} AS VARCHAR)) AS min_value, max(CAST({c} AS VARCHAR)) AS max_value, "
+                     f"{R(f'avg({number})', 4)} AS mean_value, {R(f'stddev_samp({number})', 2)} AS std_dev FROM orders")
+    return union_all(parts)
+
+
+@query("incremental_profile", _sql_merged_profile())
+def q_incremental_profile(spark, sf):
+    """Q2/Q12: the profile of orders from stored profiles of its years, made in two runs: the
+    second reads only the years that were added (or whose files changed)."""
+    orders = tables(spark, sf, "orders")["orders"].withColumn("year", F.year("o_orderdate"))
+    root = f"{shared_dir(spark)}/profile-{uuid.uuid4().hex}"
+    for part, mode in (("year < 1997", "overwrite"), ("year >= 1997", "append")):
+        orders.where(part).write.mode(mode).partitionBy("year").parquet(f"{root}/orders")
+        table = spark.read.parquet(f"{root}/orders")
+        incremental_profile.update_profile(table, "year", f"{root}/store")
+    done = incremental_profile.merged_profile(incremental_profile.stored_profile(table, "year", f"{root}/store"))
+    return done.select("ordinal", "column_name", "total_rows", "null_count", "min_value", "max_value",
+                       round_half_up("mean_value", 4).alias("mean_value"), round_half_up("std_dev", 2).alias("std_dev"))
+
+
 @query("table_size_top8", f"""WITH o AS ({OVERVIEW_SQL})
 SELECT table_name, row_count, CAST(sum(row_count) OVER () AS BIGINT) AS total_rows, count(*) OVER () AS table_count,
   {R('CAST(row_count AS DOUBLE) * 100.0 / greatest(max(row_count) OVER (), 1)', 1)} AS bar_pct

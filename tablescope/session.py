@@ -48,17 +48,24 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     return current
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``. A local session that
+    names none gets a temporary one; elsewhere a missing folder is an error, since a
+    machine's own folder would be lost to the others."""
+    sc = spark.sparkContext
+    local = sc.master == "local" or sc.master.startswith("local[")
+    unset = not (spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir())
+    return checkpoint_dir(spark, fallback="file://" + tempfile.mkdtemp(prefix="tablescope-") if local and unset else None).rstrip("/")
+
+
 def materialize(df):
     """Write a (small, shared) intermediate result to the cluster's checkpoint folder
     and continue from it, cutting the lineage.
 
     Uses reliable ``checkpoint()`` into ``spark.checkpoint.dir`` (shared storage, so it
     survives lost executors) — never ``localCheckpoint``. Meant for intermediates that
-    several outputs reuse, e.g. the per-column quality of a dictionary export. A local
-    session that names no folder gets a temporary one; elsewhere a missing folder is an
-    error, so a query never has two very different costs.
+    several outputs reuse, e.g. the per-column quality of a dictionary export. The folder
+    is that of ``shared_dir``, so a query never has two very different costs.
     """
-    spark = df.sparkSession
-    local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
-    checkpoint_dir(spark, fallback="file://" + tempfile.mkdtemp(prefix="tablescope-") if local and not spark.sparkContext.getCheckpointDir() else None)
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
