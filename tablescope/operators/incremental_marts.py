@@ -86,17 +86,20 @@ def refresh(state: str, orders: DataFrame, items: DataFrame, reviews: DataFrame,
         for first, after in _ranges(months):
             inside = inside | ((ts >= F.lit(first).cast(dtype)) & (ts < F.lit(after).cast(dtype)))
         orders = orders.where(inside)
-    for kind, rows in day_states(orders, items, reviews, roles).items():
-        if months is not None:  # a row without a count says that the month was seen, so it is replaced
-            seen = orders.sparkSession.createDataFrame([(f"{m}-01",) for m in months], "day STRING").select(F.col("day").cast("date").alias("day"))
-            rows = rows.unionByName(seen, allowMissingColumns=True)
-        (rows.withColumn("month", F.date_format("day", "yyyy-MM")).repartition("month").write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(f"{state}/{kind}"))
+    rows = None
+    for kind, part in day_states(orders, items, reviews, roles).items():
+        part = part.withColumn("kind", F.lit(kind))
+        rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+    if months is not None:  # a row of no kind says that the month was seen, so it is replaced
+        seen = orders.sparkSession.createDataFrame([(f"{m}-01",) for m in months], "day STRING").select(F.col("day").cast("date").alias("day"))
+        rows = rows.unionByName(seen, allowMissingColumns=True)
+    (rows.withColumn("month", F.date_format("day", "yyyy-MM")).repartition("month").sortWithinPartitions("month", "kind").write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(state))
 
 
 def load_states(spark: SparkSession, state: str) -> dict[str, DataFrame]:
-    live = {kind: "bits" if kind == "customers" else "items" for kind in KEYS}
-    return {kind: spark.read.parquet(f"{state}/{kind}").where(F.col(c).isNotNull()).drop("month") for kind, c in live.items()}
+    rows = spark.read.parquet(state)
+    return {kind: rows.where(F.col("kind") == kind).select("day", *keys, *STATES.get(kind, ("bits",))) for kind, keys in KEYS.items()}
 
 
 def revenue(states: dict[str, DataFrame], period: str = "day") -> DataFrame:

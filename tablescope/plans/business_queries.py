@@ -371,23 +371,23 @@ def q_retail_low_stock(spark, sf):
 
 # --- marts from stored states ------------------------------------------------------------
 
-def _from_states(spark, sf):
-    """States of the orders before a date, then a refresh of the days from a month before it
-    on: that month is worked out twice, all others once."""
+def _states(spark, sf, since: str | None = None):
+    """States of all orders; with ``since`` those of the orders before it first, then a refresh
+    of the months from a month before it on: that month is worked out twice, all others once."""
     t = tables(spark, sf, "orders", "lineitem")
-    reviews = B.reviews(t["orders"])
+    orders, rest = t["orders"], (t["lineitem"], B.reviews(t["orders"]), ROLES)
     path = f"{shared_dir(spark)}/marts-{uuid.uuid4().hex}"
-    orders = t["orders"]
-    incremental_marts.refresh(path, orders.where("o_orderdate < TIMESTAMP_NTZ '2000-01-01 00:00:00'"), t["lineitem"], reviews, ROLES)
-    late = orders.where("o_orderdate >= TIMESTAMP_NTZ '1999-12-01 00:00:00'")
-    days = [str(r[0]) for r in late.select(F.to_date("o_orderdate")).distinct().collect()]
-    incremental_marts.refresh(path, orders, t["lineitem"], reviews, ROLES, days)
+    incremental_marts.refresh(path, orders.where(F.col("o_orderdate") < F.lit(since).cast("timestamp_ntz")) if since else orders, *rest)
+    if since:
+        late = orders.where(F.col("o_orderdate") >= F.lit(since).cast("timestamp_ntz") - F.expr("INTERVAL 1 MONTH"))
+        days = [str(r[0]) for r in late.select(F.to_date("o_orderdate")).distinct().collect()]
+        incremental_marts.refresh(path, orders, *rest, days)
     return incremental_marts.load_states(spark, path)
 
 
 @query("mart_monthly_revenue_states", _m1_sql().replace("CAST(o.o_orderdate AS DATE)", "CAST(date_trunc('month', o.o_orderdate) AS DATE)"))
 def q_mart_monthly_revenue_states(spark, sf):
-    return incremental_marts.revenue(_from_states(spark, sf), "trunc(day, 'MM')")
+    return incremental_marts.revenue(_states(spark, sf, "2000-01-01 00:00:00"), "trunc(day, 'MM')")
 
 
 @query("mart_seller_states", f"""SELECT l.l_suppkey AS seller_id, count(DISTINCT l.l_orderkey) AS total_orders,
@@ -396,4 +396,4 @@ def q_mart_monthly_revenue_states(spark, sf):
   {R("CAST(sum(CASE WHEN o.o_orderstatus = 'P' THEN 1 ELSE 0 END) AS DOUBLE) / count(*)", 4)} AS cancellation_rate
 {_m23_from()} GROUP BY l.l_suppkey""")
 def q_mart_seller_states(spark, sf):
-    return incremental_marts.sellers(_from_states(spark, sf))
+    return incremental_marts.sellers(_states(spark, sf))
