@@ -5,13 +5,16 @@ characters beyond ASCII). The 3-word grams of the test items are the seeds. A bi
 fixed size with the seeds' hashes lets the scan of the documents drop nearly all grams at
 once; what passes is clustered into passages, padded by the longest item, and joined with
 the seeds. Every seed counts, however often it is found. A passage and an item that share
-MIN_SEEDS seeds are aligned whole, unless too few words of the item stand in the passage for
+MIN_SEEDS seeds (an item under MIN_WORDS words: all of its seeds) are aligned whole, unless too few words of the item stand in the passage for
 any alignment to reach MIN_SCORE, and reported if the alignment reaches MIN_SCORE of the
-item's full score.
-
-Defined results: null and empty texts hold no words; items under MIN_WORDS words are not
-looked for; repeated items count once, repeated documents each; of several alignments of a
-document with an item the best is reported (the leftmost of ties).
+item's full score. Items under MIN_WORDS words are reported as whole copies only: a part of so
+few words says nothing.
+
+Defined results: null and empty texts hold no words; items of one or two words have no seed
+and are not looked for. Every row of the documents counts for itself, also where ids are
+null or repeated; repeated items (one id and text) count once, items of one id and different
+texts each. Of several alignments of a document with an item the best is reported (the
+leftmost of ties). No documents or no items give no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -59,24 +62,26 @@ def _items(benchmark: DataFrame) -> DataFrame:
 
 
 def seeds(items: DataFrame) -> DataFrame:
-    """(item, gram, n_words), one row a distinct gram of an item."""
+    """(item, gram, n_words, need), one row a distinct gram of an item; ``need`` of them make a
+    passage a candidate."""
 
     def run(batches):
         for batch in batches:
             raw, at = column(batch.column("item_text"))
-            out = [], [], []
+            out = [], [], [], []
             for i, key in enumerate(batch.column("item").to_pylist()):
                 buf = raw[at[i] : at[i + 1]]
                 start, end = word_edges(buf, np.array([0, len(buf)]))
-                if len(start) >= MIN_WORDS:
+                if len(start) >= GRAM:
                     g = np.unique(gram_hashes(buf, start, end)).view(np.int64)
                     out[0].append(np.full(len(g), key, np.int64))
                     out[1].append(g)
                     out[2].append(np.full(len(g), len(start), np.int64))
+                    out[3].append(np.full(len(g), MIN_SEEDS if len(start) >= MIN_WORDS else len(g), np.int64))
             none = np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *o])) for o in out], ["item", "gram", "n_words"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *o])) for o in out], ["item", "gram", "n_words", "need"])
 
-    return items.select("item", "item_text").mapInArrow(tidy(run), "item long, gram long, n_words long")
+    return items.select("item", "item_text").mapInArrow(tidy(run), "item long, gram long, n_words long, need long")
 
 
 def bitmap(found: DataFrame) -> np.ndarray:
@@ -89,15 +94,16 @@ def bitmap(found: DataFrame) -> np.ndarray:
     return out
 
 
-def passages(docs: DataFrame, bits: np.ndarray, pad: int) -> DataFrame:
-    """(passage, doc_id, start, passage_text, grams): stretches of a document around two or
-    more grams of the bitmap that stand at most ``pad`` words apart. ``start`` in words."""
+def passages(docs: DataFrame, bits: np.ndarray, pad: int, need: int = MIN_SEEDS) -> DataFrame:
+    """(passage, row, doc_id, start, passage_text, grams): stretches of a document around
+    ``need`` or more grams of the bitmap that stand at most ``pad`` words apart. ``row`` tells
+    the rows of the documents apart, ``start`` is in words."""
     table = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
         from pyspark import TaskContext
 
-        serial = TaskContext.get().partitionId() << 40
+        row0 = serial = TaskContext.get().partitionId() << 40
         bits = table.value
         for batch in batches:
             data, at_all = column(batch.column("low"))
@@ -116,24 +122,25 @@ def passages(docs: DataFrame, bits: np.ndarray, pad: int) -> DataFrame:
                 new = np.concatenate([[True], (np.diff(hit) > pad) | (np.diff(doc) != 0)])
                 first = np.flatnonzero(new)
                 last = np.concatenate([first[1:], [len(hit)]])
-                out = [], [], [], [], []
+                out = [], [], [], [], [], []
                 word0 = np.searchsorted(start, at)  # first word of each text
                 for a, b in zip(first.tolist(), last.tolist()):
                     grams = np.unique(g[hit[a:b]])
-                    if len(grams) < MIN_SEEDS:
+                    if len(grams) < need:
                         continue
                     d = int(doc[a])
                     x = max(int(word0[d]), int(hit[a]) - pad)
                     y = min(int(word0[d + 1]) - 1, int(hit[b - 1]) + GRAM - 1 + pad)
-                    for o, v in zip(out, (serial, ids[i + d].as_py(), x - int(word0[d]), buf[start[x] : end[y]].tobytes(), grams.view(np.int64))):
+                    for o, v in zip(out, (serial, row0 + i + d, ids[i + d].as_py(), x - int(word0[d]), buf[start[x] : end[y]].tobytes(), grams.view(np.int64))):
                         o.append(v)
                     serial += 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary()).cast(pa.string()), pa.array(out[4], pa.list_(pa.int64()))],
-                    ["passage", "doc_id", "start", "passage_text", "grams"],
+                    [*[pa.array(o, pa.int64()) for o in out[:4]], pa.array(out[4], pa.binary()).cast(pa.string()), pa.array(out[5], pa.list_(pa.int64()))],
+                    ["passage", "row", "doc_id", "start", "passage_text", "grams"],
                 )
+            row0 += batch.num_rows
 
-    return docs.select("doc_id", F.lower("text").alias("low")).mapInArrow(tidy(run), "passage long, doc_id long, start long, passage_text string, grams array<long>")
+    return docs.select("doc_id", F.lower("text").alias("low")).mapInArrow(tidy(run), "passage long, row long, doc_id long, start long, passage_text string, grams array<long>")
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int, int, int, int]:
@@ -169,24 +176,25 @@ def split_words(text: str) -> list[bytes]:
 
 
 def _score(batches):
-    names = ["doc_id", "item_id", "score", "n_matched", "start", "end", "item_start", "item_end"]
+    names = ["row", "item", "doc_id", "item_id", "score", "n_matched", "start", "end", "item_start", "item_end"]
     for batch in batches:
         rows = []
         known: dict[str, list[bytes]] = {}
         read: dict[str, list[bytes]] = {}
-        for doc, item, begin, text, want in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "item_id", "start", "passage_text", "item_text"))):
+        for *key, begin, text, want in zip(*(batch.column(k).to_pylist() for k in (*names[:4], "start", "passage_text", "item_text"))):
             a = known.get(want) or known.setdefault(want, split_words(want))
             number: dict[bytes, int] = {}
             x = np.array([number.setdefault(w, len(number)) for w in a], np.int32)
             there = read.get(text) or read.setdefault(text, split_words(text))
             y = np.array([number.get(w, -1) for w in there], np.int32)
             common = np.minimum(np.bincount(x), np.bincount(y[y >= 0], minlength=len(number))).sum()
-            if common < MIN_SCORE * len(a):  # an alignment matches no more words than this
+            least = MIN_SCORE if len(a) >= MIN_WORDS else 1
+            if common < least * len(a):  # an alignment matches no more words than this
                 continue
             score, matched, s, e, s1, e1 = align(x, y)
             score /= MATCH * len(a)
-            if score >= MIN_SCORE:
-                rows.append((doc, item, score, matched, begin + s, begin + e, s1, e1))
+            if score >= least:
+                rows.append((*key, score, matched, begin + s, begin + e, s1, e1))
         cols = list(zip(*rows)) or [()] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if k == "score" else pa.int64()) for k, c in zip(names, cols)], names)
 
@@ -196,14 +204,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     alignment of every document and test item that reaches MIN_SCORE. Places in words."""
     items = stored(_items(benchmark), "items")
     own = stored(seeds(items), "seeds")
-    longest = own.agg(F.max("n_words")).first()[0]
+    longest, need = own.agg(F.max("n_words"), F.min("need")).first()
     spark = docs.sparkSession
     out = "doc_id long, item_id long, score double, n_matched long, start long, end long, item_start long, item_end long"
     if longest is None:
         return spark.createDataFrame([], out)
-    found = stored(passages(docs, bitmap(own), longest), "passages")
+    found = stored(passages(docs, bitmap(own), longest, need), "passages")
     hits = found.select("passage", F.explode("grams").alias("gram"))
-    pairs = hits.join(own.select("item", "gram"), "gram").groupBy("passage", "item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_SEEDS)
-    ready = pairs.join(found.drop("grams"), "passage").join(items, "item").select("doc_id", F.col("item_id").cast("long").alias("item_id"), "start", "passage_text", "item_text")
-    best = F.max_by(F.struct("score", "n_matched", "start", "end", "item_start", "item_end"), F.struct("score", -F.col("start"))).alias("b")
-    return ready.mapInArrow(tidy(_score), out).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")
+    pairs = hits.join(own.select("item", "gram", "need"), "gram").groupBy("passage", "item").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need")).where("n >= need")
+    ready = pairs.join(found.drop("grams"), "passage").join(items, "item").select("row", "item", "doc_id", F.col("item_id").cast("long").alias("item_id"), "start", "passage_text", "item_text")
+    best = F.max_by(F.struct("doc_id", "item_id", "score", "n_matched", "start", "end", "item_start", "item_end"), F.struct("score", -F.col("start"))).alias("b")
+    return ready.mapInArrow(tidy(_score), f"row long, item long, {out}").groupBy("row", "item").agg(best).select("b.*")

@@ -144,13 +144,16 @@ def smith_waterman(a, b) -> int:
 
 
 def leaks(rows, items, least=0.5):
-    """(doc_id, item_id) -> score, over whole documents, where two 3-word grams are shared."""
+    """(doc_id, item_id) -> score, over whole documents, where two 3-word grams are shared;
+    items of 3 to 7 words where they stand whole."""
     out: dict = {}
     split = [(i, plain_words(t)) for i, t in items]
     for d, t in rows:
         w = plain_words(t)
         grams = {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
         for i, q in split:
+            if 3 <= len(q) < 8 and any(w[k : k + len(q)] == q for k in range(len(w))):
+                out[d, i] = 1
             if len(q) >= 8 and len(grams & {tuple(q[k : k + 3]) for k in range(len(q) - 2)}) >= 2:
                 s = smith_waterman(q, w) / (2 * len(q))
                 if s >= least:

@@ -236,6 +236,19 @@ def test_decontamination_of_repeated_partial_copies(spark):
     assert len(got) == 350 and got == pytest.approx(brute.leaks(data, items))
 
 
+def test_decontamination_of_short_items_and_repeated_ids(spark):
+    rng = random.Random(31)
+    items = [(n, prose(rng, n)) for n in range(1, 10)] + [(20, "no no no no"), (21, prose(rng, 30)), (21, prose(rng, 30)), (None, prose(rng, 12))]
+    texts = [f"{prose(rng, 30)} {t} {prose(rng, 30)}" for _, t in items] + [" ".join(t.split()[1:]) for _, t in items[2:9]] + ["no no no", "No, no! no? NO."]
+    data = list(enumerate(texts))
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.contaminated(spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = brute.leaks(data, items)
+    assert {i for _, i in want} == {*range(3, 10), 20, 21, None} and got == pytest.approx(want)
+    same = [(None, texts[11]), (None, texts[11]), (7, texts[11]), (7, f"{texts[11]} {texts[10]}")]
+    found = decontaminate.contaminated(spark.createDataFrame(same, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert Counter((r["doc_id"], r["item_id"]) for r in found.collect()) == Counter({(None, 21): 2, (7, 21): 3})
+
+
 def test_decontamination_of_nothing(spark, leaky):
     _, _, docs, benchmark = leaky
     assert decontaminate.contaminated(docs.limit(0), benchmark).collect() == []
