@@ -126,9 +126,9 @@ def test_window_runs_cover_every_window():
     data, at = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     ids = np.arange(len(texts))
     for heavy in (np.zeros(0, np.uint64), None):
-        for module, units in ((window_dedup, lambda t: len(t.split()) - 12), (suffix_dedup, lambda t: len(t) - 399)):
-            first, _ = module._runs(data, at, ids, ids, np.zeros(len(ids), np.int64), np.zeros(0, np.uint64))
-            runs, _ = module._runs(data, at, ids, ids, np.zeros(len(ids), np.int64), np.unique(first.route) if heavy is None else heavy)
+        for cut, units in ((window_dedup._runs, lambda t: len(t.split()) - 12), (suffix_dedup._cut(400).runs, lambda t: len(t) - 399), (suffix_dedup._cut(20).runs, lambda t: len(t) - 19)):
+            first, _ = cut(data, at, ids, ids, np.zeros(len(ids), np.int64), np.zeros(0, np.uint64))
+            runs, _ = cut(data, at, ids, ids, np.zeros(len(ids), np.int64), np.unique(first.route) if heavy is None else heavy)
             seen = Counter()
             for d, p, n in zip(runs.did.tolist(), runs.place.tolist(), runs.windows.tolist()):
                 seen.update((d, p + k) for k in range(n))
