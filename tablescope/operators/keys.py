@@ -30,8 +30,10 @@ def pk_uniqueness(df: DataFrame, pk: list[str], table_name: str | None = None) -
     )
 
 
-def orphan_counts(child: DataFrame, parent: DataFrame, columns: list[str], ref_columns: list[str]) -> DataFrame:
-    """Child rows whose (non-null) key has no parent row: one row of counts.
+def orphan_counts(child: DataFrame, parent: DataFrame, columns: list[str], ref_columns: list[str],
+                  count_parents: bool = False) -> DataFrame:
+    """Child rows whose (non-null) key has no parent row: one row of counts. With
+    ``count_parents`` also the parent's rows, from the same scan of it.
 
     One scan of each side: the child is reduced to (key, rows), nulls included, with a
     partial aggregate, so a key that holds a third of the table becomes one row per task
@@ -41,20 +43,25 @@ def orphan_counts(child: DataFrame, parent: DataFrame, columns: list[str], ref_c
     n = range(len(columns))
     child_keys = child.groupBy(*[F.col(sql_ident(c)).alias(f"__k{i}") for i, c in enumerate(columns)]).agg(
         F.count(F.lit(1)).alias("__rows"))
-    parent_keys = parent.select(*[F.col(sql_ident(c)).alias(f"__k{i}") for i, c in enumerate(ref_columns)]).distinct()
-    j = child_keys.join(parent_keys.withColumn("__found", F.lit(True)), [f"__k{i}" for i in n], "left")
+    parent_keys = parent.select(*[F.col(sql_ident(c)).alias(f"__k{i}") for i, c in enumerate(ref_columns)])
+    found = (parent_keys.groupBy(*parent_keys.columns).agg(F.count(F.lit(1)).alias("__found")) if count_parents
+             else parent_keys.distinct().withColumn("__found", F.lit(1)))
+    # both sides are shuffled by the key already, so keeping childless parents costs no exchange
+    j = child_keys.join(found, [f"__k{i}" for i in n], "full_outer" if count_parents else "left")
     null = reduce(lambda a, b: a | b, [F.col(f"__k{i}").isNull() for i in n])
     orphan = ~null & F.col("__found").isNull()
-    rows = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("__rows"))), F.lit(0)).cast("bigint")
+    rows = lambda cond, c="__rows": F.coalesce(F.sum(F.when(cond, F.col(c))), F.lit(0)).cast("bigint")
+    parents = [rows(F.lit(True), "__found").alias("parent_rows")] if count_parents else []
     return j.agg(rows(F.lit(True)).alias("child_rows"), rows(null).alias("null_fk_rows"),
-                 rows(orphan).alias("orphan_rows"), F.count_if(orphan).alias("orphan_keys"))
+                 rows(orphan).alias("orphan_rows"), F.count_if(orphan).alias("orphan_keys"), *parents)
 
 
-def referential_integrity(tables: dict[str, DataFrame], fks: list[ForeignKey]) -> DataFrame:
-    """Per foreign key — child rows, null-key rows, orphan rows and keys, verdict."""
+def referential_integrity(tables: dict[str, DataFrame], fks: list[ForeignKey], count_parents: bool = False) -> DataFrame:
+    """Per foreign key — child rows, null-key rows, orphan rows and keys, verdict; with
+    ``count_parents`` the parent's rows too."""
     parts = []
     for fk in fks:
-        counts = orphan_counts(tables[fk.table], tables[fk.ref_table], list(fk.columns), list(fk.ref_columns))
+        counts = orphan_counts(tables[fk.table], tables[fk.ref_table], list(fk.columns), list(fk.ref_columns), count_parents)
         parts.append(counts.select(
             F.lit(fk.name).alias("constraint_name"),
             F.lit(fk.table).alias("child_table"),
@@ -63,6 +70,7 @@ def referential_integrity(tables: dict[str, DataFrame], fks: list[ForeignKey]) -
             F.lit(",".join(fk.ref_columns)).alias("parent_columns"),
             "child_rows", "null_fk_rows", "orphan_rows", "orphan_keys",
             F.when(F.col("orphan_rows") == 0, "pass").otherwise("fail").alias("result"),
+            *(["parent_rows"] if count_parents else []),
         ))
     out = parts[0]
     for p in parts[1:]:

@@ -6,7 +6,7 @@ plain joins/filters on the edge frame are enough — no graph library.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablescope.operators.constraints import ForeignKey
@@ -31,7 +31,7 @@ def lineage_nodes(overview: DataFrame, edges: DataFrame) -> DataFrame:
     nodes = overview.select(F.col("table_name").alias("id"), F.col("schema_name").alias("schema"),
                             "row_count", "column_count")
     n_rel = edges.agg(F.count(F.lit(1))).scalar()
-    n_tab = nodes.agg(F.count(F.lit(1))).scalar()
+    n_tab = F.count(F.lit(1)).over(Window.partitionBy())  # one row a table; a subquery would count all tables again
     return (nodes.join(out_deg, "id", "left").join(in_deg, "id", "left")
             .select("id", "schema", "row_count", "column_count",
                     F.coalesce("out_degree", F.lit(0)).cast("bigint").alias("out_degree"),

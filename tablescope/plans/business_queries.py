@@ -10,10 +10,10 @@ from tablescope.operators import incremental_marts, kpi, marts, retail
 from tablescope.plans import bindings as B
 from tablescope.plans.base import R, q, query, tables, union_all
 from tablescope.session import shared_dir
-from tablescope.sources.payload import parse_payload
+from tablescope.sources.payload import parse_payload, serialisable
 from tablescope.sources.sql import safe_sql
 from tablescope.sources.tables import list_tables, register_views, sample_rows
-from tablescope.sources.upsert import upsert
+from tablescope.sources.upsert import upsert, upsert_partitions
 
 ROLES = B.ROLES
 REVIEWS_SQL = ("(SELECT o_orderkey, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS score "
@@ -253,7 +253,19 @@ def q_mart_upsert_partial(spark, sf):
     return upsert(base, updates, ["date"], mode="update", update_cols=["total_revenue", "avg_order_value"])
 
 
-# --- S2, S3, S8 -----------------------------------------------------------------------
+@query("mart_upsert_partitions", f"""WITH b AS ({_m1_sql(BASE_FILTER)}), u AS ({_m1_sql(UPD_FILTER)})
+SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.date = b.date)
+UNION ALL SELECT * FROM u""")
+def q_mart_upsert_partitions(spark, sf):
+    """S7 on a table stored by month: only the months of the updates are rewritten."""
+    base, updates = _upsert_inputs(spark, sf, None)
+    root = f"{shared_dir(spark)}/mart-{uuid.uuid4().hex}"
+    for version, rows in enumerate((base, updates)):
+        upsert_partitions(spark, f"{root}/table", rows, ["date"], {"month": "date_format(date, 'yyyy-MM')"}, f"{root}/staged", str(version))
+    return spark.read.parquet(f"{root}/table").drop("month")
+
+
+# --- S2, S3, S8, S9 --------------------------------------------------------------------
 
 @query("sample_rows", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 10")
 def q_sample_rows(spark, sf):
@@ -277,6 +289,14 @@ def q_json_payload(spark, sf):
     return parse_payload(ev, "props", "k BIGINT").drop("props")
 
 
+_ISO = "strftime({0}, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond({0}) % 1000000 = 0 THEN '' ELSE strftime({0}, '.%f') END"
+
+
+@query("serialised_rows", f"SELECT event_id, {_ISO.format('ts')} AS ts, user_id, event_type, value, props FROM events")
+def q_serialised_rows(spark, sf):
+    return serialisable(tables(spark, sf, "events")["events"])
+
+
 # --- R1-R7 ----------------------------------------------------------------------------
 
 _IT = ("it AS (SELECT l_orderkey AS order_id, "

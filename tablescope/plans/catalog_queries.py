@@ -71,13 +71,13 @@ def _with_nulls(df, t):
     return df.join(catalog.column_nulls(t), ["table_name", "column_name"], "left")
 
 
-def _with_integrity(edges, t):
-    """Edges beside what the data says: rows of both sides, orphan rows, rows a parent."""
-    ri = keys.referential_integrity(t, _fk_list()).select("constraint_name", F.col("child_rows").alias("source_rows"), "orphan_rows")
-    counts = catalog.row_counts(t).select(F.col("table_name").alias("target"), F.col("row_count").alias("target_rows"))
+def _with_integrity(edges, t, fks):
+    """Edges beside what the data says of the keys ``fks``: rows of both sides, orphan rows,
+    rows a parent. One scan of each side of a key gives all of it."""
+    ri = keys.referential_integrity(t, fks, count_parents=True).select(
+        "constraint_name", F.col("child_rows").alias("source_rows"), F.col("parent_rows").alias("target_rows"), "orphan_rows")
     fan = round_half_up(ratio("source_rows", "target_rows"), 4).alias("fan_out")
-    return edges.join(ri, "constraint_name", "left").join(counts, "target", "left").select(
-        *edges.columns, "source_rows", "target_rows", "orphan_rows", fan)
+    return edges.join(ri, "constraint_name", "left").select(*edges.columns, "source_rows", "target_rows", "orphan_rows", fan)
 
 
 INTEGRITY_SQL = "ri AS (" + union_all([
@@ -321,7 +321,7 @@ def _edges(spark):
 @query("lineage_edges", f"""WITH cons AS ({CONS_SQL}), e AS ({EDGES_SQL}), {INTEGRITY_SQL}
 SELECT e.*, {_FACTS} FROM e LEFT JOIN ri ON ri.constraint_name = e.constraint_name""")
 def q_lineage_edges(spark, sf):
-    return _with_integrity(_edges(spark), tables(spark, sf))
+    return _with_integrity(_edges(spark), tables(spark, sf), _fk_list())
 
 
 NODES_SQL = f"""cons AS ({CONS_SQL}), e AS ({EDGES_SQL}), o AS ({OVERVIEW_SQL}),
@@ -347,7 +347,7 @@ UNION ALL SELECT {q(FOCUS)}, 'downstream', source, label, source_rows, orphan_ro
 def q_lineage_neighbors(spark, sf):
     t = tables(spark, sf)
     edges = _edges(spark)
-    facts = _with_integrity(edges, t)
+    facts = _with_integrity(edges, t, [fk for fk in _fk_list() if FOCUS in (fk.table, fk.ref_table)])
     near = lineage.lineage_neighbors(edges, FOCUS)
     other = F.when(F.col("source") == FOCUS, F.col("target")).otherwise(F.col("source"))
     facts = facts.where((F.col("source") == FOCUS) | (F.col("target") == FOCUS)).select(
