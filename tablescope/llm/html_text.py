@@ -1,8 +1,10 @@
 """HTML main-text extraction: flat text blocks classified by a small decision tree.
 
 A page is cut into flat blocks at block-level tags. Each block is described by its word
-count and link density, those of its neighbours, and the kind of containers it stands in;
-a decision tree trained on the labelled table below says which blocks are main text.
+count and link density, those of its neighbours, the kind of elements it stands in, and what
+the names of its containers hint at (a name may mean boilerplate, or only hold a word that can);
+a decision tree trained on the labelled table below says which blocks are main text. A page is
+read in time linear in its length, however deep its containers are nested.
 
 Defined results: null and empty html have no blocks and an empty text; unclosed comments and
 scripts run to the end of the page; a sole < is text; repeated rows each give a row.
@@ -11,7 +13,7 @@ scripts run to the end of the page; a sole < is text; repeated rows each give a
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import lru_cache
 from html import unescape
 
@@ -34,13 +36,17 @@ BLOCK = frozenset("p div h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead
 CONTAINER = frozenset("div section article header footer nav aside main form fieldset ul ol dl table blockquote figure details dialog body menu search td li span center address button label".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Containers and names in class, id and role that are not main text.
-BOILER_TAGS = frozenset("nav aside footer form fieldset dialog menu search button label address".split())
+#: Containers that are not main text, and what names in class, id and role hint at.
+BOILER_TAGS = frozenset("nav aside footer form fieldset dialog menu search button label".split())
 BOILER_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promotion promoted banner cookie cookies consent gdpr notice notices notification alert popup modal overlay "
-    "sidebar side aside rail menu nav navbar navigation breadcrumb breadcrumbs pagination pager toolbar footer foot copyright legal comment comments commentlist reply replies discussion disqus respond "
-    "share sharing social follow related recommended recommendations trending popular teaser widget newsletter subscribe subscription signup login search form masthead topbar complementary contentinfo disclaimer outbrain taboola toc skip paywall".split()
+    "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promoted banner cookie cookies consent gdpr notification popup modal overlay "
+    "sidebar aside nav navbar navigation breadcrumb breadcrumbs pagination pager toolbar footer copyright comment comments commentlist reply replies discussion disqus respond "
+    "related recommended recommendations trending teaser widget newsletter subscribe subscription signup login masthead topbar complementary contentinfo disclaimer outbrain taboola toc paywall".split()
 )
+#: Names that hint at boilerplate alone, but stand in names of articles too (side-effects, social-science).
+UNSURE_NAMES = frozenset("side social legal follow search notice notices form skip alert foot menu rail promotion popular share sharing response responses".split())
+#: Words that say nothing of what a named container holds.
+LAYOUT_NAMES = frozenset("container wrapper wrap box area block section item items list left right top bottom inner outer bar link links icon icons button buttons panel group region zone slot unit holder content body text info".split())
 ARTICLE_NAMES = frozenset("article post entry story content main body text prose".split())
 #: In has-sidebar or comments-open the name tells what a page has, not what the container is.
 BEFORE_NAMES = frozenset("has with no without hide show enable enabled disable disabled".split())
@@ -53,82 +59,140 @@ class Block:
     words: int
     density: float
     boiler: bool
+    hint: int  # 2: a name that means boilerplate, 1: a name that may, 0: no such name
     article: bool
     heading: bool
     label: bool = False
 
 
-@dataclass
+@dataclass(slots=True)
 class _Open:
     tag: str
-    kind: int  # 1: boilerplate, 2: article, 0: neither
-    named: bool = False  # boilerplate by its name only
-    whole: bool = False  # an article or main element that is not named as boilerplate
+    boiler: bool  # a boilerplate element, or hidden
+    article: bool
+    hint: int
+    whole: bool  # an article or main element that no name speaks against
+    up: _Open | None = None  # the next open container with a hint
     main: bool = False  # a main element stands in it
-    plain: int = 0  # unlinked letters of article elements in it
+    plain: int = 0  # unlinked letters of whole elements in it
+    left: int = 0  # its hint, unless it is a layout wrapper
 
 
-@dataclass
 class _Page:
-    blocks: list[Block] = field(default_factory=list)
-    parts: list[str] = field(default_factory=list)
-    linked: int = 0
-    stack: list[_Open] = field(default_factory=list)
-    heading: int = 0
-    label: bool = False
-    spoiled: bool = False  # the open block itself is named as boilerplate
-    plain: int = 0  # unlinked letters outside of boilerplate elements
-    named: list[tuple[int, list[_Open]]] = field(default_factory=list)  # blocks that names alone mark
-
-
-def _names(attributes: str) -> tuple[set[str], set[str]]:
-    """Names in class, id and role: all of them, and those that say what the element is."""
-    every, own = set(), set()
+    """What is read of a page so far. Opening, closing and reading a block take constant time
+    whatever the depth: containers hand their sums to the one around them when they close."""
+
+    def __init__(self):
+        self.blocks: list[Block] = []
+        self.parts: list[str] = []
+        self.stack: list[_Open] = []
+        self.open: dict[str, int] = {}  # open containers by tag
+        self.whole: list[int] = []  # places of whole elements on the stack
+        self.hinted: list[_Open] = []  # containers with a hint, in the order they open
+        self.inside: _Open | None = None  # the innermost of them that is open
+        self.marks: list[tuple[Block, _Open]] = []
+        self.linked = self.boilers = self.articles = self.heading = self.plain = self.hint = 0
+        self.label = self.spoiled = False  # spoiled: the open block itself is hidden
+
+    def enter(self, o: _Open) -> None:
+        if o.hint:
+            o.up, self.inside = self.inside, o
+            self.hinted.append(o)
+        if o.whole:
+            self.whole.append(len(self.stack))
+            if o.tag == "main" and self.stack:
+                self.stack[-1].main = True
+        self.boilers += o.boiler
+        self.articles += o.article
+        self.open[o.tag] = self.open.get(o.tag, 0) + 1
+        self.stack.append(o)
+
+    def leave(self) -> None:
+        o = self.stack.pop()
+        self.open[o.tag] -= 1
+        self.boilers -= o.boiler
+        self.articles -= o.article
+        if o.hint:
+            self.inside = o.up
+        if o.whole:
+            self.whole.pop()
+        if self.stack:
+            self.stack[-1].plain += o.plain
+            self.stack[-1].main |= o.main
+
+    def flush(self) -> None:
+        """End the open block."""
+        text = "".join(self.parts)
+        shown = " ".join(text.split())
+        if shown:
+            letters = len("".join(text.split()))
+            boiler = self.boilers > 0 or self.spoiled
+            block = Block(shown, shown.count(" ") + 1, min(1.0, self.linked / letters), boiler, self.hint, self.articles > 0, self.heading > 0, self.label)
+            self.blocks.append(block)
+            if not boiler:
+                if not self.hint:
+                    plain = max(0, letters - self.linked)
+                    self.plain += plain
+                    if self.whole and self.whole[-1]:
+                        self.stack[self.whole[-1] - 1].plain += plain
+                if self.inside:
+                    self.marks.append((block, self.inside))
+        self.parts, self.linked = [], 0
+
+    def finish(self) -> list[Block]:
+        """All blocks. A container that holds the page's main element or the bulk of its text in
+        articles is a layout wrapper, whatever its name."""
+        self.flush()
+        while self.stack:
+            self.leave()
+        for o in self.hinted:
+            own = 0 if o.main or 2 * o.plain > self.plain else o.hint
+            o.left = max(own, o.up.left if o.up else 0)
+        for block, o in self.marks:
+            block.hint = max(block.hint, o.left)
+        return self.blocks
+
+
+def _tokens(attributes: str):
+    """The words of each name in class, id and role, without what says what the page has."""
     for m in ATTRIBUTE.finditer(attributes):
         for token in (m[2] or m[3] or m[4] or "").split():
             names = [n.lower() for n in NAME.findall(token)]
-            every.update(names)
             if len(names) > 1 and (names[0] in BEFORE_NAMES or BEFORE_NAMES & set(names[1:-1])):
-                k = next(i for i, n in enumerate(names) if n in BEFORE_NAMES)
-                names = names[:k]
+                names = names[: next(i for i, n in enumerate(names) if n in BEFORE_NAMES)]
             elif len(names) > 1 and names[-1] in AFTER_NAMES:
                 names = []
-            own.update(names)
-    return every, own
-
-
-def _kind(tag: str, attributes: str, inside: list[_Open]) -> int:
-    article = any(o.kind == 2 for o in inside)
-    if tag in BOILER_TAGS or tag == "header" and not article or HIDDEN.search(attributes):
-        return 1
-    if tag in ("article", "main"):
-        return 2
-    names, own = _names(attributes)
-    if own & BOILER_NAMES and tag != "body":
-        return 1
-    return 2 if names & ARTICLE_NAMES and tag in ("div", "section", "td") else 0
-
-
-def _flush(page: _Page) -> None:
-    text = "".join(page.parts)
-    shown = " ".join(text.split())
-    if shown:
-        # boilerplate around an article spoils it, unless it is so by name only and holds the
-        # page's main element or the bulk of its text in articles: then it is a layout wrapper
-        kinds = [o.kind for o in page.stack if o.kind]
-        words = shown.count(" ") + 1
-        letters = len("".join(text.split()))
-        boiler = 1 in kinds or page.spoiled
-        if not page.spoiled and not any(o.kind == 1 and not o.named for o in page.stack):
-            plain = max(0, letters - page.linked)
-            page.plain += plain
-            whole = [i for i, o in enumerate(page.stack) if o.whole]
-            for o in page.stack[: whole[-1] if whole else 0]:
-                o.plain += plain
-            if boiler:
-                page.named.append((len(page.blocks), [o for o in page.stack if o.kind == 1]))
-        page.blocks.append(Block(shown, words, min(1.0, page.linked / letters), boiler, 2 in kinds, page.heading > 0, page.label))
-    page.parts, page.linked = [], 0
+            yield names
+
+
+def name_hint(attributes: str, article: bool = False) -> int:
+    """2 if a name means boilerplate (sidebar, cookie-notice, legal), 1 if it may (legal-news),
+    else 0. An ``article`` element is spoken against by names of nothing else only."""
+    best = 0
+    for names in _tokens(attributes):
+        said = [n for n in names if n not in LAYOUT_NAMES]
+        sure = BOILER_NAMES.intersection(said)
+        if article:
+            best = max(best, 2 if sure and len(sure) == len(set(said)) else 0)
+        elif sure:
+            return 2
+        elif UNSURE_NAMES.intersection(said):
+            best = max(best, 2 if UNSURE_NAMES.issuperset(said) else 1)
+    if best == 1 and any(names in (["article"], ["post"], ["entry"], ["story"]) for names in _tokens(attributes)):
+        return 0
+    return best
+
+
+def _container(tag: str, attributes: str, page: _Page) -> _Open:
+    boiler = tag in BOILER_TAGS or tag == "header" and not page.articles or bool(attributes and HIDDEN.search(attributes))
+    if boiler or tag in ("main", "body"):
+        hint = 0
+    else:
+        hint = name_hint(attributes, tag == "article") if attributes else 0
+    article = not boiler and hint < 2 and tag in ("article", "main")
+    if not article and not boiler and hint < 2 and attributes and tag in ("div", "section", "td"):
+        article = any(ARTICLE_NAMES.intersection(names) for names in _tokens(attributes))
+    return _Open(tag, boiler, article, hint, article and not hint and tag in ("article", "main"))
 
 
 def blocks(html: str) -> list[Block]:
@@ -136,6 +200,14 @@ def blocks(html: str) -> list[Block]:
     page = _Page()
     links = breaks = at = 0
     n = len(html)
+    missing: set[str] = set()  # end tags that do not follow any more
+
+    def find(key: str, pattern: str):
+        m = None if key in missing else re.compile(pattern, re.I).search(html, at)
+        if not m:
+            missing.add(key)
+        return m
+
     while at < n:
         lt = html.find("<", at)
         end = n if lt < 0 else lt
@@ -168,10 +240,10 @@ def blocks(html: str) -> list[Block]:
         closing, tag, attributes = m[1] == "/", m[2].lower(), m[3]
         if tag in RAW and not closing and not attributes.endswith("/"):
             if tag in BLOCK or tag == "head":
-                _flush(page)
-            stop = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, at)
+                page.flush()
+            stop = find(tag, rf"</{tag}(?=[\s/>])")
             if tag == "head" and not stop:  # an unclosed head ends where the body begins
-                stop = re.compile(r"(?=<body[\s>])", re.I).search(html, at)
+                stop = find("<body", r"(?=<body[\s>])")
                 at = stop.start() if stop else at
                 continue
             close = html.find(">", stop.end()) if stop else -1
@@ -183,49 +255,41 @@ def blocks(html: str) -> list[Block]:
             breaks += 1
             page.parts.append(" ")
             if breaks == 2:
-                _flush(page)
+                page.flush()
         elif tag in BLOCK or tag in CONTAINER:
             if tag in BLOCK:
-                _flush(page)
+                page.flush()
                 breaks = 0
                 if tag in HEADINGS:
                     page.heading = 0 if closing else 1
                 page.label = not closing and " data-main" in attributes
-                page.spoiled = not closing and attributes != "" and tag not in CONTAINER and _kind(tag, attributes, page.stack) == 1
+                own = not closing and attributes != "" and tag not in CONTAINER
+                page.spoiled = bool(own and HIDDEN.search(attributes))
+                page.hint = name_hint(attributes) if own else 0
             if tag in CONTAINER:
                 if closing:
-                    for i in range(len(page.stack) - 1, -1, -1):
-                        if page.stack[i].tag == tag:
-                            if page.stack[i].kind:
-                                _flush(page)
-                            del page.stack[i:]
-                            break
+                    if page.open.get(tag):
+                        if tag not in BLOCK:
+                            page.flush()
+                        while page.stack[-1].tag != tag:
+                            page.leave()
+                        page.leave()
                 elif not attributes.endswith("/"):
-                    kind = _kind(tag, attributes, page.stack)
-                    if tag == "span":
-                        kind = 1 if kind == 1 else 0
-                    if kind and tag not in BLOCK:
-                        _flush(page)
-                    named = kind == 1 and tag not in BOILER_TAGS and tag != "header" and not HIDDEN.search(attributes)
-                    whole = tag in ("article", "main") and kind == 2 and not _names(attributes)[1] & BOILER_NAMES
-                    if whole and tag == "main":
-                        for o in page.stack:
-                            o.main = True
-                    page.stack.append(_Open(tag, kind, named, whole))
-    _flush(page)
-    for i, marked in page.named:
-        page.blocks[i].boiler = not all(o.main or 2 * o.plain > page.plain for o in marked)
-    return page.blocks
-
-
-FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "boiler", "article", "heading")
+                    o = _container(tag, attributes, page)
+                    if tag not in BLOCK and (o.boiler or o.hint):
+                        page.flush()
+                    page.enter(o)
+    return page.finish()
+
+
+FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "boiler", "hint", "article", "heading")
 
 
 def features(found: list[Block]) -> np.ndarray:
     """One row of FEATURES a block; beyond the page's ends there are 0 words, all linked."""
     words = np.array([0, *(b.words for b in found), 0], float)
     density = np.array([1, *(b.density for b in found), 1], float)
-    flags = np.array([(b.boiler, b.article, b.heading) for b in found], float).reshape(-1, 3)
+    flags = np.array([(b.boiler, b.hint, b.article, b.heading) for b in found], float).reshape(-1, 4)
     return np.column_stack([words[1:-1], density[1:-1], words[:-2], density[:-2], words[2:], density[2:], flags])
 
 
@@ -348,10 +412,73 @@ div li 3 3 0
 div h2 5 0 1
 div p 41 0 1
 div p 90 3 1
+
+nav li 2 2 0
+section#side-effects p 40 0 1
+section#side-effects p 35 1 1
+section#side-effects p 18 0 1
+div.social-channels li 2 2 0
+div.follow-us p 6 3 0
+div.skip-ahead p 3 3 0
+
+div.social-science h1 5 0 1
+div.social-science p 44 0 1
+div.social-science p 60 2 1
+div.social-science p 14 0 1
+div.share-this p 3 0 0
+div.legal-links p 14 4 0
+
+div.search-tips p 33 0 1
+div.search-tips p 52 0 1
+div.search-again p 4 0 0
+div.popular-now li 8 8 0
+div.popular-now li 7 7 0
+div.notice p 44 0 0
+div.form-help p 5 0 0
+div#responses p 48 0 0
+div#responses p 31 1 0
+
+div h1 4 0 1
+div p 60 9 1
+div p 45 12 1
+div p 80 22 1
+div p 30 6 1
+div p 25 4 1
+div p 12 9 0
+div p 14 12 0
+div p 24 20 0
+div li 9 7 0
+footer p 40 6 0
+div.related p 30 8 0
+div.social-channels p 13 7 0
+
+article p 60 0 1
+article p 3 0 1
+
+article h1 3 0 1
+article p 5 0 1
+footer p 4 0 0
+
+article p 2 0 1
+article p 6 0 1
+article p 4 0 1
+nav li 1 1 0
+
+div p 5 0 0
+div p 3 0 0
+div p 4 4 0
+
+div p 2 0 0
+div p 6 6 0
+
+article.menu-planning p 50 0 1
+article.menu-planning address 6 0 1
+article.comment p 35 0 0
+div.alert p 28 0 0
 """
 
 
-def _container(name: str, text: str) -> str:
+def _wrapped(name: str, text: str) -> str:
     tag, sign, value = re.match(r"(\w+)([.#]?)(.*)", name).groups()
     attribute = {"": "", ".": f' class="{value}"', "#": f' id="{value}"'}[sign]
     return f"<{tag}{attribute}>{text}</{tag}>"
@@ -370,7 +497,7 @@ def labelled() -> tuple[np.ndarray, np.ndarray]:
                 tag = "div"
             part = f"<{tag}{' data-main' * int(label)}>{text}</{tag}>"
             for c in reversed(containers):
-                part = _container(c, part)
+                part = _wrapped(c, part)
             html += part
         found = blocks(html)
         xs.append(features(found))

@@ -1,6 +1,7 @@
 """Pure parts against plain Python."""
 
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -230,3 +231,97 @@ def test_main_text(html, text):
 def test_tree_learns_its_table():
     x, y = html_text.labelled()
     assert (html_text.trained().predict(x) == y).mean() >= 0.95
+
+
+P = "<p>" + "alpha beta gamma delta " * 8 + "</p>"
+Q = "<p>" + "one two three four five " * 7 + "</p>"
+TWO = ("alpha beta gamma delta " * 8).strip() + "\n\n" + ("one two three four five " * 7).strip()
+LINKS = "<ul><li><a href=/a>First</a></li><li><a href=/b>Second one</a></li><li><a href=/c>Third</a></li></ul>"
+LAYOUTS = [
+    ('<section id="side-effects">{0}{1}</section>', TWO),
+    ('<div class="social-science">{0}{1}</div>', TWO),
+    ('<div class="legal-news article">{0}{1}</div>', TWO),
+    ('<div class="search-tips">{0}{1}</div><div class="search"><p>Search the site for more of it</p></div>', TWO),
+    ('<div class="noticeboard-story">{0}{1}</div>', TWO),
+    ("<article>{0}{1}<address>Hill Road 5</address></article>", TWO + "\n\nHill Road 5"),
+    ("<article>{0}{1}</article><div id='responses'><p>" + "I say so " * 20 + "</p></div>", TWO),
+    ("<article>{0}{1}</article><article class='comment'><p>" + "I say so " * 20 + "</p></article>", TWO),
+    ("<article class='menu-planning'>{0}{1}</article>", TWO),
+    ("<div class='nav-wrapper'>{2}</div><div>{0}{1}</div><div class='footer-links'>{2}</div>", TWO),
+    ("<header><p>" + "Site words " * 20 + "</p></header><main>{0}{1}</main>", TWO),
+    ("<table><tr><td>{2}</td><td>{0}{1}</td></tr></table>", TWO),
+    ("<main><h2>Title</h2>{0}<aside><p>" + "by the way " * 20 + "</p></aside>{1}</main>", "Title\n\n" + TWO),
+    ("<div class='cookie-notice'><p>" + "we keep cookies " * 20 + "</p></div><article>{0}{1}</article>", TWO),
+    ("<div class='legal'><p>" + "all rights are kept " * 10 + "</p></div><article>{0}{1}</article>", TWO),
+    ("<article>{0}<div class='advert'><p>" + "buy this now " * 10 + "</p></div>{1}</article>", TWO),
+    ("<article>{0}<form><p>" + "give us your letters " * 8 + "</p></form>{1}</article>", TWO),
+    ("<article>{0}<div style='display:none'><p>" + "not seen at all " * 8 + "</p></div>{1}</article>", TWO),
+    ("<article>{0}<p hidden>" + "not seen at all " * 8 + "</p>{1}</article>", TWO),
+    ("<div class='sidebar'><p>" + "more of ours " * 30 + "</p></div><div class='content'>{0}{1}</div>", TWO),
+    ("<div class='layout has-sidebar'><div class='post'>{0}{1}</div><div class='sidebar'>{2}</div></div>", TWO),
+    ("<div>{0}{1}</div><div class='social-channels'>{2}</div><div class='popular-now'>{2}</div>", TWO),
+    ("<article><header><h1>Head line</h1></header>{0}{1}<footer><p>Filed under many things and more</p></footer></article>", "Head line\n\n" + TWO),
+]
+
+
+@pytest.mark.parametrize("layout,text", LAYOUTS)
+def test_html_layouts(layout, text):
+    assert html_text.main_text(layout.format(P, Q, LINKS)) == text
+
+
+@pytest.mark.parametrize("part", ["<div>x", "<head>x", '<div class="side-x">x<p>', "</section>x<div>", "<main><article>x", "<span id=ad>x", "<title>x"])
+def test_html_time_is_linear_in_nesting(part):
+    import time
+
+    def took(n):
+        html, best = part * n, float("inf")
+        for _ in range(2):
+            t = time.perf_counter()
+            html_text.main_text(html)
+            best = min(best, time.perf_counter() - t)
+        return best
+
+    assert took(64_000) < 20 * took(8_000) + 0.2  # quadratic: 64 times
+
+
+def test_html_counters_agree_with_a_walk_over_all_containers():
+    rng = np.random.default_rng(4)
+    tags = ["div", "article", "main", "section class=sidebar", "div class=legal-news", "nav", "aside", "div id=comments", "section"]
+
+    def build(depth):
+        inner = "".join(build(depth - 1) if depth and rng.random() < 0.6 else f"<p>{'w ' * int(rng.integers(1, 30))}{'<a>l m</a>' if rng.random() < 0.3 else ''}</p>" for _ in range(rng.integers(1, 4)))
+        tag = tags[rng.integers(len(tags))]
+        return f"<{tag}>{inner}</{tag.split()[0]}>"
+
+    import xml.etree.ElementTree as ET
+
+    names = {"sidebar": 2, "comments": 2, "legal-news": 1}
+    for _ in range(150):
+        page = build(4)
+        root = ET.fromstring(re.sub(r"=([\w-]+)", r'="\1"', page))
+        above = {c: p for p in root.iter() for c in p}
+
+        def path(e):
+            out = []
+            while e is not None:
+                out.append(e)
+                e = above.get(e)
+            return out[::-1]
+
+        boiler = lambda e: e.tag in ("nav", "aside")
+        hint = lambda e: max((names.get(v, 0) for v in e.attrib.values()), default=0)
+        ps = [e for e in root.iter("p")]
+        plain = {e: len("".join((e.text or "").split())) for e in ps}
+        clear = [e for e in ps if not any(map(boiler, path(e)))]
+        inside = lambda e, o: any(x.tag in ("article", "main") for x in path(e)[path(e).index(o) + 1 :])
+        total = sum(plain[e] for e in clear)
+
+        def left(o):
+            under = [e for e in clear if o in path(e)]
+            whole = sum(plain[e] for e in under if inside(e, o))
+            main = any(m is not o and o in path(m) for m in root.iter("main"))
+            return 0 if main or 2 * whole > total else hint(o)
+
+        found = html_text.blocks(page)
+        assert [b.boiler for b in found] == [any(map(boiler, path(e))) for e in ps]
+        assert [b.hint for b in found if not b.boiler] == [max([left(o) for o in path(e) if hint(o)], default=0) for e in clear]
