@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tablescope.operators import incremental_marts, kpi, marts, retail
+from tablescope.operators import heavy_groups, incremental_marts, kpi, marts, retail
 from tablescope.plans import bindings as B
 from tablescope.plans.base import R, q, query, tables, union_all
 from tablescope.session import shared_dir
@@ -131,6 +131,18 @@ def q_group_sum_topn(spark, sf):
     return kpi.group_sum_topn(tables(spark, sf, "lineitem")["lineitem"], "l_partkey", "l_extendedprice", 10)
 
 
+@query("heavy_count_groups", """SELECT l_orderkey, l_shipdate, count(*) AS row_count FROM lineitem GROUP BY l_orderkey, l_shipdate
+ORDER BY row_count DESC, l_orderkey, l_shipdate LIMIT 20""")
+def q_heavy_count_groups(spark, sf):
+    return heavy_groups.heavy_groups(tables(spark, sf, "lineitem")["lineitem"], ["l_orderkey", "l_shipdate"], 20)
+
+
+@query("heavy_sum_groups", f"""SELECT o_custkey, count(*) AS row_count, {R(USUM('o_totalprice'), 2)} AS total
+FROM orders GROUP BY o_custkey ORDER BY {UNITS('o_totalprice')} DESC, o_custkey LIMIT 10""")
+def q_heavy_sum_groups(spark, sf):
+    return heavy_groups.heavy_groups(tables(spark, sf, "orders")["orders"], ["o_custkey"], 10, "o_totalprice")
+
+
 @query("group_avg", f"""SELECT o_orderpriority, count(*) AS row_count,
   {R('avg(o_totalprice)', 2)} AS avg_o_totalprice FROM orders GROUP BY o_orderpriority""")
 def q_group_avg(spark, sf):
