@@ -1,14 +1,18 @@
 """Benchmark decontamination: n-gram seeds find passages, Smith-Waterman scores them.
 
 Texts are lower-cased and read as words (runs of ASCII letters and digits and of all other
-characters beyond ASCII). The 3-word grams of the test items are the seeds. A bitmap of
-fixed size with the seeds' hashes lets the scan of the documents drop nearly all grams at
-once; what passes is clustered into passages, padded by the longest item, and joined with
-the seeds. Every seed counts, however often it is found. A passage and an item that share
-MIN_SEEDS seeds (an item under MIN_WORDS words: all of its seeds) are aligned whole, unless too few words of the item stand in the passage for
-any alignment to reach MIN_SCORE, and reported if the alignment reaches MIN_SCORE of the
-item's full score. Items under MIN_WORDS words are reported as whole copies only: a part of so
-few words says nothing.
+characters beyond ASCII). The rare 3-word grams of the test items are the seeds: those that
+stand in at most RARE items of different texts, and of every item the rarer half at least.
+Rarity is judged among the items, never among the documents, so a stock phrase that many items
+share ("which of the following") joins nothing, while a copied item is found however often it
+is copied; each seed pairs a passage with RARE items at most, but where items are variants of
+each other. A bitmap of fixed size with the seeds' hashes lets the scan of the documents drop
+nearly all grams at once; what passes is clustered into passages, padded by the longest item,
+and joined with the seeds. A passage and an item that share MIN_SEEDS seeds (an item under
+MIN_WORDS words: all of its seeds) are aligned whole, unless too few words of the item stand
+in the passage for any alignment to reach MIN_SCORE, and reported if the alignment reaches
+MIN_SCORE of the item's full score. Items under MIN_WORDS words are reported as whole copies
+only: a part of so few words says nothing.
 
 Defined results: null and empty texts hold no words; items of one or two words have no seed
 and are not looked for. Every row of the documents counts for itself, also where ids are
@@ -21,13 +25,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrays import U64, Spans, column, mix, pieces, stretches, tidy
 from .common import stored
 
 GRAM, MIN_WORDS, MIN_SEEDS = 3, 8, 2
+#: A gram of more items (of different texts) is a stock phrase.
+RARE = 64
 MIN_SCORE = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Bits of the seeds' bitmap: 2 MB whatever the number of items. A full bitmap costs time only.
@@ -61,27 +67,36 @@ def _items(benchmark: DataFrame) -> DataFrame:
     return benchmark.select("item_id", F.lower(F.coalesce("text", F.lit(""))).alias("item_text")).dropDuplicates().withColumn("item", F.xxhash64("item_id", "item_text"))
 
 
-def seeds(items: DataFrame) -> DataFrame:
-    """(item, gram, n_words, need), one row a distinct gram of an item; ``need`` of them make a
-    passage a candidate."""
+def grams(items: DataFrame) -> DataFrame:
+    """(item, text_key, gram, n_words), one row a distinct gram of an item."""
 
     def run(batches):
         for batch in batches:
             raw, at = column(batch.column("item_text"))
             out = [], [], [], []
-            for i, key in enumerate(batch.column("item").to_pylist()):
+            for i, (key, same) in enumerate(zip(batch.column("item").to_pylist(), batch.column("text_key").to_pylist())):
                 buf = raw[at[i] : at[i + 1]]
                 start, end = word_edges(buf, np.array([0, len(buf)]))
                 if len(start) >= GRAM:
                     g = np.unique(gram_hashes(buf, start, end)).view(np.int64)
-                    out[0].append(np.full(len(g), key, np.int64))
-                    out[1].append(g)
-                    out[2].append(np.full(len(g), len(start), np.int64))
-                    out[3].append(np.full(len(g), MIN_SEEDS if len(start) >= MIN_WORDS else len(g), np.int64))
+                    for o, v in zip(out, (key, same, g, len(start))):
+                        o.append(np.broadcast_to(np.int64(v), len(g)))
             none = np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *o])) for o in out], ["item", "gram", "n_words", "need"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *o])) for o in out], ["item", "text_key", "gram", "n_words"])
 
-    return items.select("item", "item_text").mapInArrow(tidy(run), "item long, gram long, n_words long, need long")
+    return items.select("item", F.xxhash64("item_text").alias("text_key"), "item_text").mapInArrow(tidy(run), "item long, text_key long, gram long, n_words long")
+
+
+def seeds(found: DataFrame) -> DataFrame:
+    """(item, gram, n_words, need): the rare of an item's grams; ``need`` of them make a passage
+    a candidate. The windows are over one item, whose grams its length bounds."""
+    texts = found.groupBy("gram").agg(F.count_distinct("text_key").alias("n_texts"))
+    item = Window.partitionBy("item")
+    place = F.row_number().over(item.orderBy("n_texts", "gram"))
+    rarer = 2 * F.col("place") <= F.col("n") + 1
+    kept = found.join(texts, "gram").select("*", place.alias("place"), F.count(F.lit(1)).over(item).alias("n")).where(rarer | (F.col("n_texts") <= RARE))
+    need = F.when(F.col("n_words") >= MIN_WORDS, MIN_SEEDS).otherwise(F.count(F.lit(1)).over(item))
+    return kept.select("item", "gram", "n_words", need.cast("long").alias("need"))
 
 
 def bitmap(found: DataFrame) -> np.ndarray:
@@ -143,6 +158,13 @@ def passages(docs: DataFrame, bits: np.ndarray, pad: int, need: int = MIN_SEEDS)
     return docs.select("doc_id", F.lower("text").alias("low")).mapInArrow(tidy(run), "passage long, row long, doc_id long, start long, passage_text string, grams array<long>")
 
 
+def candidates(found: DataFrame, own: DataFrame) -> DataFrame:
+    """(passage, item): the pairs that share enough seeds."""
+    hits = found.select("passage", F.explode("grams").alias("gram"))
+    shared = hits.join(own.select("item", "gram", "need"), "gram").groupBy("passage", "item").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need"))
+    return shared.where("n >= need").select("passage", "item")
+
+
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int, int, int, int]:
     """Smith-Waterman over word numbers: score, matched words, and the aligned words' first
     and end in the text and in the item. Rows of the matrix are computed as arrays: a gap
@@ -203,15 +225,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, score 0 to 1, n_matched, start, end, item_start, item_end): the best
     alignment of every document and test item that reaches MIN_SCORE. Places in words."""
     items = stored(_items(benchmark), "items")
-    own = stored(seeds(items), "seeds")
+    own = stored(seeds(grams(items)), "seeds")
     longest, need = own.agg(F.max("n_words"), F.min("need")).first()
     spark = docs.sparkSession
     out = "doc_id long, item_id long, score double, n_matched long, start long, end long, item_start long, item_end long"
     if longest is None:
         return spark.createDataFrame([], out)
     found = stored(passages(docs, bitmap(own), longest, need), "passages")
-    hits = found.select("passage", F.explode("grams").alias("gram"))
-    pairs = hits.join(own.select("item", "gram", "need"), "gram").groupBy("passage", "item").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need")).where("n >= need")
-    ready = pairs.join(found.drop("grams"), "passage").join(items, "item").select("row", "item", "doc_id", F.col("item_id").cast("long").alias("item_id"), "start", "passage_text", "item_text")
+    ready = candidates(found, own).join(found.drop("grams"), "passage").join(items, "item").select("row", "item", "doc_id", F.col("item_id").cast("long").alias("item_id"), "start", "passage_text", "item_text")
     best = F.max_by(F.struct("doc_id", "item_id", "score", "n_matched", "start", "end", "item_start", "item_end"), F.struct("score", -F.col("start"))).alias("b")
     return ready.mapInArrow(tidy(_score), f"row long, item long, {out}").groupBy("row", "item").agg(best).select("b.*")

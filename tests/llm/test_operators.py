@@ -249,6 +249,26 @@ def test_decontamination_of_short_items_and_repeated_ids(spark):
     assert Counter((r["doc_id"], r["item_id"]) for r in found.collect()) == Counter({(None, 21): 2, (7, 21): 3})
 
 
+def test_decontamination_with_a_phrase_in_every_item_and_text(spark):
+    rng = random.Random(41)
+    phrase = "which of the following statements is true"
+    items = [(k, f"{phrase} {prose(rng, rng.randint(18, 26))}") for k in range(90)]
+    items += [(200 + k, f"{prose(rng, 9)} {x}") for k, x in enumerate(("alpha", "beta"))] + [(300 + k, items[5][1]) for k in range(80)]
+    data = [f"{prose(rng, 20)} {phrase} {prose(rng, 20)}" for _ in range(90)]
+    data += [f"{prose(rng, 20)} {t} {prose(rng, 20)}" for _, t in items[:4]] + [edited(rng, t, 0.15) for _, t in items[4:8]]
+    data = list(enumerate(data))
+    docs, benchmark = spark.createDataFrame(data, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.contaminated(docs, benchmark).collect()}
+    distinct = items[:92]
+    want = brute.leaks(data, distinct)
+    want |= {(d, 300 + k): s for (d, i), s in want.items() if i == 5 for k in range(80)}
+    assert got == pytest.approx(want) and {i for d, i in want if i < 8} == set(range(8))
+
+    own = decontaminate.seeds(decontaminate.grams(decontaminate._items(benchmark.where("item_id < 300"))))
+    found = decontaminate.passages(docs, decontaminate.bitmap(own), 20)
+    assert decontaminate.candidates(found, own).count() < 40  # of 98 x 92 that share the phrase
+
+
 def test_decontamination_of_nothing(spark, leaky):
     _, _, docs, benchmark = leaky
     assert decontaminate.contaminated(docs.limit(0), benchmark).collect() == []
