@@ -18,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablescope.session import materialize
+
 from .common import SEPARATORS, let, removed, words
 
 SYMBOLS = "[#*$%&|<>]"
@@ -25,7 +27,6 @@ HAS_WORD = r"[^\x20\x09-\x0D]"
 
 #: Rows of the sample on which costs and selectivities are measured.
 SAMPLE_ROWS = 2000
-SAMPLE_FRACTION = 0.1
 
 
 #: A sorted key holds a 3-word window's hash in its upper bits and its start in these lower ones.
@@ -134,10 +135,17 @@ class Measured:
         return self.rejected / self.seconds
 
 
-def measure(docs: DataFrame, rules, given: Callable[[Column], dict[str, Column]] = metrics, sample_rows: int = SAMPLE_ROWS, fraction: float = SAMPLE_FRACTION) -> list[Measured]:
-    """Cost and selectivity of each rule on a sample of at most ``sample_rows`` rows. The
-    sample steers the order of the rules only, never a verdict."""
-    sample = docs.select("text").sample(fraction, seed=7).limit(sample_rows).checkpoint() if fraction < 1 else docs.select("text").limit(sample_rows).checkpoint()
+def measure(docs: DataFrame, rules, given: Callable[[Column], dict[str, Column]] = metrics, sample_rows: int = SAMPLE_ROWS,
+            fraction: float | None = None, prepared: Callable[[DataFrame], DataFrame] | None = None) -> list[Measured]:
+    """Cost and selectivity of each rule on a sample of about ``sample_rows`` rows, drawn at a
+    share that follows from the row count (or at ``fraction``). Only sampled rows are shuffled,
+    over as many tasks as run at once. ``given`` are the expressions the cascade evaluates over
+    the frame ``prepared`` makes of the texts: the sample is written in that form, so what the
+    cascade reads as a finished column is one here too. The sample steers the order of the rules
+    only, never a verdict."""
+    share = min(1.0, sample_rows / max(1, docs.count())) if fraction is None else fraction
+    sample = docs.select("text").sample(fraction=float(share), seed=7).repartition(docs.sparkSession.sparkContext.defaultParallelism)
+    sample = materialize(prepared(sample) if prepared else sample)
 
     def run(hit: Column) -> tuple[float, int, int]:
         job = sample.agg(F.sum(F.when(hit, 1).otherwise(0)).alias("n"), F.count(F.lit(1)).alias("all"))
@@ -179,19 +187,25 @@ def quality_report(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame
     """doc_id with the five base measures, ``base_failed`` and ``kept``. The measures are
     asked for in full here, so the cascade reads them as columns and only its own further
     measures are evaluated lazily."""
-    order = ordered(measure(docs, (*BASE, *EXTRA), sample_rows=sample_rows))
-    shown = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    have = metrics(F.col("text")) | {k: F.col(k) for k in SHOWN}
+    order = ordered(measure(docs, (*BASE, *EXTRA), lambda _: have, sample_rows, prepared=lambda s: _with_shown(s, [])))
+    failed = BASE[0].rejects(have) | BASE[1].rejects(have)
+    return _with_shown(docs, ["doc_id"]).select("doc_id", *SHOWN, failed.alias("base_failed"), failed_rule(order, have).isNull().alias("kept"))
+
+
+SHOWN = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
+def _with_shown(docs: DataFrame, beside: list[str]) -> DataFrame:
+    """``beside``, the text and the five base measures. One projection a step: what later steps
+    read more than once is not computed anew."""
     m = metrics(F.col("text"))
-    # one projection a step: what later steps read more than once is not computed anew
-    base = (
-        docs.select("doc_id", "text", words(F.col("text")).alias("_w"), *[m[k].alias(k) for k in shown[1:4]])
+    return (
+        docs.select(*beside, "text", words(F.col("text")).alias("_w"), *[m[k].alias(k) for k in SHOWN[1:4]])
         .withColumn("_k", window_keys(F.col("_w")))
         .withColumn("_p", repeated_starts(F.col("_w"), F.col("_k")))
-        .select("doc_id", "text", F.size("_w").cast("long").alias("n_words"), *shown[1:4], covered(F.col("_p")).alias("n_repeat_words"))
+        .select(*beside, "text", F.size("_w").cast("long").alias("n_words"), *SHOWN[1:4], covered(F.col("_p")).alias("n_repeat_words"))
     )
-    have = m | {k: F.col(k) for k in shown}
-    failed = BASE[0].rejects(have) | BASE[1].rejects(have)
-    return base.select("doc_id", *shown, failed.alias("base_failed"), failed_rule(order, have).isNull().alias("kept"))
 
 
 ORACLE = r"""
