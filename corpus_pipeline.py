@@ -14,14 +14,17 @@ from tablescope.llm.common import shared_dir, stored, table
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the quality rules reject."""
+    """Drop the documents that the quality rules reject. Null and empty texts have no words and
+    go; repeated rows are judged each for itself; further columns, whatever their names, stay."""
     shared_dir(spark)
     judged = quality_rules.quality_rules(docs.select(F.struct("*").alias("_row"), "text"))
     return judged.where(F.col("failed_rule").isNull()).select("_row.*")
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near-duplicates."""
+    """Keep one document of each group of near-duplicates: that of the smallest doc_id (a null id
+    counts as the largest), of repeated rows one. Null and empty texts are one group; further
+    columns stay; no rows give none."""
     return simhash.without_near_duplicates(docs)
 
 
@@ -41,14 +44,18 @@ def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that hold a passage of a test item."""
+    """Drop the documents that hold a passage of a test item. Rows are told apart by id and
+    text, so rows that repeat both share a verdict, and a null id is one like any other; null and
+    empty texts hold nothing and stay; further columns stay; no items drop nothing."""
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("_key"), F.struct("*").alias("_row"))
     found = decontaminate.contaminated(keyed.select(F.col("_key").alias("doc_id"), F.col("_row.text").alias("text")), table(spark, sf_dir, "benchmark"))
     return keyed.join(found.select(F.col("doc_id").alias("_key")).distinct(), "_key", "left_anti").select("_row.*")
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encode what is left and decode it again: digests of the ids and the bytes."""
+    """Encode what is left and decode it again: digests of the ids and the bytes, one row a
+    document. Null and empty texts have no ids; repeated rows and null ids each give a row;
+    further columns do not come along."""
     return byte_bpe.bpe_report(docs, *byte_bpe.public_vocabulary())
 
 
