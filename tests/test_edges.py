@@ -238,6 +238,13 @@ def test_catalog_listings(spark):
     assert "default" in names and "information_schema" not in names
 
 
+def test_tables_of_two_schemas_stay_apart(spark):
+    t = {n: spark.range(k).toDF("x") for n, k in (("sales.orders", 3), ("sales.items", 0), ("hr.orders", 2), ("loose", 1))}
+    got = {r.schema_name: (r.tables, r.table_count, r.total_rows) for r in catalog.tables_by_schema(catalog.tables_overview(t)).collect()}
+    assert got == {"sales": (["sales.items", "sales.orders"], 2, 3), "hr": (["hr.orders"], 1, 2), "main": (["loose"], 1, 1)}
+    assert catalog.tables_overview(t).where("schema_name = 'hr'").first().table_name == "hr.orders"
+
+
 def test_upsert_versioned_round_trip(spark, tmp_path):
     from tablescope.sources.upsert import upsert_versioned
     base = spark.createDataFrame([(1, "a"), (2, "b")], "k INT, v STRING")
