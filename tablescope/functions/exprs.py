@@ -166,14 +166,20 @@ def money_avg(c: str | Column, df: DataFrame | None = None) -> Column:
 
 
 def avg_days(start: str | Column, end: str | Column, dtype: DataType | None = None) -> Column:
-    """Average of ``end - start`` in days from the exact integer sum of microseconds."""
+    """Average of ``end - start`` in days from the exact sum of microseconds."""
     a, b = col_of(start), col_of(end)
     if isinstance(dtype, TimestampType):
         a, b = a.cast("timestamp"), b.cast("timestamp")
     else:
         a, b = a.cast("timestamp_ntz"), b.cast("timestamp_ntz")
     micros = F.timestamp_diff("MICROSECOND", a, b)
-    return F.try_divide(F.sum(micros).cast("double"), F.count(micros).cast("double")) / F.lit(86_400_000_000.0)
+    return F.try_divide(micros_sum(micros).cast("double"), F.count(micros).cast("double")) / F.lit(86_400_000_000.0)
+
+
+def micros_sum(micros: str | Column) -> Column:
+    """Exact sum of microseconds as a decimal: 150,000 spans of two years are more than a
+    bigint holds."""
+    return F.sum(col_of(micros).cast("decimal(20,0)"))
 
 
 def sql_ident(name: str) -> str:

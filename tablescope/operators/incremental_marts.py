@@ -21,7 +21,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescope.functions.exprs import money, ratio, round_half_up
+from tablescope.functions.exprs import micros_sum, money, ratio, round_half_up
 from tablescope.operators.marts import Roles, _items_orders_reviews
 from tablescope.session import materialize
 
@@ -41,7 +41,7 @@ def _sums(j: DataFrame) -> dict[str, Column]:
     return {
         "orders": F.count_distinct("__ok"), "items": F.count(F.lit(1)), "revenue": exact(F.col("__price") + F.col("__freight")), "sales": exact(F.col("__price") * F.col("__qty")),
         "price": exact("__price"), "price_n": F.count(money("__price", j)), "quantity": exact("__qty"), "score": F.sum(score).cast("decimal(38,6)"), "score_n": F.count(score),
-        "micros": F.sum(micros), "micros_n": F.count(micros), "canceled": F.count_if("__canceled"), "returned": F.count_if("__returned"),
+        "micros": micros_sum(micros).cast("decimal(38,0)"), "micros_n": F.count(micros), "canceled": F.count_if("__canceled"), "returned": F.count_if("__returned"),
     }
 
 

@@ -254,3 +254,20 @@ def test_percentiles_with_hot_values_and_odd_sizes(spark):
         got = spark.range(1).select(exact_percentiles(df, "x", probs, accuracy=50)).first()[0]
         want = df.agg(F.percentile("x", F.array(*map(F.lit, probs)))).first()[0]
         assert got == pytest.approx(want) if data else got is None or got == [None] * 5
+
+
+def test_days_whose_sum_of_microseconds_passes_a_bigint(spark, tmp_path):
+    from tablescope.operators import incremental_marts
+
+    days = 73_000_000  # 6.3e18 microseconds; two such spans pass 9.2e18
+    orders = spark.createDataFrame([(1, 1), (2, 1)], "o long, c long").withColumn("st", F.lit("F")).withColumn("ts", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    items = spark.createDataFrame([(1, 7, 1.0), (2, 7, 2.0)], "io long, seller long, price double").withColumn("at", F.expr(f"timestampadd(DAY, {days}, TIMESTAMP_NTZ '1970-01-01')"))
+    got = kpi.kpi_derived(orders, items, "o", "io", "price", "price", "ts", "at").first()
+    assert (got["orders_with_items"], got["avg_delivery_days"]) == (2, float(days))
+    roles = marts.Roles(order_key="o", customer_key="c", order_status="st", purchase_ts="ts", order_total="c", item_order_key="io", item_product_key="io", item_seller_key="seller",
+                        item_price="price", item_freight="price", item_quantity="price", item_delivered_ts="at", canceled="st = 'C'", returned="st = 'R'", review_order_key="o", review_score="score")
+    reviews = spark.createDataFrame([], "o long, score int")
+    assert marts.seller_performance(orders, items, reviews, roles).first()["avg_delivery_days"] == float(days)
+    path = str(tmp_path / "s")
+    incremental_marts.refresh(path, orders, items, reviews, roles)
+    assert incremental_marts.sellers(incremental_marts.load_states(spark, path)).first()["avg_delivery_days"] == float(days)
