@@ -47,14 +47,16 @@ def _sums(j: DataFrame) -> dict[str, Column]:
 
 def day_states(orders: DataFrame, items: DataFrame, reviews: DataFrame, roles: Roles) -> dict[str, DataFrame]:
     """The state rows of every day of ``orders``, by kind. The joined rows are written once and
-    reduced per kind, map-side first."""
+    reduced per kind, map-side first; only customers meet at their day and bucket before they
+    become bits, since 4 KB a bucket, day and task would be far more than the customers."""
     j = materialize(_items_orders_reviews(
         orders, items, reviews, roles, True, {"__day": F.to_date(roles.expr("purchase_ts")), "__customer": roles.expr("customer_key").cast("bigint")},
         {"__freight": roles.expr("item_freight")}).withColumnsRenamed({"__day": "day", "__seller": "seller", "__product": "product"}))
     sums = _sums(j)
     out = {kind: j.groupBy("day", *KEYS[kind]).agg(*[sums[n].alias(n) for n in names]) for kind, names in STATES.items()}
     once = j.where("__customer IS NOT NULL").select("day", "__customer").distinct()
-    out["customers"] = once.groupBy("day", F.bitmap_bucket_number("__customer").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__customer")).alias("bits"))
+    placed = once.select("day", F.bitmap_bucket_number("__customer").alias("bucket"), F.bitmap_bit_position("__customer").alias("bit")).repartition("day", "bucket")
+    out["customers"] = placed.groupBy("day", "bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
     return out
 
 
@@ -93,7 +95,8 @@ def refresh(state: str, orders: DataFrame, items: DataFrame, reviews: DataFrame,
     if months is not None:  # a row of no kind says that the month was seen, so it is replaced
         seen = orders.sparkSession.createDataFrame([(f"{m}-01",) for m in months], "day STRING").select(F.col("day").cast("date").alias("day"))
         rows = rows.unionByName(seen, allowMissingColumns=True)
-    (rows.withColumn("month", F.date_format("day", "yyyy-MM")).repartition("month").sortWithinPartitions("month", "kind").write.mode("overwrite")
+    # a month is one task's while it is small; AQE splits one that is large
+    (rows.withColumn("month", F.date_format("day", "yyyy-MM")).hint("rebalance", "month").sortWithinPartitions("month", "kind").write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(state))
 
 

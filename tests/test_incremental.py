@@ -168,6 +168,30 @@ def test_customers_of_a_month_count_once(spark, shop, tmp_path):
     assert got == want
 
 
+def test_a_large_month_is_not_one_task(spark, shop, tmp_path):
+    from tablescope.operators import incremental_marts as im
+
+    o, li, reviews, roles = shop
+    o = o.where("o_orderdate >= '1998-06-01' AND o_orderdate < '1998-08-01'")
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(size, "4KB")
+    try:
+        im.refresh(str(tmp_path / "s"), o, li, reviews, roles)
+    finally:
+        spark.conf.unset(size)
+    files = [str(f.parent.name) for f in (tmp_path / "s").rglob("*.parquet")]
+    assert all(files.count(f"month={m}") > 1 for m in ("1998-06", "1998-07"))
+    assert from_states(spark, str(tmp_path / "s")) == whole(o, li, reviews, roles)
+
+
+def test_customers_meet_before_they_become_bits(spark, shop):
+    from tablescope.operators import incremental_marts as im
+
+    plan = im.day_states(*shop)["customers"]._jdf.queryExecution().executedPlan().toString().splitlines()
+    aggs = [k for k, line in enumerate(plan) if "bitmap_construct_agg" in line]
+    assert len(aggs) == 2 and not any("Exchange" in line for line in plan[aggs[0] : aggs[1]])
+
+
 def test_ranges_of_months():
     from tablescope.operators.incremental_marts import _ranges
 
