@@ -10,20 +10,29 @@ States are stored by month. The months with new or changed days are worked out a
 replace their rows by dynamic partition overwrite. A run that is repeated gives the same
 state; other months' files are not touched.
 
+A refresh works in steps, so that its disk is that of the states and the joined rows, not that of
+every shuffle at once: orders meet their items by shares of the order keys, into files by month
+of the year; these files become states one after the other and are deleted. A month is replaced
+as a whole; a refresh that is cut off leaves months done and months as they were, and its next
+run does them all.
+
 Customer keys are whole numbers, not negative (``bitmap_bit_position`` deals them out).
 Reviews are averaged per order, as ``marts`` does with ``dedupe_reviews``.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, StringType
 
 from tablescope.functions.exprs import micros_sum, money, ratio, round_half_up
 from tablescope.operators.marts import Roles, _items_orders_reviews
-from tablescope.session import materialize
+from tablescope.session import materialize, shared_dir, shuffles_dropped
+from tablescope.sources.tables import _filesystem
 
 #: Kinds of state and what each adds up, beside its day and key.
 STATES = {
@@ -33,6 +42,11 @@ STATES = {
 }
 KEYS = {"days": [], "sellers": ["seller"], "products": ["product"], "customers": ["bucket"]}
 
+#: Shares of the order keys that are joined one after the other, and batches of months that become
+#: states one after the other: so many at most, and one for each so many bytes of items or joined rows.
+SHARES, SHARE_BYTES = 4, 128 << 20
+BATCHES, BATCH_BYTES = 12, 64 << 20
+
 
 def _sums(j: DataFrame) -> dict[str, Column]:
     score = F.col("__score").cast("decimal(20,6)")
@@ -45,13 +59,17 @@ def _sums(j: DataFrame) -> dict[str, Column]:
     }
 
 
-def day_states(orders: DataFrame, items: DataFrame, reviews: DataFrame, roles: Roles) -> dict[str, DataFrame]:
-    """The state rows of every day of ``orders``, by kind. The joined rows are written once and
-    reduced per kind, map-side first; only customers meet at their day and bucket before they
-    become bits, since 4 KB a bucket, day and task would be far more than the customers."""
-    j = materialize(_items_orders_reviews(
+def _joined(orders: DataFrame, items: DataFrame, reviews: DataFrame, roles: Roles) -> DataFrame:
+    """Every item with what its order, day and review tell, as ``states_of`` reads it."""
+    return _items_orders_reviews(
         orders, items, reviews, roles, True, {"__day": F.to_date(roles.expr("purchase_ts")), "__customer": roles.expr("customer_key").cast("bigint")},
-        {"__freight": roles.expr("item_freight")}).withColumnsRenamed({"__day": "day", "__seller": "seller", "__product": "product"}))
+        {"__freight": roles.expr("item_freight")}).withColumnsRenamed({"__day": "day", "__seller": "seller", "__product": "product"})
+
+
+def states_of(j: DataFrame) -> dict[str, DataFrame]:
+    """The state rows of joined rows, by kind, reduced map-side first; only customers meet at their
+    day and bucket before they become bits, since 4 KB a bucket, day and task would be far more
+    than the customers."""
     sums = _sums(j)
     out = {kind: j.groupBy("day", *KEYS[kind]).agg(*[sums[n].alias(n) for n in names]) for kind, names in STATES.items()}
     once = j.where("__customer IS NOT NULL").select("day", "__customer").distinct()
@@ -60,6 +78,39 @@ def day_states(orders: DataFrame, items: DataFrame, reviews: DataFrame, roles: R
     return out
 
 
+def day_states(orders: DataFrame, items: DataFrame, reviews: DataFrame, roles: Roles) -> dict[str, DataFrame]:
+    """The state rows of every day of ``orders`` at once, by kind. The joined rows are written once."""
+    return states_of(materialize(_joined(orders, items, reviews, roles)))
+
+
+def _pieces(size: int, each: int, most: int) -> int:
+    return min(most, max(1, -(-size // each)))
+
+
+def _shares(orders: DataFrame, items: DataFrame, reviews: DataFrame, roles: Roles) -> list[tuple[DataFrame, DataFrame, DataFrame]]:
+    """The three tables by shares of their order keys, each key in one share. Keys that a join would
+    have to convert hash differently on its two sides: they are one share."""
+    sides = [(orders, roles.expr("order_key")), (items, roles.expr("item_order_key")), (reviews, roles.expr("review_order_key"))]
+    types = [df.select(key).schema[0].dataType for df, key in sides]
+    whole = all(isinstance(t, IntegralType) for t in types)
+    n = _pieces(int(str(items._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), SHARE_BYTES, SHARES)
+    if n == 1 or not (whole or all(t == StringType() for t in types)):
+        return [(orders, items, reviews)]
+    share = lambda key: F.pmod(F.xxhash64(key.cast("bigint") if whole else key), F.lit(n))
+    return [tuple(df.where(share(key) == k) for df, key in sides) for k in range(n)]
+
+
+def _store_joined(path: str, orders: DataFrame, items: DataFrame, reviews: DataFrame, roles: Roles) -> DataFrame:
+    """The joined rows, written under ``path`` by month of the year (``part``). Rows without a day
+    are with the first; columns without a type, which files cannot hold, are added as they are read."""
+    for share in _shares(orders, items, reviews, roles):
+        j = _joined(*share, roles)
+        void = [c for c, kind in j.dtypes if kind == "void"]
+        kept = j.drop(*void).withColumn("part", F.coalesce(F.month("day"), F.lit(1)))
+        kept.write.mode("append").option("compression", "zstd").partitionBy("part").parquet(path)
+    return j.sparkSession.read.schema(kept.schema).parquet(path).withColumns({c: F.lit(None) for c in void})
+
+
 def _ranges(months: list[str]) -> list[tuple[str, str]]:
     """First days (inclusive, exclusive) of runs of neighbouring months."""
     out: list[tuple[str, str]] = []
@@ -88,12 +139,30 @@ def refresh(state: str, orders: DataFrame, items: DataFrame, reviews: DataFrame,
         for first, after in _ranges(months):
             inside = inside | ((ts >= F.lit(first).cast(dtype)) & (ts < F.lit(after).cast(dtype)))
         orders = orders.where(inside)
+    spark = orders.sparkSession
+    path = f"{shared_dir(spark)}/mart-rows-{uuid.uuid4().hex}"
+    fs, at = _filesystem(spark, path)
+    try:
+        with shuffles_dropped(spark):
+            j = _store_joined(path, orders, items, reviews, roles)
+            n = _pieces(fs.getContentSummary(at).getLength(), BATCH_BYTES, BATCHES)
+            for batch in range(n):
+                parts = range(batch + 1, 13, n)
+                _replace_months(state, j.where(F.col("part").isin(*parts)), None if months is None else [m for m in months if int(m[5:7]) in parts])
+                for k in parts:
+                    fs.delete(_filesystem(spark, f"{path}/part={k}")[1], True)
+    finally:
+        fs.delete(at, True)
+
+
+def _replace_months(state: str, j: DataFrame, months: list[str] | None) -> None:
+    """Put the states of joined rows, and of ``months`` without any, in the place of those stored."""
     rows = None
-    for kind, part in day_states(orders, items, reviews, roles).items():
+    for kind, part in states_of(j).items():
         part = part.withColumn("kind", F.lit(kind))
         rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
-    if months is not None:  # a row of no kind says that the month was seen, so it is replaced
-        seen = orders.sparkSession.createDataFrame([(f"{m}-01",) for m in months], "day STRING").select(F.col("day").cast("date").alias("day"))
+    if months:  # a row of no kind says that the month was seen, so it is replaced
+        seen = j.sparkSession.createDataFrame([(f"{m}-01",) for m in months], "day STRING").select(F.col("day").cast("date").alias("day"))
         rows = rows.unionByName(seen, allowMissingColumns=True)
     # a month is one task's while it is small; AQE splits one that is large
     (rows.withColumn("month", F.date_format("day", "yyyy-MM")).hint("rebalance", "month").sortWithinPartitions("month", "kind").write.mode("overwrite")

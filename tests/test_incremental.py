@@ -1,6 +1,7 @@
 """Content fingerprints, profiles kept up to date, marts kept up to date."""
 
 import os
+import pathlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -192,6 +193,79 @@ def test_customers_meet_before_they_become_bits(spark, shop):
     assert len(aggs) == 2 and not any("Exchange" in line for line in plan[aggs[0] : aggs[1]])
 
 
+@pytest.fixture
+def in_pieces(monkeypatch):
+    from tablescope.operators import incremental_marts as im
+
+    for name, n in {"SHARE_BYTES": 1, "BATCH_BYTES": 1, "BATCHES": 3}.items():
+        monkeypatch.setattr(im, name, n)
+
+
+def test_a_refresh_holds_one_batch_on_disk(spark, shop, tmp_path, monkeypatch, in_pieces):
+    """The shuffle files of a step are gone before the next, the joined rows go batch by batch."""
+    from tablescope.operators import incremental_marts as im
+    from tablescope.session import shared_dir
+
+    o, li, reviews, roles = shop
+    dirs = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    shuffles = lambda: {f.name for d in dirs for f in pathlib.Path(d).rglob("shuffle_*")}
+    shared = pathlib.Path(shared_dir(spark).removeprefix("file:"))
+    stored = lambda: {str(f) for f in shared.rglob("*.parquet")}
+    seen, states_of, before, kept = [], im.states_of, shuffles(), {*shared.iterdir()}
+
+    def watched(j):
+        seen.append((shuffles() - before, {r[0] for r in j.select(F.month("day")).distinct().collect()}, len({f.rsplit("/", 2)[1] for f in stored() if "/mart-rows-" in f})))
+        return states_of(j)
+
+    monkeypatch.setattr(im, "states_of", watched)
+    path = str(tmp_path / "s")
+    im.refresh(path, o, li, reviews, roles)
+    assert seen == [(set(), {k, k + 3, k + 6, k + 9}, left) for k, left in ((1, 12), (2, 8), (3, 4))]
+    assert shuffles() <= before and {*shared.iterdir()} == kept
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    assert from_states(spark, path) == whole(o, li, reviews, roles)
+    now = o.where("o_orderdate < '1998-06-01'")  # months that lose all orders
+    days = [str(r[0]) for r in o.where("o_orderdate >= '1998-05-20'").select(F.to_date("o_orderdate")).distinct().collect()]
+    before = shuffles()
+    im.refresh(path, now, li, reviews, roles, days)
+    assert shuffles() <= before and {*shared.iterdir()} == kept
+    assert from_states(spark, path) == whole(now, li, reviews, roles)
+
+
+def test_a_refresh_that_fails_leaves_no_rows(spark, shop, tmp_path, monkeypatch, in_pieces):
+    from tablescope.operators import incremental_marts as im
+    from tablescope.session import shared_dir
+
+    monkeypatch.setattr(im, "states_of", lambda j: 1 / 0)
+    shared = pathlib.Path(shared_dir(spark).removeprefix("file:"))
+    kept = {*shared.iterdir()}
+    with pytest.raises(ZeroDivisionError):
+        im.refresh(str(tmp_path / "s"), *shop)
+    assert {*shared.iterdir()} == kept and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+@pytest.mark.parametrize("order,item,shares", [("int", "bigint", 4), ("string", "string", 4), ("string", "bigint", 1)])
+def test_pieces_give_the_states_of_the_whole(spark, tmp_path, in_pieces, order, item, shares):
+    """Keys of two types, repeated and unknown ones, orders without a day, a role that is null."""
+    from tablescope.operators import incremental_marts as im
+    from tablescope.operators.marts import Roles
+
+    day = lambda k: None if k % 7 == 0 else f"20{k % 3:02d}-{k % 12 + 1:02d}-{k % 28 + 1:02d} 10:00:00"
+    orders = spark.createDataFrame([(None if k % 11 == 0 else k % 50, None if k % 5 == 0 else k % 40, day(k)) for k in range(60)], "k int, customer_id int, at string")
+    items = spark.createDataFrame([(None if k % 13 == 0 else k % 55, k % 4, k % 6, k / 4, k % 3) for k in range(200)], "k int, product_id int, seller_id int, price double, quantity int")
+    reviews = spark.createDataFrame([(k % 45, k % 6) for k in range(70)], "k int, score int")
+    orders = orders.select(F.col("k").cast(order).alias("order_id"), "customer_id", F.lit("shipped").alias("order_status"), F.col("at").cast("timestamp").alias("purchase_timestamp"))
+    items = items.select(F.col("k").cast(item).alias("order_id"), "product_id", "seller_id", "price", "quantity", F.lit("2003-01-01").cast("timestamp").alias("delivered_customer_date"))
+    reviews = reviews.select(F.col("k").cast(order).alias("order_id"), "score")
+    given = orders, items, reviews, Roles(item_freight="NULL")
+    assert len(im._shares(*given)) == shares
+    im.refresh(str(tmp_path / "s"), *given)
+    stored, at_once = im.load_states(spark, str(tmp_path / "s")), im.day_states(*given)
+    for kind, rows in stored.items():
+        want = ROWS(at_once[kind].select(*rows.columns))
+        assert want and ROWS(rows) == want
+
+
 def test_ranges_of_months():
     from tablescope.operators.incremental_marts import _ranges
 
