@@ -166,7 +166,7 @@ def _replace_months(state: str, j: DataFrame, months: list[str] | None) -> None:
         rows = rows.unionByName(seen, allowMissingColumns=True)
     # a month is one task's while it is small; AQE splits one that is large
     (rows.withColumn("month", F.date_format("day", "yyyy-MM")).hint("rebalance", "month").sortWithinPartitions("month", "kind").write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(state))
+     .option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("month").parquet(state))
 
 
 def load_states(spark: SparkSession, state: str) -> dict[str, DataFrame]:

@@ -223,6 +223,7 @@ def test_a_refresh_holds_one_batch_on_disk(spark, shop, tmp_path, monkeypatch, i
     assert seen == [(set(), {k, k + 3, k + 6, k + 9}, left) for k, left in ((1, 12), (2, 8), (3, 4))]
     assert shuffles() <= before and {*shared.iterdir()} == kept
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    assert all(".zstd." in f.name for f in pathlib.Path(path).rglob("*.parquet"))
     assert from_states(spark, path) == whole(o, li, reviews, roles)
     now = o.where("o_orderdate < '1998-06-01'")  # months that lose all orders
     days = [str(r[0]) for r in o.where("o_orderdate >= '1998-05-20'").select(F.to_date("o_orderdate")).distinct().collect()]
